@@ -1,0 +1 @@
+"""Intentionally empty: the workload this engine covers is batch only, so no streaming operator is offered."""
