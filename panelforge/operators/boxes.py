@@ -65,6 +65,24 @@ def box_stats(
     )
 
 
+def entity_drivers(
+    df: DataFrame, chosen: DataFrame, label: str = "vulnerability_indicator", suffix: str = "__last",
+    entity: str = "entity", future: str = "future_id",
+) -> DataFrame:
+    """Long layout of :func:`long_drivers` with each entity's own drivers.
+
+    ``chosen`` has one row per entity with its ``drivers`` array; values are the ``<driver><suffix>`` columns.
+    """
+    names = [c.removesuffix(suffix) for c in df.columns if c.endswith(suffix)]
+    values = F.create_map(*[x for n in names for x in (F.lit(n), F.col(f"{n}{suffix}").cast("double"))])
+    rows = df.where(F.col(label).isNotNull()).join(chosen.select(entity, "drivers"), entity).select(
+        entity, future, F.col(label).cast("int").alias("label"),
+        F.transform(F.col("drivers"), lambda d, i: F.struct(i.alias("slot"), d.alias("driver"), values[d].alias("value"))).alias("_items"),
+    )
+    complete = rows.where(~F.exists("_items", lambda x: x["value"].isNull()))
+    return complete.select(entity, future, "label", F.inline("_items"))
+
+
 def long_drivers(df: DataFrame, drivers: Sequence[str], label: str = "vulnerability_indicator", entity: str = "entity", future: str = "future_id") -> DataFrame:
     """Same drivers for every entity, as ``entity, future, label, slot, driver, value``; complete rows only."""
     complete = df.na.drop(how="any", subset=[*drivers, label])
@@ -82,7 +100,7 @@ def grid_search(
     """Every non-empty box of every entity with its counts.
 
     ``rows`` is the long layout of :func:`long_drivers` (the driver of a slot may differ by entity).
-    Result per box: entity, level index per slot ``l0..``, box size ``n``, vulnerable ``n1``, entity total
+    Entities with fewer drivers leave the last slots out (level -1). Result per box: entity, level index per slot ``l0..``, box size ``n``, vulnerable ``n1``, entity total
     ``total1``, coverage and density.
     """
     if drivers > MAX_DRIVERS:
@@ -100,14 +118,14 @@ def grid_search(
     placed = join_by_size(rows, cut, [entity, "slot"], groups, "inner").select(entity, future, "label", "slot", cell.alias("cell"))
     cells = placed.groupBy(entity, future).agg(
         F.max("label").alias("label"),
-        *[F.max(F.when(F.col("slot") == i, F.col("cell"))).alias(s) for i, s in enumerate(slots)],
+        *[F.coalesce(F.max(F.when(F.col("slot") == i, F.col("cell"))), F.lit(-1)).alias(s) for i, s in enumerate(slots)],
     )
     counts = cells.groupBy(entity, *slots).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1"))
     totals = counts.groupBy(entity).agg(F.sum("n1").alias("total1"), F.sum("n").alias("total"))
     usable = totals.where((F.col("total1") > 0) & (F.col("total1") < F.col("total"))).select(entity, "total1")
     boxes = counts
     for s in slots:
-        reached = F.filter(F.sequence(F.lit(0), F.lit(len(probs) - 1)), lambda i, s=s: i >= F.col(s))
+        reached = F.expr(f"case when {s} = -1 then array(-1) else filter(sequence(0, {len(probs) - 1}), i -> i >= {s}) end")
         others = [c for c in slots if c != s]
         boxes = boxes.select(entity, *others, "n", "n1", F.explode(reached).alias(s)).groupBy(entity, *slots).agg(
             F.sum("n").alias("n"), F.sum("n1").alias("n1")
@@ -188,7 +206,8 @@ def with_cutoffs(results: DataFrame, cut: DataFrame, probs: Sequence[float], dri
     cols = {}
     for i in range(drivers):
         c = F.col(f"_c{i}")
-        position = F.when(c["cmp"].isin(">", ">="), F.lit(last) - F.col(f"l{i}")).otherwise(F.col(f"l{i}"))
+        level = F.when(F.col(f"l{i}") >= 0, F.col(f"l{i}"))
+        position = F.when(c["cmp"].isin(">", ">="), F.lit(last) - level).otherwise(level)
         cols[f"driver_{i}"] = c["driver"]
         cols[f"quantile_{i}"] = F.get(grid, position)
         cols[f"cutoff_{i}"] = F.get(c["cuts"], position)

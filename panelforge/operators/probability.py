@@ -105,7 +105,7 @@ def exceedance_curve(table: DataFrame, probability: str, thresholds: Sequence[fl
     items = F.transform(grid, lambda t, i: F.struct(i.alias("i"), t.alias("t")))
     reaching = F.aggregate(
         F.map_entries("_m"), F.lit(0).cast("bigint"),
-        lambda acc, e: acc + F.when(e["_k"] > F.col("i"), e["_c"]).otherwise(0),
+        lambda acc, e: acc + F.when(e["key"] > F.col("i"), e["value"]).otherwise(0),
     )
     return (
         counts.select("_m", "_n", F.inline(items))

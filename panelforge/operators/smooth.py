@@ -106,7 +106,7 @@ def hp_filter(
     series = base.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(period, *rest))).alias("_rows"))
     trends = {}
     for y in work:
-        known = F.transform(F.filter("_rows", lambda r, y=y: r[y].isNotNull()), lambda r, y=y: r[y])
+        known = F.expr(f"transform(filter(_rows, r -> r.`{y}` is not null), r -> r.`{y}`)")
         trends[f"_t{y}"] = hp_trend(F.when(F.size(known) >= min_len, known), penalty)
     rows = series.withColumns(trends).withColumn("_row", F.explode("_rows")).select(
         *keys, *trends, F.col(f"_row.{period}").alias(period), *[F.col(f"_row.{c}").alias(c) for c in rest]

@@ -1 +1,354 @@
-"""Queries."""
+"""Trajectory summaries, labels, drivers, boxes, reports and figure tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelforge.operators import boxes, drivers, reports, trajectory, vulnerability
+from panelforge.plans.discovery import DiscoveryConfig, DiscoveryResult, batch_reports, discover, features_of, merge_futures, search_boxes
+from panelforge.plans.inputs import RULES, income_groups, nation_caps, observed_futures, table, with_sql
+from panelforge.plans.registry import query, r, rounded
+
+START, END = 1996, 2000
+DRIVERS = ["n_orders", "has_urgent", "cum_orders", "any_finished", "max_order"]
+CONFIG = DiscoveryConfig(value="value", start=START, end=END, rules=RULES)
+
+
+def labelled(spark: SparkSession, sf: str, auto: bool = True) -> DataFrame:
+    return vulnerability.label_futures(observed_futures(spark, sf), "value", START, END, auto)
+
+
+def merged(spark: SparkSession, sf: str) -> DataFrame:
+    futures = observed_futures(spark, sf)
+    return merge_futures(futures, futures, CONFIG)
+
+
+# ------------------------------------------------------------ trajectories
+
+def full_sql(c: str, stats: tuple[str, ...]) -> str:
+    e = {
+        "mean": f"avg({c})", "std": f"stddev_samp({c})", "min": f"min({c})", "max": f"max({c})", "sum": f"sum({c})",
+        "last": f"arg_max({c}, period)", "delta": f"arg_max({c}, period) - arg_min({c}, period)",
+        "slope": f"regr_slope({c}, CAST(period AS DOUBLE))", "switches": "coalesce(sum(abs(step)), 0)",
+    }
+    return ", ".join(r(e[s], f"{c}__{s}") for s in stats)
+
+
+@query("trajectory_full", with_sql("futures") + f"""
+, st AS (SELECT *, has_urgent - lag(has_urgent) OVER (PARTITION BY entity, future_id ORDER BY period) AS step FROM futures)
+SELECT entity, future_id, min(period) AS period_start, max(period) AS period_end, count(DISTINCT period) AS n_periods,
+  {full_sql("n_orders", ("sum", "mean", "std", "max", "last", "delta", "slope"))}, {full_sql("has_urgent", ("mean", "last", "max", "switches"))},
+  {full_sql("cum_orders", ("last", "max", "delta", "slope"))}, {full_sql("any_finished", ("last", "max"))}, {full_sql("max_order", ("mean", "std", "min", "max", "last", "delta", "slope"))}
+FROM st GROUP BY entity, future_id""")
+def trajectory_full(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(trajectory.summarize(observed_futures(spark, sf), DRIVERS, RULES, "full"))
+
+
+CHANGE = {c: "change" if c in ("has_urgent", "any_finished") else "pct_change" for c in DRIVERS}
+ENDS_SQL = "ends AS (SELECT entity, future_id, count(DISTINCT period) AS n_periods, " + ", ".join(
+    f"max(CASE WHEN period = {t} THEN {c} END) AS {k}_{c}" for c in DRIVERS for k, t in (("s", START), ("e", END))) + " FROM futures GROUP BY entity, future_id)"
+
+
+def change_columns() -> str:
+    out = []
+    for c, kind in CHANGE.items():
+        both = f"s_{c} IS NOT NULL AND e_{c} IS NOT NULL"
+        last = f"e_{c} - s_{c}" if kind == "change" else f"(e_{c} - s_{c}) / nullif(abs(s_{c}), 0) * 100"
+        out += [f"CASE WHEN {both} THEN s_{c} END AS {c}__start", f"CASE WHEN {both} THEN e_{c} END AS {c}__last", f"e_{c} - s_{c} AS {c}__delta", f"{last} AS {c}__{kind}"]
+    return ", ".join(out)
+
+
+SUMMARY_SQL = ENDS_SQL + f", summary AS (SELECT entity, future_id, CAST({START} AS INTEGER) AS period_start, CAST({END} AS INTEGER) AS period_end, n_periods, {change_columns()} FROM ends)"
+
+
+@query("trajectory_pct_change", with_sql("futures", SUMMARY_SQL) + "SELECT entity, future_id, period_start, period_end, n_periods, " + ", ".join(
+    r(f"{c}__{k}", f"{c}__{k}") for c in DRIVERS for k in ("start", "last", "delta", CHANGE[c])) + " FROM summary")
+def trajectory_pct_change(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(trajectory.summarize(observed_futures(spark, sf), DRIVERS, RULES, "pct_change", START, END))
+
+
+@query("pivot_periods", with_sql("futures") + "SELECT entity, future_id, " + ", ".join(
+    f'max(CASE WHEN period = {t} THEN value END) AS "{t}"' for t in range(1995, 2002)) + " FROM futures GROUP BY entity, future_id")
+def pivot_periods(spark: SparkSession, sf: str) -> DataFrame:
+    return trajectory.pivot_periods(observed_futures(spark, sf), "value", range(1995, 2002))
+
+
+# ------------------------------------------------------------ labels
+
+WIDE_SQL = f"""
+wide AS (SELECT entity, future_id, max(CASE WHEN period = {START} THEN value END) AS y1, max(CASE WHEN period = {END} THEN value END) AS y2 FROM futures GROUP BY entity, future_id)"""
+THRESHOLD_SQL = """
+ord AS (SELECT entity, y2, row_number() OVER (PARTITION BY entity ORDER BY y2) AS rn, lead(y2) OVER (PARTITION BY entity ORDER BY y2) AS nxt,
+  count(*) OVER (PARTITION BY entity) AS n, count(*) OVER (PARTITION BY entity ORDER BY y2 RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM wide WHERE y2 IS NOT NULL),
+thr AS (SELECT entity, coalesce(arg_min((y2 + nxt) / 2, abs(n - 2 * c) * 1000000 + rn) FILTER (WHERE nxt IS NOT NULL AND abs(n - 2 * c) < n), min(y2)) AS t FROM ord GROUP BY entity),
+lab AS (SELECT wide.entity, future_id, y1, y2, t, CASE WHEN y2 > t THEN 1 ELSE 0 END AS label FROM wide LEFT JOIN thr ON wide.entity = thr.entity)"""
+
+
+@query("vulnerability_fixed", with_sql("futures", WIDE_SQL) + f"""
+SELECT entity, future_id, y1 AS "{START}", y2 AS "{END}", CASE WHEN y2 > y1 THEN 1 ELSE 0 END AS vulnerability_indicator FROM wide""")
+def vulnerability_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    return labelled(spark, sf, auto=False)
+
+
+@query("vulnerability_balanced", with_sql("futures", WIDE_SQL, THRESHOLD_SQL) + f"""
+SELECT entity, future_id, y1 AS "{START}", y2 AS "{END}", t AS vulnerability_threshold, label AS vulnerability_indicator FROM lab""")
+def vulnerability_balanced(spark: SparkSession, sf: str) -> DataFrame:
+    return labelled(spark, sf)
+
+
+@query("threshold_vs_reference", with_sql("futures", "nation_caps", WIDE_SQL, THRESHOLD_SQL) + """
+, one AS (SELECT upper(entity) AS entity, cap_value * 60 AS cap FROM nation_caps QUALIFY row_number() OVER (PARTITION BY entity ORDER BY segment) = 1),
+pick AS (SELECT lab.entity, max(t) AS t, min(600) AS s, max(cap) AS c FROM lab LEFT JOIN one ON lab.entity = one.entity GROUP BY lab.entity)
+SELECT entity, t AS vulnerability_threshold, CASE WHEN abs(t - s) <= 1e-8 + 1e-5 * abs(s) THEN 'equal' WHEN t > s THEN 'above' ELSE 'below' END AS threshold_vs_start,
+  CASE WHEN c IS NULL THEN NULL WHEN abs(t - c) <= 1e-8 + 1e-5 * abs(c) THEN 'equal' WHEN t > c THEN 'above' ELSE 'below' END AS threshold_vs_cap FROM pick""")
+def threshold_vs_reference(spark: SparkSession, sf: str) -> DataFrame:
+    caps = nation_caps(spark, sf).withColumn("cap_value", F.col("cap_value") * 60)
+    with_caps = vulnerability.attach_caps(labelled(spark, sf), caps, "cap_value", order=["segment"]).withColumn("level", F.lit(600.0))
+    return vulnerability.threshold_comparison(with_caps, "level", "cap")
+
+
+@query("class_balance", with_sql("futures", WIDE_SQL, THRESHOLD_SQL) + """
+SELECT entity, count(*) AS n_rows, count(*) FILTER (WHERE label = 0) AS class_0, count(*) FILTER (WHERE label = 1) AS class_1,
+  CASE WHEN count(DISTINCT label) = 2 THEN 'trained' ELSE 'skipped_insufficient_rows_or_classes' END AS status FROM lab GROUP BY entity""")
+def class_balance(spark: SparkSession, sf: str) -> DataFrame:
+    return vulnerability.class_balance(labelled(spark, sf))
+
+
+MERGED_SQL = SUMMARY_SQL + f""",
+merged AS (SELECT s.*, l.y1, l.y2, l.t, l.label FROM summary s JOIN lab l ON s.entity = l.entity AND s.future_id = l.future_id)"""
+BASE = ("futures", WIDE_SQL, THRESHOLD_SQL, MERGED_SQL)
+
+
+@query("summary_with_labels", with_sql(*BASE) + f"""
+SELECT entity, future_id, y1 AS "{START}", y2 AS "{END}", t AS vulnerability_threshold, label AS vulnerability_indicator, {r("max_order__pct_change", "max_order__pct_change")}, has_urgent__change FROM merged""")
+def summary_with_labels(spark: SparkSession, sf: str) -> DataFrame:
+    out = merged(spark, sf).select("entity", "future_id", str(START), str(END), "vulnerability_threshold", "vulnerability_indicator", "max_order__pct_change", "has_urgent__change")
+    return rounded(out)
+
+
+# ------------------------------------------------------------ boxes
+
+def cmp_sql(c: str, label: str = "label") -> str:
+    both = f"count({c}) FILTER (WHERE {label} IS NOT NULL)"
+    corr = f"(covar_pop({c}, {label}) / nullif(stddev_pop({c}) FILTER (WHERE {label} IS NOT NULL) * stddev_pop({label}) FILTER (WHERE {c} IS NOT NULL), 0))"
+    return f"CASE WHEN {both} < 3 OR min({c}) = max({c}) OR {corr} IS NULL OR abs({corr}) < 1e-9 THEN '<=' WHEN {corr} < 0 THEN '<' ELSE '>' END"
+
+
+@query("comparators", with_sql(*BASE) + "SELECT entity, " + ", ".join(f"{cmp_sql(f'{c}__last')} AS {c}__last" for c in DRIVERS) + " FROM merged GROUP BY entity")
+def comparators(spark: SparkSession, sf: str) -> DataFrame:
+    return boxes.comparators(merged(spark, sf), [f"{c}__last" for c in DRIVERS])
+
+
+def quantile_sql(sorted_list: str, n: str, p: str) -> str:
+    pos = f"({n} - 1) * {p}"
+    low, high = f"{sorted_list}[CAST(floor({pos}) AS INTEGER) + 1]", f"{sorted_list}[CAST(ceil({pos}) AS INTEGER) + 1]"
+    return f"CASE WHEN floor({pos}) = ceil({pos}) THEN {low} ELSE (ceil({pos}) - {pos}) * {low} + ({pos} - floor({pos})) * {high} END"
+
+
+@query("box_stats", with_sql(*BASE) + f"""
+, lists AS (SELECT entity, list(max_order__last ORDER BY max_order__last) FILTER (WHERE max_order__last IS NOT NULL) AS a, list(cum_orders__last ORDER BY cum_orders__last) FILTER (WHERE cum_orders__last IS NOT NULL) AS b FROM merged GROUP BY entity),
+cut AS (SELECT entity, {quantile_sql("a", "len(a)", "0.4::DOUBLE")} AS ca, {quantile_sql("b", "len(b)", "0.7::DOUBLE")} AS cb FROM lists)
+SELECT m.entity, any_value(ca) AS max_order__last__cutoff, any_value(cb) AS cum_orders__last__cutoff,
+  {r("sum(CASE WHEN max_order__last > ca AND cum_orders__last <= cb AND label = 1 THEN 1 ELSE 0 END) / nullif(CAST(sum(label) AS DOUBLE), 0)", "coverage")},
+  {r("sum(CASE WHEN max_order__last > ca AND cum_orders__last <= cb AND label = 1 THEN 1 ELSE 0 END) / nullif(CAST(sum(CASE WHEN max_order__last > ca AND cum_orders__last <= cb THEN 1 ELSE 0 END) AS DOUBLE), 0)", "density")}
+FROM merged m JOIN cut ON m.entity = cut.entity GROUP BY m.entity""")
+def box_stats(spark: SparkSession, sf: str) -> DataFrame:
+    out = boxes.box_stats(merged(spark, sf), ["max_order__last", "cum_orders__last"], [0.4, 0.7], [">", "<="])
+    return rounded(out)
+
+
+LEVELS = boxes.levels()
+A, B = "cum_orders__last", "n_orders__delta"
+GRID_SQL = f"""
+pt AS (SELECT entity, future_id, label, {A} AS a, {B} AS b FROM merged WHERE {A} IS NOT NULL AND {B} IS NOT NULL),
+usable AS (SELECT entity, sum(label) AS total1 FROM pt GROUP BY entity HAVING count(DISTINCT label) = 2),
+side AS (SELECT entity, {cmp_sql("a")} AS ca, {cmp_sql("b")} AS cb, list(a ORDER BY a) AS la, list(b ORDER BY b) AS lb FROM pt GROUP BY entity),
+lev AS (SELECT CAST(i AS INTEGER) AS i, ([{", ".join(f"{p!r}::DOUBLE" for p in LEVELS)}])[i + 1] AS p FROM generate_series(0, {len(LEVELS) - 1}) t(i)),
+cuts AS (SELECT entity, i, p, ca, cb, {quantile_sql("la", "len(la)", "p")} AS va, {quantile_sql("lb", "len(lb)", "p")} AS vb FROM side, lev),
+ina AS (SELECT pt.entity, future_id, label, i, p, va, ca, CASE WHEN ca = '>' THEN {len(LEVELS) - 1} - i ELSE i END AS l FROM pt JOIN cuts ON pt.entity = cuts.entity AND CASE ca WHEN '<' THEN a < va WHEN '<=' THEN a <= va ELSE a > va END),
+inb AS (SELECT pt.entity, future_id, i, p, vb, cb, CASE WHEN cb = '>' THEN {len(LEVELS) - 1} - i ELSE i END AS l FROM pt JOIN cuts ON pt.entity = cuts.entity AND CASE cb WHEN '<' THEN b < vb WHEN '<=' THEN b <= vb ELSE b > vb END),
+grid AS (SELECT ina.entity, ina.l AS l0, inb.l AS l1, any_value(ina.p) AS quantile_0, any_value(va) AS cutoff_0, any_value(ca) AS cmp_0, any_value(inb.p) AS quantile_1, any_value(vb) AS cutoff_1, any_value(cb) AS cmp_1,
+    count(*) AS n, sum(label)::BIGINT AS n1, any_value(total1)::BIGINT AS total1
+  FROM ina JOIN inb ON ina.entity = inb.entity AND ina.future_id = inb.future_id JOIN usable u ON ina.entity = u.entity GROUP BY 1, 2, 3),
+box AS (SELECT *, n1::DOUBLE / total1 AS coverage, n1::DOUBLE / n AS density FROM grid)"""
+PARETO_SQL = GRID_SQL + """,
+par AS (SELECT * FROM (SELECT * FROM box QUALIFY row_number() OVER (PARTITION BY entity, coverage, density ORDER BY l0, l1) = 1) x
+  WHERE NOT EXISTS (SELECT 1 FROM box y WHERE y.entity = x.entity AND y.coverage >= x.coverage AND y.density >= x.density AND (y.coverage > x.coverage OR y.density > x.density)))"""
+TIERS = [0.85, 0.8, 0.75, 0.7, 0.65, 0.6]
+SELECT_SQL = PARETO_SQL + """,
+tier AS (SELECT *, CASE """ + " ".join(f"WHEN density >= {t} AND coverage >= 0.6 THEN {i}" for i, t in enumerate(TIERS)) + """
+  WHEN density >= 0.6 THEN 6 WHEN coverage >= 0.6 THEN 7 ELSE 8 END AS tier FROM par),
+sel AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY tier, CASE WHEN tier = 7 THEN density ELSE coverage END DESC, CASE WHEN tier = 7 THEN coverage ELSE density END DESC, l0, l1) = 1 AS chosen FROM tier)"""
+BOX_OUT = f"n, n1, total1, {r('coverage', 'coverage')}, {r('density', 'density')}, '{A}' AS driver_0, quantile_0, cutoff_0, cmp_0, '{B}' AS driver_1, quantile_1, cutoff_1, cmp_1"
+
+
+def box_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return boxes.long_drivers(merged(spark, sf), [A, B])
+
+
+@query("box_grid", with_sql(*BASE, GRID_SQL) + f"SELECT entity, CAST(l0 AS INTEGER) AS l0, CAST(l1 AS INTEGER) AS l1, n, n1, total1, {r('coverage', 'coverage')}, {r('density', 'density')} FROM box")
+def box_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(boxes.grid_search(box_rows(spark, sf), 2))
+
+
+@query("box_pareto", with_sql(*BASE, PARETO_SQL) + f"SELECT entity, {BOX_OUT} FROM par")
+def box_pareto(spark: SparkSession, sf: str) -> DataFrame:
+    rows = box_rows(spark, sf)
+    cut, _ = boxes.cutoffs(rows, LEVELS)
+    return rounded(boxes.with_cutoffs(boxes.pareto(boxes.grid_search(rows, 2), 2), cut, LEVELS, 2))
+
+
+@query("box_selected", with_sql(*BASE, SELECT_SQL) + f"""SELECT entity, {BOX_OUT}, chosen AS selected_solution,
+  CASE WHEN chosen AND tier < 6 THEN ({TIERS}::DOUBLE[])[tier + 1] END AS selected_density_threshold, CASE WHEN chosen THEN 0.6::DOUBLE END AS selected_coverage_threshold FROM sel""")
+def box_selected(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(search_boxes(box_rows(spark, sf), 2, CONFIG))
+
+
+@query("figure_box_points", with_sql(*BASE, SELECT_SQL) + """
+, c AS (SELECT * FROM sel WHERE chosen)
+SELECT pt.entity, future_id, label, CAST(0 AS INTEGER) AS x_slot, CAST(1 AS INTEGER) AS y_slot, a AS x, b AS y,
+  CASE cmp_0 WHEN '<' THEN a < cutoff_0 WHEN '<=' THEN a <= cutoff_0 ELSE a > cutoff_0 END AND CASE cmp_1 WHEN '<' THEN b < cutoff_1 WHEN '<=' THEN b <= cutoff_1 ELSE b > cutoff_1 END AS in_box
+FROM pt JOIN c ON pt.entity = c.entity""")
+def figure_box_points(spark: SparkSession, sf: str) -> DataFrame:
+    rows = box_rows(spark, sf)
+    return reports.figure_box_points(boxes.membership(rows, search_boxes(rows, 2, CONFIG), 2), 2)
+
+
+# ------------------------------------------------------------ drivers and reports
+
+FEATURES = [f"{c}__{k}" for c in DRIVERS for k in ("start", "last", "delta", CHANGE[c])]
+GINI_SQL = f"""
+tall AS (SELECT entity, feature, value, label FROM (SELECT entity, label, {", ".join(FEATURES)} FROM merged) UNPIVOT INCLUDE NULLS (value FOR feature IN ({", ".join(FEATURES)}))),
+cls AS (SELECT entity, sum(label) AS n1, count(*) - sum(label) AS n0 FROM merged GROUP BY entity HAVING count(DISTINCT label) = 2),
+qs AS (SELECT entity, feature, list(value ORDER BY value) FILTER (WHERE value IS NOT NULL) AS l FROM tall GROUP BY 1, 2 HAVING count(value) > 0),
+qcut AS (SELECT entity, feature, [l[CAST(ceil(i / 32.0::DOUBLE * len(l)) AS INTEGER)] FOR i IN range(1, 32)] AS q FROM qs),
+binned AS (SELECT t.entity, t.feature, len(list_filter(q, lambda c: c < coalesce(value, q[16]))) AS bin, label FROM tall t JOIN qcut ON t.entity = qcut.entity AND t.feature = qcut.feature),
+cnt AS (SELECT b.entity, feature, bin, any_value(n0) AS n0, any_value(n1) AS n1, sum(1 - label) AS c0, sum(label) AS c1 FROM binned b JOIN cls ON b.entity = cls.entity GROUP BY 1, 2, 3),
+lr AS (SELECT entity, feature, sum(c0) OVER w / (2.0::DOUBLE * n0) AS l0, sum(c1) OVER w / (2.0::DOUBLE * n1) AS l1 FROM cnt WINDOW w AS (PARTITION BY entity, feature ORDER BY bin)),
+gain AS (SELECT entity, feature, max(greatest((l0 * l0 + l1 * l1) / (l0 + l1) + CASE WHEN 1 - l0 - l1 > 1e-12 THEN ((0.5 - l0) * (0.5 - l0) + (0.5 - l1) * (0.5 - l1)) / (1 - l0 - l1) ELSE 0 END - 0.5, 0)) AS gain FROM lr GROUP BY 1, 2),
+imp AS (SELECT entity, feature, gain, coalesce(gain / nullif(sum(gain) OVER (PARTITION BY entity), 0), 0) AS importance FROM gain)"""
+
+
+@query("driver_gini", with_sql(*BASE, GINI_SQL) + f"SELECT entity, feature, {r('gain', 'gain')}, {r('importance', 'importance')} FROM imp")
+def driver_gini(spark: SparkSession, sf: str) -> DataFrame:
+    frame = merged(spark, sf)
+    return rounded(drivers.driver_gini(frame, features_of(frame)))
+
+
+TOP_SQL = GINI_SQL + """,
+std AS (SELECT entity, split_part(feature, '__', 1) AS driver, max(round(importance, 9)) AS importance FROM imp GROUP BY 1, 2),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY importance DESC, driver) AS rank FROM std) WHERE rank <= 2)"""
+
+
+@query("top_drivers", with_sql(*BASE, TOP_SQL) + f"SELECT entity, driver, {r('importance', 'importance')}, CAST(rank AS INTEGER) AS rank FROM top")
+def top_drivers(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(drivers.top_drivers(ranked(spark, sf), 2))
+
+
+def ranked(spark: SparkSession, sf: str) -> DataFrame:
+    """Importances rounded, so that equal gains stay ties in every engine."""
+    frame = merged(spark, sf)
+    return drivers.driver_gini(frame, features_of(frame)).withColumn("importance", F.round("importance", 9))
+
+
+def run_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Summary rows as a batch run leaves them, one entity in nine marked as failed."""
+    top = drivers.top_drivers(ranked(spark, sf), 2).groupBy("entity").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "driver"))), lambda x: x["driver"]), "|").alias("selected_top_features")
+    )
+    failed = F.substring_index("entity", "_", -1).cast("int") % 9 == 5
+    return top.withColumn("status", F.when(failed, "error").otherwise("success"))
+
+
+RUN_SQL = TOP_SQL + """,
+run AS (SELECT entity, list(driver ORDER BY rank) AS ds FROM top GROUP BY entity HAVING CAST(split_part(entity, '_', 2) AS INTEGER) % 9 <> 5),
+grp AS (SELECT run.entity, ds, coalesce(income_group, 'unclassified') AS g FROM run LEFT JOIN income ON run.entity = income.entity)"""
+
+
+
+def region_names(spark: SparkSession, sf: str) -> list[str]:
+    return sorted(row[0] for row in income_groups(spark, sf).select("income_group").distinct().collect())
+
+
+@query("driver_frequency", with_sql(*BASE, "income", RUN_SQL) + """
+SELECT feature, g AS income_group, count(*) AS count, string_agg(entity, '|' ORDER BY entity) AS entities FROM (SELECT unnest(ds) AS feature, g, entity FROM grp) GROUP BY 1, 2""")
+def driver_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    members = reports.successful_members(run_rows(spark, sf), income_groups(spark, sf), reports.parse_list("selected_top_features"))
+    return members.groupBy(F.col("item").alias("feature"), "income_group").agg(
+        F.count(F.lit(1)).alias("count"), F.array_join(F.sort_array(F.collect_list("entity")), "|").alias("entities")
+    )
+
+
+@query("driver_frequency_report")
+def driver_frequency_report(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.driver_frequency(run_rows(spark, sf), income_groups(spark, sf), region_names(spark, sf))
+
+
+COMBO_SQL = """
+, combo AS (SELECT array_to_string(list_sort(ds), '|') AS feature_combination, g, entity FROM grp)
+SELECT feature_combination, count(*) AS count, coalesce(string_agg(entity, '|' ORDER BY entity) FILTER (WHERE g = 'unclassified'), '') AS unclassified_entities FROM combo GROUP BY 1"""
+
+
+@query("driver_combination_frequency", with_sql(*BASE, "income", RUN_SQL) + COMBO_SQL)
+def driver_combination_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    out = reports.combination_frequency(run_rows(spark, sf), income_groups(spark, sf), region_names(spark, sf))
+    return out.select("feature_combination", "count", "unclassified_entities")
+
+
+@query("top_combinations", with_sql(*BASE, "income", RUN_SQL) + ", c AS (SELECT array_to_string(list_sort(ds), '|') AS feature_combination, count(*) AS count FROM grp GROUP BY 1) SELECT * FROM c WHERE count = (SELECT max(count) FROM c)")
+def top_combinations(spark: SparkSession, sf: str) -> DataFrame:
+    from panelforge.operators.profile import tied_for_most
+
+    return tied_for_most(driver_combination_frequency(spark, sf).select("feature_combination", "count"))
+
+
+# ------------------------------------------------------------ whole batch and figures
+
+def whole_batch(spark: SparkSession, sf: str, **changes) -> DiscoveryResult:
+    from dataclasses import replace
+
+    futures = observed_futures(spark, sf)
+    caps = nation_caps(spark, sf).groupBy("entity").agg((F.min("cap_value") * 60).alias("cap"))
+    wanted = table(spark, sf, "nation", ["n_name"]).select(F.col("n_name").alias("entity")).unionByName(spark.range(1).select(F.lit("NATION_X").alias("entity")))
+    return discover(futures, futures, replace(CONFIG, **changes), wanted, caps)
+
+
+@query("discovery_all_entities")
+def discovery_all_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return whole_batch(spark, sf).run_summary
+
+
+@query("discovery_reports")
+def discovery_reports(spark: SparkSession, sf: str) -> DataFrame:
+    result = whole_batch(spark, sf, extra_features=("max_order",))
+    return batch_reports(result, income_groups(spark, sf), region_names(spark, sf))["top_variable_combination_frequency_report"]
+
+
+@query("figure_trajectories", with_sql("futures", "nation_caps") + """
+, hist AS (SELECT entity, period, CAST(floor(avg(value)) AS DOUBLE) AS value FROM futures GROUP BY 1, 2),
+chosen AS (SELECT n_name AS entity FROM nation WHERE n_regionkey = 2),
+cap AS (SELECT upper(entity) AS entity, min(cap_value) AS low_cap, max(cap_value) AS high_cap FROM nation_caps GROUP BY 1)
+SELECT entity, 'future' AS kind, future_id AS series, period, value FROM futures WHERE entity IN (SELECT entity FROM chosen)
+UNION ALL SELECT entity, 'history', NULL, period, value FROM hist WHERE entity IN (SELECT entity FROM chosen)
+UNION ALL SELECT entity, 'cap', 'low_cap', NULL, low_cap FROM cap WHERE low_cap IS NOT NULL AND entity IN (SELECT entity FROM chosen)
+UNION ALL SELECT entity, 'cap', 'high_cap', NULL, high_cap FROM cap WHERE high_cap IS NOT NULL AND entity IN (SELECT entity FROM chosen)""")
+def figure_trajectories(spark: SparkSession, sf: str) -> DataFrame:
+    futures = observed_futures(spark, sf)
+    history = futures.groupBy("entity", "period").agg(F.floor(F.avg("value")).cast("double").alias("value"))
+    caps = nation_caps(spark, sf).groupBy(F.upper("entity").alias("entity")).agg(F.min("cap_value").alias("low_cap"), F.max("cap_value").alias("high_cap"))
+    chosen = table(spark, sf, "nation", ["n_name", "n_regionkey"]).where("n_regionkey = 2").select(F.col("n_name").alias("entity"))
+    return reports.figure_trajectories(futures, history, caps, "value", chosen, ["low_cap", "high_cap"])
+
+
+@query("figure_distribution", with_sql("futures", WIDE_SQL, THRESHOLD_SQL) + f"""
+, e AS (SELECT entity, min(y2) AS lo, max(y2) AS hi, min(t) AS t FROM lab WHERE y2 IS NOT NULL GROUP BY entity),
+b AS (SELECT lab.entity, lo, hi, e.t, CAST(least(floor(coalesce((y2 - lo) * 30 / nullif(hi - lo, 0), 0)), 29) AS INTEGER) AS bin FROM lab JOIN e ON lab.entity = e.entity WHERE y2 IS NOT NULL)
+SELECT entity, bin, count(*) AS count, {r("any_value(lo + (hi - lo) / 30 * bin)", "bin_start")}, {r("any_value(t)", "reference")} FROM b GROUP BY entity, bin""")
+def figure_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(reports.figure_distribution(labelled(spark, sf), str(END), "vulnerability_threshold"))
+
+
+@query("figure_points_by_class", with_sql(*BASE) + "SELECT entity, future_id, cum_orders__last AS x, max_order__last AS y, label FROM merged WHERE cum_orders__last IS NOT NULL AND max_order__last IS NOT NULL")
+def figure_points_by_class(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.points_by_class(merged(spark, sf), "cum_orders__last", "max_order__last", "vulnerability_indicator")

@@ -21,7 +21,7 @@ RULES = Rulebook.from_spec({
     "default_category": "unconstrained",
     "categories": {"binary": ["has_bulk"], "count": ["n_lines"], "cumulative_count": ["cum_lines"], "non_negative": ["revenue"]},
     "prefix_rules": [{"prefix": "avg_", "category": "bounded_0_1"}, {"prefix": "log_", "category": "log_unbounded"}],
-    "overrides": {"return_share": "bounded_0_1", "has_urgent": "binary", "n_orders": "count", "cum_orders": "cumulative_count", "any_finished": "cumulative_binary"},
+    "overrides": {"return_share": "bounded_0_1", "has_urgent": "binary", "n_orders": "count", "cum_orders": "cumulative_count", "any_finished": "cumulative_binary", "max_order": "non_negative"},
 })
 DRIFT = EnsembleConfig(end_period=END_PERIOD, n_scenarios=SCENARIOS)
 
@@ -70,6 +70,7 @@ def observed_futures(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).cast("double").alias("n_orders"),
         F.max(F.when(F.col("o_orderpriority") == "1-URGENT", 1.0).otherwise(0.0)).alias("has_urgent"),
         F.max(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)).alias("finished"),
+        F.floor(F.max(cents("o_totalprice")) / 100000).cast("double").alias("max_order"),
     )
     named = yearly.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
         F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")
@@ -77,7 +78,7 @@ def observed_futures(spark: SparkSession, sf: str) -> DataFrame:
     future = F.concat_ws("_", F.lit("id"), "n_name", "o_custkey")
     so_far = Window.partitionBy("entity", "future_id").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
     return named.select(
-        F.col("n_name").alias("entity"), future.alias("future_id"), "period", "value", "n_orders", "has_urgent", "finished"
+        F.col("n_name").alias("entity"), future.alias("future_id"), "period", "value", "n_orders", "has_urgent", "max_order", "finished"
     ).withColumns({"cum_orders": F.sum("n_orders").over(so_far), "any_finished": F.max("finished").over(so_far)}).drop("finished")
 
 
@@ -132,7 +133,8 @@ user_days AS (SELECT 'U' || user_id AS entity, CAST(day(ts) AS INTEGER) AS perio
 futures0 AS (SELECT n_name AS entity, 'id_' || n_name || '_' || o_custkey AS future_id, CAST(year(o_orderdate) AS INTEGER) AS period,
     CAST(floor(CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 100000) AS DOUBLE) AS value, CAST(count(*) AS DOUBLE) AS n_orders,
     CAST(max(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS DOUBLE) AS has_urgent,
-    CAST(max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS DOUBLE) AS finished
+    CAST(max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS DOUBLE) AS finished,
+    CAST(floor(CAST(max(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 100000) AS DOUBLE) AS max_order
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3),
 futures AS (SELECT * EXCLUDE (finished), sum(n_orders) OVER w AS cum_orders, max(finished) OVER w AS any_finished
   FROM futures0 WINDOW w AS (PARTITION BY entity, future_id ORDER BY period))""",
