@@ -126,11 +126,12 @@ def group_quantiles(
     """Exact quantiles per group: ``keys, n, <alias> array<double>`` in the order of ``probs``.
 
     Linear interpolation by default; ``discrete`` returns the smallest value whose cumulative share
-    reaches the probability. NULL values are skipped; ``keys`` may be empty.
+    reaches the probability. NULL values are skipped; ``keys`` may be empty. Sizes are counted with the
+    NULLs, so the count reads key columns only.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    sizes = sizes or group_sizes(rows, keys)
+    sizes = sizes or group_sizes(df, keys)
     if sizes.largest <= max_group:
         if discrete:
             items = [F.expr(f"percentile_disc({p!r}) within group (order by _v)") for p in probs]

@@ -16,7 +16,7 @@ def iqr_bounds(
 
     Returns the bounds and the number of entities.
     """
-    rows = df.where((F.col(period) == at) & F.col(value).isNotNull())
+    rows = df.where(F.col(period) == at)
     sizes = group_sizes(rows, [entity])
     q = group_quantiles(rows, [entity], value, (0.25, 0.75), sizes=sizes)
     iqr = F.col("q")[1] - F.col("q")[0]

@@ -63,8 +63,9 @@ def q1_mean(
     entity: str = "entity", period: str = "period",
 ) -> DataFrame:
     """Mean of the values at or below the entity's 25th percentile in one period."""
-    rows = ensemble.where(F.col(period) == at).select(entity, clean_number(value).alias("_x")).where("_x is not null")
-    sizes = group_sizes(rows, [entity])
+    at_period = ensemble.where(F.col(period) == at)
+    sizes = group_sizes(at_period, [entity])
+    rows = at_period.select(entity, clean_number(value).alias("_x")).where("_x is not null")
     cut = group_quantiles(rows, [entity], "_x", [0.25], sizes=sizes).select(entity, F.col("q")[0].alias("_q1"))
     low = F.when(F.col("_x") <= F.col("_q1"), F.col("_x"))
     return join_by_size(rows, cut, [entity], sizes.groups, "inner").groupBy(entity).agg(F.avg(low).alias(alias))

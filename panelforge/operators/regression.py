@@ -20,9 +20,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.scalar import stable_unit
-from panelforge.operators.folds import group_folds
-from panelforge.operators.grouped import group_quantiles, row_index
+from panelforge.operators.grouped import GroupSizes, group_quantiles
 from panelforge.operators.profile import long_format
 
 SCALERS = ("standard", "robust", "minmax")
@@ -62,6 +60,18 @@ class Scaling:
         return [f"_z_{c}" for c in self.features]
 
 
+def _filled_stats(row, fill: float, scaler: str) -> tuple[float, float]:
+    """Center and spread of a column whose missing values are filled, from moments of the known values."""
+    if row is None or not row["n"]:
+        return fill, 0.0
+    if scaler == "minmax":
+        return row["low"], row["high"] - row["low"]
+    n, missing = row["n"], row["rows"] - row["n"]
+    mean = (n * row["mean"] + missing * fill) / row["rows"]
+    squares = n * (row["var"] + (row["mean"] - mean) ** 2) + missing * (fill - mean) ** 2
+    return mean, (squares / row["rows"]) ** 0.5
+
+
 def fit_scaling(df: DataFrame, features: Sequence[str], scaler: str = "standard") -> Scaling:
     """Median fill, then standard (population std), robust (median, IQR) or min-max scaling.
 
@@ -69,19 +79,22 @@ def fit_scaling(df: DataFrame, features: Sequence[str], scaler: str = "standard"
     """
     if scaler not in SCALERS:
         raise ValueError(f"scaler must be one of {SCALERS}")
-    q = group_quantiles(long_format(df, features), ["variable"], "value", (0.25, 0.5, 0.75))
-    known = {r["variable"]: r["q"] for r in q.collect()}
-    fill = {c: known[c][1] if c in known else 0.0 for c in features}
-    filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(fill[c])).alias(c) for c in features])
+    rows = long_format(df, features)
+    moments = {r["variable"]: r for r in rows.groupBy("variable").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"),
+        F.min("value").alias("low"), F.max("value").alias("high"),
+    ).collect()}
+    sizes = GroupSizes(len(features), max((r["rows"] for r in moments.values()), default=0))
+    middle = group_quantiles(rows, ["variable"], "value", (0.5,), sizes=sizes)
+    fill = {c: 0.0 for c in features} | {r["variable"]: r["q"][0] for r in middle.collect()}
     if scaler == "robust":
-        stats = group_quantiles(long_format(filled, features), ["variable"], "value", (0.25, 0.5, 0.75))
-        rows = {r["variable"]: (r["q"][1], r["q"][2] - r["q"][0]) for r in stats.collect()}
+        filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(fill[c])).alias(c) for c in features])
+        quartiles = group_quantiles(long_format(filled, features), ["variable"], "value", (0.25, 0.5, 0.75), sizes=sizes)
+        stats = {r["variable"]: (r["q"][1], r["q"][2] - r["q"][0]) for r in quartiles.collect()}
     else:
-        center, spread = (F.avg, F.stddev_pop) if scaler == "standard" else (F.min, lambda c: F.max(c) - F.min(c))
-        stats = filled.agg(*[f(c).alias(f"{k}_{c}") for c in features for k, f in (("m", center), ("s", spread))]).first()
-        rows = {c: (stats[f"m_{c}"], stats[f"s_{c}"]) for c in features}
+        stats = {c: _filled_stats(moments.get(c), fill[c], scaler) for c in features}
     return Scaling(
-        tuple(features), fill, {c: float(rows[c][0]) for c in features}, {c: float(rows[c][1]) or 1.0 for c in features}
+        tuple(features), fill, {c: float(stats[c][0]) for c in features}, {c: float(stats[c][1]) or 1.0 for c in features}
     )
 
 
@@ -391,7 +404,7 @@ def principal_components(df: DataFrame, features: Sequence[str], variance: float
     scaling = fit_scaling(df, features)
     vectors = VectorAssembler(inputCols=scaling.columns(), outputCol="_x").transform(scaling.stage().transform(df))
     model = SparkPCA(k=len(features), inputCol="_x", outputCol="_pcs").fit(vectors.select("_x"))
-    loadings, explained = model.pc.toArray(), model.explainedVariance.toArray()
+    loadings, explained = model.pc.toArray().copy(), model.explainedVariance.toArray()
     if k is None:
         k = int(np.searchsorted(np.cumsum(explained), variance - 1e-12)) + 1
     k = min(k, len(features))
@@ -453,54 +466,3 @@ def coefficient_table(model: PipelineModel, features: Sequence[str], back_projec
     rows += [(f"{index.getInputCol()}_{g}", float(b), abs(float(b)), "cat") for g, b in zip(levels, groups)]
     rows.sort(key=lambda r: (-r[2], r[0]))
     return SparkSession.active().createDataFrame(rows, "feature string, coef double, abs_coef double, type string")
-
-
-# ---------------------------------------------------------------- usefulness of one feature
-
-def permuted(df: DataFrame, column: str, keys: Sequence[str], seed: int = 0) -> DataFrame:
-    """The frame with one column's values reassigned to other rows at random (each used once)."""
-    base = row_index(df, list(keys), "_i")
-    shuffled = row_index(df.select(*keys, F.col(column).alias("_p")), [stable_unit(*keys, seed), *keys], "_i").select("_i", "_p")
-    return base.drop(column).join(shuffled, "_i").withColumnRenamed("_p", column).select(*df.columns)
-
-
-def feature_usefulness(
-    df: DataFrame, feature: str, target: str, splits: int = 5, ridge_alpha: float = 1.0, permutations: int = 20, boosting: Mapping | None = None,
-    entity: str = "entity", period: str = "period", scaler: str = "standard", seed: int = 0,
-) -> DataFrame:
-    """Does a feature help beyond entity and period? Grouped-CV errors with and without it (ridge and
-    boosted trees), permutation importance and its median within-entity std. ``target`` is in logs.
-    """
-    from panelforge.operators.profile import within_group_std
-
-    folded = group_folds(df, splits, entity)
-    n = folded.count()
-
-    def ridge(train: DataFrame):
-        spread = train.agg(F.stddev_samp(target)).first()[0] or 1.0
-        return elastic_net(target, ridge_alpha / n, 0.0, spread)
-
-    out = {"median_within_group_std": within_group_std(df, [feature], entity).first()["median_within_std"]}
-    sets = {"base": [period], "with_feature": [period, feature]}
-    makers = {"ridge": ridge, "trees": (lambda _: boosted(target, **{"maxDepth": 4, **boosting})) if boosting is not None else None}
-    for model, maker in makers.items():
-        if maker is None:
-            continue
-        for name, features in sets.items():
-            errors = cross_validated_mae(folded, features, target, maker, "group", scaler, entity, entity, period).agg(
-                F.avg("mae_log").alias("log"), F.avg("mae_level").alias("level")
-            ).first()
-            out[f"mae_{name}_{model}"], out[f"mae_{name}_{model}_level"] = errors["log"], errors["level"]
-        for suffix in ("", "_level"):
-            out[f"mae_delta_{model}{suffix}"] = out[f"mae_with_feature_{model}{suffix}"] - out[f"mae_base_{model}{suffix}"]
-    model = fit(df, sets["with_feature"], ridge(df), scaler, entity)
-
-    def r2(frame: DataFrame) -> float:
-        gap = F.col(target) - F.col(PREDICTION)
-        row = model.transform(frame).agg(F.sum(gap * gap).alias("sse"), (F.var_pop(target) * F.count(target)).alias("sst")).first()
-        return 1.0 - row["sse"] / row["sst"]
-
-    base = r2(df)
-    drops = [base - r2(permuted(df, feature, [entity, period], seed + k)) for k in range(permutations)]
-    out["permutation_importance"] = float(np.mean(drops)) if drops else None
-    return df.sparkSession.createDataFrame([(k, v) for k, v in out.items()], "metric string, value double")

@@ -27,7 +27,7 @@ def balancing_threshold(df: DataFrame, value: str, entity: str = "entity", sizes
     at themselves. Falls back to the minimum when no candidate separates the values.
     """
     rows = df.where(F.col(value).isNotNull()).select(entity, F.col(value).cast("double").alias("_v"))
-    sizes = sizes or group_sizes(rows, [entity])
+    sizes = sizes or group_sizes(df, [entity])
     per_value = rows.groupBy(entity, "_v").agg(F.count(F.lit(1)).alias("_c"))
     middle = group_quantiles(rows, [entity], "_v", [0.5], discrete=True, sizes=sizes).select(
         entity, "n", F.col("q")[0].alias("_m")
@@ -63,7 +63,7 @@ def label_futures(
     first, last = str(start), str(end)
     if not auto_threshold:
         return wide.withColumn("vulnerability_indicator", indicator(F.col(last) > F.col(first)))
-    sizes = group_sizes(wide, [entity])
+    sizes = group_sizes(ensemble.where(F.col(period) == end), [entity])
     threshold = balancing_threshold(wide, last, entity, sizes)
     return join_by_size(wide, threshold, [entity], sizes.groups).withColumn(
         "vulnerability_indicator", indicator(F.col(last) > F.col("vulnerability_threshold"))

@@ -9,6 +9,7 @@ from panelforge.operators import boxes, drivers, reports, trajectory, vulnerabil
 from panelforge.plans.discovery import DiscoveryConfig, DiscoveryResult, batch_reports, discover, features_of, merge_futures, search_boxes
 from panelforge.plans.inputs import RULES, income_groups, nation_caps, observed_futures, table, with_sql
 from panelforge.plans.registry import query, r, rounded
+from panelforge.session import reliable_checkpoint
 
 START, END = 1996, 2000
 DRIVERS = ["n_orders", "has_urgent", "cum_orders", "any_finished", "max_order"]
@@ -149,7 +150,7 @@ def quantile_sql(sorted_list: str, n: str, p: str) -> str:
 @query("box_stats", with_sql(*BASE) + f"""
 , lists AS (SELECT entity, list(max_order__last ORDER BY max_order__last) FILTER (WHERE max_order__last IS NOT NULL) AS a, list(cum_orders__last ORDER BY cum_orders__last) FILTER (WHERE cum_orders__last IS NOT NULL) AS b FROM merged GROUP BY entity),
 cut AS (SELECT entity, {quantile_sql("a", "len(a)", "0.4::DOUBLE")} AS ca, {quantile_sql("b", "len(b)", "0.7::DOUBLE")} AS cb FROM lists)
-SELECT m.entity, any_value(ca) AS max_order__last__cutoff, any_value(cb) AS cum_orders__last__cutoff,
+SELECT m.entity, {r("any_value(ca)", "max_order__last__cutoff")}, {r("any_value(cb)", "cum_orders__last__cutoff")},
   {r("sum(CASE WHEN max_order__last > ca AND cum_orders__last <= cb AND label = 1 THEN 1 ELSE 0 END) / nullif(CAST(sum(label) AS DOUBLE), 0)", "coverage")},
   {r("sum(CASE WHEN max_order__last > ca AND cum_orders__last <= cb AND label = 1 THEN 1 ELSE 0 END) / nullif(CAST(sum(CASE WHEN max_order__last > ca AND cum_orders__last <= cb THEN 1 ELSE 0 END) AS DOUBLE), 0)", "density")}
 FROM merged m JOIN cut ON m.entity = cut.entity GROUP BY m.entity""")
@@ -180,11 +181,13 @@ SELECT_SQL = PARETO_SQL + """,
 tier AS (SELECT *, CASE """ + " ".join(f"WHEN density >= {t} AND coverage >= 0.6 THEN {i}" for i, t in enumerate(TIERS)) + """
   WHEN density >= 0.6 THEN 6 WHEN coverage >= 0.6 THEN 7 ELSE 8 END AS tier FROM par),
 sel AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY tier, CASE WHEN tier = 7 THEN density ELSE coverage END DESC, CASE WHEN tier = 7 THEN coverage ELSE density END DESC, l0, l1) = 1 AS chosen FROM tier)"""
-BOX_OUT = f"n, n1, total1, {r('coverage', 'coverage')}, {r('density', 'density')}, '{A}' AS driver_0, quantile_0, cutoff_0, cmp_0, '{B}' AS driver_1, quantile_1, cutoff_1, cmp_1"
+BOX_OUT = f"""n, n1, total1, {r("coverage", "coverage")}, {r("density", "density")}, '{A}' AS driver_0, quantile_0, {r("cutoff_0", "cutoff_0")}, cmp_0,
+  '{B}' AS driver_1, quantile_1, {r("cutoff_1", "cutoff_1")}, cmp_1"""
 
 
 def box_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return boxes.long_drivers(merged(spark, sf), [A, B])
+    """Box input, written once because sizes, cutoffs and cells all read it."""
+    return reliable_checkpoint(boxes.long_drivers(merged(spark, sf), [A, B]))
 
 
 @query("box_grid", with_sql(*BASE, GRID_SQL) + f"SELECT entity, CAST(l0 AS INTEGER) AS l0, CAST(l1 AS INTEGER) AS l1, n, n1, total1, {r('coverage', 'coverage')}, {r('density', 'density')} FROM box")
@@ -232,7 +235,7 @@ imp AS (SELECT entity, feature, gain, coalesce(gain / nullif(sum(gain) OVER (PAR
 
 @query("driver_gini", with_sql(*BASE, GINI_SQL) + f"SELECT entity, feature, {r('gain', 'gain')}, {r('importance', 'importance')} FROM imp")
 def driver_gini(spark: SparkSession, sf: str) -> DataFrame:
-    frame = merged(spark, sf)
+    frame = reliable_checkpoint(merged(spark, sf))
     return rounded(drivers.driver_gini(frame, features_of(frame)))
 
 
@@ -248,7 +251,7 @@ def top_drivers(spark: SparkSession, sf: str) -> DataFrame:
 
 def ranked(spark: SparkSession, sf: str) -> DataFrame:
     """Importances rounded, so that equal gains stay ties in every engine."""
-    frame = merged(spark, sf)
+    frame = reliable_checkpoint(merged(spark, sf))
     return drivers.driver_gini(frame, features_of(frame)).withColumn("importance", F.round("importance", 9))
 
 
@@ -258,7 +261,7 @@ def run_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "driver"))), lambda x: x["driver"]), "|").alias("selected_top_features")
     )
     failed = F.substring_index("entity", "_", -1).cast("int") % 9 == 5
-    return top.withColumn("status", F.when(failed, "error").otherwise("success"))
+    return reliable_checkpoint(top.withColumn("status", F.when(failed, "error").otherwise("success")))
 
 
 RUN_SQL = TOP_SQL + """,

@@ -11,6 +11,7 @@ from panelforge.operators.ensemble import EnsembleConfig, generate_ensemble, tre
 from panelforge.operators.profile import long_format
 from panelforge.operators.rules import category_column
 from panelforge.plans.inputs import (
+    CONSTRAINED,
     DRIFT,
     END_PERIOD,
     RULES,
@@ -128,9 +129,6 @@ def ensemble_seam_features(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(generate_ensemble(supplier_panel(spark, sf), SEAM, ["revenue"]))
 
 
-CONSTRAINED = replace(DRIFT, rules=RULES)
-
-
 @query("rules_clip_round", with_sql("panel", *[simulated_sql(v) for v in ("revenue", "n_lines", "avg_discount", "return_share")]) + f"""
 SELECT entity, future_id, period, {r("greatest(revenue, 0)", "revenue")}, {r("greatest(round_even(n_lines, 0), 0)", "n_lines")},
   {r("least(greatest(avg_discount, 0), 1)", "avg_discount")}, {r("least(greatest(return_share, 0), 1)", "return_share")}

@@ -1 +1,273 @@
-"""Queries."""
+"""Folds, regression models and what is read off them."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelforge.operators import calibrate, drivers, folds, outliers, regression, smooth, usefulness
+from panelforge.operators.ensemble import generate_ensemble
+from panelforge.operators.panel import rolling_features
+from panelforge.plans.discovery import features_of
+from panelforge.plans.discovery_queries import merged
+from panelforge.plans.ensemble_queries import simulated_sql, unit
+from panelforge.plans.inputs import CONSTRAINED, END_PERIOD, supplier_panel, table, user_days, with_sql
+from panelforge.plans.registry import query, r, rounded
+from panelforge.session import reliable_checkpoint
+
+FEATURES = ["n_lines", "avg_discount", "return_share", "has_bulk", "net_margin"]
+TARGET = "log_revenue"
+HOLDOUT = 5
+# A fixed linear model, so that evaluation can be checked against SQL.
+COEFFICIENTS = {"n_lines": 0.035, "avg_discount": -0.4, "return_share": 0.05, "has_bulk": 0.06, "net_margin": 0.001}
+INTERCEPT = 5.7
+MODEL_SQL = f"{INTERCEPT}::DOUBLE" + "".join(f" + {b}::DOUBLE * {c}" for c, b in COEFFICIENTS.items())
+
+
+def training(spark: SparkSession, sf: str) -> DataFrame:
+    """Supplier panel with the log target."""
+    return supplier_panel(spark, sf).withColumn(TARGET, F.log1p("revenue"))
+
+
+def linear(df: DataFrame) -> DataFrame:
+    return df.withColumn(regression.PREDICTION, regression.linear_prediction(COEFFICIENTS, INTERCEPT))
+
+
+# ------------------------------------------------------------ folds and splits
+
+@query("time_folds", with_sql("panel") + """
+, i AS (SELECT entity, period, row_number() OVER (ORDER BY period, entity) - 1 AS i, count(*) OVER () AS n FROM panel)
+SELECT entity, period, CAST(CASE WHEN i < n - 5 * (n // 6) THEN -1 ELSE (i - (n - 5 * (n // 6))) // (n // 6) END AS INTEGER) AS fold FROM i""")
+def time_folds(spark: SparkSession, sf: str) -> DataFrame:
+    return folds.time_folds(supplier_panel(spark, sf).select("entity", "period"), 5)
+
+
+@query("group_folds", with_sql("user_days").replace("WITH ", "WITH RECURSIVE ", 1) + """
+, ents AS (SELECT entity, size, row_number() OVER (ORDER BY size DESC, entity) AS rn FROM (SELECT entity, count(*) AS size FROM user_days GROUP BY entity)),
+deal(rn, loads, fold) AS (SELECT 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[], -1::BIGINT UNION ALL
+  SELECT e.rn, list_transform(loads, lambda x, k: CASE WHEN k = list_position(loads, list_min(loads)) THEN x + e.size ELSE x END), list_position(loads, list_min(loads)) - 1 FROM deal d JOIN ents e ON e.rn = d.rn + 1)
+SELECT u.entity, u.period, CAST(fold AS INTEGER) AS fold FROM user_days u JOIN ents e ON u.entity = e.entity JOIN deal ON deal.rn = e.rn""")
+def group_folds(spark: SparkSession, sf: str) -> DataFrame:
+    return folds.group_folds(user_days(spark, sf).select("entity", "period"), 5)
+
+
+def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
+    labels = table(spark, sf, "labels", ["doc_id", "quality"])
+    documents = table(spark, sf, "documents", ["doc_id", "lang", "n_chars"])
+    return labels.join(documents, "doc_id").withColumnRenamed("lang", "entity").withColumn("score", (F.col("n_chars") % 100).cast("double") / 100.0)
+
+
+@query("stratified_split", f"""
+WITH d AS (SELECT doc_id, quality, lang AS entity, {unit("lang", "CAST(doc_id AS VARCHAR)", "'quality'", "'42'")} AS u FROM labels JOIN documents USING (doc_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY entity, quality ORDER BY u) AS rn, count(*) OVER (PARTITION BY entity, quality) AS n FROM d)
+SELECT doc_id, quality, entity, rn <= ceil(n / 5.0) AS is_test FROM k""")
+def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
+    return drivers.stratified_split(labelled_documents(spark, sf).select("doc_id", "quality", "entity"), "quality", "doc_id")
+
+
+@query("classification_metrics", f"""
+WITH d AS (SELECT lang AS entity, quality = 1 AS y, (n_chars % 100)::DOUBLE / 100.0::DOUBLE AS s FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT entity, count(*) AS n_rows, count(*) FILTER (WHERE y AND s >= 0.5) AS tp, count(*) FILTER (WHERE NOT y AND s >= 0.5) AS fp, count(*) FILTER (WHERE NOT y AND s < 0.5) AS tn, count(*) FILTER (WHERE y AND s < 0.5) AS fn FROM d GROUP BY entity),
+a AS (SELECT p.entity, avg(CASE WHEN p.s > q.s THEN 1.0 WHEN p.s = q.s THEN 0.5 ELSE 0 END) AS roc_auc FROM d p JOIN d q ON p.entity = q.entity AND p.y AND NOT q.y GROUP BY p.entity)
+SELECT c.entity, n_rows, tp, fp, tn, fn, {r("roc_auc", "roc_auc")}, {r("(tp + tn) / n_rows", "accuracy")},
+  {r("CASE WHEN tp + fn = 0 THEN tn / (tn + fp) WHEN tn + fp = 0 THEN tp / (tp + fn) ELSE (tp / (tp + fn) + tn / (tn + fp)) / 2 END", "balanced_accuracy")},
+  {r("coalesce(tp / nullif(tp + fp, 0), 0)", "precision")}, {r("coalesce(tp / nullif(tp + fn, 0), 0)", "recall")}, {r("coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)", "f1")},
+  {r("greatest(tp + fn, tn + fp) / n_rows", "baseline_accuracy")} FROM c LEFT JOIN a ON c.entity = a.entity""")
+def classification_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(drivers.classification_metrics(labelled_documents(spark, sf), "quality", "score"))
+
+
+# ------------------------------------------------------------ evaluation of a given model
+
+SCORED_SQL = f"""
+scored AS (SELECT *, ln(1 + revenue) AS y, {MODEL_SQL} AS p, period <= (SELECT max(period) FROM panel) - {HOLDOUT} AS is_train FROM panel)"""
+ERRORS = f"""{r("avg(abs(y - p))", "mae_log")}, {r("sqrt(avg((y - p) * (y - p)))", "rmse_log")}, {r("avg(abs(exp(y) - exp(p)))", "mae_level")}"""
+
+
+@query("holdout_eval", with_sql("panel", SCORED_SQL) + f"SELECT CASE WHEN is_train THEN 'train' ELSE 'test' END AS split, count(*) AS n_obs, {ERRORS} FROM scored GROUP BY 1")
+def holdout_eval(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = folds.time_holdout(training(spark, sf), HOLDOUT)
+    return rounded(regression.holdout_errors(linear(train), linear(test), TARGET))
+
+
+@query("median_baseline", with_sql("panel", SCORED_SQL.replace(f"{MODEL_SQL} AS p", f"(SELECT quantile_cont(ln(1 + revenue), 0.5) FROM panel WHERE period <= (SELECT max(period) FROM panel) - {HOLDOUT}) AS p")) + f"""
+SELECT CASE WHEN is_train THEN 'train' ELSE 'test' END AS split, count(*) AS n_obs, {ERRORS} FROM scored GROUP BY 1""")
+def median_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = folds.time_holdout(training(spark, sf), HOLDOUT)
+    guess = partial(regression.median_baseline, train, target=TARGET)
+    return rounded(regression.holdout_errors(guess(train), guess(test), TARGET))
+
+
+@query("per_entity_errors", with_sql("panel", SCORED_SQL) + f"SELECT entity, count(*) AS n_obs, {ERRORS} FROM scored WHERE NOT is_train GROUP BY 1 HAVING count(*) >= 5")
+def per_entity_errors(spark: SparkSession, sf: str) -> DataFrame:
+    _, test = folds.time_holdout(training(spark, sf), HOLDOUT)
+    return rounded(regression.errors_by_entity(linear(test), TARGET))
+
+
+@query("worst_entities", with_sql("panel", SCORED_SQL) + f"""
+, e AS (SELECT entity, count(*) AS n_obs, {ERRORS} FROM scored WHERE NOT is_train GROUP BY 1 HAVING count(*) >= 5) SELECT * FROM e ORDER BY mae_log DESC, entity LIMIT 10""")
+def worst_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return regression.extreme_entities(per_entity_errors(spark, sf), "mae_log", 10, worst=True)
+
+
+EFFECT_SQL = f"""
+eff AS (SELECT entity, period, p - p0 AS delta_log, exp(p) - exp(p0) AS delta_level FROM (SELECT *, {MODEL_SQL.replace("* has_bulk", "* 0.0").replace("* net_margin", "* 0.0")} AS p0 FROM scored) WHERE NOT is_train)"""
+
+
+@query("counterfactual_effect", with_sql("panel", SCORED_SQL, EFFECT_SQL) + f"SELECT entity, period, {r('delta_log', 'delta_log')}, {r('delta_level', 'delta_level')} FROM eff")
+def counterfactual_effect(spark: SparkSession, sf: str) -> DataFrame:
+    _, test = folds.time_holdout(training(spark, sf), HOLDOUT)
+    return rounded(regression.counterfactual(test, ["has_bulk", "net_margin"], linear))
+
+
+@query("effect_by_entity", with_sql("panel", SCORED_SQL, EFFECT_SQL) + f"""
+SELECT entity, {r("avg(delta_log)", "mean_delta_log")}, {r("avg(delta_level)", "mean_delta_level")}, count(*) AS n_obs, {r("quantile_cont(delta_level, 0.5)", "median_delta_level")} FROM eff GROUP BY entity""")
+def effect_by_entity(spark: SparkSession, sf: str) -> DataFrame:
+    _, test = folds.time_holdout(training(spark, sf), HOLDOUT)
+    return rounded(regression.effect_by_entity(regression.counterfactual(test, ["has_bulk", "net_margin"], linear)))
+
+
+# ------------------------------------------------------------ scoring and post-processing an ensemble
+
+DRIVERS = ["n_lines", "avg_discount", "return_share"]
+SCORE = {"n_lines": 0.035, "avg_discount": -0.4, "return_share": 0.05}
+SCORE_SQL = "5.7::DOUBLE" + "".join(f" + {b}::DOUBLE * {c}" for c, b in SCORE.items())
+
+
+def scored_ensemble(spark: SparkSession, sf: str) -> DataFrame:
+    paths = generate_ensemble(supplier_panel(spark, sf), CONSTRAINED, DRIVERS)
+    log_level = regression.linear_prediction(SCORE, 5.7)
+    return paths.select("entity", "future_id", "period", log_level.alias("log_level")).withColumn("level", F.expm1("log_level"))
+
+
+POST_SQL = f"""
+con AS (SELECT entity, future_id, period, greatest(round_even(n_lines, 0), 0) AS n_lines, least(greatest(avg_discount, 0), 1) AS avg_discount, least(greatest(return_share, 0), 1) AS return_share
+  FROM sim_n_lines JOIN sim_avg_discount USING (entity, future_id, period) JOIN sim_return_share USING (entity, future_id, period)),
+sc AS (SELECT entity, future_id, period, {SCORE_SQL} AS log_level FROM con),
+cal AS (SELECT sc.entity, future_id, sc.period, p.revenue + (exp(log_level) - 1 - max(CASE WHEN sc.period = 27 THEN exp(log_level) - 1 END) OVER (PARTITION BY sc.entity, future_id)) AS level
+  FROM sc LEFT JOIN panel p ON sc.entity = p.entity AND p.period = 27),
+cpos AS (SELECT *, row_number() OVER (PARTITION BY entity, future_id ORDER BY period) AS pos, count(level) OVER (PARTITION BY entity, future_id) AS n FROM cal),
+tr AS (SELECT a.entity, a.future_id, a.period, sum(w.w * b.level) AS trend FROM cpos a JOIN cpos b ON a.entity = b.entity AND a.future_id = b.future_id JOIN w ON w.n = a.n AND w.i = a.pos AND w.j = b.pos GROUP BY 1, 2, 3),
+q AS (SELECT entity, quantile_cont(trend, 0.25) AS q1, quantile_cont(trend, 0.75) AS q3, count(trend) AS n FROM tr WHERE period = {END_PERIOD} GROUP BY entity),
+bad AS (SELECT future_id FROM tr JOIN q USING (entity) WHERE period = {END_PERIOD} AND n >= 5 AND q3 > q1 AND (trend < q1 - 1.5 * (q3 - q1) OR trend > q3 + 1.5 * (q3 - q1)))"""
+
+
+@query("score_ensemble", with_sql("panel", *[simulated_sql(v) for v in DRIVERS], POST_SQL.split("cal AS")[0].rstrip().rstrip(",")) + f"""
+SELECT entity, future_id, period, {r("log_level", "log_level")}, {r("exp(log_level) - 1", "level")} FROM sc""")
+def score_ensemble(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(scored_ensemble(spark, sf))
+
+
+def weights() -> str:
+    from panelforge.plans.panel_queries import weight_rows
+
+    return weight_rows(100.0, range(9, 11))
+
+
+@query("postprocess_ensemble", with_sql("panel", *[simulated_sql(v) for v in DRIVERS], weights(), POST_SQL) + f"""
+SELECT entity, future_id, period, {r("trend", "level_hp_trend", 4)} FROM tr WHERE future_id NOT IN (SELECT future_id FROM bad)""")
+def postprocess_ensemble(spark: SparkSession, sf: str) -> DataFrame:
+    """Score, calibrate to the last observed quarter, smooth, drop outlier futures."""
+    observed = supplier_panel(spark, sf).select("entity", "period", F.col("revenue").alias("level"))
+    calibrated = calibrate.calibrate(scored_ensemble(spark, sf).drop("log_level"), observed, 27, ["level"], method="additive")
+    trend = smooth.hp_filter(calibrated, ["level"], ["entity", "future_id"], keep="filtered_only")
+    return rounded(outliers.remove_outlier_series(reliable_checkpoint(trend), END_PERIOD, "level_hp_trend"), 4)
+
+
+# ------------------------------------------------------------ fitted models (checked by property tests)
+
+def with_trends(spark: SparkSession, sf: str) -> DataFrame:
+    """Training table with trend features, incomplete rows dropped; written once for the many fits."""
+    trends = rolling_features(
+        training(spark, sf), {"trend_3": {"source": TARGET, "window": 3, "min_periods": 2, "shift": 1}},
+        {"volatility_5": {"source": TARGET, "window": 5, "min_periods": 3, "shift": 1}},
+    )
+    return reliable_checkpoint(trends.select("entity", "period", TARGET, *FEATURES, "trend_3", "volatility_5").na.drop())
+
+
+ALL = [*FEATURES, "trend_3", "volatility_5"]
+NET = {"n_alphas": 40, "eps": 1e-4}
+FOREST = {"numTrees": 20, "maxDepth": 6}
+BOOST = {"maxIter": 10, "maxDepth": 4}
+
+
+def search_inputs(spark: SparkSession, sf: str):
+    train, test = folds.time_holdout(with_trends(spark, sf), HOLDOUT)
+    folded = folds.time_folds(train, 5)
+    scaling = regression.fit_scaling(train, ALL)
+    return folded, test, scaling, regression.cross_products(folded, scaling, TARGET, "fold")
+
+
+@query("enet_fit")
+def enet_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Penalty from the one-pass search, coefficients from the Spark ML fit with group effects."""
+    folded, _, _, products = search_inputs(spark, sf)
+    best = regression.elastic_net_search(products, [0.01], **NET)[0]
+    spread = folded.agg(F.stddev_samp(TARGET)).first()[0]
+    model = regression.fit(folded, ALL, regression.elastic_net(TARGET, best["alpha"], 0.01, spread), group="entity")
+    return regression.coefficient_table(model, ALL).withColumn("alpha", F.lit(best["alpha"]))
+
+
+@query("enet_l1_sweep")
+def enet_l1_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    _, test, scaling, products = search_inputs(spark, sf)
+    return regression.l1_ratio_sweep(products, scaling, test, TARGET, [0.01, 0.1, 0.5, 0.9], **NET)
+
+
+@query("ablation")
+def ablation(spark: SparkSession, sf: str) -> DataFrame:
+    _, test, scaling, products = search_inputs(spark, sf)
+    return regression.feature_ablation(products, scaling, test, TARGET, 0.01, **NET)
+
+
+@query("rf_fit")
+def rf_fit(spark: SparkSession, sf: str) -> DataFrame:
+    train, _ = folds.time_holdout(with_trends(spark, sf), HOLDOUT)
+    return regression.feature_importances(regression.fit(train, ALL, regression.forest(TARGET, **FOREST)), ALL)
+
+
+@query("gbt_fit")
+def gbt_fit(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = folds.time_holdout(with_trends(spark, sf), HOLDOUT)
+    model = regression.fit(train, ALL, regression.boosted(TARGET, **BOOST), "robust")
+    return regression.holdout_errors(regression.predictions(train, model), regression.predictions(test, model), TARGET)
+
+
+@query("cv_errors")
+def cv_errors(spark: SparkSession, sf: str) -> DataFrame:
+    frame = with_trends(spark, sf)
+    by_time, by_group = folds.time_folds(frame, 3), folds.group_folds(frame, 3)
+    make = lambda _: regression.forest(TARGET, numTrees=5, maxDepth=4)
+    out = regression.cross_validated_mae(by_time, ALL, TARGET, make, "time").withColumn("kind", F.lit("time"))
+    return out.unionByName(regression.cross_validated_mae(by_group, ALL, TARGET, None, "group").withColumn("kind", F.lit("group_median")))
+
+
+@query("pca_loadings")
+def pca_loadings(spark: SparkSession, sf: str) -> DataFrame:
+    loadings, _ = regression.principal_components(with_trends(spark, sf), ALL)
+    return regression.top_loadings(loadings, 5)
+
+
+@query("pca_variance")
+def pca_variance(spark: SparkSession, sf: str) -> DataFrame:
+    return regression.principal_components(with_trends(spark, sf), ALL)[1]
+
+
+@query("pca_ablation")
+def pca_ablation(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = folds.time_holdout(with_trends(spark, sf), HOLDOUT)
+    spread = train.agg(F.stddev_samp(TARGET)).first()[0]
+    return regression.component_ablation(train, test, ALL, TARGET, lambda _: regression.elastic_net(TARGET, 0.001, 0.01, spread), 3)
+
+
+@query("feature_usefulness")
+def feature_usefulness(spark: SparkSession, sf: str) -> DataFrame:
+    return usefulness.feature_usefulness(with_trends(spark, sf), "n_lines", TARGET, splits=5, boosting={"maxIter": 3, "maxDepth": 3})
+
+
+@query("forest_importance")
+def forest_importance(spark: SparkSession, sf: str) -> DataFrame:
+    frame = reliable_checkpoint(merged(spark, sf))
+    return drivers.forest_importance(frame, [c for c in features_of(frame) if c.endswith("__last")], trees=20, max_depth=6)

@@ -119,17 +119,17 @@ hp AS (SELECT a.entity, a.period, any_value(a.amount) AS amount, sum(w.w * b.amo
 
 
 @query("hp_trend", with_sql("user_days", weight_rows(100.0, range(24, 31)), HP_DAYS) + f"""
-SELECT entity, period, {r("trend", "amount_hp_trend")} FROM smooth LEFT JOIN hp USING (entity, period)""")
+SELECT entity, period, {r("trend", "amount_hp_trend", 4)} FROM smooth LEFT JOIN hp USING (entity, period)""")
 def hp_trend(spark: SparkSession, sf: str) -> DataFrame:
     out = smooth.hp_filter(panel.complete_periods(user_days(spark, sf)), ["amount"])
-    return rounded(out.select("entity", "period", "amount_hp_trend"))
+    return rounded(out.select("entity", "period", "amount_hp_trend"), 4)
 
 
 @query("hp_cycle", with_sql("user_days", weight_rows(100.0, range(24, 31)), HP_DAYS) + f"""
-SELECT entity, period, {r("hp.amount - trend", "amount")} FROM smooth LEFT JOIN hp USING (entity, period)""")
+SELECT entity, period, {r("hp.amount - trend", "amount", 4)} FROM smooth LEFT JOIN hp USING (entity, period)""")
 def hp_cycle(spark: SparkSession, sf: str) -> DataFrame:
     out = smooth.hp_filter(panel.complete_periods(user_days(spark, sf)), ["amount"], which="cycle", keep="replace")
-    return rounded(out.select("entity", "period", "amount"))
+    return rounded(out.select("entity", "period", "amount"), 4)
 
 
 BASE_YEAR = 1996
