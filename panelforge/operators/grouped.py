@@ -171,12 +171,13 @@ def running_totals(
     binned = df.withColumn("_b", F.size(F.filter(values, lambda s: s < F.col(order))))
     within = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = binned.groupBy(*keys, "_b").agg(*[F.sum(m).alias(f"_s_{o}") for o, m in measures.items()])
-    offsets = offsets.select(
-        *keys, "_b", *[F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in measures]
-    )
-    joined = join_by_size(binned, offsets, [*keys, "_b"], sizes.groups * (len(splits) + 1))
-    out = joined.withColumns({o: F.col(f"_o_{o}") + F.sum(m).over(within) for o, m in measures.items()})
+    totals = binned.groupBy(*keys, "_b").agg(*[F.sum(m).alias(f"_s_{o}") for o, m in measures.items()])
+    offsets = totals.select(*keys, "_b", *[F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_s_{o}") for o in measures])
+    per_group = offsets.groupBy(*keys).agg(*[
+        F.map_from_entries(F.collect_list(F.struct("_b", f"_s_{o}"))).alias(f"_o_{o}") for o in measures
+    ])
+    joined = join_by_size(binned, per_group, keys, sizes.groups)
+    out = joined.withColumns({o: F.col(f"_o_{o}")[F.col("_b")] + F.sum(m).over(within) for o, m in measures.items()})
     return out.drop("_b", *[f"_o_{o}" for o in measures])
 
 

@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf: str, name: str, columns: list[str]) -> DataFr
 
 
 def cents(c: str):
-    return F.round(F.col(c) * 100).cast("bigint")
+    return F.rint(F.col(c) * 100).cast("bigint")
 
 
 def supplier_panel(spark: SparkSession, sf: str) -> DataFrame:

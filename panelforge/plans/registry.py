@@ -26,9 +26,17 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column, so that summation order does not show; -0.0 becomes 0.0."""
+    """Round every double column half away from zero, so that summation order does not show.
+
+    Plain double arithmetic instead of ``round``, which goes through decimals row by row. -0.0 becomes 0.0.
+    """
+    unit = F.lit(10.0 ** digits)
+
     def one(f: T.StructField) -> Column:
-        return (F.round(F.col(f"`{f.name}`"), digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
+        c = F.col(f"`{f.name}`")
+        if not isinstance(f.dataType, T.DoubleType):
+            return c
+        return (F.signum(c) * F.floor(F.abs(c) * unit + 0.5) / unit + F.lit(0.0)).alias(f.name)
 
     return df.select(*[one(f) for f in df.schema])
 
