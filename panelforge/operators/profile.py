@@ -160,11 +160,21 @@ def within_group_std(df: DataFrame, columns: Sequence[str], entity: str = "entit
     )
 
 
+def variance_inflation(matrix: np.ndarray) -> np.ndarray:
+    """``1 / (1 - R2)`` of each column on the others, from their correlations; infinite when redundant."""
+    factors = []
+    for i in range(len(matrix)):
+        others = np.delete(np.arange(len(matrix)), i)
+        unexplained = 1.0 - matrix[i, others] @ np.linalg.pinv(matrix[np.ix_(others, others)], rcond=1e-10) @ matrix[others, i]
+        factors.append(1.0 / unexplained if unexplained > 1e-10 else np.inf)
+    return np.array(factors)
+
+
 def vif_elimination(df: DataFrame, columns: Sequence[str], threshold: float = 5.0) -> DataFrame:
     """Drop the column with the largest variance inflation factor until all are <= threshold.
 
-    One pass gives the k x k correlation matrix; the factors are the diagonal of its inverse, so every
-    further step works on that small matrix only. Result: one row per column with the step it was
+    One pass gives the k x k correlation matrix; the factors follow from it, so every further step works
+    on that small matrix only. Result: one row per column with the step it was
     dropped at (NULL when kept) and its factor at that point.
     """
     keep = list(columns)
@@ -173,7 +183,7 @@ def vif_elimination(df: DataFrame, columns: Sequence[str], threshold: float = 5.
     report, step = [], 0
     while True:
         pos = [columns.index(c) for c in keep]
-        factors = np.diag(np.linalg.pinv(matrix[np.ix_(pos, pos)]))
+        factors = variance_inflation(matrix[np.ix_(pos, pos)])
         worst = int(np.argmax(factors))
         if len(keep) < 2 or factors[worst] <= threshold:
             break
