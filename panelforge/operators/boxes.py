@@ -65,62 +65,80 @@ def box_stats(
     )
 
 
-def entity_drivers(
+def box_input(
+    df: DataFrame, drivers: Sequence[str], label: str = "vulnerability_indicator", entity: str = "entity", future: str = "future_id",
+) -> DataFrame:
+    """One row per complete future: ``entity, future, label, drivers, values`` (same drivers for everyone)."""
+    complete = df.na.drop(how="any", subset=[*drivers, label])
+    return complete.select(
+        entity, future, F.col(label).cast("int").alias("label"), F.array(*[F.lit(d) for d in drivers]).alias("drivers"),
+        F.array(*[F.col(d).cast("double") for d in drivers]).alias("values"),
+    )
+
+
+def entity_box_input(
     df: DataFrame, chosen: DataFrame, label: str = "vulnerability_indicator", suffix: str = "__last",
     entity: str = "entity", future: str = "future_id",
 ) -> DataFrame:
-    """Long layout of :func:`long_drivers` with each entity's own drivers.
+    """As :func:`box_input` with each entity's own drivers.
 
     ``chosen`` has one row per entity with its ``drivers`` array; values are the ``<driver><suffix>`` columns.
     """
     names = [c.removesuffix(suffix) for c in df.columns if c.endswith(suffix)]
     values = F.create_map(*[x for n in names for x in (F.lit(n), F.col(f"{n}{suffix}").cast("double"))])
     rows = df.where(F.col(label).isNotNull()).join(chosen.select(entity, "drivers"), entity).select(
-        entity, future, F.col(label).cast("int").alias("label"),
-        F.transform(F.col("drivers"), lambda d, i: F.struct(i.alias("slot"), d.alias("driver"), values[d].alias("value"))).alias("_items"),
+        entity, future, F.col(label).cast("int").alias("label"), "drivers",
+        F.transform("drivers", lambda d: values[d]).alias("values"),
     )
-    complete = rows.where(~F.exists("_items", lambda x: x["value"].isNull()))
-    return complete.select(entity, future, "label", F.inline("_items"))
+    return rows.where(~F.exists("values", lambda x: x.isNull()))
 
 
-def long_drivers(df: DataFrame, drivers: Sequence[str], label: str = "vulnerability_indicator", entity: str = "entity", future: str = "future_id") -> DataFrame:
-    """Same drivers for every entity, as ``entity, future, label, slot, driver, value``; complete rows only."""
-    complete = df.na.drop(how="any", subset=[*drivers, label])
-    items = F.array(*[
-        F.struct(F.lit(i).alias("slot"), F.lit(d).alias("driver"), F.col(d).cast("double").alias("value"))
-        for i, d in enumerate(drivers)
-    ])
-    return complete.select(entity, future, F.col(label).cast("int").alias("label"), F.inline(items))
+def cutoffs(rows: DataFrame, probs: Sequence[float], entity: str = "entity") -> tuple[DataFrame, int]:
+    """Per entity the array ``sides`` of ``(driver, cmp, cuts)`` in driver order; also the number of entities."""
+    sizes = group_sizes(rows, [entity])
+    tall = rows.select(entity, "label", F.inline(F.transform(F.arrays_zip("drivers", "values"), lambda x, i: F.struct(
+        i.alias("slot"), x["drivers"].alias("driver"), x["values"].alias("value")
+    ))))
+    keys = [entity, "slot"]
+    q = group_quantiles(tall, keys, "value", probs, alias="cuts", sizes=sizes)
+    cmps = tall.groupBy(*keys).agg(F.first("driver").alias("driver"), comparator("value", "label").alias("cmp"))
+    sides = cmps.join(q, keys).groupBy(entity).agg(
+        F.array_sort(F.collect_list(F.struct("slot", "driver", "cmp", "cuts"))).alias("sides")
+    )
+    return sides, sizes.groups
 
 
 def grid_search(
-    rows: DataFrame, drivers: int, quantile_levels: Sequence[float] | None = None,
-    entity: str = "entity", future: str = "future_id",
+    rows: DataFrame, drivers: int, quantile_levels: Sequence[float] | None = None, sides: tuple[DataFrame, int] | None = None,
+    entity: str = "entity",
 ) -> DataFrame:
     """Every non-empty box of every entity with its counts.
 
-    ``rows`` is the long layout of :func:`long_drivers` (the driver of a slot may differ by entity).
-    Entities with fewer drivers leave the last slots out (level -1). Result per box: entity, level index per slot ``l0..``, box size ``n``, vulnerable ``n1``, entity total
+    ``rows`` is the layout of :func:`box_input`, with at most ``drivers`` drivers per entity; ``sides`` takes
+    the result of :func:`cutoffs` if it is at hand. Futures stay where they are: they meet their entity's
+    cutoffs, become a cell and are counted map-side. Entities with fewer drivers leave the last slots out
+    (level -1). Result per box: entity, level index per slot ``l0..``, size ``n``, vulnerable ``n1``, entity total
     ``total1``, coverage and density.
     """
     if drivers > MAX_DRIVERS:
         raise ValueError(f"the grid grows as levels ^ drivers; use at most {MAX_DRIVERS} drivers")
     probs = list(quantile_levels or levels())
     slots = [f"l{i}" for i in range(drivers)]
-    cut, groups = cutoffs(rows, probs, entity)
-    count_below = F.expr("size(filter(cuts, c -> c < value))")
-    count_upto = F.expr("size(filter(cuts, c -> c <= value))")
-    # Cell = position in the order of growing boxes: a row lies in the box of level i iff cell <= i.
-    cell = (
-        F.when(F.col("cmp") == "<", count_upto).when(F.col("cmp") == "<=", count_below)
-        .otherwise(F.lit(len(probs)) - count_below)
-    )
-    placed = join_by_size(rows, cut, [entity, "slot"], groups, "inner").select(entity, future, "label", "slot", cell.alias("cell"))
-    cells = placed.groupBy(entity, future).agg(
-        F.max("label").alias("label"),
-        *[F.coalesce(F.max(F.when(F.col("slot") == i, F.col("cell"))), F.lit(-1)).alias(s) for i, s in enumerate(slots)],
+    cut, groups = sides or cutoffs(rows, probs, entity)
+
+    def cell(i: int) -> Column:
+        """Position in the order of growing boxes: a row lies in the box of level k iff cell <= k."""
+        value, cmp = f"get(`values`, {i})", f"get(sides, {i}).cmp"
+        below = f"size(filter(get(sides, {i}).cuts, c -> c < {value}))"
+        upto = f"size(filter(get(sides, {i}).cuts, c -> c <= {value}))"
+        return F.expr(
+            f"case when {value} is null then -1 when {cmp} = '<' then {upto} when {cmp} = '<=' then {below} else {len(probs)} - {below} end"
+        )
+
+    placed = join_by_size(rows, cut, [entity], groups, "inner", row_bytes=drivers * (8 * len(probs) + 64))
+    counts = placed.select(entity, "label", *[cell(i).alias(s) for i, s in enumerate(slots)]).groupBy(entity, *slots).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1")
     )
-    counts = cells.groupBy(entity, *slots).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1"))
     totals = counts.groupBy(entity).agg(F.sum("n1").alias("total1"), F.sum("n").alias("total"))
     usable = totals.where((F.col("total1") > 0) & (F.col("total1") < F.col("total"))).select(entity, "total1")
     boxes = counts
@@ -134,14 +152,6 @@ def grid_search(
     return out.withColumns({"coverage": F.col("n1") / F.col("total1"), "density": F.col("n1") / F.col("n")})
 
 
-def cutoffs(rows: DataFrame, probs: Sequence[float], entity: str = "entity") -> tuple[DataFrame, int]:
-    """Per entity and slot: driver, comparator and the quantile values; also the number of groups."""
-    sizes = group_sizes(rows, [entity, "slot"])
-    q = group_quantiles(rows, [entity, "slot"], "value", probs, alias="cuts", sizes=sizes).drop("n")
-    sides = rows.groupBy(entity, "slot").agg(F.first("driver").alias("driver"), comparator("value", "label").alias("cmp"))
-    return sides.join(q, [entity, "slot"]), sizes.groups
-
-
 def pareto(boxes: DataFrame, drivers: int, entity: str = "entity") -> DataFrame:
     """Boxes not dominated in (coverage, density); equal pairs are represented by their lowest levels.
 
@@ -195,37 +205,28 @@ def select_best(
     }).drop("_step", "_tier", "_first", "_second")
 
 
-def with_cutoffs(results: DataFrame, cut: DataFrame, probs: Sequence[float], drivers: int, entity: str = "entity") -> DataFrame:
+def with_cutoffs(results: DataFrame, sides: DataFrame, probs: Sequence[float], drivers: int, entity: str = "entity") -> DataFrame:
     """Replace level indices by driver name, quantile level, cutoff value and comparator per slot."""
     last = len(probs) - 1
-    per_entity = cut.groupBy(entity).agg(
-        *[F.max(F.when(F.col("slot") == i, F.struct("driver", "cmp", "cuts"))).alias(f"_c{i}") for i in range(drivers)]
-    )
-    out = results.join(per_entity, entity)
+    out = results.join(sides, entity)
     grid = F.array(*[F.lit(p) for p in probs])
     cols = {}
     for i in range(drivers):
-        c = F.col(f"_c{i}")
+        side = F.get("sides", F.lit(i))
         level = F.when(F.col(f"l{i}") >= 0, F.col(f"l{i}"))
-        position = F.when(c["cmp"].isin(">", ">="), F.lit(last) - level).otherwise(level)
-        cols[f"driver_{i}"] = c["driver"]
+        position = F.when(side["cmp"].isin(">", ">="), F.lit(last) - level).otherwise(level)
+        cols[f"driver_{i}"] = side["driver"]
         cols[f"quantile_{i}"] = F.get(grid, position)
-        cols[f"cutoff_{i}"] = F.get(c["cuts"], position)
-        cols[f"cmp_{i}"] = c["cmp"]
-    return out.withColumns(cols).drop(*[f"_c{i}" for i in range(drivers)], *[f"l{i}" for i in range(drivers)])
+        cols[f"cutoff_{i}"] = F.get(side["cuts"], position)
+        cols[f"cmp_{i}"] = side["cmp"]
+    return out.withColumns(cols).drop("sides", *[f"l{i}" for i in range(drivers)])
 
 
 def membership(rows: DataFrame, selected: DataFrame, drivers: int, entity: str = "entity", future: str = "future_id") -> DataFrame:
-    """Futures with a flag per slot and for the whole selected box of their entity."""
-    items = F.array(*[
-        F.struct(F.lit(i).alias("slot"), F.col(f"cutoff_{i}").alias("cutoff"), F.col(f"cmp_{i}").alias("cmp")) for i in range(drivers)
-    ])
-    conditions = selected.where("selected_solution").select(entity, F.inline(items))
-    tested = rows.join(conditions, [entity, "slot"]).withColumn(
-        "inside", satisfies(F.col("value"), F.col("cmp"), F.col("cutoff"))
-    )
-    return tested.groupBy(entity, future).agg(
-        F.max("label").alias("label"),
-        *[F.max(F.when(F.col("slot") == i, F.col("value"))).alias(f"value_{i}") for i in range(drivers)],
-        F.bool_and("inside").alias("in_box"),
+    """Futures with their driver values and whether they lie in the selected box of their entity."""
+    best = selected.where("selected_solution").select(entity, *[f"{c}_{i}" for i in range(drivers) for c in ("cutoff", "cmp")])
+    values = [F.get("values", F.lit(i)) for i in range(drivers)]
+    tests = [F.col(f"cutoff_{i}").isNull() | satisfies(values[i], F.col(f"cmp_{i}"), F.col(f"cutoff_{i}")) for i in range(drivers)]
+    return rows.join(best, entity).select(
+        entity, future, "label", *[v.alias(f"value_{i}") for i, v in enumerate(values)], reduce(lambda a, b: a & b, tests).alias("in_box")
     )

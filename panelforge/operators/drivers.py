@@ -36,14 +36,14 @@ def driver_gini(
         *[F.percentile_approx(F.col(f).cast("double"), probs, SKETCH_ACCURACY).alias(f"_q_{f}") for f in features],
     )
     usable = sketch.where("_n1 > 0 and _n0 > 0")
-    groups = group_sizes(rows, [entity]).groups
+    groups = group_sizes(df, [entity]).groups
     bin_of = [
         F.struct(F.lit(f).alias("feature"), F.expr(
             f"size(filter(_q_{f}, c -> c < coalesce(cast(`{f}` as double), _q_{f}[{bins // 2 - 1}])))"
         ).alias("bin"), F.col(f"_q_{f}").isNull().alias("empty"))
         for f in features
     ]
-    tall = join_by_size(rows, usable, [entity], groups, "inner").select(
+    tall = join_by_size(rows, usable, [entity], groups, "inner", row_bytes=8 * bins * len(features) + 64).select(
         entity, "_n0", "_n1", F.col(label).alias("_y"), F.inline(F.array(*bin_of))
     ).where(~F.col("empty"))
     counted = tall.groupBy(entity, "feature", "bin").agg(

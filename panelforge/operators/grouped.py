@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from panelforge.session import reliable_checkpoint
 
 MAX_GROUP_ROWS = 1_000_000
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 SPLITS = 128
 SKETCH_ACCURACY = 10_000
 
@@ -38,17 +38,35 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> GroupSizes:
     return GroupSizes(int(row["groups"]), int(row["largest"] or 0))
 
 
-def join_by_size(df: DataFrame, dimension: DataFrame, on: Sequence[str], rows: int, how: str = "left") -> DataFrame:
-    """Join a one-row-per-key dimension whose row count is known: broadcast when small.
+def join_by_size(
+    df: DataFrame, dimension: DataFrame, on: Sequence[str], rows: int, how: str = "left", row_bytes: int = 128,
+) -> DataFrame:
+    """Join a one-row-per-key dimension whose row count (and row width) is known: broadcast when small.
 
-    A larger dimension is joined by shuffle, where adaptive execution splits skewed keys.
+    Beyond ``BROADCAST_BYTES`` both sides are shuffled. Keys with more rows than one task should take are
+    then split: they get several salts, and their one dimension row is repeated for each salt.
     """
-    return df.join(F.broadcast(dimension) if rows <= BROADCAST_ROWS else dimension, list(on), how)
+    if rows * row_bytes <= BROADCAST_BYTES:
+        return df.join(F.broadcast(dimension), list(on), how)
+    return _salted_join(df, dimension, list(on), how)
+
+
+def _salted_join(df: DataFrame, dimension: DataFrame, on: list[str], how: str, max_group: int | None = None) -> DataFrame:
+    limit = max_group or MAX_GROUP_ROWS
+    # Never more than (rows of df) / limit keys.
+    hot = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(
+        *on, F.ceil(F.col("_n") / limit).cast("int").alias("_salts")
+    )
+    salts = F.coalesce("_salts", F.lit(1))
+    left = df.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*df.columns), salts).cast("int")).drop("_salts")
+    right = dimension.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def lookup_join(df: DataFrame, dimension: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+def lookup_join(df: DataFrame, dimension: DataFrame, on: Sequence[str], how: str = "left", row_bytes: int = 128) -> DataFrame:
     """Join a reference table after counting it (the count stops at the broadcast bound)."""
-    return join_by_size(df, dimension, on, dimension.limit(BROADCAST_ROWS + 1).count(), how)
+    bound = BROADCAST_BYTES // row_bytes
+    return join_by_size(df, dimension, on, dimension.limit(bound + 1).count(), how, row_bytes)
 
 
 def _interpolate(p: float) -> Column:
@@ -83,7 +101,7 @@ def _select_ranks(rows: DataFrame, keys: list[str], groups: int, ranks: Column)
     sketch = rows.groupBy(*keys).agg(
         F.percentile_approx("_v", probs, SKETCH_ACCURACY).alias("_splits"), F.count("_v").alias("n")
     )
-    binned = join_by_size(rows, sketch, keys, groups, "inner").select(
+    binned = join_by_size(rows, sketch, keys, groups, "inner", row_bytes=8 * SPLITS + 64).select(
         *keys, "_v", "n", F.expr("size(filter(_splits, s -> s < _v))").alias("_b")
     )
     in_order = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -176,7 +194,7 @@ def running_totals(
     per_group = offsets.groupBy(*keys).agg(*[
         F.map_from_entries(F.collect_list(F.struct("_b", f"_s_{o}"))).alias(f"_o_{o}") for o in measures
     ])
-    joined = join_by_size(binned, per_group, keys, sizes.groups)
+    joined = join_by_size(binned, per_group, keys, sizes.groups, row_bytes=16 * len(measures) * SPLITS + 64)
     out = joined.withColumns({o: F.col(f"_o_{o}")[F.col("_b")] + F.sum(m).over(within) for o, m in measures.items()})
     return out.drop("_b", *[f"_o_{o}" for o in measures])
 

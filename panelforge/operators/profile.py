@@ -47,14 +47,22 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def zeros_and_variance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Share of zeros (a NULL is not zero), sample variance and binary / all-zero flags per column."""
+    """Share of zeros (a NULL is not zero), sample variance and binary / all-zero flags per column.
+
+    A column is binary when its values are its two extremes only; testing that takes a second pass but no
+    shuffle of distinct values.
+    """
     rows = long_format(df, columns)
-    return rows.groupBy("variable").agg(
+    ends = rows.groupBy("variable").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    extreme = (F.col("value") == F.col("_lo")) | (F.col("value") == F.col("_hi"))
+    out = rows.join(F.broadcast(ends), "variable").groupBy("variable", "_lo", "_hi").agg(
         share(F.col("value") == 0).alias("zero_share"),
         F.var_samp("value").alias("variance"),
-        (F.count_distinct("value") == 2).alias("is_binary"),
+        F.bool_and(extreme).alias("_two"),
         F.bool_and(F.coalesce(F.col("value") == 0, F.lit(False))).alias("is_all_zero"),
     )
+    binary = F.coalesce(F.col("_two") & (F.col("_lo") < F.col("_hi")), F.lit(False))
+    return out.select("variable", "zero_share", "variance", binary.alias("is_binary"), "is_all_zero")
 
 
 def skew_profile(df: DataFrame, columns: Sequence[str], threshold: float = 1.0) -> DataFrame:

@@ -70,10 +70,10 @@ def choose_drivers(importance: DataFrame, config: DiscoveryConfig) -> DataFrame:
 
 def search_boxes(box_input: DataFrame, slots: int, config: DiscoveryConfig) -> DataFrame:
     """Non-dominated boxes with cutoffs, the best one marked."""
-    grid = boxes.grid_search(box_input, slots, config.quantile_levels)
+    sides = boxes.cutoffs(box_input, config.quantile_levels)
+    grid = boxes.grid_search(box_input, slots, config.quantile_levels, sides)
     best = boxes.select_best(boxes.pareto(grid, slots), slots, min_density=config.min_density, min_coverage=config.min_coverage)
-    cut, _ = boxes.cutoffs(box_input, config.quantile_levels)
-    return boxes.with_cutoffs(best, cut, config.quantile_levels, slots)
+    return boxes.with_cutoffs(best, sides[0], config.quantile_levels, slots)
 
 
 def discover(
@@ -91,7 +91,7 @@ def discover(
     merged = stage(merge_futures(projected, ensemble, config, caps))
     importance = drivers.driver_gini(merged, features_of(merged))
     chosen = stage(choose_drivers(importance, config))
-    box_input = boxes.entity_drivers(merged, chosen)
+    box_input = boxes.entity_box_input(merged, chosen)
     slots = config.top_k + len(config.extra_features)
     pareto = stage(search_boxes(box_input, slots, config))
     summary = run_summary(merged, chosen, pareto, config, requested if requested is not None else projected.select("entity").distinct())

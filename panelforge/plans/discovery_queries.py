@@ -187,7 +187,7 @@ BOX_OUT = f"""n, n1, total1, {r("coverage", "coverage")}, {r("density", "density
 
 def box_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Box input, written once because sizes, cutoffs and cells all read it."""
-    return reliable_checkpoint(boxes.long_drivers(merged(spark, sf), [A, B]))
+    return reliable_checkpoint(boxes.box_input(merged(spark, sf), [A, B]))
 
 
 @query("box_grid", with_sql(*BASE, GRID_SQL) + f"SELECT entity, CAST(l0 AS INTEGER) AS l0, CAST(l1 AS INTEGER) AS l1, n, n1, total1, {r('coverage', 'coverage')}, {r('density', 'density')} FROM box")
@@ -198,8 +198,8 @@ def box_grid(spark: SparkSession, sf: str) -> DataFrame:
 @query("box_pareto", with_sql(*BASE, PARETO_SQL) + f"SELECT entity, {BOX_OUT} FROM par")
 def box_pareto(spark: SparkSession, sf: str) -> DataFrame:
     rows = box_rows(spark, sf)
-    cut, _ = boxes.cutoffs(rows, LEVELS)
-    return rounded(boxes.with_cutoffs(boxes.pareto(boxes.grid_search(rows, 2), 2), cut, LEVELS, 2))
+    sides = boxes.cutoffs(rows, LEVELS)
+    return rounded(boxes.with_cutoffs(boxes.pareto(boxes.grid_search(rows, 2, LEVELS, sides), 2), sides[0], LEVELS, 2))
 
 
 @query("box_selected", with_sql(*BASE, SELECT_SQL) + f"""SELECT entity, {BOX_OUT}, chosen AS selected_solution,

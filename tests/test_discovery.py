@@ -81,7 +81,7 @@ def brute_boxes(pdf, levels):
 
 def test_grid_equals_brute_force_and_skyline_is_not_dominated(labelled):
     levels = [0.1, 0.25, 0.5, 0.75, 0.9]
-    grid = boxes.grid_search(boxes.long_drivers(labelled, ["a", "b"]), 2, levels)
+    grid = boxes.grid_search(boxes.box_input(labelled, ["a", "b"]), 2, levels)
     got, pdf = grid.toPandas(), labelled.toPandas()
     assert set(got.entity) == {"E1", "E2"}
     front = boxes.pareto(grid, 2).toPandas()
@@ -96,12 +96,12 @@ def test_grid_equals_brute_force_and_skyline_is_not_dominated(labelled):
 
 def test_three_drivers_and_single_driver(labelled):
     three = labelled.withColumn("c", labelled.a - labelled.b)
-    one = boxes.grid_search(boxes.long_drivers(three, ["a"]), 1, [0.25, 0.75]).where("entity = 'E1'").toPandas()
+    one = boxes.grid_search(boxes.box_input(three, ["a"]), 1, [0.25, 0.75]).where("entity = 'E1'").toPandas()
     assert 1 <= len(one) <= 2
-    cube = boxes.grid_search(boxes.long_drivers(three, ["a", "b", "c"]), 3, [0.2, 0.8])
+    cube = boxes.grid_search(boxes.box_input(three, ["a", "b", "c"]), 3, [0.2, 0.8])
     assert cube.where("entity = 'E1'").count() <= 8
     with pytest.raises(ValueError):
-        boxes.grid_search(boxes.long_drivers(three, ["a", "b", "c", "a"]), 4)
+        boxes.grid_search(boxes.box_input(three, ["a", "b", "c", "a"]), 4)
 
 
 @pytest.mark.parametrize("points, chosen, threshold", [

@@ -59,13 +59,13 @@ def test_keep_first_uses_the_given_order(spark):
     assert {(r["k"], r["x"]) for r in grouped.keep_first(df, ["k"], ["o"]).collect()} == {("a", "early"), ("b", None)}
 
 
-def test_joins_by_size_agree(skewed, spark, monkeypatch):
-    dim = spark.createDataFrame([("hot", 1), ("tied", 2)], "k string, d int")
-    small = grouped.lookup_join(skewed, dim, ["k"])
-    monkeypatch.setattr(grouped, "BROADCAST_ROWS", 1)
-    large = grouped.lookup_join(skewed, dim, ["k"])
-    assert "Broadcast" in small._jdf.queryExecution().analyzed().toString() or small.count() == large.count()
-    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_salted_join_equals_broadcast_join(skewed, spark, monkeypatch, how):
+    dim = spark.createDataFrame([("hot", 1), ("tied", 2), ("unused", 3)], "k string, d int")
+    want = sorted(map(str, grouped.lookup_join(skewed, dim, ["k"], how).collect()))
+    monkeypatch.setattr(grouped, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(grouped, "MAX_GROUP_ROWS", 300)
+    assert sorted(map(str, grouped.lookup_join(skewed, dim, ["k"], how).collect())) == want
 
 
 def test_results_do_not_depend_on_partitioning(spark, skewed):
