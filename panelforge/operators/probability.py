@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,7 @@ from panelforge.operators.grouped import (
     keep_first,
     lookup_join,
 )
+from panelforge.session import reliable_checkpoint
 
 
 def caps_from_base(
@@ -72,12 +73,18 @@ def q1_mean(
 
 
 def probability_table(
-    ensemble: DataFrame, caps: DataFrame, at: int, value: str, cap_columns: Sequence[str], **names
+    ensemble: DataFrame, caps: DataFrame, at: int, value: str, cap_columns: Sequence[str],
+    stage: Callable[[DataFrame], DataFrame] = reliable_checkpoint,
+    entity: str = "entity", future: str = "future_id", period: str = "period",
 ) -> DataFrame:
-    """Shares, caps and lower-quartile mean side by side, one row per evaluated entity."""
-    entity = names.get("entity", "entity")
-    shares = cap_share(ensemble, caps, at, value, cap_columns, **names)
-    low = q1_mean(ensemble, at, value, entity=entity, period=names.get("period", "period"))
+    """Shares, caps and lower-quartile mean side by side, one row per evaluated entity.
+
+    Shares, quartiles and means all read the target period only, so that slice is written once by
+    ``stage``; pass ``lambda df: df`` when the ensemble is a stored table already.
+    """
+    slice_ = stage(ensemble.where(F.col(period) == at).select(entity, future, period, value))
+    shares = cap_share(slice_, caps, at, value, cap_columns, entity=entity, future=future, period=period)
+    low = q1_mean(slice_, at, value, entity=entity, period=period)
     return shares.join(caps, entity, "left").join(low, entity, "left")
 
 

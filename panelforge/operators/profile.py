@@ -6,9 +6,10 @@ number of columns; the unpivot happens before the map-side combine and is never
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
@@ -91,15 +92,39 @@ def correlation_by_entity(df: DataFrame, x: str, y: str, entity: str = "entity",
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All pairwise correlations (pairwise complete rows) from one aggregate over the data."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    wide = df.agg(*[pearson(a, b).alias(f"_c{k}") for k, (a, b) in enumerate(pairs)])
-    cells = [
-        F.struct(F.lit(left).alias("row_var"), F.lit(right).alias("col_var"), F.col(f"_c{k}").alias("correlation"))
-        for k, (a, b) in enumerate(pairs)
-        for left, right in ({(a, b), (b, a)})
-    ]
-    return wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    """All pairwise correlations over pairwise complete rows, in one pass after the column means.
+
+    Every task reduces its Arrow batches to five k x k matrices of sums, so the plan does not grow with
+    the number of pairs. NULL for a column that is constant over the pair's rows.
+    """
+    columns = list(columns)
+    k = len(columns)
+    doubles = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    means = doubles.agg(*[F.coalesce(F.avg(f"c{i}"), F.lit(0.0)).alias(f"c{i}") for i in range(k)]).first()
+    centered = doubles.select(*[(F.col(f"c{i}") - F.lit(means[i])).alias(f"c{i}") for i in range(k)])
+
+    def reduce_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((5, k, k))
+        for batch in batches:
+            values = batch.to_numpy(float)
+            known = np.isfinite(values)
+            x, m = np.where(known, values, 0.0), known.astype(float)
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, x.T @ x])
+        yield pd.DataFrame({"m": [total.ravel()]})
+
+    sums = centered.mapInPandas(reduce_batches, "m array<double>").select(F.posexplode("m").alias("i", "v"))
+    sums = sums.groupBy((F.col("i") % (k * k)).alias("pair")).agg(
+        *[F.sum(F.when(F.floor(F.col("i") / (k * k)) == j, F.col("v"))).alias(n) for j, n in enumerate(["n", "sx", "sy", "sxx", "sxy"])]
+    ).withColumns({"row": F.floor(F.col("pair") / k).cast("int"), "col": (F.col("pair") % k).cast("int")})
+    other = sums.select(F.col("row").alias("col"), F.col("col").alias("row"), F.col("sxx").alias("syy"))
+    joined = sums.join(other, ["row", "col"])
+    var_x, var_y = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    varies = (F.col("n") > 1) & (var_x > 1e-12 * F.col("sxx")) & (var_y > 1e-12 * F.col("syy"))
+    value = F.when(varies, (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(var_x * var_y))
+    names = F.array(*[F.lit(c) for c in columns])
+    return joined.where("n > 0").select(
+        F.get(names, F.col("row")).alias("row_var"), F.get(names, F.col("col")).alias("col_var"), value.alias("correlation")
+    )
 
 
 def outlier_share(df: DataFrame, columns: Sequence[str], threshold: float = 3.0) -> DataFrame:

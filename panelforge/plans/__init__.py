@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("profile_queries", "panel_queries", "ensemble_queries", "probability_queries", "discovery_queries", "model_queries")
+MODULES = ("source_queries", "profile_queries", "panel_queries", "ensemble_queries", "probability_queries", "discovery_queries", "model_queries")
 
 
 def all_queries() -> None:

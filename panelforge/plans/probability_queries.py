@@ -21,6 +21,7 @@ from panelforge.plans.inputs import (
     with_sql,
 )
 from panelforge.plans.registry import query, r, rounded
+from panelforge.session import reliable_checkpoint
 
 CAPS = ["unconditional", "conditional"]
 CAPS_SQL = f"""
@@ -76,7 +77,8 @@ def cap_share_repeated_caps(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q1_mean", with_sql("panel", SIM, LOW_SQL) + f"SELECT entity, {r('q1_mean', 'q1_mean')} FROM low")
 def q1_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(probability.q1_mean(simulated(spark, sf), END_PERIOD, "revenue"))
+    target = reliable_checkpoint(simulated(spark, sf).where(F.col("period") == END_PERIOD))
+    return rounded(probability.q1_mean(target, END_PERIOD, "revenue"))
 
 
 @query("probability_table", with_sql("panel", "cap_reference", SIM, CAPS_SQL, SHARE_SQL, LOW_SQL) + f"""
@@ -107,7 +109,7 @@ e AS (SELECT variable, min(value) AS lo, max(value) AS hi FROM long GROUP BY var
 b AS (SELECT variable, lo, hi, CAST(least(floor(coalesce((value - lo) * 40 / nullif(hi - lo, 0), 0)), 39) AS INTEGER) AS bin FROM long JOIN e USING (variable) WHERE value IS NOT NULL)
 SELECT variable, bin, {r("lo + (hi - lo) / 40 * bin", "bin_start")}, {r("lo + (hi - lo) / 40 * (bin + 1)", "bin_end")}, count(*) AS count FROM b GROUP BY variable, lo, hi, bin""")
 def probability_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(histogram(shares(spark, sf), ["meets_unconditional", "meets_conditional"], 40))
+    return rounded(histogram(reliable_checkpoint(shares(spark, sf)), ["meets_unconditional", "meets_conditional"], 40))
 
 
 @query("caps_upper_key_join", with_sql("futures", "nation_caps") + """

@@ -22,20 +22,25 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and continue from the written files.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder.
 
     The folder named by ``spark.checkpoint.dir`` (or set on the context) is used as it is. Only a local
     session without one gets a temporary folder; a cluster session without a shared folder is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured:
             context.setCheckpointDir(configured)
         elif context.master.startswith("local"):
             context.setCheckpointDir(tempfile.mkdtemp(prefix="panelforge-checkpoint-"))
         else:
             raise ValueError("set spark.checkpoint.dir to a shared folder before running this operator")
+    return context.getCheckpointDir()
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and continue from the written files."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()

@@ -171,3 +171,16 @@ def test_forest_cv_and_importances(frame):
     errors = regression.cross_validated_mae(folds.group_folds(frame, 2), ["a"], "y", None, "group")
     assert errors.count() == 2 and errors.where("mae_log > 0").count() == 2
     assert regression.score(frame, model, "log_y", "level").where("abs(level - expm1(log_y)) > 1e-9").count() == 0
+
+
+def test_correlation_matrix_equals_pandas(spark, frame):
+    wide = frame.withColumns({"gap": F.when(F.col("period") % 3 > 0, F.col("a") * 1e6 + F.col("c")), "flat": F.lit(2.0)})
+    names = ["a", "b", "c", "gap", "flat"]
+    got = {(r["row_var"], r["col_var"]): r["correlation"] for r in profile.correlation_matrix(wide, names).collect()}
+    want = wide.select(*names).toPandas().astype(float).corr()
+    for x in names:
+        for y in names:
+            if "flat" in (x, y):
+                assert got[(x, y)] is None
+            else:
+                assert got[(x, y)] == pytest.approx(want.loc[x, y], abs=1e-9)
