@@ -7,7 +7,6 @@ would count as "greater than the cap" where it must count as "unknown".
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -109,8 +108,3 @@ def slugify(label: str) -> str:
     """Label -> column name: lower case, runs of other characters become one underscore."""
     return re.sub(r"[^0-9a-z]+", "_", label.strip().lower()).strip("_")
 
-
-def count_at_most(values: Sequence[float], c: Column | str) -> Column:
-    """Number of entries of a short fixed sorted list that are <= the column."""
-    x = col(c)
-    return F.size(F.filter(F.array(*[F.lit(float(v)) for v in values]), lambda v: v <= x))

@@ -51,11 +51,6 @@ def drop_all_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.drop(*[c for c in columns if counts[c] == 0])
 
 
-def deduplicate(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Keep the first row per key by an explicit order."""
-    return keep_first(df, keys, order)
-
-
 def select_entities(df: DataFrame, requested: Sequence[str] | None, entity: str = "entity") -> DataFrame:
     """Rows of the requested entities, matched without regard to case; None keeps all.
 

@@ -16,17 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.aggregates import pearson, sample_skewness, share
+from panelforge.operators.cleaning import numeric_columns
 from panelforge.operators.grouped import group_quantiles, group_sizes, join_by_size
 
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def long_format(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = (), name: str = "variable") -> DataFrame:
+def long_format(df: DataFrame, columns: Sequence[str] | None = None, ids: Sequence[str] = (), name: str = "variable") -> DataFrame:
+    """``ids, variable, value`` for the given columns, by default all numeric ones."""
+    columns = columns if columns is not None else numeric_columns(df, ids)
     doubles = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns])
     return doubles.unpivot(list(ids), list(columns), name, "value")
 
 
-def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, mean, sample std, min, quartiles and max per column."""
     rows = long_format(df, columns)
     moments = rows.groupBy("variable").agg(
@@ -47,7 +50,7 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def zeros_and_variance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def zeros_and_variance(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Share of zeros (a NULL is not zero), sample variance and binary / all-zero flags per column.
 
     A column is binary when its values are its two extremes only; testing that takes a second pass but no
@@ -66,7 +69,7 @@ def zeros_and_variance(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.select("variable", "zero_share", "variance", binary.alias("is_binary"), "is_all_zero")
 
 
-def skew_profile(df: DataFrame, columns: Sequence[str], threshold: float = 1.0) -> DataFrame:
+def skew_profile(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 1.0) -> DataFrame:
     """Bias-corrected skewness per column with a flag for ``abs(skew) >= threshold``."""
     rows = long_format(df, columns)
     out = rows.groupBy("variable").agg(
@@ -91,13 +94,13 @@ def correlation_by_entity(df: DataFrame, x: str, y: str, entity: str = "entity",
     return out if wanted is None else wanted.select(entity).distinct().join(out, entity, "left")
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """All pairwise correlations over pairwise complete rows, in one pass after the column means.
 
     Every task reduces its Arrow batches to five k x k matrices of sums, so the plan does not grow with
     the number of pairs. NULL for a column that is constant over the pair's rows.
     """
-    columns = list(columns)
+    columns = list(columns) if columns is not None else numeric_columns(df)
     k = len(columns)
     doubles = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     means = doubles.agg(*[F.coalesce(F.avg(f"c{i}"), F.lit(0.0)).alias(f"c{i}") for i in range(k)]).first()
@@ -127,7 +130,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def outlier_share(df: DataFrame, columns: Sequence[str], threshold: float = 3.0) -> DataFrame:
+def outlier_share(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 3.0) -> DataFrame:
     """Percent of rows with ``abs(z) > threshold`` (population std) per column, only columns above zero."""
     rows = long_format(df, columns)
     stats = rows.groupBy("variable").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
@@ -169,7 +172,7 @@ def category_percentages(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFrame:
+def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 30) -> DataFrame:
     """Equal-width bins between the column's extremes; the maximum falls into the last bin."""
     rows = long_format(df, columns).where("value is not null")
     ends = rows.groupBy("variable").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.operators.cleaning import numeric_columns
 from panelforge.operators.panel import interpolate
 
 
@@ -75,7 +76,7 @@ def hp_trend(values: Column | str, penalty: float = 100.0) -> Column:
 
 def hp_filter(
     df: DataFrame,
-    columns: Sequence[str],
+    columns: Sequence[str] | None = None,
     keys: Sequence[str] = ("entity",),
     period: str = "period",
     penalty: float = 100.0,
@@ -95,7 +96,8 @@ def hp_filter(
         raise ValueError("which must be 'trend' or 'cycle'")
     if keep not in ("both", "filtered_only", "replace"):
         raise ValueError("keep must be 'both', 'filtered_only' or 'replace'")
-    columns, keys = list(columns), list(keys)
+    keys = list(keys)
+    columns = list(columns) if columns is not None else numeric_columns(df, [*keys, period])
     work = [f"_y_{c}" for c in columns]
     base = df.withColumns({y: F.col(c).cast("double") for y, c in zip(work, columns)})
     if interpolate_missing:
