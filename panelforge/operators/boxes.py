@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.aggregates import pearson
-from panelforge.operators.grouped import group_quantiles, group_sizes, join_by_size
+from panelforge.operators.grouped import group_quantiles, group_sizes, join_by_size, lookup_join
 
 MAX_DRIVERS = 3
 
@@ -86,7 +86,7 @@ def entity_box_input(
     """
     names = [c.removesuffix(suffix) for c in df.columns if c.endswith(suffix)]
     values = F.create_map(*[x for n in names for x in (F.lit(n), F.col(f"{n}{suffix}").cast("double"))])
-    rows = df.where(F.col(label).isNotNull()).join(chosen.select(entity, "drivers"), entity).select(
+    rows = lookup_join(df.where(F.col(label).isNotNull()), chosen.select(entity, "drivers"), [entity], "inner").select(
         entity, future, F.col(label).cast("int").alias("label"), "drivers",
         F.transform("drivers", lambda d: values[d]).alias("values"),
     )
@@ -227,6 +227,6 @@ def membership(rows: DataFrame, selected: DataFrame, drivers: int, entity: str =
     best = selected.where("selected_solution").select(entity, *[f"{c}_{i}" for i in range(drivers) for c in ("cutoff", "cmp")])
     values = [F.get("values", F.lit(i)) for i in range(drivers)]
     tests = [F.col(f"cutoff_{i}").isNull() | satisfies(values[i], F.col(f"cmp_{i}"), F.col(f"cutoff_{i}")) for i in range(drivers)]
-    return rows.join(best, entity).select(
+    return lookup_join(rows, best, [entity], "inner").select(
         entity, future, "label", *[v.alias(f"value_{i}") for i, v in enumerate(values)], reduce(lambda a, b: a & b, tests).alias("in_box")
     )

@@ -19,16 +19,32 @@ def time_holdout(df: DataFrame, holdout: int, period: str = "period") -> tuple[D
 def time_folds(df: DataFrame, splits: int, entity: str = "entity", period: str = "period") -> DataFrame:
     """Add ``fold``: rows in (period, entity) order are cut into equal test blocks 0..splits-1.
 
-    Block i is tested on a model trained on everything before it; earlier rows get fold -1.
+    Block i is tested on a model trained on everything before it; earlier rows get fold -1. Only the keys
+    at which blocks begin are looked up: counts per period tell the periods they lie in, and just those
+    periods are sorted by entity. The rows themselves are compared with these keys, not moved.
     """
-    indexed = row_index(df, [period, entity], "_i")
-    n = indexed.count()
+    per_period = [(r[period], r["n"]) for r in df.groupBy(period).agg(F.count(F.lit(1)).alias("n")).orderBy(period).collect()]
+    n = sum(c for _, c in per_period)
     block = n // (splits + 1)
     if block < 1:
         raise ValueError(f"{n} rows are too few for {splits} time folds")
-    start = n - splits * block
-    fold = F.floor((F.col("_i") - start) / block)
-    return indexed.withColumn("fold", F.when(F.col("_i") < start, -1).otherwise(fold).cast("int")).drop("_i")
+    begins = [n - (splits - j) * block for j in range(splits)]
+    wanted, before, sorted_rows = [], 0, 0
+    for p, count in per_period:
+        inside = [b - before for b in begins if before <= b < before + count]
+        if inside:
+            wanted += [(p, sorted_rows + offset) for offset in inside]
+            sorted_rows += count
+        before += count
+    keys = df.where(F.col(period).isin(*{p for p, _ in wanted})).select(period, entity)
+    positions = [i for _, i in wanted]
+    found = {r["_i"]: r for r in row_index(keys, [period, entity], "_i").where(F.col("_i").isin(*positions)).collect()}
+    fold = F.lit(-1)
+    for i in positions:
+        p, e = F.lit(found[i][period]), F.lit(found[i][entity])
+        reached = (F.col(period) > p) | ((F.col(period) == p) & (F.col(entity) >= e))
+        fold = fold + reached.cast("int")
+    return df.withColumn("fold", fold)
 
 
 def _deal(histogram: list[tuple[int, int]], folds: int) -> list[tuple[int, int, list[int], list[int]]]:

@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from panelforge.session import reliable_checkpoint
 
-MAX_GROUP_ROWS = 1_000_000
+MAX_GROUP_ROWS = 250_000
+SALTED_ROWS = 2_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 SPLITS = 128
+STRIDE = 16
 SKETCH_ACCURACY = 10_000
 
 
@@ -51,11 +53,10 @@ def join_by_size(
     return _salted_join(df, dimension, list(on), how)
 
 
-def _salted_join(df: DataFrame, dimension: DataFrame, on: list[str], how: str, max_group: int | None = None) -> DataFrame:
-    limit = max_group or MAX_GROUP_ROWS
-    # Never more than (rows of df) / limit keys.
-    hot = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(
-        *on, F.ceil(F.col("_n") / limit).cast("int").alias("_salts")
+def _salted_join(df: DataFrame, dimension: DataFrame, on: list[str], how: str) -> DataFrame:
+    # Never more than (rows of df) / SALTED_ROWS keys.
+    hot = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SALTED_ROWS).select(
+        *on, F.ceil(F.col("_n") / SALTED_ROWS).cast("int").alias("_salts")
     )
     salts = F.coalesce("_salts", F.lit(1))
     left = df.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*df.columns), salts).cast("int")).drop("_salts")
@@ -101,8 +102,12 @@ def _select_ranks(rows: DataFrame, keys: list[str], groups: int, ranks: Column)
     sketch = rows.groupBy(*keys).agg(
         F.percentile_approx("_v", probs, SKETCH_ACCURACY).alias("_splits"), F.count("_v").alias("n")
     )
-    binned = join_by_size(rows, sketch, keys, groups, "inner", row_bytes=8 * SPLITS + 64).select(
-        *keys, "_v", "n", F.expr("size(filter(_splits, s -> s < _v))").alias("_b")
+    # Number of split points below the value: first among every STRIDE-th one, then inside that stretch.
+    sketch = sketch.withColumn("_coarse", F.expr(f"filter(_splits, (s, i) -> i % {STRIDE} = {STRIDE - 1})"))
+    binned = join_by_size(rows, sketch, keys, groups, "inner", row_bytes=9 * SPLITS + 64).withColumn(
+        "_b", F.expr(f"{STRIDE} * size(filter(_coarse, s -> s < _v))")
+    ).select(
+        *keys, "_v", "n", (F.col("_b") + F.expr(f"size(filter(slice(_splits, _b + 1, {STRIDE}), s -> s < _v))")).alias("_b")
     )
     in_order = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     wanted = (

@@ -60,15 +60,15 @@ def figure_trajectories(
     entity: str = "entity", future: str = "future_id", period: str = "period",
 ) -> DataFrame:
     """Tidy table of one figure: futures, history and cap lines of the chosen entities."""
-    chosen = F.broadcast(entities.select(entity).distinct())
+    chosen = entities.select(entity).distinct()
     none = F.lit(None)
-    paths = ensemble.join(chosen, entity, "left_semi").select(
+    paths = lookup_join(ensemble, chosen, [entity], "left_semi").select(
         entity, F.lit("future").alias("kind"), F.col(future).alias("series"), F.col(period).alias("period"), F.col(value).alias("value")
     )
-    past = history.join(chosen, entity, "left_semi").select(
+    past = lookup_join(history, chosen, [entity], "left_semi").select(
         entity, F.lit("history").alias("kind"), none.cast("string").alias("series"), F.col(period).alias("period"), F.col(value).alias("value")
     )
-    lines = caps.join(chosen, entity, "left_semi").select(entity, *cap_columns).unpivot([entity], list(cap_columns), "series", "value")
+    lines = lookup_join(caps, chosen, [entity], "left_semi").select(entity, *cap_columns).unpivot([entity], list(cap_columns), "series", "value")
     lines = lines.where("value is not null").select(
         entity, F.lit("cap").alias("kind"), "series", none.cast("int").alias("period"), "value"
     )

@@ -215,7 +215,7 @@ SELECT pt.entity, future_id, label, CAST(0 AS INTEGER) AS x_slot, CAST(1 AS INTE
 FROM pt JOIN c ON pt.entity = c.entity""")
 def figure_box_points(spark: SparkSession, sf: str) -> DataFrame:
     rows = box_rows(spark, sf)
-    return reports.figure_box_points(boxes.membership(rows, search_boxes(rows, 2, CONFIG), 2), 2)
+    return reports.figure_box_points(boxes.membership(rows, reliable_checkpoint(search_boxes(rows, 2, CONFIG)), 2), 2)
 
 
 # ------------------------------------------------------------ drivers and reports

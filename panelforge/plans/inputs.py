@@ -76,7 +76,7 @@ def observed_futures(spark: SparkSession, sf: str) -> DataFrame:
         F.floor(F.max(cents("o_totalprice")) / 100000).cast("double").alias("max_order"),
     )
     named = yearly.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
-        F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")
+        nation, F.col("c_nationkey") == F.col("n_nationkey")
     )
     future = F.concat_ws("_", F.lit("id"), "n_name", "o_custkey")
     so_far = Window.partitionBy("entity", "future_id").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
@@ -102,7 +102,7 @@ def nation_caps(spark: SparkSession, sf: str) -> DataFrame:
     nation = table(spark, sf, "nation", ["n_nationkey", "n_name"])
     per = customer.groupBy("c_nationkey", "c_mktsegment").agg((F.sum(cents("c_acctbal")).cast("double") / (F.count(F.lit(1)) * 1000.0)).alias("b"))
     cap = F.when((F.col("c_nationkey") % 7 != 3), F.floor(F.col("b")).cast("double"))
-    return per.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(
+    return per.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.lower("n_name").alias("entity"), F.col("c_mktsegment").alias("segment"), cap.alias("cap_value")
     )
 
@@ -111,7 +111,7 @@ def income_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Region as the income group of each nation; one region stays unclassified."""
     nation = table(spark, sf, "nation", ["n_name", "n_regionkey"])
     region = table(spark, sf, "region", ["r_regionkey", "r_name"])
-    return nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).where("r_regionkey <> 4").select(
+    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).where("r_regionkey <> 4").select(
         F.col("n_name").alias("entity"), F.col("r_name").alias("income_group")
     )
 

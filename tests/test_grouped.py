@@ -64,7 +64,7 @@ def test_salted_join_equals_broadcast_join(skewed, spark, monkeypatch, how):
     dim = spark.createDataFrame([("hot", 1), ("tied", 2), ("unused", 3)], "k string, d int")
     want = sorted(map(str, grouped.lookup_join(skewed, dim, ["k"], how).collect()))
     monkeypatch.setattr(grouped, "BROADCAST_BYTES", 1)
-    monkeypatch.setattr(grouped, "MAX_GROUP_ROWS", 300)
+    monkeypatch.setattr(grouped, "SALTED_ROWS", 300)
     assert sorted(map(str, grouped.lookup_join(skewed, dim, ["k"], how).collect())) == want
 
 
