@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.aggregates import pearson
-from panelforge.operators.grouped import group_quantiles, group_sizes, join_by_size, lookup_join
+from panelforge.operators.grouped import GroupSizes, group_quantiles, group_sizes, join_by_size, lookup_join
 
 MAX_DRIVERS = 3
 
@@ -100,7 +100,7 @@ def cutoffs(rows: DataFrame, probs: Sequence[float], entity: str = "entity") ->
         i.alias("slot"), x["drivers"].alias("driver"), x["values"].alias("value")
     ))))
     keys = [entity, "slot"]
-    q = group_quantiles(tall, keys, "value", probs, alias="cuts", sizes=sizes)
+    q = group_quantiles(tall, keys, "value", probs, alias="cuts", sizes=GroupSizes(sizes.groups * MAX_DRIVERS, sizes.largest))
     cmps = tall.groupBy(*keys).agg(F.first("driver").alias("driver"), comparator("value", "label").alias("cmp"))
     sides = cmps.join(q, keys).groupBy(entity).agg(
         F.array_sort(F.collect_list(F.struct("slot", "driver", "cmp", "cuts"))).alias("sides")

@@ -131,7 +131,7 @@ def classification_metrics(
     ranked = running_totals(per_score, [entity], "_s", {"_upto0": "_n0"})
     auc = ranked.groupBy(entity).agg(
         F.try_divide(
-            F.sum(F.col("_n1") * (F.col("_upto0") - F.col("_n0") / 2.0)), (F.sum("_n1") * F.sum("_n0")).cast("double")
+            F.sum(F.col("_n1") * (F.col("_upto0") - F.col("_n0") / 2.0)), F.sum("_n1").cast("double") * F.sum("_n0")
         ).alias("roc_auc")
     )
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))

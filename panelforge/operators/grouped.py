@@ -216,7 +216,7 @@ def row_index(df: DataFrame, order: Sequence[Column | str], name: str = "row_ind
         df.orderBy(*order).select(
             "*",
             F.spark_partition_id().alias("_part"),
-            F.monotonically_increasing_id().bitwiseAND(F.lit(in_partition)).alias("_pos"),
+            F.monotonically_increasing_id().bitwiseAND(F.lit(in_partition)).alias("_in_part"),
         )
     )
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_c")).collect()
@@ -227,8 +227,8 @@ def row_index(df: DataFrame, order: Sequence[Column | str], name: str = "row_ind
     offsets = df.sparkSession.createDataFrame(starts or [(0, 0)], "_part int, _start bigint")
     return (
         placed.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_start") + F.col("_pos"))
-        .drop("_part", "_pos", "_start")
+        .withColumn(name, F.col("_start") + F.col("_in_part"))
+        .drop("_part", "_in_part", "_start")
     )
 
 

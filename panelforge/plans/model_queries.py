@@ -167,7 +167,7 @@ def weights() -> str:
 
 
 @query("postprocess_ensemble", with_sql("panel", *[simulated_sql(v) for v in DRIVERS], weights(), POST_SQL) + f"""
-SELECT entity, future_id, period, {r("trend", "level_hp_trend", 4)} FROM tr WHERE future_id NOT IN (SELECT future_id FROM bad)""")
+SELECT entity, future_id, period, {r("trend", "level_hp_trend", 4)} FROM cpos LEFT JOIN tr USING (entity, future_id, period) WHERE future_id NOT IN (SELECT future_id FROM bad)""")
 def postprocess_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     """Score, calibrate to the last observed quarter, smooth, drop outlier futures."""
     observed = supplier_panel(spark, sf).select("entity", "period", F.col("revenue").alias("level"))

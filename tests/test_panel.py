@@ -111,3 +111,20 @@ def test_outlier_series(spark):
     kept = outliers.remove_outlier_series(df, 2, "v")
     assert kept.count() == df.count() - 2
     assert {r["future_id"] for r in outliers.removed_series(df, 2, "v", zero_iqr_means_none=False).collect()} == {"five_4", "flat_4"}
+
+
+@pytest.mark.parametrize("limit", [7, 40])
+def test_long_series_in_chunks_give_the_same_results(spark, limit):
+    rng = np.random.default_rng(8)
+    values = [None if rng.random() < 0.4 else float(rng.normal()) for _ in range(140)]
+    rows = [("long", t, values[t]) for t in range(100)] + [("short", t, values[100 + t]) for t in range(5)]
+    rows += [("gap", t, None if 3 < t < 30 else float(t)) for t in range(35)] + [("none", t, None) for t in range(20)]
+    df = spark.createDataFrame(rows, "entity string, period int, v double")
+    slope, std = {"s": {"source": "v", "window": 4, "min_periods": 2, "shift": 1}}, {"d": {"source": "v", "window": 3, "min_periods": 2, "shift": 2}}
+    for op in (
+        lambda **k: panel.add_lags(df, ["v"], **k), lambda **k: panel.add_growth(df, ["v"], **k), lambda **k: panel.interpolate(df, ["v"], **k),
+        lambda **k: panel.fill_within_group(df, ["v"], **k), lambda **k: panel.rolling_features(df, slope, std, **k),
+    ):
+        want, got = (x.toPandas().sort_values(["entity", "period"]).reset_index(drop=True) for x in (op(), op(max_series=limit)))
+        assert want.columns.tolist() == got.columns.tolist()
+        pd.testing.assert_frame_equal(want, got, check_dtype=False, atol=1e-9)
