@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import decontaminate, simhash, toxicity
+from panelforge.llm import decontaminate, mixing, pii, simhash, toxicity
 from panelforge.llm.common import staged, table
 
 
@@ -24,13 +24,25 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and what gives it away replaced in their texts."""
+    return pii.sanitise(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: shard, slot, source, pass_no, block, doc_ids, n_words, text, one row per slot."""
+    return mixing.mix(docs, with_text=True).texts()
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("simhash near-dedup", drop_near_copies),
     ("decontamination", drop_contaminated),
+    ("pii", sanitise),
+    ("mixing", mix_sources),
 ]
 
-#: The fitted tagger has no SQL twin.
+#: The fitted tagger and the hashed draws have no SQL twin; tests/llm compares the stages with a plain version.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import chat, decontaminate, lattice, simhash, tokens, toxicity, urls
+from panelforge.llm import chat, decontaminate, lattice, lm, mixing, pii, simhash, tokens, toxicity, urls
 from panelforge.llm.common import staged, table, text_or_empty
 
 TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,22 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", items.alias("items_sha256"), "contaminated")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score_documents(docs, lm.train_language_model(docs)).select("doc_id", "n_tokens", "log_prob", "mean_log_prob")
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] != pii.TERM_KIND)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.words_taken(mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -61,6 +77,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_lm_score": op2_lm_score,
+    "op3_personal_data": op3_personal_data,
+    "op4_mix_sources": op4_mix_sources,
     "op5_simhash": op5_simhash,
     "op6_url_filter": op6_url_filter,
     "op7_token_counts": op7_token_counts,
