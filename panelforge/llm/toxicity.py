@@ -54,7 +54,7 @@ def slot(feature: str) -> int:
 class Tagger(dict):
     """The fitted chain; as a dict it keeps the scores of words seen."""
 
-    def __init__(self, weights: np.ndarray, bias: float, transition: np.ndarray, curve: np.ndarray, base: float):
+    def __init__(self, weights: np.ndarray, bias: float, transition: np.ndarray, curve: np.ndarray | None, base: float):
         super().__init__()
         self.weights, self.bias, self.transition, self.curve, self.base = weights, bias, transition, curve, base
 
@@ -95,9 +95,10 @@ class Tagger(dict):
         return out
 
     def document_score(self, p: np.ndarray) -> float:
-        a, b, c = self.curve
+        if self.curve is None:
+            return self.base
         top, some = evidence(p)
-        return float(1 / (1 + np.exp(-np.clip(a + b * top + c * some, -40, 40)))) if len(self.weights) > 1 else self.base
+        return float(1 / (1 + np.exp(-np.clip(self.curve @ (1.0, top, some), -40, 40))))
 
 
 def evidence(p: np.ndarray) -> tuple[float, float]:
@@ -152,7 +153,7 @@ def train_tagger(texts: list[str], toxic: np.ndarray, bounds: TrainingBounds = T
     """Fit the chain and the score curve on labelled documents. Without both classes the score is the share of toxic ones."""
     base = float(toxic.mean()) if len(toxic) else 0.0
     if not toxic.any() or toxic.all():
-        return Tagger(np.zeros(1), 0.0, np.zeros((2, 2)), np.zeros(3), base)
+        return Tagger(np.zeros(SLOTS), 0.0, np.zeros((2, 2)), None, base)
     split = re.compile(WORD).findall
     words = [[w.lower() for w in split(t)] for t in texts]
     picked = pick_features([{f for w in set(ws) for f in features(w)} for ws in words], toxic)
@@ -161,7 +162,7 @@ def train_tagger(texts: list[str], toxic: np.ndarray, bounds: TrainingBounds = T
     for ws, y in zip(words, toxic):
         tags.append(np.array([bad[w] if w in bad else bad.setdefault(w, any(f in picked for f in features(w))) for w in ws], dtype=bool) if y else np.zeros(len(ws), dtype=bool))
     weights, bias, transition = _fit_chain(words, tags, toxic, bounds)
-    tagger = Tagger(weights, bias, transition, np.zeros(3), base)
+    tagger = Tagger(weights, bias, transition, None, base)
     seen = np.array([evidence(p) for p in tagger.marginals([np.fromiter(map(tagger.__getitem__, ws), dtype=float, count=len(ws)) for ws in words])])
     tagger.curve = _fit_curve(seen, toxic)
     return tagger

@@ -48,7 +48,7 @@ def test_tagger_finds_held_out_toxic_documents_and_their_words(spark):
 
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(1)
-    tagger = toxicity.Tagger(np.zeros(2), 0.0, rng.normal(size=(2, 2)), np.zeros(3), 0.0)
+    tagger = toxicity.Tagger(np.zeros(2), 0.0, rng.normal(size=(2, 2)), None, 0.0)
     docs = [rng.normal(size=n) for n in (4, 0, 1, 6, 4)]
     for scores, p in zip(docs, tagger.marginals(docs)):
         n = len(scores)
