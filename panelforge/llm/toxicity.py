@@ -35,11 +35,11 @@ BLOCK_WORDS = 1_000_000
 class TrainingBounds:
     """What is fitted on the driver: documents per class, characters of the longest, words per training segment, segments, steps."""
 
-    toxic: int = 3_000
-    clean: int = 6_000
+    toxic: int = 2_000
+    clean: int = 4_000
     chars: int = 20_000
     segment: int = 32
-    segments: int = 12_000
+    segments: int = 8_000
     steps: int = 80
 
 
@@ -109,44 +109,60 @@ def evidence(p: np.ndarray) -> tuple[float, float]:
     return float(np.log(top / (1 - top))), float(np.log1p(p[p > 0.2].sum()))
 
 
-def pick_features(docs: list[set[str]], toxic: np.ndarray, least: int = 3, evidence_least: float = 10.0) -> set[str]:
-    """Features that single out toxic documents, picked until none explains ``least`` more of them (two if there are few documents).
+class Sample:
+    """Training documents as numbers: word numbers per document, and of every word its features and their slots."""
+
+    def __init__(self, texts: list[str]):
+        split, words, names = re.compile(WORD).findall, {}, {}
+        self.docs = [np.fromiter((words.setdefault(w.lower(), len(words)) for w in split(t)), dtype=np.int32) for t in texts]
+        width = 1 + len(PREFIXES)
+        self.features = np.full((len(words), width), -1, dtype=np.int32)
+        self.slots = np.full((len(words), width), SLOTS, dtype=np.int32)  # the last weight stays zero
+        for w, i in words.items():
+            for k, f in enumerate(features(w)):
+                self.features[i, k] = names.setdefault(f, len(names))
+                self.slots[i, k] = slot(f)
+        self.names = list(names)
+
+    def features_of(self, i: int) -> np.ndarray:
+        found = np.unique(self.features[np.unique(self.docs[i])])
+        return found[found >= 0]
+
+
+def pick_features(sample: Sample, toxic: np.ndarray, least: int = 3, least_evidence: float = 10.0) -> np.ndarray:
+    """Numbers of the features that single out toxic documents, picked until none explains ``least`` more of them.
 
     A feature's worth is its log-likelihood ratio over the toxic documents not explained yet and all clean ones;
     among equals a longer one wins.
     """
-    held: dict[str, list[int]] = {}
+    n = len(sample.names)
+    counts = np.zeros((2, n))
+    for i, y in enumerate(toxic):
+        counts[int(y), sample.features_of(i)] += 1
+    names = np.flatnonzero((counts[1] >= least) & (counts[0] <= 0.05 * counts[1]))
+    if not len(names):
+        return names
+    place = np.full(n, -1)
+    place[names] = np.arange(len(names))
+    open_docs = {}
     for i in np.flatnonzero(toxic):
-        for f in docs[i]:
-            held.setdefault(f, []).append(i)
-    clean: dict[str, int] = {}
-    for i in np.flatnonzero(~toxic):
-        for f in docs[i]:
-            if f in held:
-                clean[f] = clean.get(f, 0) + 1
-    names = [f for f, who in held.items() if len(who) >= least and clean.get(f, 0) <= 0.05 * len(who)]
-    if not names:
-        return set()
-    number = {f: k for k, f in enumerate(names)}
+        own = place[sample.features_of(i)]
+        open_docs[i] = own[own >= 0]
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    a = np.array([len(held[f]) for f in names], dtype=float)
-    b = np.array([clean.get(f, 0) for f in names], dtype=float)
-    longer = np.array([len(f) for f in names]) * 1e-6
     share = n1 / (n1 + n0)
-    open_docs, picked = set(np.flatnonzero(toxic)), set()
+    a, b = counts[1, names], counts[0, names]
+    longer = np.array([len(sample.names[f]) for f in names]) * 1e-6
+    picked = []
     while True:
         with np.errstate(divide="ignore", invalid="ignore"):
             worth = 2 * (a * np.log(a / ((a + b) * share)) + np.where(b > 0, b * np.log(b / ((a + b) * (1 - share))), 0))
-        worth = np.where(a >= least, worth, 0) + longer * (a > 0)
+        worth = np.where(a >= least, worth + longer, 0)
         best = int(worth.argmax())
-        if worth[best] < evidence_least:
-            return picked
-        picked.add(names[best])
-        for i in [i for i in held[names[best]] if i in open_docs]:
-            open_docs.discard(i)
-            for f in docs[i]:
-                if f in number:
-                    a[number[f]] -= 1
+        if worth[best] < least_evidence:
+            return names[picked]
+        picked.append(best)
+        for i in [i for i, own in open_docs.items() if (own == best).any()]:
+            a[open_docs.pop(i)] -= 1
 
 
 def train_tagger(texts: list[str], toxic: np.ndarray, bounds: TrainingBounds = TrainingBounds()) -> Tagger:
@@ -154,41 +170,39 @@ def train_tagger(texts: list[str], toxic: np.ndarray, bounds: TrainingBounds = T
     base = float(toxic.mean()) if len(toxic) else 0.0
     if not toxic.any() or toxic.all():
         return Tagger(np.zeros(SLOTS), 0.0, np.zeros((2, 2)), None, base)
-    split = re.compile(WORD).findall
-    words = [[w.lower() for w in split(t)] for t in texts]
-    picked = pick_features([{f for w in set(ws) for f in features(w)} for ws in words], toxic)
-    bad = {}
-    tags = []
-    for ws, y in zip(words, toxic):
-        tags.append(np.array([bad[w] if w in bad else bad.setdefault(w, any(f in picked for f in features(w))) for w in ws], dtype=bool) if y else np.zeros(len(ws), dtype=bool))
-    weights, bias, transition = _fit_chain(words, tags, toxic, bounds)
+    sample = Sample(texts)
+    bad = np.isin(sample.features, pick_features(sample, toxic)).any(axis=1)
+    weights, bias, transition = _fit_chain(sample, bad, toxic, bounds)
     tagger = Tagger(weights, bias, transition, None, base)
-    seen = np.array([evidence(p) for p in tagger.marginals([np.fromiter(map(tagger.__getitem__, ws), dtype=float, count=len(ws)) for ws in words])])
-    tagger.curve = _fit_curve(seen, toxic)
+    of_word = bias + np.append(weights, 0.0)[sample.slots].sum(axis=1)
+    seen = []
+    for begin in range(0, len(texts), 500):
+        seen += [evidence(p) for p in tagger.marginals([of_word[d] for d in sample.docs[begin : begin + 500]])]
+    tagger.curve = _fit_curve(np.array(seen), toxic)
     return tagger
 
 
-def _fit_chain(words: list[list[str]], tags: list[np.ndarray], toxic: np.ndarray, bounds: TrainingBounds) -> tuple[np.ndarray, float, np.ndarray]:
+def _fit_chain(sample: Sample, bad: np.ndarray, toxic: np.ndarray, bounds: TrainingBounds) -> tuple[np.ndarray, float, np.ndarray]:
     """Conditional likelihood of the tags over fixed-length segments, raised by Adam with a quadratic penalty."""
-    rng = np.random.default_rng(5)
-    cuts = [(i, b) for i, ws in enumerate(words) for b in range(0, len(ws), bounds.segment)]
-    marked = [c for c in cuts if tags[c[0]][c[1] : c[1] + bounds.segment].any()]
-    plain = [c for c in cuts if not toxic[c[0]]]
+    rng, length, width = np.random.default_rng(5), bounds.segment, sample.slots.shape[1]
+    marked, plain = [], []
+    for i, d in enumerate(sample.docs):
+        for b in range(0, len(d), length):
+            if not toxic[i]:
+                plain.append((i, b))
+            elif bad[d[b : b + length]].any():
+                marked.append((i, b))
     half = bounds.segments // 2
     chosen = [marked[i] for i in rng.permutation(len(marked))[:half]] + [plain[i] for i in rng.permutation(len(plain))[:half]]
-    n, length, width = len(chosen), bounds.segment, 1 + len(PREFIXES)
-    x = np.full((n, length, width), SLOTS, dtype=np.int64)  # the last weight stays zero
+    n = len(chosen)
+    x = np.full((n, length, width), SLOTS, dtype=np.int32)
     y, here = np.zeros((n, length), dtype=np.int64), np.zeros((n, length), dtype=bool)
-    known: dict[str, list[int]] = {}
     for r, (i, b) in enumerate(chosen):
-        part = words[i][b : b + length]
-        for t, w in enumerate(part):
-            if w not in known:
-                known[w] = [slot(f) for f in features(w)]
-            x[r, t, : len(known[w])] = known[w]
-        y[r, : len(part)], here[r, : len(part)] = tags[i][b : b + length], True
-    weights, rest = np.zeros(SLOTS + 1), np.array([-3.0, 0, 0, 0, 0])  # bias, transitions by (before, after)
-    rest[1:] = [0.5, -0.5, 0.0, 0.0]
+        part = sample.docs[i][b : b + length]
+        x[r, : len(part)], here[r, : len(part)] = sample.slots[part], True
+        if toxic[i]:
+            y[r, : len(part)] = bad[part]
+    weights, rest = np.zeros(SLOTS + 1), np.array([-3.0, 0.5, -0.5, 0.0, 0.0])  # bias, transitions by (before, after)
     moments = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(rest), np.zeros_like(rest)]
     last = here.sum(axis=1) - 1
     for step in range(1, bounds.steps + 1):
