@@ -2,7 +2,8 @@
 
 A box bounds each driver at one of a fixed list of quantile levels. Every future is reduced to the grid
 cell it falls into, cells are counted per entity, and box counts are sums over cells. The work after
-the count is bounded by the grid (levels ^ drivers per entity), whatever the number of futures.
+the count is bounded by the occupied cells and the grid (levels ^ drivers per entity, with the quantile levels and the
+number of drivers as the caller's choice), whatever the number of futures.
 """
 
 from __future__ import annotations
@@ -14,9 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.aggregates import pearson
-from panelforge.operators.grouped import GroupSizes, group_quantiles, group_sizes, join_by_size, lookup_join
-
-MAX_DRIVERS = 3
+from panelforge.operators.grouped import group_quantiles, group_sizes, lookup_join
 
 
 def levels(lower: float = 0.1, upper: float = 0.9, step: float = 0.05) -> list[float]:
@@ -54,7 +53,7 @@ def box_stats(
     out = df
     for d, p in zip(drivers, quantiles):
         cut = group_quantiles(df, [entity], d, [p], sizes=sizes).select(entity, F.col("q")[0].alias(f"{d}__cutoff"))
-        out = join_by_size(out, cut, [entity], sizes.groups)
+        out = lookup_join(out, cut, [entity])
     tests = [satisfies(F.col(d), F.lit(c), F.col(f"{d}__cutoff")) for d, c in zip(drivers, cmps)]
     inside = F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
     vulnerable = F.col(label) == 1
@@ -93,38 +92,35 @@ def entity_box_input(
     return rows.where(~F.exists("values", lambda x: x.isNull()))
 
 
-def cutoffs(rows: DataFrame, probs: Sequence[float], entity: str = "entity") -> tuple[DataFrame, int]:
-    """Per entity the array ``sides`` of ``(driver, cmp, cuts)`` in driver order; also the number of entities."""
+def cutoffs(rows: DataFrame, probs: Sequence[float], entity: str = "entity") -> DataFrame:
+    """Per entity the array ``sides`` of ``(driver, cmp, cuts)`` in driver order."""
     sizes = group_sizes(rows, [entity])
     tall = rows.select(entity, "label", F.inline(F.transform(F.arrays_zip("drivers", "values"), lambda x, i: F.struct(
         i.alias("slot"), x["drivers"].alias("driver"), x["values"].alias("value")
     ))))
     keys = [entity, "slot"]
-    q = group_quantiles(tall, keys, "value", probs, alias="cuts", sizes=GroupSizes(sizes.groups * MAX_DRIVERS, sizes.largest))
+    q = group_quantiles(tall, keys, "value", probs, alias="cuts", sizes=sizes)
     cmps = tall.groupBy(*keys).agg(F.first("driver").alias("driver"), comparator("value", "label").alias("cmp"))
-    sides = cmps.join(q, keys).groupBy(entity).agg(
+    return cmps.join(q, keys).groupBy(entity).agg(
         F.array_sort(F.collect_list(F.struct("slot", "driver", "cmp", "cuts"))).alias("sides")
     )
-    return sides, sizes.groups
 
 
 def grid_search(
-    rows: DataFrame, drivers: int, quantile_levels: Sequence[float] | None = None, sides: tuple[DataFrame, int] | None = None,
+    rows: DataFrame, drivers: int, quantile_levels: Sequence[float] | None = None, sides: DataFrame | None = None,
     entity: str = "entity",
 ) -> DataFrame:
     """Every non-empty box of every entity with its counts.
 
-    ``rows`` is the layout of :func:`box_input`, with at most ``drivers`` drivers per entity; ``sides`` takes
+    ``rows`` is the layout of :func:`box_input`, with at most ``drivers`` drivers per entity, any number; ``sides`` takes
     the result of :func:`cutoffs` if it is at hand. Futures stay where they are: they meet their entity's
     cutoffs, become a cell and are counted map-side. Entities with fewer drivers leave the last slots out
     (level -1). Result per box: entity, level index per slot ``l0..``, size ``n``, vulnerable ``n1``, entity total
     ``total1``, coverage and density.
     """
-    if drivers > MAX_DRIVERS:
-        raise ValueError(f"the grid grows as levels ^ drivers; use at most {MAX_DRIVERS} drivers")
     probs = list(quantile_levels or levels())
     slots = [f"l{i}" for i in range(drivers)]
-    cut, groups = sides or cutoffs(rows, probs, entity)
+    cut = cutoffs(rows, probs, entity) if sides is None else sides
 
     def cell(i: int) -> Column:
         """Position in the order of growing boxes: a row lies in the box of level k iff cell <= k."""
@@ -135,7 +131,7 @@ def grid_search(
             f"case when {value} is null then -1 when {cmp} = '<' then {upto} when {cmp} = '<=' then {below} else {len(probs)} - {below} end"
         )
 
-    placed = join_by_size(rows, cut, [entity], groups, "inner", row_bytes=drivers * (8 * len(probs) + 64))
+    placed = lookup_join(rows, cut, [entity], "inner")
     counts = placed.select(entity, "label", *[cell(i).alias(s) for i, s in enumerate(slots)]).groupBy(entity, *slots).agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1")
     )
@@ -155,13 +151,13 @@ def grid_search(
 def pareto(boxes: DataFrame, drivers: int, entity: str = "entity") -> DataFrame:
     """Boxes not dominated in (coverage, density); equal pairs are represented by their lowest levels.
 
-    The windows hold one entity's boxes, at most levels ^ drivers rows.
+    Of all boxes with as many vulnerable futures only the densest can stay, so an aggregate leaves at most one row per
+    number of vulnerable futures before the window, however many drivers the boxes have.
     """
     slots = [f"l{i}" for i in range(drivers)]
-    rest = [c for c in boxes.columns if c not in (entity, "coverage", "density")]
-    unique = boxes.groupBy(entity, "coverage", "density").agg(F.min_by(F.struct(*rest), F.struct(*slots)).alias("_b")).select(
-        entity, "coverage", "density", "_b.*"
-    )
+    rest = [c for c in boxes.columns if c not in (entity, "coverage")]
+    densest = F.struct(-F.col("density"), *slots)
+    unique = boxes.groupBy(entity, "coverage").agg(F.min_by(F.struct(*rest), densest).alias("_b")).select(entity, "coverage", "_b.*")
     larger = Window.partitionBy(entity).orderBy(F.desc("coverage"), F.desc("density")).rowsBetween(Window.unboundedPreceding, -1)
     best = F.max("density").over(larger)
     return unique.withColumn("_best", best).where(F.col("_best").isNull() | (F.col("density") > F.col("_best"))).drop("_best")
@@ -177,9 +173,8 @@ def select_best(
     sufficient coverage wins, by coverage then density. Without any: sufficient density by coverage,
     else sufficient coverage by density, else the largest coverage. Ties go to the lowest levels.
     """
-    ladder = []
-    while target_density - len(ladder) * density_step >= min_density - 1e-12:
-        ladder.append(round(target_density - len(ladder) * density_step, 10))
+    rungs = int((target_density - min_density) / density_step + 1e-9) + 1 if target_density >= min_density else 0
+    ladder = [target_density - i * density_step for i in range(rungs)]
     step = F.lit(None).cast("int")
     for i in range(len(ladder) - 1, -1, -1):
         step = F.when((F.col("density") >= ladder[i]) & (F.col("coverage") >= min_coverage), F.lit(i)).otherwise(step)

@@ -34,6 +34,7 @@ def calibrate(
     column_map: Mapping[str, str] | None = None,
     method: str | Mapping[str, str] = "multiplicative",
     update_logs: bool = True,
+    order: Sequence[str] | None = None,
     log_prefix: str = "log_",
     entity: str = "entity",
     future: str = "future_id",
@@ -44,6 +45,7 @@ def calibrate(
     ``column_map`` maps columns of ``initial`` to columns of ``simulated``; by default all shared
     columns. A log column present in ``simulated`` is refreshed from its calibrated level. The base
     value comes from a window over the series, so the ensemble is shuffled once and never self-joined.
+    ``initial`` holds one row per entity at the base period; where it has several, ``order`` picks the first.
     """
     if column_map is None:
         shared = columns if columns is not None else [
@@ -54,7 +56,8 @@ def calibrate(
     if not pairs:
         return simulated
     observed = initial.where(F.col(period) == base) if period in initial.columns else initial
-    observed = keep_first(observed.select(entity, *pairs), [entity], list(pairs))
+    if order:
+        observed = keep_first(observed.select(entity, *pairs, *[F.col(o).alias(f"_order_{i}") for i, o in enumerate(order)]), [entity], [f"_order_{i}" for i in range(len(order))])
     observed = observed.select(entity, *[F.col(i).cast("double").alias(f"_o_{i}") for i in pairs])
     keys = [entity, future]
     out = lookup_join(simulated, observed, [entity]).withColumns(

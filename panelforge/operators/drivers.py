@@ -12,9 +12,10 @@ from panelforge.operators.grouped import (
     SKETCH_ACCURACY,
     group_quantiles,
     group_sizes,
-    join_by_size,
+    lookup_join,
     running_totals,
 )
+from panelforge.session import staged
 
 BINS = 32
 
@@ -36,14 +37,13 @@ def driver_gini(
         *[F.percentile_approx(F.col(f).cast("double"), probs, SKETCH_ACCURACY).alias(f"_q_{f}") for f in features],
     )
     usable = sketch.where("_n1 > 0 and _n0 > 0")
-    groups = group_sizes(df, [entity]).groups
     bin_of = [
         F.struct(F.lit(f).alias("feature"), F.expr(
             f"size(filter(_q_{f}, c -> c < coalesce(cast(`{f}` as double), _q_{f}[{bins // 2 - 1}])))"
         ).alias("bin"), F.col(f"_q_{f}").isNull().alias("empty"))
         for f in features
     ]
-    tall = join_by_size(rows, usable, [entity], groups, "inner", row_bytes=8 * bins * len(features) + 64).select(
+    tall = lookup_join(rows, usable, [entity], "inner").select(
         entity, "_n0", "_n1", F.col(label).alias("_y"), F.inline(F.array(*bin_of))
     ).where(~F.col("empty"))
     counted = tall.groupBy(entity, "feature", "bin").agg(
@@ -66,17 +66,23 @@ def driver_gini(
 
 
 def top_drivers(importance: DataFrame, k: int, entity: str = "entity", feature: str = "feature") -> DataFrame:
-    """The k best drivers per entity after merging a driver's statistics (``driver__stat``)."""
+    """The k best drivers per entity after merging a driver's statistics (``driver__stat``).
+
+    Importances are compared to nine digits, so that equal gains tie whatever the order of summation; ties go by name.
+    """
     per_driver = importance.groupBy(entity, standard_name(feature).alias("driver")).agg(F.max("importance").alias("importance"))
-    ranked = Window.partitionBy(entity).orderBy(F.desc("importance"), "driver")
+    ranked = Window.partitionBy(entity).orderBy(F.desc(F.round("importance", 9)), "driver")
     return per_driver.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
 
 def forest_importance(
     df: DataFrame, features: Sequence[str], label: str = "vulnerability_indicator", trees: int = 500,
-    min_leaf: int = 2, max_depth: int = 12, seed: int = 42,
+    min_leaf: int = 2, max_depth: int = 30, seed: int = 42,
 ) -> DataFrame:
-    """Random-forest importances for one entity or a pooled set, with balanced class weights."""
+    """Random-forest importances for one entity or a pooled set, with balanced class weights.
+
+    ``max_depth`` defaults to the deepest tree that Spark grows.
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
@@ -99,6 +105,53 @@ def forest_importance(
     return df.sparkSession.createDataFrame(values, schema)
 
 
+def train_classifier(
+    df: DataFrame, features: Sequence[str], label: str = "vulnerability_indicator", id_column: str = "future_id", entity: str = "entity",
+    test_share: float = 0.2, trees: int = 500, min_leaf: int = 2, max_depth: int = 30, seed: int = 42,
+) -> tuple[DataFrame, DataFrame]:
+    """A forest trained on four fifths of every (entity, label) and scored on the rest: scored test rows and a summary per entity.
+
+    One fit serves the pooled entities; nothing is fitted per entity. Features without a value in the training rows are dropped, other gaps
+    take the training median, classes weigh the same. The summary has n_train, n_test, n_features, dropped_features
+    (bar-joined), status and the metrics of the test rows as ``test_*``; without both classes in training nothing is fitted.
+    """
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from panelforge.operators.regression import medians
+
+    split = staged(stratified_split(df.where(F.col(label).isNotNull()), label, id_column, test_share, seed, entity))
+    train, test = split.where(~F.col("is_test")), split.where("is_test")
+    known = train.agg(*[F.count(c).alias(c) for c in features]).first()
+    used = [c for c in features if known[c]]
+    classes = {r["_y"]: r["n"] for r in train.groupBy(F.col(label).cast("int").alias("_y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = split.groupBy(entity).agg(F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test")).withColumns({
+        "n_features": F.lit(len(used)), "dropped_features": F.lit("|".join(c for c in features if not known[c])),
+    })
+    if len(classes) < 2 or not used:
+        scored = test.withColumn("score", F.lit(None).cast("double"))
+        status = F.lit("not_trained")
+    else:
+        fill = medians(train, used)
+        n = sum(classes.values())
+        weight = F.when(F.col(label) == 1, n / (2.0 * classes[1])).otherwise(n / (2.0 * classes[0]))
+
+        def vectors(rows: DataFrame) -> DataFrame:
+            filled = rows.withColumns({f"_x_{i}": F.coalesce(F.col(c).cast("double"), F.lit(fill[c])) for i, c in enumerate(used)})
+            return VectorAssembler(inputCols=[f"_x_{i}" for i in range(len(used))], outputCol="_x").transform(filled)
+
+        model = RandomForestClassifier(
+            labelCol="_y", featuresCol="_x", weightCol="_w", numTrees=trees, minInstancesPerNode=min_leaf, maxDepth=max_depth, seed=seed,
+        ).fit(vectors(train).withColumns({"_w": weight, "_y": F.col(label).cast("double")}))
+        scored = model.transform(vectors(test)).withColumn("score", vector_to_array("probability")[1]).select(*test.columns, "score")
+        status = F.lit("trained")
+    scored = staged(scored)
+    metrics = classification_metrics(scored, label, "score", entity=entity).drop("n_rows")
+    metrics = metrics.withColumnsRenamed({c: f"test_{c}" for c in metrics.columns if c != entity})
+    return scored, counts.withColumn("status", status).join(metrics, entity, "left")
+
+
 def stratified_split(
     df: DataFrame, label: str, id_column: str, test_share: float = 0.2, seed: int = 42, entity: str = "entity",
 ) -> DataFrame:
@@ -108,7 +161,7 @@ def stratified_split(
     cut = group_quantiles(drawn, [entity, label], "_u", [test_share], discrete=True, sizes=sizes).select(
         entity, label, F.col("q")[0].alias("_cut")
     )
-    return join_by_size(drawn, cut, [entity, label], sizes.groups).withColumn("is_test", F.col("_u") <= F.col("_cut")).drop("_u", "_cut")
+    return lookup_join(drawn, cut, [entity, label]).withColumn("is_test", F.col("_u") <= F.col("_cut")).drop("_u", "_cut")
 
 
 def classification_metrics(

@@ -7,7 +7,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.operators.grouped import join_by_size, row_index
+from panelforge.operators.grouped import lookup_join, row_index
 
 
 def time_holdout(df: DataFrame, holdout: int, period: str = "period") -> tuple[DataFrame, DataFrame]:
@@ -99,4 +99,4 @@ def group_folds(df: DataFrame, folds: int, entity: str = "entity") -> DataFrame:
         F.get("_cycle", F.try_mod(F.col("_k") - F.size("_head"), F.lit(folds)))
     )
     assigned = placed.select(entity, fold.alias("fold"))
-    return join_by_size(df, assigned, [entity], sum(n for _, n in histogram), "inner")
+    return lookup_join(df, assigned, [entity], "inner")

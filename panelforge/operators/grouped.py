@@ -1,8 +1,8 @@
 """Group-wise primitives that do not need a whole group in one task.
 
 An entity may own a large part of all rows. Plain Spark handles that for sums and counts (map-side
-combine), but not for exact quantiles, ranks and running totals, where ``percentile`` or a window pulls
-a group into one task. The functions here look at the group sizes first (one cheap aggregate over the
+combine) and for joins (adaptive splitting), but not for exact quantiles, ranks and running totals, where
+``percentile`` or a window pulls a group into one task. The functions here look at the group sizes first (one cheap aggregate over the
 key columns); ordinary groups take the built-in route, and larger ones are split by value ranges.
 All results are exact in both routes.
 """
@@ -15,16 +15,35 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.session import reliable_checkpoint
+from panelforge.session import staged
 
 MAX_GROUP_ROWS = 250_000
-SALTED_ROWS = 2_000_000
-BROADCAST_BYTES = 64 * 1024 * 1024
-SPLITS = 128
+#: Least number of value ranges a large group is split into, and rows that a range should hold at most.
+SPLITS, RANGE_ROWS = 128, 1_000_000
 STRIDE = 16
 SKETCH_ACCURACY = 10_000
 
 
+def range_count(largest: int) -> int:
+    """Value ranges for the largest group, a multiple of the stride."""
+    wanted = max(SPLITS, -(-largest // RANGE_ROWS))
+    return -(-wanted // STRIDE) * STRIDE
+
+
+def split_points(rows: DataFrame, keys: Sequence[str], value: str, splits: int) -> DataFrame:
+    """Per group about evenly spaced quantiles from a bounded sketch (``_splits``), fine enough for that many ranges."""
+    probs = [i / splits for i in range(1, splits)]
+    return rows.groupBy(*keys).agg(
+        F.percentile_approx(value, probs, max(SKETCH_ACCURACY, 20 * splits)).alias("_splits"), F.count(value).alias("n")
+    )
+
+
+def range_of(splits: str, value: str) -> Column:
+    """Number of split points below the value: first among every STRIDE-th one, then inside that stretch."""
+    coarse = f"{STRIDE} * size(filter({splits}, (s, i) -> i % {STRIDE} = {STRIDE - 1} and s < {value}))"
+    return F.expr(f"{coarse} + size(filter(slice({splits}, {coarse} + 1, {STRIDE}), s -> s < {value}))")
+
+
 @dataclass(frozen=True)
 class GroupSizes:
     groups: int
@@ -40,34 +59,9 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> GroupSizes:
     return GroupSizes(int(row["groups"]), int(row["largest"] or 0))
 
 
-def join_by_size(
-    df: DataFrame, dimension: DataFrame, on: Sequence[str], rows: int, how: str = "left", row_bytes: int = 128,
-) -> DataFrame:
-    """Join a one-row-per-key dimension whose row count (and row width) is known: broadcast when small.
-
-    Beyond ``BROADCAST_BYTES`` both sides are shuffled. Keys with more rows than one task should take are
-    then split: they get several salts, and their one dimension row is repeated for each salt.
-    """
-    if rows * row_bytes <= BROADCAST_BYTES:
-        return df.join(F.broadcast(dimension), list(on), how)
-    return _salted_join(df, dimension, list(on), how)
-
-
-def _salted_join(df: DataFrame, dimension: DataFrame, on: list[str], how: str) -> DataFrame:
-    # Never more than (rows of df) / SALTED_ROWS keys.
-    hot = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SALTED_ROWS).select(
-        *on, F.ceil(F.col("_n") / SALTED_ROWS).cast("int").alias("_salts")
-    )
-    salts = F.coalesce("_salts", F.lit(1))
-    left = df.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*df.columns), salts).cast("int")).drop("_salts")
-    right = dimension.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
-
-
-def lookup_join(df: DataFrame, dimension: DataFrame, on: Sequence[str], how: str = "left", row_bytes: int = 128) -> DataFrame:
-    """Join a reference table after counting it (the count stops at the broadcast bound)."""
-    bound = BROADCAST_BYTES // row_bytes
-    return join_by_size(df, dimension, on, dimension.limit(bound + 1).count(), how, row_bytes)
+def lookup_join(df: DataFrame, dimension: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a table with one row per key. The engine broadcasts it by its measured size and splits skewed partitions otherwise."""
+    return df.join(dimension, list(on), how)
 
 
 def _interpolate(p: float) -> Column:
@@ -91,24 +85,15 @@ def _ranks(probs: Sequence[float], discrete: bool) -> Column:
     return F.array_distinct(F.array(*[r.cast("bigint") for r in ranks]))
 
 
-def _select_ranks(rows: DataFrame, keys: list[str], groups: int, ranks: Column) -> DataFrame:
+def _select_ranks(rows: DataFrame, keys: list[str], largest: int, ranks: Column) -> DataFrame:
     """Values at the wanted ranks of every group: ``keys, n, _at map<bigint,double>``.
 
-    Per group a bounded sketch gives split points, rows are counted per value range, and only the few
-    ranges that hold a wanted rank are sorted. The split points need not be accurate for the result to
-    be exact; they only spread the work.
+    Per group a bounded sketch gives split points, as many as the largest group asks for. Rows are counted per value
+    range, and only the few ranges that hold a wanted rank are sorted. The split points need not be accurate
+    for the result to be exact; they only spread the work.
     """
-    probs = [i / SPLITS for i in range(1, SPLITS)]
-    sketch = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", probs, SKETCH_ACCURACY).alias("_splits"), F.count("_v").alias("n")
-    )
-    # Number of split points below the value: first among every STRIDE-th one, then inside that stretch.
-    sketch = sketch.withColumn("_coarse", F.expr(f"filter(_splits, (s, i) -> i % {STRIDE} = {STRIDE - 1})"))
-    binned = join_by_size(rows, sketch, keys, groups, "inner", row_bytes=9 * SPLITS + 64).withColumn(
-        "_b", F.expr(f"{STRIDE} * size(filter(_coarse, s -> s < _v))")
-    ).select(
-        *keys, "_v", "n", (F.col("_b") + F.expr(f"size(filter(slice(_splits, _b + 1, {STRIDE}), s -> s < _v))")).alias("_b")
-    )
+    sketch = split_points(rows, keys, "_v", range_count(largest))
+    binned = lookup_join(rows, sketch, keys, "inner").select(*keys, "_v", "n", range_of("_splits", "_v").alias("_b"))
     in_order = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     wanted = (
         binned.groupBy(*keys, "_b").agg(F.count("_v").alias("_c"), F.first("n").alias("n"))
@@ -119,7 +104,7 @@ def _select_ranks(rows: DataFrame, keys: list[str], groups: int, ranks: Column)
         .select(*keys, "_b", "_start", "_ranks")
     )
     per_value = (
-        join_by_size(binned, wanted, [*keys, "_b"], groups * SPLITS, "inner")
+        lookup_join(binned, wanted, [*keys, "_b"], "inner")
         .groupBy(*keys, "_b", "_v").agg(
             F.count("_v").alias("_c"), F.first("n").alias("n"),
             F.first("_start").alias("_start"), F.first("_ranks").alias("_ranks"),
@@ -165,7 +150,7 @@ def group_quantiles(
     grouping = keys or ["_all"]
     if not keys:
         rows = rows.withColumn("_all", F.lit(0))
-    found = _select_ranks(rows, grouping, sizes.groups, _ranks(probs, discrete))
+    found = _select_ranks(rows, grouping, sizes.largest, _ranks(probs, discrete))
     if discrete:
         items = [F.col("_at")[F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1)) - 1] for p in probs]
     else:
@@ -189,19 +174,18 @@ def running_totals(
     if sizes.largest <= max_group:
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({out: F.sum(m).over(w) for out, m in measures.items()})
-    splits = sorted(set(df.approxQuantile(order, [i / SPLITS for i in range(1, SPLITS)], 0.002)))
-    values = F.array(*[F.lit(float(s)) for s in splits])
-    binned = df.withColumn("_b", F.size(F.filter(values, lambda s: s < F.col(order))))
-    within = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = binned.groupBy(*keys, "_b").agg(*[F.sum(m).alias(f"_s_{o}") for o, m in measures.items()])
-    offsets = totals.select(*keys, "_b", *[F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_s_{o}") for o in measures])
-    per_group = offsets.groupBy(*keys).agg(*[
-        F.map_from_entries(F.collect_list(F.struct("_b", f"_s_{o}"))).alias(f"_o_{o}") for o in measures
-    ])
-    joined = join_by_size(binned, per_group, keys, sizes.groups, row_bytes=16 * len(measures) * SPLITS + 64)
-    out = joined.withColumns({o: F.col(f"_o_{o}")[F.col("_b")] + F.sum(m).over(within) for o, m in measures.items()})
-    return out.drop("_b", *[f"_o_{o}" for o in measures])
+    # Split points of each key's own values, so that a narrow band of values is split as well.
+    grouping = keys or ["_all"]
+    rows = df if keys else df.withColumn("_all", F.lit(0))
+    sketch = split_points(rows, grouping, order, range_count(sizes.largest)).drop("n")
+    binned = lookup_join(rows, sketch, grouping).withColumn("_b", range_of("_splits", order)).drop("_splits")
+    within = Window.partitionBy(*grouping, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*grouping).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = binned.groupBy(*grouping, "_b").agg(*[F.sum(m).alias(f"_s_{o}") for o, m in measures.items()])
+    offsets = totals.select(*grouping, "_b", *[F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_s_{o}") for o in measures])
+    joined = lookup_join(binned, offsets, [*grouping, "_b"])
+    out = joined.withColumns({o: F.col(f"_s_{o}") + F.sum(m).over(within) for o, m in measures.items()})
+    return out.drop("_b", *[f"_s_{o}" for o in measures], *([] if keys else ["_all"]))
 
 
 def row_index(df: DataFrame, order: Sequence[Column | str], name: str = "row_index") -> DataFrame:
@@ -212,7 +196,7 @@ def row_index(df: DataFrame, order: Sequence[Column | str], name: str = "row_ind
     come from the same partitioning even when an executor is lost.
     """
     in_partition = (1 << 33) - 1
-    placed = reliable_checkpoint(
+    placed = staged(
         df.orderBy(*order).select(
             "*",
             F.spark_partition_id().alias("_part"),

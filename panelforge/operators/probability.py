@@ -12,11 +12,10 @@ from panelforge.functions.scalar import clean_number
 from panelforge.operators.grouped import (
     group_quantiles,
     group_sizes,
-    join_by_size,
     keep_first,
     lookup_join,
 )
-from panelforge.session import reliable_checkpoint
+from panelforge.session import staged
 
 
 def caps_from_base(
@@ -37,11 +36,15 @@ def evaluated_futures(
     ensemble: DataFrame, caps: DataFrame, at: int, value: str, cap_columns: Sequence[str],
     cap_order: Sequence[str] | None = None, entity: str = "entity", future: str = "future_id", period: str = "period",
 ) -> DataFrame:
-    """Target-period rows with a value and at least one cap, caps attached."""
-    one_per_entity = keep_first(
-        caps.select(entity, *[clean_number(c).alias(c) for c in cap_columns], *[o for o in cap_order or [] if o not in cap_columns]),
-        [entity], list(cap_order or cap_columns),
-    ).select(entity, *cap_columns)
+    """Target-period rows with a value and at least one cap, caps attached.
+
+    Without ``cap_order`` the caps hold one row per entity. With it an entity's first row in that order (file position, date)
+    counts, whatever its values: a first row without a cap leaves the entity without one.
+    """
+    clean = caps.select(entity, *[clean_number(c).alias(c) for c in cap_columns], *[F.col(o).alias(f"_order_{i}") for i, o in enumerate(cap_order or [])])
+    if cap_order:
+        clean = keep_first(clean, [entity], [f"_order_{i}" for i in range(len(cap_order))])
+    one_per_entity = clean.select(entity, *cap_columns)
     rows = ensemble.where(F.col(period) == at).select(entity, future, clean_number(value).alias(value))
     joined = lookup_join(rows.where(F.col(value).isNotNull()), one_per_entity, [entity])
     return joined.where(F.coalesce(*cap_columns).isNotNull())
@@ -52,11 +55,14 @@ def cap_share(
     keep_caps: bool = False, cap_order: Sequence[str] | None = None,
     entity: str = "entity", future: str = "future_id", period: str = "period",
 ) -> DataFrame:
-    """Per entity the number of futures and the share strictly below each cap (NULL for a missing cap)."""
+    """Per entity the number of futures and the share strictly below each cap (NULL for a missing cap).
+
+    An ensemble has one row per (entity, future, period), so the futures of a period are counted as they come.
+    """
     rows = evaluated_futures(ensemble, caps, at, value, cap_columns, cap_order, entity, future, period)
     meets = [F.avg((F.col(value) < F.col(c)).cast("int")).alias(f"meets_{c}") for c in cap_columns]
     kept = [F.first(c).alias(f"cap_{c}") for c in cap_columns] if keep_caps else []
-    return rows.groupBy(entity).agg(F.count_distinct(future).alias("n_futures"), *meets, *kept)
+    return rows.groupBy(entity).agg(F.count(future).alias("n_futures"), *meets, *kept)
 
 
 def q1_mean(
@@ -69,12 +75,12 @@ def q1_mean(
     rows = at_period.select(entity, clean_number(value).alias("_x")).where("_x is not null")
     cut = group_quantiles(rows, [entity], "_x", [0.25], sizes=sizes).select(entity, F.col("q")[0].alias("_q1"))
     low = F.when(F.col("_x") <= F.col("_q1"), F.col("_x"))
-    return join_by_size(rows, cut, [entity], sizes.groups, "inner").groupBy(entity).agg(F.avg(low).alias(alias))
+    return lookup_join(rows, cut, [entity], "inner").groupBy(entity).agg(F.avg(low).alias(alias))
 
 
 def probability_table(
     ensemble: DataFrame, caps: DataFrame, at: int, value: str, cap_columns: Sequence[str],
-    stage: Callable[[DataFrame], DataFrame] = reliable_checkpoint,
+    stage: Callable[[DataFrame], DataFrame] = staged,
     entity: str = "entity", future: str = "future_id", period: str = "period",
 ) -> DataFrame:
     """Shares, caps and lower-quartile mean side by side, one row per evaluated entity.

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.aggregates import pearson, sample_skewness, share
 from panelforge.operators.cleaning import numeric_columns
-from panelforge.operators.grouped import group_quantiles, group_sizes, join_by_size
+from panelforge.operators.grouped import group_quantiles, group_sizes, lookup_join
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -150,7 +150,7 @@ def five_numbers(df: DataFrame, value: str, by: str, whisker: float = 1.5) -> Da
     fence = whisker * (F.col("p75") - F.col("p25"))
     v = F.col(value).cast("double")
     inside = (v >= F.col("p25") - fence) & (v <= F.col("p75") + fence)
-    ends = join_by_size(df, q, [by], sizes.groups, "inner").groupBy(by).agg(
+    ends = lookup_join(df, q, [by], "inner").groupBy(by).agg(
         F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
         F.count_if(~inside).alias("n_outside"),
     )

@@ -1,18 +1,17 @@
 """Regression on panels with Spark ML.
 
 Preprocessing is one SQL projection with fitted literals, so scaling stays inside the Catalyst plan and is
-saved with the pipeline. Elastic-net model search does not refit on the data: one pass collects the cross
-products per fold, and every penalty, fold and feature subset is solved from those small matrices. The
-chosen model is then fitted once with Spark ML.
+saved with the pipeline. Elastic-net model search is in :mod:`panelforge.operators.elastic`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.feature import PCA as SparkPCA
@@ -25,6 +24,8 @@ from panelforge.operators.profile import long_format
 
 SCALERS = ("standard", "robust", "minmax")
 PREDICTION = "prediction"
+#: Fits of one cross-validation that run side by side.
+PARALLEL_FITS = 5
 
 
 # ---------------------------------------------------------------- preprocessing
@@ -105,14 +106,14 @@ def group_encoder(df: DataFrame, group: str) -> Pipeline:
     """
     first = df.agg(F.min(group)).first()[0]
     index = StringIndexer(inputCol=group, outputCol="_gi", handleInvalid="keep").fit(df.where(F.col(group) != first))
-    return Pipeline(stages=[index, OneHotEncoder(inputCol="_gi", outputCol="_group", handleInvalid="keep", dropLast=True)])
+    return Pipeline(stages=[index, OneHotEncoder(inputCol="_gi", outputCol="_group", dropLast=True)])
 
 
 def feature_stages(df: DataFrame, features: Sequence[str], scaler: str = "standard", group: str | None = None, pca: int | None = None) -> list:
     """Unfitted or literal stages producing the vector ``_features``."""
-    scaling = fit_scaling(df, features, scaler)
-    stages: list = [scaling.stage()]
-    numeric = scaling.columns()
+    scaling = fit_scaling(df, features, scaler) if features else None
+    stages: list = [scaling.stage()] if scaling else []
+    numeric = scaling.columns() if scaling else []
     if pca:
         stages += [VectorAssembler(inputCols=numeric, outputCol="_numeric"), SparkPCA(k=pca, inputCol="_numeric", outputCol="_pcs")]
         numeric = ["_pcs"]
@@ -136,8 +137,12 @@ def elastic_net(target: str, alpha: float, l1_ratio: float, target_std: float, *
     )
 
 
+#: The trees of the reference models grow until their leaves are pure; Spark's trees end at this depth.
+FULL_DEPTH = 30
+
+
 def forest(target: str, **params) -> RandomForestRegressor:
-    return RandomForestRegressor(featuresCol="_features", labelCol=target, predictionCol=PREDICTION, **{"numTrees": 300, "maxDepth": 12, "seed": 42, **params})
+    return RandomForestRegressor(featuresCol="_features", labelCol=target, predictionCol=PREDICTION, **{"numTrees": 300, "maxDepth": FULL_DEPTH, "seed": 42, **params})
 
 
 def boosted(target: str, **params) -> GBTRegressor:
@@ -230,167 +235,44 @@ def cross_validated_mae(
     is refitted on every training part.
     """
     folds = [r["fold"] for r in df.where("fold >= 0").select("fold").distinct().orderBy("fold").collect()]
-    parts = []
-    for f in folds:
+
+    def errors(f: int) -> DataFrame:
         train = df.where(F.col("fold") < f) if kind == "time" else df.where(F.col("fold") != f)
         test = df.where(F.col("fold") == f)
         if make_estimator is None:
             scored = median_baseline(train, test, target)
         else:
             scored = fit(train, features, make_estimator(train), scaler, group).transform(test)
-        parts.append(scored.agg(*error_columns(target)).withColumn("fold", F.lit(f)))
+        return scored.agg(*error_columns(target)).withColumn("fold", F.lit(f))
+
+    # Folds are independent jobs, as in Spark's own cross-validator.
+    with ThreadPool(max(1, min(PARALLEL_FITS, len(folds)))) as pool:
+        parts = pool.map(inheritable_thread_target(df.sparkSession)(errors), folds)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-# ---------------------------------------------------------------- model search on cross products
-
-@dataclass(frozen=True)
-class CrossProducts:
-    """Sums over rows of ``[1, features, target]`` outer products, per fold."""
-
-    features: tuple[str, ...]
-    per_fold: Mapping[int, np.ndarray]
+# ---------------------------------------------------------------- ablation of any model
 
-    def total(self, folds: Sequence[int] | None = None) -> np.ndarray:
-        return sum(self.per_fold[f] for f in (self.per_fold if folds is None else folds))
+def model_ablation(train: DataFrame, test: DataFrame, features: Sequence[str], target: str, make_estimator, scaler: str = "standard", group: str | None = None) -> DataFrame:
+    """Holdout error while removing features one by one from the end of the list; entity columns stay.
 
-
-def cross_products(df: DataFrame, scaling: Scaling, target: str, fold: str | None = None) -> CrossProducts:
-    """One pass: every task reduces its Arrow batches to one small matrix per fold."""
-    width = len(scaling.features) + 2
-    rows = df.where(F.col(target).isNotNull()).select(
-        (F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"),
-        *[F.expr(scaling.expression(c)).alias(f"x{i}") for i, c in enumerate(scaling.features)],
-        F.col(target).cast("double").alias("y"),
-    )
-
-    def reduce_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for f, part in batch.groupby("fold"):
-                values = np.column_stack([np.ones(len(part)), part.drop(columns="fold").to_numpy(float)])
-                sums[f] = sums.get(f, 0.0) + values.T @ values
-        if sums:
-            yield pd.DataFrame({"fold": list(sums), "m": [list(v.ravel()) for v in sums.values()]})
-
-    partial = rows.mapInPandas(reduce_batches, "fold int, m array<double>")
-    cells = partial.select("fold", F.posexplode("m").alias("i", "v")).groupBy("fold", "i").agg(F.sum("v").alias("v"))
-    found: dict[int, np.ndarray] = {}
-    for r in cells.collect():
-        found.setdefault(r["fold"], np.zeros(width * width))[r["i"]] = r["v"]
-    return CrossProducts(tuple(scaling.features), {f: m.reshape(width, width) for f, m in found.items()})
-
-
-def _standardized(total: np.ndarray, keep: Sequence[int]):
-    """Correlation-scale normal equations of the chosen features: R, c, means, stds, target mean."""
-    n = total[0, 0]
-    cols = [k + 1 for k in keep]
-    mean, y_mean = total[0, cols] / n, total[0, -1] / n
-    cov = total[np.ix_(cols, cols)] / n - np.outer(mean, mean)
-    std = np.sqrt(np.maximum(np.diag(cov), 0.0))
-    std[std < 1e-12] = 1.0
-    c = (total[cols, -1] / n - mean * y_mean) / std
-    return cov / np.outer(std, std), c, mean, std, y_mean
-
-
-def solve_elastic_net(r: np.ndarray, c: np.ndarray, alpha: float, l1_ratio: float, start: np.ndarray | None = None, sweeps: int = 2_000) -> np.ndarray:
-    """Coordinate descent on the normal equations of standardized features."""
-    b = np.zeros(len(c)) if start is None else start.copy()
-    l1, l2 = alpha * l1_ratio, alpha * (1.0 - l1_ratio)
-    for _ in range(sweeps):
-        before = b.copy()
-        for j in range(len(b)):
-            rest = c[j] - r[j] @ b + r[j, j] * b[j]
-            b[j] = np.sign(rest) * max(abs(rest) - l1, 0.0) / (r[j, j] + l2) if r[j, j] + l2 > 0 else 0.0
-        if np.max(np.abs(b - before), initial=0.0) < 1e-10:
-            break
-    return b
-
-
-def _fold_mse(total: np.ndarray, keep: Sequence[int], b: np.ndarray, intercept: float) -> float:
-    w = np.zeros(total.shape[0])
-    w[0], w[-1] = -intercept, 1.0
-    w[[k + 1 for k in keep]] = -b
-    return float(w @ total @ w / total[0, 0])
-
-
-def elastic_net_search(
-    products: CrossProducts, l1_ratios: Sequence[float], n_alphas: int = 100, eps: float = 1e-3, features: Sequence[str] | None = None,
-) -> list[dict]:
-    """Best penalty per l1 ratio by mean squared error over expanding time folds.
-
-    Folds are those of :func:`panelforge.operators.folds.time_folds`; no data is read here.
+    ``make_estimator`` gives the estimator for a training frame, None stands for the training median. One fit per set.
     """
-    keep = [products.features.index(f) for f in (features or products.features)]
-    whole = products.total()
-    folds = sorted(f for f in products.per_fold if f >= 0)
-    out = []
-    for ratio in l1_ratios:
-        _, c_all, *_ = _standardized(whole, keep)
-        top = max(np.max(np.abs(c_all), initial=0.0), 1e-12) / max(ratio, 1e-3)
-        alphas = np.geomspace(top, top * eps, n_alphas)
-        mse = np.zeros((len(folds), n_alphas))
-        for k, f in enumerate(folds):
-            train = products.total([g for g in products.per_fold if g < f])
-            r, c, mean, std, y_mean = _standardized(train, keep)
-            b = None
-            for a, alpha in enumerate(alphas):
-                b = solve_elastic_net(r, c, alpha, ratio, b)
-                raw = b / std
-                mse[k, a] = _fold_mse(products.per_fold[f], keep, raw, y_mean - float(mean @ raw))
-        best = int(np.argmin(mse.mean(axis=0)))
-        r, c, mean, std, y_mean = _standardized(whole, keep)
-        raw = solve_elastic_net(r, c, alphas[best], ratio) / std
-        out.append({
-            "l1_ratio": float(ratio), "alpha": float(alphas[best]), "cv_mse": float(mse.mean(axis=0)[best]),
-            "coefficients": {products.features[k]: float(v) for k, v in zip(keep, raw)},
-            "intercept": float(y_mean - float(mean @ raw)),
-        })
-    return out
-
-
-def scaled_prediction(scaling: Scaling, coefficients: Mapping[str, float], intercept: float) -> Column:
-    """Prediction of a model found by the search (its coefficients are per scaled feature)."""
-    total = F.lit(float(intercept))
-    for c, b in coefficients.items():
-        total = total + F.lit(float(b)) * F.expr(scaling.expression(c))
-    return total
-
-
-def _level_errors(test: DataFrame, target: str, candidates: Mapping[str, Column]) -> dict[str, float]:
-    """Holdout MAE in level space of many linear models in one aggregate."""
-    level = F.exp(target)
-    row = test.agg(*[F.avg(F.abs(level - F.exp(p))).alias(name) for name, p in candidates.items()]).first()
-    return {name: row[name] for name in candidates}
-
-
-def l1_ratio_sweep(products: CrossProducts, scaling: Scaling, test: DataFrame, target: str, l1_ratios: Sequence[float], n_alphas: int = 100, eps: float = 1e-3) -> DataFrame:
-    """Holdout error per l1 ratio; one pass over the test rows."""
-    found = elastic_net_search(products, l1_ratios, n_alphas, eps)
-    errors = _level_errors(test, target, {f"m{i}": scaled_prediction(scaling, m["coefficients"], m["intercept"]) for i, m in enumerate(found)})
-    rows = [(m["l1_ratio"], errors[f"m{i}"], m["alpha"]) for i, m in enumerate(found)]
-    return test.sparkSession.createDataFrame(rows, "l1_ratio double, test_mae_level double, selected_alpha double")
-
-
-def feature_ablation(products: CrossProducts, scaling: Scaling, test: DataFrame, target: str, l1_ratio: float, n_alphas: int = 100, eps: float = 1e-3) -> DataFrame:
-    """Remove features one by one from the end of the list; holdout error of every remaining set."""
-    names, rows, candidates = list(products.features), [], {}
-    for k in range(len(names) + 1):
-        kept = names[: len(names) - k]
-        if kept:
-            m = elastic_net_search(products, [l1_ratio], n_alphas, eps, kept)[0]
-            candidates[f"m{k}"] = scaled_prediction(scaling, m["coefficients"], m["intercept"])
+    rows = []
+    for k in range(len(features) + 1):
+        kept = list(features[: len(features) - k])
+        if make_estimator is None:
+            scored = median_baseline(train, test, target)
+        elif not kept and not group:
+            scored = test.withColumn(PREDICTION, F.lit(train.agg(F.avg(target)).first()[0]))
         else:
-            whole = products.total()
-            candidates[f"m{k}"] = F.lit(float(whole[0, -1] / whole[0, 0]))
-        rows.append((names[len(names) - k] if k else None, k, len(kept)))
-    errors = _level_errors(test, target, candidates)
-    return test.sparkSession.createDataFrame(
-        [(*r, errors[f"m{r[1]}"]) for r in rows], "removed_feature string, n_removed int, n_features_remaining int, test_mae_level double"
-    )
+            scored = fit(train, kept, make_estimator(train), scaler, group).transform(test)
+        error = scored.agg(*error_columns(target)).first()["mae_level"]
+        rows.append((features[len(features) - k] if k else None, k, len(kept), error))
+    return test.sparkSession.createDataFrame(rows, "removed_feature string, n_removed int, n_features_remaining int, test_mae_level double")
 
 
 # ---------------------------------------------------------------- components and importances
@@ -426,12 +308,22 @@ def top_loadings(loadings: DataFrame, n: int = 10) -> DataFrame:
     return loadings.withColumn("abs_loading", F.abs("loading")).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= n)
 
 
-def component_ablation(train: DataFrame, test: DataFrame, features: Sequence[str], target: str, make_estimator, components: int, scaler: str = "standard", group: str | None = None) -> DataFrame:
-    """Holdout error while dropping the last principal component again and again."""
+def component_ablation(train: DataFrame, test: DataFrame, features: Sequence[str], target: str, make_estimator, components: int | None = None, scaler: str = "standard", group: str | None = None) -> DataFrame:
+    """Holdout error while dropping the last principal component again and again, from all of them down to one.
+
+    Filling, scaling and components are fitted once; each model takes the first k components of the same vectors.
+    """
+    from pyspark.ml.feature import VectorSlicer
+
+    components = components or len(features)
+    prepared = Pipeline(stages=feature_stages(train, features, scaler, group, pca=components)[:-1]).fit(train)
+    known, new = prepared.transform(train), prepared.transform(test)
     rows = []
     for k in range(components, 0, -1):
-        scored = fit(train, features, make_estimator(train), scaler, group, pca=k).transform(test)
-        rows.append((k, components - k, scored.agg(*error_columns(target)).first()["mae_level"]))
+        first = VectorSlicer(inputCol="_pcs", outputCol="_first", indices=list(range(k)))
+        inputs = ["_first"] + (["_group"] if group else [])
+        model = Pipeline(stages=[first, VectorAssembler(inputCols=inputs, outputCol="_features"), make_estimator(train)]).fit(known)
+        rows.append((k, components - k, model.transform(new).agg(*error_columns(target)).first()["mae_level"]))
     return test.sparkSession.createDataFrame(rows, "n_components int, removed_components int, test_mae_level double")
 
 

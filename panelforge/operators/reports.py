@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.scalar import parse_list, slugify
-from panelforge.operators.grouped import group_sizes, join_by_size, lookup_join
+from panelforge.operators.grouped import lookup_join
 
 UNCLASSIFIED = "unclassified"
-MAX_LISTED = 100_000
 
 
 def successful_members(summary: DataFrame, income: DataFrame, item: Column, entity: str = "entity") -> DataFrame:
@@ -24,17 +23,16 @@ def successful_members(summary: DataFrame, income: DataFrame, item: Column, enti
     return lookup_join(rows, groups, [entity]).withColumn("income_group", F.coalesce("income_group", F.lit(UNCLASSIFIED)))
 
 
-def frequency_report(members: DataFrame, income_groups: Sequence[str], name: str, entity: str = "entity") -> DataFrame:
-    """Count per item and, per income group, the bar-joined sorted entities.
+def frequency_report(members: DataFrame, income_groups: Sequence[str], name: str, entity: str = "entity", list_cells: bool = False) -> DataFrame:
+    """Count per item and income group; with ``list_cells`` the bar-joined sorted entities in place of the group counts.
 
-    List cells hold entities of one batch run; beyond ``MAX_LISTED`` entities use the long report, which
-    carries the same content without list cells.
+    A list cell gathers its entities in one row, so it is made on request only; the long report
+    (:func:`successful_members`) holds the same entities one per row.
     """
-    entities = members.select(entity).distinct().limit(MAX_LISTED + 1).count()
-    if entities > MAX_LISTED:
-        raise ValueError(f"more than {MAX_LISTED} entities: list cells are not usable, take successful_members() instead")
 
     def listed(group: str) -> Column:
+        if not list_cells:
+            return F.count_if(F.col("income_group") == group).alias(f"{slugify(group)}_count")
         own = F.collect_list(F.when(F.col("income_group") == group, F.col(entity)))
         return F.array_join(F.sort_array(own), "|").alias(f"{slugify(group)}_entities")
 
@@ -43,16 +41,16 @@ def frequency_report(members: DataFrame, income_groups: Sequence[str], name: str
     ).orderBy(F.desc("count"), name)
 
 
-def driver_frequency(summary: DataFrame, income: DataFrame, income_groups: Sequence[str], drivers: str = "selected_top_features", entity: str = "entity") -> DataFrame:
+def driver_frequency(summary: DataFrame, income: DataFrame, income_groups: Sequence[str], drivers: str = "selected_top_features", entity: str = "entity", list_cells: bool = False) -> DataFrame:
     """How often each driver was selected."""
-    return frequency_report(successful_members(summary, income, parse_list(drivers), entity), income_groups, "feature", entity)
+    return frequency_report(successful_members(summary, income, parse_list(drivers), entity), income_groups, "feature", entity, list_cells)
 
 
-def combination_frequency(summary: DataFrame, income: DataFrame, income_groups: Sequence[str], drivers: str = "selected_top_features", entity: str = "entity") -> DataFrame:
+def combination_frequency(summary: DataFrame, income: DataFrame, income_groups: Sequence[str], drivers: str = "selected_top_features", entity: str = "entity", list_cells: bool = False) -> DataFrame:
     """How often each set of drivers was selected, whatever their order."""
     items = F.array_sort(parse_list(drivers))
     combination = F.when(F.size(items) > 0, F.array(F.array_join(items, "|")))
-    return frequency_report(successful_members(summary, income, combination, entity), income_groups, "feature_combination", entity)
+    return frequency_report(successful_members(summary, income, combination, entity), income_groups, "feature_combination", entity, list_cells)
 
 
 def figure_trajectories(
@@ -82,8 +80,7 @@ def figure_distribution(labelled: DataFrame, end: str, reference: str, bins: int
         F.min(end).alias("_lo"), F.max(end).alias("_hi"), F.min(reference).alias("_ref_min"), F.max(reference).alias("_ref_max")
     )
     same = F.abs(F.col("_ref_max") - F.col("_ref_min")) <= 1e-8 + 1e-5 * F.abs("_ref_min")
-    entities = group_sizes(rows, [entity]).groups
-    joined = join_by_size(rows.select(entity, F.col(end).alias("_v")), ends, [entity], entities, "inner")
+    joined = lookup_join(rows.select(entity, F.col(end).alias("_v")), ends, [entity], "inner")
     offset = F.try_divide((F.col("_v") - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo"))
     bin_no = F.least(F.floor(F.coalesce(offset, F.lit(0.0))), F.lit(bins - 1)).cast("int")
     return joined.groupBy(entity, bin_no.alias("bin")).agg(

@@ -1,4 +1,7 @@
-"""Summaries of one future's trajectory: a single aggregate over all futures of all entities."""
+"""Summaries of one future's trajectory: a single aggregate over all futures of all entities.
+
+An ensemble has one row per (entity, future, period), so periods are counted as they come.
+"""
 
 from __future__ import annotations
 
@@ -48,7 +51,7 @@ def summarize_full(
         rows = rows.withColumns({f"_step_{c}": F.col(c) - F.last(c, ignorenulls=True).over(before) for c in stepped})
     return rows.groupBy(entity, future).agg(
         F.min(period).alias("period_start"), F.max(period).alias("period_end"),
-        F.count_distinct(period).alias("n_periods"),
+        F.count(period).alias("n_periods"),
         *[_statistic(s, c, period).alias(f"{c}__{s}") for c in columns for s in stats[c]],
     )
 
@@ -60,7 +63,7 @@ def summarize_change(
     """Start, last, delta and relative (or, for 0/1 kinds, absolute) change between two periods."""
     at = {"start": start, "last": end}
     ends = ensemble.groupBy(entity, future).agg(
-        F.count_distinct(period).alias("n_periods"),
+        F.count(period).alias("n_periods"),
         *[F.max(F.when(F.col(period) == t, F.col(c).cast("double"))).alias(f"_{k}_{c}") for c in columns for k, t in at.items()],
     )
     out = [F.lit(start).alias("period_start"), F.lit(end).alias("period_end"), F.col("n_periods")]
@@ -80,7 +83,7 @@ def summarize(ensemble: DataFrame, columns: Sequence[str], rules: Rulebook, mode
         return summarize_full(ensemble, columns, rules, **names)
     if mode == "pct_change":
         return summarize_change(ensemble, columns, rules, start, end, **names)
-    raise ValueError(f"Unsupported mode '{mode}'. Expected one of: full, pct_change.")
+    raise ValueError(f"no trajectory summary is called {mode!r}; there are 'full' and 'pct_change'")
 
 
 def pivot_periods(

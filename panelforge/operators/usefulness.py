@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from panelforge.operators.folds import group_folds
 from panelforge.operators.profile import within_group_std
 from panelforge.operators.regression import boosted, cross_validated_mae, medians
-from panelforge.session import reliable_checkpoint
+from panelforge.session import staged
 
 # Penalties tried by default.
 ALPHAS = tuple(float(a) for a in np.logspace(-3, 3, 25))
@@ -159,9 +159,9 @@ def feature_usefulness(
     features = [period, feature]
     center = medians(df, features)
     filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(center[c])) for c in features})
-    folded = reliable_checkpoint(group_folds(filled.select(entity, period, feature, target), splits, entity))
+    folded = staged(group_folds(filled.select(entity, period, feature, target), splits, entity))
     ridge = FixedEffectRidge(
-        reliable_checkpoint(entity_moments(folded, features, target, center, entity)), features, entity, alphas
+        staged(entity_moments(folded, features, target, center, entity)), features, entity, alphas
     )
     folds = sorted(ridge.total)
     out = {"median_within_group_std": within_group_std(df, [feature], entity).first()["median_within_std"]}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.scalar import compare_close
 from panelforge.operators.cleaning import reference_dimension
-from panelforge.operators.grouped import GroupSizes, group_quantiles, group_sizes, join_by_size, lookup_join
+from panelforge.operators.grouped import GroupSizes, group_quantiles, group_sizes, lookup_join
 from panelforge.operators.trajectory import pivot_periods
 
 
@@ -32,7 +32,7 @@ def balancing_threshold(df: DataFrame, value: str, entity: str = "entity", sizes
     middle = group_quantiles(rows, [entity], "_v", [0.5], discrete=True, sizes=sizes).select(
         entity, "n", F.col("q")[0].alias("_m")
     )
-    around = join_by_size(per_value, middle, [entity], sizes.groups, "inner").groupBy(entity).agg(
+    around = lookup_join(per_value, middle, [entity], "inner").groupBy(entity).agg(
         F.first("n").alias("n"), F.first("_m").alias("_m"), F.min("_v").alias("_min"),
         F.sum(F.when(F.col("_v") < F.col("_m"), F.col("_c")).otherwise(0)).alias("_below"),
         F.max(F.when(F.col("_v") == F.col("_m"), F.col("_c"))).alias("_at"),
@@ -65,14 +65,17 @@ def label_futures(
         return wide.withColumn("vulnerability_indicator", indicator(F.col(last) > F.col(first)))
     sizes = group_sizes(ensemble.where(F.col(period) == end), [entity])
     threshold = balancing_threshold(wide, last, entity, sizes)
-    return join_by_size(wide, threshold, [entity], sizes.groups).withColumn(
+    return lookup_join(wide, threshold, [entity]).withColumn(
         "vulnerability_indicator", indicator(F.col(last) > F.col("vulnerability_threshold"))
     ).select(entity, future, first, last, "vulnerability_threshold", "vulnerability_indicator")
 
 
 def attach_caps(labelled: DataFrame, caps: DataFrame, cap: str, alias: str = "cap", order: Sequence[str] | None = None, entity: str = "entity") -> DataFrame:
-    """Left join of one cap per entity, keys matched in upper case."""
-    dimension = reference_dimension(caps, entity, [cap], order or [cap])
+    """Left join of one cap per entity, keys matched in upper case.
+
+    ``order`` (file position, date) picks the row that counts where an entity has several; without it the caps hold one each.
+    """
+    dimension = reference_dimension(caps, entity, [cap], order)
     dimension = dimension.select(entity, F.col(cap).try_cast("double").alias(alias))
     return lookup_join(labelled.withColumn(entity, F.upper(entity)), dimension, [entity])
 
@@ -109,4 +112,4 @@ def class_balance(labelled: DataFrame, label: str = "vulnerability_indicator", e
         F.count_if(F.col(label) == 1).alias("class_1"),
     )
     usable = (F.col("class_0") > 0) & (F.col("class_1") > 0)
-    return counts.withColumn("status", F.when(usable, "trained").otherwise("skipped_insufficient_rows_or_classes"))
+    return counts.withColumn("status", F.when(usable, "both_classes").otherwise("one_class"))

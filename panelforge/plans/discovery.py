@@ -12,9 +12,12 @@ from panelforge.functions.scalar import ordered_union
 from panelforge.operators import boxes, drivers, reports, vulnerability
 from panelforge.operators.rules import Rulebook
 from panelforge.operators.trajectory import summarize
-from panelforge.session import reliable_checkpoint
+from panelforge.session import staged
 
 LABEL = "vulnerability_indicator"
+# Why an entity could not be analysed.
+NO_FUTURES, NO_END = "entity has no futures", "no future reaches the end period"
+ONE_LABEL, NO_DRIVERS, NO_BOXES = "all futures carry one label", "no driver could be ranked", "complete futures carry one label"
 
 
 @dataclass(frozen=True)
@@ -73,12 +76,12 @@ def search_boxes(box_input: DataFrame, slots: int, config: DiscoveryConfig) -> D
     sides = boxes.cutoffs(box_input, config.quantile_levels)
     grid = boxes.grid_search(box_input, slots, config.quantile_levels, sides)
     best = boxes.select_best(boxes.pareto(grid, slots), slots, min_density=config.min_density, min_coverage=config.min_coverage)
-    return boxes.with_cutoffs(best, sides[0], config.quantile_levels, slots)
+    return boxes.with_cutoffs(best, sides, config.quantile_levels, slots)
 
 
 def discover(
     projected: DataFrame, ensemble: DataFrame, config: DiscoveryConfig, requested: DataFrame | None = None, caps: DataFrame | None = None,
-    stage: Callable[[DataFrame], DataFrame] = reliable_checkpoint,
+    stage: Callable[[DataFrame], DataFrame] = staged,
 ) -> DiscoveryResult:
     """Label, summarize, rank drivers and search boxes; the entity is a key, not a loop variable.
 
@@ -114,11 +117,11 @@ def run_summary(merged: DataFrame, chosen: DataFrame, pareto: DataFrame, config:
     )
     out = requested.select("entity").distinct().join(facts, "entity", "left").join(chosen, "entity", "left").join(best, "entity", "left")
     error = (
-        F.when(F.col("_n_end").isNull(), F.concat(F.lit("No projected data found for entity "), "entity"))
-        .when(F.col("_n_end") == 0, F.lit(f"Period {end} has no valid numeric values"))
-        .when(F.col("_classes") < 2, F.lit("Labels contain a single class"))
-        .when(F.col("drivers").isNull(), F.lit("No feature importance results"))
-        .when(F.col("n_optimization_rows").isNull(), F.lit("No rows with both classes remain after dropping missing values"))
+        F.when(F.col("_n_end").isNull(), F.lit(NO_FUTURES))
+        .when(F.col("_n_end") == 0, F.lit(NO_END))
+        .when(F.col("_classes") < 2, F.lit(ONE_LABEL))
+        .when(F.col("drivers").isNull(), F.lit(NO_DRIVERS))
+        .when(F.col("n_optimization_rows").isNull(), F.lit(NO_BOXES))
     )
     ok = error.isNull()
     compare = vulnerability.compare_close
@@ -136,9 +139,9 @@ def run_summary(merged: DataFrame, chosen: DataFrame, pareto: DataFrame, config:
     )
 
 
-def batch_reports(result: DiscoveryResult, income: DataFrame, income_groups: Sequence[str]) -> dict[str, DataFrame]:
+def batch_reports(result: DiscoveryResult, income: DataFrame, income_groups: Sequence[str], list_cells: bool = False) -> dict[str, DataFrame]:
     return {
         "run_summary": result.run_summary.orderBy("entity"),
-        "top_variable_frequency_report": reports.driver_frequency(result.run_summary, income, income_groups),
-        "top_variable_combination_frequency_report": reports.combination_frequency(result.run_summary, income, income_groups),
+        "top_variable_frequency_report": reports.driver_frequency(result.run_summary, income, income_groups, list_cells=list_cells),
+        "top_variable_combination_frequency_report": reports.combination_frequency(result.run_summary, income, income_groups, list_cells=list_cells),
     }

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.operators import boxes, drivers, reports, trajectory, vulnerability
-from panelforge.plans.discovery import DiscoveryConfig, DiscoveryResult, batch_reports, discover, features_of, merge_futures, search_boxes
+from panelforge.plans.discovery import NO_BOXES, NO_DRIVERS, NO_END, NO_FUTURES, ONE_LABEL, DiscoveryConfig, DiscoveryResult, batch_reports, discover, features_of, merge_futures, search_boxes
 from panelforge.plans.inputs import RULES, income_groups, nation_caps, observed_futures, table, with_sql
 from panelforge.plans.registry import query, r, rounded
-from panelforge.session import reliable_checkpoint
+from panelforge.session import staged
 
 START, END = 1996, 2000
 DRIVERS = ["n_orders", "has_urgent", "cum_orders", "any_finished", "max_order"]
@@ -111,7 +111,7 @@ def threshold_vs_reference(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("class_balance", with_sql("futures", WIDE_SQL, THRESHOLD_SQL) + """
 SELECT entity, count(*) AS n_rows, count(*) FILTER (WHERE label = 0) AS class_0, count(*) FILTER (WHERE label = 1) AS class_1,
-  CASE WHEN count(DISTINCT label) = 2 THEN 'trained' ELSE 'skipped_insufficient_rows_or_classes' END AS status FROM lab GROUP BY entity""")
+  CASE WHEN count(DISTINCT label) = 2 THEN 'both_classes' ELSE 'one_class' END AS status FROM lab GROUP BY entity""")
 def class_balance(spark: SparkSession, sf: str) -> DataFrame:
     return vulnerability.class_balance(labelled(spark, sf))
 
@@ -187,7 +187,7 @@ BOX_OUT = f"""n, n1, total1, {r("coverage", "coverage")}, {r("density", "density
 
 def box_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Box input, written once because sizes, cutoffs and cells all read it."""
-    return reliable_checkpoint(boxes.box_input(merged(spark, sf), [A, B]))
+    return staged(boxes.box_input(merged(spark, sf), [A, B]))
 
 
 @query("box_grid", with_sql(*BASE, GRID_SQL) + f"SELECT entity, CAST(l0 AS INTEGER) AS l0, CAST(l1 AS INTEGER) AS l1, n, n1, total1, {r('coverage', 'coverage')}, {r('density', 'density')} FROM box")
@@ -199,7 +199,7 @@ def box_grid(spark: SparkSession, sf: str) -> DataFrame:
 def box_pareto(spark: SparkSession, sf: str) -> DataFrame:
     rows = box_rows(spark, sf)
     sides = boxes.cutoffs(rows, LEVELS)
-    return rounded(boxes.with_cutoffs(boxes.pareto(boxes.grid_search(rows, 2, LEVELS, sides), 2), sides[0], LEVELS, 2))
+    return rounded(boxes.with_cutoffs(boxes.pareto(boxes.grid_search(rows, 2, LEVELS, sides), 2), sides, LEVELS, 2))
 
 
 @query("box_selected", with_sql(*BASE, SELECT_SQL) + f"""SELECT entity, {BOX_OUT}, chosen AS selected_solution,
@@ -208,6 +208,51 @@ def box_selected(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(search_boxes(box_rows(spark, sf), 2, CONFIG))
 
 
+def search_sql(slots: int, probs: list[float]) -> str:
+    """CTEs from ``slotted`` (entity, future_id, label, slot, driver, value) to ``box``, ``par`` and ``sel``, for any number of slots."""
+    ls, last = [f"l{j}" for j in range(slots)], len(probs) - 1
+    inner = "cells"
+    for j in range(slots):
+        inner = f"(SELECT *, unnest(CASE WHEN c{j} IS NULL THEN [-1] ELSE range(c{j}, {len(probs)}) END) AS l{j} FROM {inner})"
+    return f"""
+need AS (SELECT entity, count(DISTINCT slot) AS k FROM slotted GROUP BY 1),
+whole AS (SELECT s.entity, future_id FROM slotted s JOIN need ON s.entity = need.entity WHERE label IS NOT NULL GROUP BY s.entity, future_id, k HAVING count(value) = k),
+pt AS (SELECT s.* FROM slotted s JOIN whole w ON s.entity = w.entity AND s.future_id = w.future_id),
+usable AS (SELECT entity, sum(label)::BIGINT AS total1 FROM pt WHERE slot = 0 GROUP BY entity HAVING count(DISTINCT label) = 2),
+side AS (SELECT entity, slot, any_value(driver) AS driver, {cmp_sql("value")} AS cmp, list(value ORDER BY value) AS l FROM pt GROUP BY entity, slot),
+lev AS (SELECT CAST(i AS INTEGER) AS i, ([{", ".join(f"{p!r}::DOUBLE" for p in probs)}])[i + 1] AS p FROM generate_series(0, {last}) t(i)),
+cuts AS (SELECT entity, slot, driver, cmp, p, CASE WHEN cmp = '>' THEN {last} - i ELSE i END AS level, {quantile_sql("l", "len(l)", "p")} AS v FROM side, lev),
+cell AS (SELECT pt.entity, future_id, label, pt.slot, min(level) AS c FROM pt JOIN cuts ON pt.entity = cuts.entity AND pt.slot = cuts.slot
+  AND CASE cmp WHEN '<' THEN value < v WHEN '<=' THEN value <= v ELSE value > v END GROUP BY 1, 2, 3, 4),
+cells AS (SELECT c.entity, label, {", ".join(f"max(CASE WHEN slot = {j} THEN c END) AS c{j}" for j in range(slots))} FROM cell c JOIN need ON c.entity = need.entity GROUP BY c.entity, future_id, label, k HAVING count(*) = k),
+box AS (SELECT g.entity, {", ".join(ls)}, count(*) AS n, sum(label)::BIGINT AS n1, any_value(total1) AS total1, sum(label)::DOUBLE / any_value(total1) AS coverage, sum(label)::DOUBLE / count(*) AS density
+  FROM {inner} g JOIN usable u ON g.entity = u.entity GROUP BY g.entity, {", ".join(ls)}),
+one AS (SELECT * FROM box QUALIFY row_number() OVER (PARTITION BY entity, coverage, density ORDER BY {", ".join(ls)}) = 1),
+par AS (SELECT * EXCLUDE (best) FROM (SELECT *, max(density) OVER (PARTITION BY entity ORDER BY coverage DESC, density DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM one) WHERE best IS NULL OR density > best),
+tier AS (SELECT *, CASE {" ".join(f"WHEN density >= {t} AND coverage >= 0.6 THEN {i}" for i, t in enumerate(TIERS))} WHEN density >= 0.6 THEN 6 WHEN coverage >= 0.6 THEN 7 ELSE 8 END AS tier FROM par),
+sel AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY tier, CASE WHEN tier = 7 THEN density ELSE coverage END DESC, CASE WHEN tier = 7 THEN coverage ELSE density END DESC, {", ".join(ls)}) = 1 AS chosen FROM tier)"""
+
+
+FOUR, FOUR_LEVELS = [A, B, "max_order__last", "has_urgent__last"], boxes.levels(0.1, 0.9, 0.1)
+FOUR_SQL = "slotted AS (" + " UNION ALL ".join(f"SELECT entity, future_id, label, {j} AS slot, '{d}' AS driver, CAST({d} AS DOUBLE) AS value FROM merged" for j, d in enumerate(FOUR)) + "),\n" + search_sql(4, FOUR_LEVELS).strip()
+
+
+@query("box_grid_four_drivers", with_sql(*BASE, FOUR_SQL) + f"SELECT entity, {', '.join(f'CAST(l{j} AS INTEGER) AS l{j}' for j in range(4))}, n, n1, total1, {r('coverage', 'coverage')}, {r('density', 'density')} FROM box")
+def box_grid_four_drivers(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(boxes.grid_search(staged(boxes.box_input(merged(spark, sf), FOUR)), 4, FOUR_LEVELS))
+
+
+@query("box_selected_four_drivers", with_sql(*BASE, FOUR_SQL) + "SELECT sel.entity, n, n1, total1, " + f"{r('coverage', 'coverage')}, {r('density', 'density')}, " + ", ".join(
+    f"q{j}.driver AS driver_{j}, q{j}.p AS quantile_{j}, {r(f'q{j}.v', f'cutoff_{j}')}, q{j}.cmp AS cmp_{j}" for j in range(4)) + f""", chosen AS selected_solution,
+  CASE WHEN chosen AND tier < 6 THEN ({TIERS}::DOUBLE[])[tier + 1] END AS selected_density_threshold, CASE WHEN chosen THEN 0.6::DOUBLE END AS selected_coverage_threshold
+FROM sel """ + " ".join(f"JOIN cuts q{j} ON sel.entity = q{j}.entity AND q{j}.slot = {j} AND q{j}.level = l{j}" for j in range(4)))
+def box_selected_four_drivers(spark: SparkSession, sf: str) -> DataFrame:
+    from dataclasses import replace
+
+    rows = staged(boxes.box_input(merged(spark, sf), FOUR))
+    return rounded(search_boxes(rows, 4, replace(CONFIG, quantile_levels=tuple(FOUR_LEVELS))))
+
+
 @query("figure_box_points", with_sql(*BASE, SELECT_SQL) + """
 , c AS (SELECT * FROM sel WHERE chosen)
 SELECT pt.entity, future_id, label, CAST(0 AS INTEGER) AS x_slot, CAST(1 AS INTEGER) AS y_slot, a AS x, b AS y,
@@ -215,7 +260,7 @@ SELECT pt.entity, future_id, label, CAST(0 AS INTEGER) AS x_slot, CAST(1 AS INTE
 FROM pt JOIN c ON pt.entity = c.entity""")
 def figure_box_points(spark: SparkSession, sf: str) -> DataFrame:
     rows = box_rows(spark, sf)
-    return reports.figure_box_points(boxes.membership(rows, reliable_checkpoint(search_boxes(rows, 2, CONFIG)), 2), 2)
+    return reports.figure_box_points(boxes.membership(rows, staged(search_boxes(rows, 2, CONFIG)), 2), 2)
 
 
 # ------------------------------------------------------------ drivers and reports
@@ -235,46 +280,104 @@ imp AS (SELECT entity, feature, gain, coalesce(gain / nullif(sum(gain) OVER (PAR
 
 @query("driver_gini", with_sql(*BASE, GINI_SQL) + f"SELECT entity, feature, {r('gain', 'gain')}, {r('importance', 'importance')} FROM imp")
 def driver_gini(spark: SparkSession, sf: str) -> DataFrame:
-    frame = reliable_checkpoint(merged(spark, sf))
+    frame = staged(merged(spark, sf))
     return rounded(drivers.driver_gini(frame, features_of(frame)))
 
 
-TOP_SQL = GINI_SQL + """,
+def top_sql(k: int) -> str:
+    return GINI_SQL + f""",
 std AS (SELECT entity, split_part(feature, '__', 1) AS driver, max(round(importance, 9)) AS importance FROM imp GROUP BY 1, 2),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY importance DESC, driver) AS rank FROM std) WHERE rank <= 2)"""
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY importance DESC, driver) AS rank FROM std) WHERE rank <= {k})"""
 
 
-@query("top_drivers", with_sql(*BASE, TOP_SQL) + f"SELECT entity, driver, {r('importance', 'importance')}, CAST(rank AS INTEGER) AS rank FROM top")
+@query("top_drivers", with_sql(*BASE, top_sql(3)) + f"SELECT entity, driver, {r('importance', 'importance')}, CAST(rank AS INTEGER) AS rank FROM top")
 def top_drivers(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(drivers.top_drivers(ranked(spark, sf), 2))
+    frame = staged(merged(spark, sf))
+    return rounded(drivers.top_drivers(drivers.driver_gini(frame, features_of(frame)), 3))
 
 
-def ranked(spark: SparkSession, sf: str) -> DataFrame:
-    """Importances rounded, so that equal gains stay ties in every engine."""
-    frame = reliable_checkpoint(merged(spark, sf))
-    return drivers.driver_gini(frame, features_of(frame)).withColumn("importance", F.round("importance", 9))
+# ------------------------------------------------------------ whole batch
 
+def whole_batch(spark: SparkSession, sf: str, **changes) -> DiscoveryResult:
+    """All nations and one that does not occur, against one cap per nation."""
+    from dataclasses import replace
 
-def run_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Summary rows as a batch run leaves them, one entity in nine marked as failed."""
-    top = drivers.top_drivers(ranked(spark, sf), 2).groupBy("entity").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "driver"))), lambda x: x["driver"]), "|").alias("selected_top_features")
-    )
-    failed = F.substring_index("entity", "_", -1).cast("int") % 9 == 5
-    return reliable_checkpoint(top.withColumn("status", F.when(failed, "error").otherwise("success")))
+    futures = observed_futures(spark, sf)
+    caps = nation_caps(spark, sf).groupBy("entity").agg((F.min("cap_value") * 60).alias("cap"))
+    wanted = table(spark, sf, "nation", ["n_name"]).select(F.col("n_name").alias("entity")).unionByName(spark.range(1).select(F.lit("NATION_X").alias("entity")))
+    return discover(futures, futures, replace(CONFIG, **changes), wanted, caps)
+
+
+def batch_sql(k: int, extra: tuple[str, ...] = (), probs: list[float] = LEVELS) -> str:
+    """CTEs of a whole batch down to ``run``: one row per requested entity as the summary has it, drivers also as lists."""
+    slots = k + len(extra)
+    added = "".join(f" UNION ALL SELECT entity, '{e}', {k + i + 1} FROM (SELECT DISTINCT entity FROM top) WHERE (entity, '{e}') NOT IN (SELECT (entity, driver) FROM top)" for i, e in enumerate(extra))
+    last = " UNION ALL ".join(f"SELECT entity, future_id, label, '{c}' AS driver, CAST({c}__last AS DOUBLE) AS value FROM merged" for c in DRIVERS)
+    return top_sql(k) + f""",
+chosen_drivers AS (SELECT entity, driver, row_number() OVER (PARTITION BY entity ORDER BY rank) - 1 AS slot FROM (SELECT entity, driver, rank FROM top{added})),
+lastv AS ({last}),
+slotted AS (SELECT v.entity, future_id, label, slot, v.driver, value FROM lastv v JOIN chosen_drivers d ON v.entity = d.entity AND v.driver = d.driver),
+{search_sql(slots, probs).strip()},
+wanted AS (SELECT n_name AS entity FROM nation UNION ALL SELECT 'NATION_X'),
+one_cap AS (SELECT upper(entity) AS entity, min(cap_value) * 60 AS cap FROM nation_caps GROUP BY 1),
+facts AS (SELECT lab.entity, count(y2) AS n_end, count(DISTINCT label) AS classes, max(t) AS t, CASE WHEN abs(max(y1) - min(y1)) <= 1e-8 + 1e-5 * abs(min(y1)) THEN min(y1) END AS s, max(cap) AS c
+  FROM lab LEFT JOIN one_cap ON lab.entity = one_cap.entity GROUP BY lab.entity),
+names AS (SELECT entity, array_to_string(list(driver ORDER BY slot) FILTER (WHERE slot < least({k}, tops)), '|') AS top, array_to_string(list(driver ORDER BY slot), '|') AS used
+  FROM chosen_drivers JOIN (SELECT entity AS e, count(*) AS tops FROM top GROUP BY 1) ON entity = e GROUP BY entity),
+best AS (SELECT entity, count(*) AS rows_kept, max(CASE WHEN chosen THEN coverage END) AS coverage, max(CASE WHEN chosen THEN density END) AS density, max(CASE WHEN chosen THEN tier END) AS tier FROM sel GROUP BY entity),
+run AS (SELECT w.entity, CASE WHEN n_end IS NULL THEN '{NO_FUTURES}' WHEN n_end = 0 THEN '{NO_END}' WHEN classes < 2 THEN '{ONE_LABEL}' WHEN top IS NULL THEN '{NO_DRIVERS}' WHEN rows_kept IS NULL THEN '{NO_BOXES}' END AS error,
+    t, s, c, coverage, density, tier, top, used, coalesce(rows_kept, 0) AS rows_kept
+  FROM wanted w LEFT JOIN facts ON w.entity = facts.entity LEFT JOIN names ON w.entity = names.entity LEFT JOIN best ON w.entity = best.entity)"""
+
+
+def compare_sql(value: str, reference: str) -> str:
+    return f"CASE WHEN error IS NOT NULL OR {value} IS NULL OR {reference} IS NULL THEN NULL WHEN abs({value} - {reference}) <= 1e-8 + 1e-5 * abs({reference}) THEN 'equal' WHEN {value} > {reference} THEN 'above' ELSE 'below' END"
+
+
+SUMMARY_OUT = f"""SELECT entity, CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status, true AS auto_threshold, CASE WHEN error IS NULL THEN t END AS vulnerability_threshold,
+  {compare_sql("t", "s")} AS threshold_vs_start, {compare_sql("t", "c")} AS threshold_vs_cap, {r("coverage", "selected_coverage")}, {r("density", "selected_density")},
+  CASE WHEN tier < 6 THEN ({TIERS}::DOUBLE[])[tier + 1] END AS selected_density_threshold, CASE WHEN tier IS NOT NULL THEN 0.6::DOUBLE END AS selected_coverage_threshold,
+  density < 0.6 AS selected_density_below_min, coverage < 0.6 AS selected_coverage_below_min,
+  CASE WHEN error IS NULL THEN top ELSE '' END AS selected_top_features, CASE WHEN error IS NULL THEN used ELSE '' END AS features_for_optimization, rows_kept AS n_optimization_rows, error FROM run"""
+
+
+@query("discovery_all_entities", with_sql(*BASE, "nation_caps", batch_sql(2)) + SUMMARY_OUT)
+def discovery_all_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(whole_batch(spark, sf).run_summary)
+
+
+EXTRA = ("max_order",)
+
+
+@query("discovery_extra_feature", with_sql(*BASE, "nation_caps", batch_sql(3, EXTRA, FOUR_LEVELS)) + SUMMARY_OUT)
+def discovery_extra_feature(spark: SparkSession, sf: str) -> DataFrame:
+    """Three ranked drivers and a given one: boxes over up to four."""
+    return rounded(whole_batch(spark, sf, top_k=3, extra_features=EXTRA, quantile_levels=tuple(FOUR_LEVELS)).run_summary)
 
 
-RUN_SQL = TOP_SQL + """,
-run AS (SELECT entity, list(driver ORDER BY rank) AS ds FROM top GROUP BY entity HAVING CAST(split_part(entity, '_', 2) AS INTEGER) % 9 <> 5),
-grp AS (SELECT run.entity, ds, coalesce(income_group, 'unclassified') AS g FROM run LEFT JOIN income ON run.entity = income.entity)"""
+# ------------------------------------------------------------ reports
 
+def run_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The summary of a whole batch, with the statuses it came to."""
+    return staged(whole_batch(spark, sf).run_summary.select("entity", "status", "selected_top_features"))
+
+
+RUN_SQL = batch_sql(2) + """,
+grp AS (SELECT run.entity, string_split(top, '|') AS ds, coalesce(income_group, 'unclassified') AS g FROM run LEFT JOIN income ON run.entity = income.entity WHERE error IS NULL)"""
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE"]
 
 
 def region_names(spark: SparkSession, sf: str) -> list[str]:
     return sorted(row[0] for row in income_groups(spark, sf).select("income_group").distinct().collect())
 
 
-@query("driver_frequency", with_sql(*BASE, "income", RUN_SQL) + """
+def list_cells_sql(item: str, rows: str) -> str:
+    """A report with one list cell per region, from rows (item, g, entity)."""
+    cells = [f"coalesce(string_agg(entity, '|' ORDER BY entity) FILTER (WHERE g = '{g}'), '') AS {g.lower()}_entities" for g in [*REGIONS, "unclassified"]]
+    return f"SELECT {item}, count(*) AS count, {', '.join(cells)} FROM {rows} GROUP BY 1"
+
+
+@query("driver_frequency", with_sql(*BASE, "nation_caps", "income", RUN_SQL) + """
 SELECT feature, g AS income_group, count(*) AS count, string_agg(entity, '|' ORDER BY entity) AS entities FROM (SELECT unnest(ds) AS feature, g, entity FROM grp) GROUP BY 1, 2""")
 def driver_frequency(spark: SparkSession, sf: str) -> DataFrame:
     members = reports.successful_members(run_rows(spark, sf), income_groups(spark, sf), reports.parse_list("selected_top_features"))
@@ -283,50 +386,36 @@ def driver_frequency(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("driver_frequency_report")
+@query("driver_frequency_report", with_sql(*BASE, "nation_caps", "income", RUN_SQL) + list_cells_sql("feature", "(SELECT unnest(ds) AS feature, g, entity FROM grp)"))
 def driver_frequency_report(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.driver_frequency(run_rows(spark, sf), income_groups(spark, sf), region_names(spark, sf))
+    return reports.driver_frequency(run_rows(spark, sf), income_groups(spark, sf), region_names(spark, sf), list_cells=True)
 
 
-COMBO_SQL = """
-, combo AS (SELECT array_to_string(list_sort(ds), '|') AS feature_combination, g, entity FROM grp)
-SELECT feature_combination, count(*) AS count, coalesce(string_agg(entity, '|' ORDER BY entity) FILTER (WHERE g = 'unclassified'), '') AS unclassified_entities FROM combo GROUP BY 1"""
+COMBO_SQL = "(SELECT array_to_string(list_sort(ds), '|') AS feature_combination, g, entity FROM grp)"
 
 
-@query("driver_combination_frequency", with_sql(*BASE, "income", RUN_SQL) + COMBO_SQL)
+@query("driver_combination_frequency", with_sql(*BASE, "nation_caps", "income", RUN_SQL) + "SELECT feature_combination, count(*) AS count, " + ", ".join(
+    f"count(*) FILTER (WHERE g = '{g}') AS {g.lower()}_count" for g in [*REGIONS, "unclassified"]) + f" FROM {COMBO_SQL} GROUP BY 1")
 def driver_combination_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    out = reports.combination_frequency(run_rows(spark, sf), income_groups(spark, sf), region_names(spark, sf))
-    return out.select("feature_combination", "count", "unclassified_entities")
+    return reports.combination_frequency(run_rows(spark, sf), income_groups(spark, sf), region_names(spark, sf))
 
 
-@query("top_combinations", with_sql(*BASE, "income", RUN_SQL) + ", c AS (SELECT array_to_string(list_sort(ds), '|') AS feature_combination, count(*) AS count FROM grp GROUP BY 1) SELECT * FROM c WHERE count = (SELECT max(count) FROM c)")
+@query("top_combinations", with_sql(*BASE, "nation_caps", "income", RUN_SQL) + f", c AS (SELECT feature_combination, count(*) AS count FROM {COMBO_SQL} GROUP BY 1) SELECT * FROM c WHERE count = (SELECT max(count) FROM c)")
 def top_combinations(spark: SparkSession, sf: str) -> DataFrame:
     from panelforge.operators.profile import tied_for_most
 
     return tied_for_most(driver_combination_frequency(spark, sf).select("feature_combination", "count"))
 
 
-# ------------------------------------------------------------ whole batch and figures
-
-def whole_batch(spark: SparkSession, sf: str, **changes) -> DiscoveryResult:
-    from dataclasses import replace
-
-    futures = observed_futures(spark, sf)
-    caps = nation_caps(spark, sf).groupBy("entity").agg((F.min("cap_value") * 60).alias("cap"))
-    wanted = table(spark, sf, "nation", ["n_name"]).select(F.col("n_name").alias("entity")).unionByName(spark.range(1).select(F.lit("NATION_X").alias("entity")))
-    return discover(futures, futures, replace(CONFIG, **changes), wanted, caps)
-
-
-@query("discovery_all_entities")
-def discovery_all_entities(spark: SparkSession, sf: str) -> DataFrame:
-    return whole_batch(spark, sf).run_summary
-
-
-@query("discovery_reports")
+@query("discovery_reports", with_sql(*BASE, "nation_caps", "income", batch_sql(3, EXTRA, FOUR_LEVELS)) + f""",
+grp AS (SELECT run.entity, string_split(top, '|') AS ds, coalesce(income_group, 'unclassified') AS g FROM run LEFT JOIN income ON run.entity = income.entity WHERE error IS NULL)
+{list_cells_sql("feature_combination", COMBO_SQL)}""")
 def discovery_reports(spark: SparkSession, sf: str) -> DataFrame:
-    result = whole_batch(spark, sf, extra_features=("max_order",))
-    return batch_reports(result, income_groups(spark, sf), region_names(spark, sf))["top_variable_combination_frequency_report"]
+    result = whole_batch(spark, sf, top_k=3, extra_features=EXTRA, quantile_levels=tuple(FOUR_LEVELS))
+    return batch_reports(result, income_groups(spark, sf), region_names(spark, sf), list_cells=True)["top_variable_combination_frequency_report"]
+
 
+# ------------------------------------------------------------ figures
 
 @query("figure_trajectories", with_sql("futures", "nation_caps") + """
 , hist AS (SELECT entity, period, CAST(floor(avg(value)) AS DOUBLE) AS value FROM futures GROUP BY 1, 2),

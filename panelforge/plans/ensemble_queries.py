@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelforge.operators.ensemble import EnsembleConfig, generate_ensemble, trend_line
 from panelforge.operators.profile import long_format
-from panelforge.operators.rules import category_column
+from panelforge.operators.rules import apply_rules, category_column
 from panelforge.plans.inputs import (
     CONSTRAINED,
     DRIFT,
@@ -17,6 +17,7 @@ from panelforge.plans.inputs import (
     RULES,
     SCENARIOS,
     VARIABLES,
+    observed_futures,
     supplier_panel,
     with_sql,
 )
@@ -180,3 +181,14 @@ def rule_categories(spark: SparkSession, sf: str) -> DataFrame:
     rows = long_format(wide, [*VARIABLES, "x_log_signed_revenue", "log_net_margin"])
     named = rows.select("variable", category_column(RULES).alias("category"), category_column(RULES, inherit_signed_log=False).alias("own_category"))
     return named.groupBy("variable", "category", "own_category").agg(F.count(F.lit(1)).alias("n_values"))
+
+
+@query("rules_observed", with_sql("futures") + f"""
+SELECT entity, future_id, period, {r("greatest(round_even(n_orders * 1.5 - 2, 0), 0)", "n_orders")},
+  {r("max(greatest(round_even(cum_orders * 0.75, 0), 0)) OVER (PARTITION BY entity, future_id ORDER BY period)", "cum_orders")}, {r("greatest(max_order - 100, 0)", "max_order")} FROM futures""")
+def rules_observed(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts, running counts and non-negative values of observed futures, brought within their rules."""
+    paths = observed_futures(spark, sf).select(
+        "entity", "future_id", "period", (F.col("n_orders") * 1.5 - 2.0).alias("n_orders"), (F.col("cum_orders") * 0.75).alias("cum_orders"), (F.col("max_order") - 100.0).alias("max_order"),
+    )
+    return rounded(apply_rules(paths, ["n_orders", "cum_orders", "max_order"], RULES))

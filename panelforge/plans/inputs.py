@@ -107,6 +107,14 @@ def nation_caps(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def gappy_caps(spark: SparkSession, sf: str) -> DataFrame:
+    """As :func:`nation_caps`, but every second nation lacks the cap of its first segment and the others that of their last."""
+    caps = nation_caps(spark, sf)
+    number = F.substring_index("entity", "_", -1).cast("int")
+    gap = F.when(number % 2 == 0, F.lit("AUTOMOBILE")).otherwise(F.lit("MACHINERY"))
+    return caps.withColumn("cap_value", F.when(F.col("segment") != gap, F.col("cap_value")))
+
+
 def income_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Region as the income group of each nation; one region stays unclassified."""
     nation = table(spark, sf, "nation", ["n_name", "n_regionkey"])
@@ -147,6 +155,10 @@ cap_reference AS (SELECT 'S' || s_suppkey AS entity,
     CASE WHEN s_nationkey % 5 <> 1 THEN CAST(s_nationkey - 14 AS DOUBLE) / 100.0::DOUBLE END AS conditional_rel FROM supplier)""",
     "nation_caps": """
 nation_caps AS (SELECT lower(n_name) AS entity, segment, CASE WHEN n_nationkey % 7 <> 3 THEN floor(b) END AS cap_value FROM (
+    SELECT c_nationkey, c_mktsegment AS segment, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 1000.0::DOUBLE) AS b
+    FROM customer GROUP BY 1, 2) JOIN nation ON c_nationkey = n_nationkey)""",
+    "gappy_caps": """
+gappy_caps AS (SELECT lower(n_name) AS entity, segment, CASE WHEN n_nationkey % 7 <> 3 AND segment <> CASE WHEN n_nationkey % 2 = 0 THEN 'AUTOMOBILE' ELSE 'MACHINERY' END THEN floor(b) END AS cap_value FROM (
     SELECT c_nationkey, c_mktsegment AS segment, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 1000.0::DOUBLE) AS b
     FROM customer GROUP BY 1, 2) JOIN nation ON c_nationkey = n_nationkey)""",
     "income": """

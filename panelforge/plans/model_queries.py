@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.operators import calibrate, drivers, folds, outliers, regression, smooth, usefulness
+from panelforge.operators import calibrate, drivers, elastic, folds, outliers, regression, smooth, usefulness
 from panelforge.operators.ensemble import generate_ensemble
 from panelforge.operators.panel import rolling_features
 from panelforge.plans.discovery import features_of
@@ -15,7 +15,7 @@ from panelforge.plans.discovery_queries import merged
 from panelforge.plans.ensemble_queries import simulated_sql, unit
 from panelforge.plans.inputs import CONSTRAINED, END_PERIOD, supplier_panel, table, user_days, with_sql
 from panelforge.plans.registry import query, r, rounded
-from panelforge.session import reliable_checkpoint
+from panelforge.session import staged
 
 FEATURES = ["n_lines", "avg_discount", "return_share", "has_bulk", "net_margin"]
 TARGET = "log_revenue"
@@ -173,75 +173,140 @@ def postprocess_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     observed = supplier_panel(spark, sf).select("entity", "period", F.col("revenue").alias("level"))
     calibrated = calibrate.calibrate(scored_ensemble(spark, sf).drop("log_level"), observed, 27, ["level"], method="additive")
     trend = smooth.hp_filter(calibrated, ["level"], ["entity", "future_id"], keep="filtered_only")
-    return rounded(outliers.remove_outlier_series(reliable_checkpoint(trend), END_PERIOD, "level_hp_trend"), 4)
+    return rounded(outliers.remove_outlier_series(staged(trend), END_PERIOD, "level_hp_trend"), 4)
 
 
 # ------------------------------------------------------------ fitted models (checked by property tests)
 
+# The training table of :func:`with_trends`: complete rows with the target.
+TRAIN_SQL = """
+logs AS (SELECT *, ln(1 + revenue) AS y FROM panel),
+roll AS (SELECT *, count(y) OVER t3 AS n3, regr_count(y, y) OVER t5 AS n5 FROM logs WINDOW t3 AS (PARTITION BY entity ORDER BY period ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), t5 AS (PARTITION BY entity ORDER BY period ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+train AS (SELECT * FROM roll WHERE n3 >= 2 AND n5 >= 3)"""
+
+
 def with_trends(spark: SparkSession, sf: str) -> DataFrame:
     """Training table with trend features, incomplete rows dropped; written once for the many fits."""
     trends = rolling_features(
         training(spark, sf), {"trend_3": {"source": TARGET, "window": 3, "min_periods": 2, "shift": 1}},
         {"volatility_5": {"source": TARGET, "window": 5, "min_periods": 3, "shift": 1}},
     )
-    return reliable_checkpoint(trends.select("entity", "period", TARGET, *FEATURES, "trend_3", "volatility_5").na.drop())
+    return staged(trends.select("entity", "period", TARGET, *FEATURES, "trend_3", "volatility_5").na.drop())
 
 
 ALL = [*FEATURES, "trend_3", "volatility_5"]
-NET = {"n_alphas": 40, "eps": 1e-4}
-FOREST = {"numTrees": 20, "maxDepth": 6}
-BOOST = {"maxIter": 10, "maxDepth": 4}
+# The grid of the reference run.
+NET = {"n_alphas": 300, "eps": 1e-4}
+INNER_FOLDS, OUTER_FOLDS = 7, 5
+L1_RATIO, L1_RATIOS = 0.01, [0.01, 0.05, 0.1, 0.3, 0.5, 0.7, 0.9, 0.95]
 
 
 def search_inputs(spark: SparkSession, sf: str):
     train, test = folds.time_holdout(with_trends(spark, sf), HOLDOUT)
-    folded = folds.time_folds(train, 5)
+    folded = folds.time_folds(train, INNER_FOLDS)
     scaling = regression.fit_scaling(train, ALL)
-    return folded, test, scaling, regression.cross_products(folded, scaling, TARGET, "fold")
+    return folded, test, scaling, staged(elastic.fold_products(folded, scaling, TARGET, "fold", "entity"))
+
+
+def searched_net(frame: DataFrame):
+    """Maker of the elastic net whose penalty is searched on the training part it is given."""
+
+    def make(train: DataFrame):
+        folded = folds.time_folds(train.drop("fold"), INNER_FOLDS)
+        products = elastic.fold_products(folded, regression.fit_scaling(train, ALL), TARGET, "fold", "entity")
+        alpha = elastic.net_search(products, ALL, l1_ratios=[L1_RATIO], **NET).first()["alpha"]
+        return regression.elastic_net(TARGET, alpha, L1_RATIO, train.agg(F.stddev_samp(TARGET)).first()[0])
+
+    return make
 
 
 @query("enet_fit")
 def enet_fit(spark: SparkSession, sf: str) -> DataFrame:
-    """Penalty from the one-pass search, coefficients from the Spark ML fit with group effects."""
+    """Penalty from the search, coefficients from the Spark ML fit, entity columns in both."""
     folded, _, _, products = search_inputs(spark, sf)
-    best = regression.elastic_net_search(products, [0.01], **NET)[0]
+    alpha = elastic.net_search(products, ALL, l1_ratios=[L1_RATIO], **NET).first()["alpha"]
     spread = folded.agg(F.stddev_samp(TARGET)).first()[0]
-    model = regression.fit(folded, ALL, regression.elastic_net(TARGET, best["alpha"], 0.01, spread), group="entity")
-    return regression.coefficient_table(model, ALL).withColumn("alpha", F.lit(best["alpha"]))
+    model = regression.fit(folded, ALL, regression.elastic_net(TARGET, alpha, L1_RATIO, spread), group="entity")
+    return regression.coefficient_table(model, ALL).withColumn("alpha", F.lit(alpha))
 
 
 @query("enet_l1_sweep")
 def enet_l1_sweep(spark: SparkSession, sf: str) -> DataFrame:
     _, test, scaling, products = search_inputs(spark, sf)
-    return regression.l1_ratio_sweep(products, scaling, test, TARGET, [0.01, 0.1, 0.5, 0.9], **NET)
+    return elastic.l1_ratio_sweep(products, scaling, test, TARGET, L1_RATIOS, "entity", **NET)
 
 
 @query("ablation")
 def ablation(spark: SparkSession, sf: str) -> DataFrame:
     _, test, scaling, products = search_inputs(spark, sf)
-    return regression.feature_ablation(products, scaling, test, TARGET, 0.01, **NET)
+    return elastic.feature_ablation(products, scaling, test, TARGET, L1_RATIO, "entity", **NET)
+
+
+@query("ablation_median", with_sql("panel", TRAIN_SQL) + f"""
+, m AS (SELECT quantile_cont(y, 0.5) AS p FROM train WHERE period <= (SELECT max(period) FROM train) - {HOLDOUT}),
+e AS (SELECT avg(abs(exp(y) - exp(p))) AS mae FROM train, m WHERE period > (SELECT max(period) FROM train) - {HOLDOUT})
+SELECT CAST(k AS INTEGER) AS n_removed, CAST({len(ALL)} - k AS INTEGER) AS n_features_remaining, CASE WHEN k > 0 THEN ({ALL!r})[{len(ALL)} - k + 1] END AS removed_feature, {r("mae", "test_mae_level")}
+FROM e, generate_series(0, {len(ALL)}) t(k)""")
+def ablation_median(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = folds.time_holdout(with_trends(spark, sf), HOLDOUT)
+    return rounded(regression.model_ablation(train, test, ALL, TARGET, None))
 
 
 @query("rf_fit")
 def rf_fit(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = folds.time_holdout(with_trends(spark, sf), HOLDOUT)
-    return regression.feature_importances(regression.fit(train, ALL, regression.forest(TARGET, **FOREST)), ALL)
+    return regression.feature_importances(regression.fit(train, ALL, regression.forest(TARGET)), ALL)
 
 
 @query("gbt_fit")
 def gbt_fit(spark: SparkSession, sf: str) -> DataFrame:
     train, test = folds.time_holdout(with_trends(spark, sf), HOLDOUT)
-    model = regression.fit(train, ALL, regression.boosted(TARGET, **BOOST), "robust")
+    model = regression.fit(train, ALL, regression.boosted(TARGET), "robust")
     return regression.holdout_errors(regression.predictions(train, model), regression.predictions(test, model), TARGET)
 
 
+def cv_table(frame: DataFrame, models: dict) -> DataFrame:
+    """Mean error of each model over time folds and, but for the one with entity columns, over folds of entities."""
+    by_time, by_group = folds.time_folds(frame, OUTER_FOLDS), folds.group_folds(frame, OUTER_FOLDS)
+    parts = []
+    for name, (make, group) in models.items():
+        parts.append(regression.cross_validated_mae(by_time, ALL, TARGET, make, "time", group=group).select(F.lit(name).alias("model"), F.lit("time").alias("kind"), "fold", "n_obs", "mae_log", "mae_level"))
+        if group is None:
+            parts.append(regression.cross_validated_mae(by_group, ALL, TARGET, make, "group").select(F.lit(name).alias("model"), F.lit("group").alias("kind"), "fold", "n_obs", "mae_log", "mae_level"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query("cv_errors")
 def cv_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Time and group errors of all four models."""
     frame = with_trends(spark, sf)
-    by_time, by_group = folds.time_folds(frame, 3), folds.group_folds(frame, 3)
-    make = lambda _: regression.forest(TARGET, numTrees=5, maxDepth=4)
-    out = regression.cross_validated_mae(by_time, ALL, TARGET, make, "time").withColumn("kind", F.lit("time"))
-    return out.unionByName(regression.cross_validated_mae(by_group, ALL, TARGET, None, "group").withColumn("kind", F.lit("group_median")))
+    models = {
+        "elastic_net": (searched_net(frame), "entity"), "forest": (lambda _: regression.forest(TARGET), None),
+        "boosted": (lambda _: regression.boosted(TARGET), None), "median": (None, None),
+    }
+    return cv_table(frame, models)
+
+
+CV_MEDIAN_SQL = f"""
+i AS (SELECT *, row_number() OVER (ORDER BY period, entity) - 1 AS i, count(*) OVER () AS n FROM train),
+bt AS (SELECT y, CASE WHEN i < n - {OUTER_FOLDS} * (n // {OUTER_FOLDS + 1}) THEN -1 ELSE (i - (n - {OUTER_FOLDS} * (n // {OUTER_FOLDS + 1}))) // (n // {OUTER_FOLDS + 1}) END AS fold FROM i),
+ents AS (SELECT entity, size, row_number() OVER (ORDER BY size DESC, entity) AS rn FROM (SELECT entity, count(*) AS size FROM train GROUP BY entity)),
+deal(rn, loads, fold) AS (SELECT 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[], -1::BIGINT UNION ALL
+  SELECT e.rn, list_transform(loads, lambda x, k: CASE WHEN k = list_position(loads, list_min(loads)) THEN x + e.size ELSE x END), list_position(loads, list_min(loads)) - 1 FROM deal d JOIN ents e ON e.rn = d.rn + 1),
+bg AS (SELECT y, deal.fold FROM train t JOIN ents e ON t.entity = e.entity JOIN deal ON deal.rn = e.rn),
+f AS (SELECT CAST(i AS INTEGER) AS fold FROM generate_series(0, {OUTER_FOLDS - 1}) t(i)),
+mt AS (SELECT 'time' AS kind, f.fold, quantile_cont(y, 0.5) AS p FROM f JOIN bt ON bt.fold < f.fold GROUP BY f.fold),
+mg AS (SELECT 'group' AS kind, f.fold, quantile_cont(y, 0.5) AS p FROM f JOIN bg ON bg.fold <> f.fold GROUP BY f.fold),
+s AS (SELECT kind, mt.fold, y, p FROM mt JOIN bt ON bt.fold = mt.fold UNION ALL SELECT kind, mg.fold, y, p FROM mg JOIN bg ON bg.fold = mg.fold)"""
+
+
+@query("cv_errors_median", with_sql("panel", TRAIN_SQL, CV_MEDIAN_SQL).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+SELECT 'median' AS model, kind, fold, count(*) AS n_obs, {r("avg(abs(y - p))", "mae_log")}, {r("avg(abs(exp(y) - exp(p)))", "mae_level")} FROM s GROUP BY kind, fold""")
+def cv_errors_median(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(cv_table(with_trends(spark, sf), {"median": (None, None)}))
 
 
 @query("pca_loadings")
@@ -259,15 +324,22 @@ def pca_variance(spark: SparkSession, sf: str) -> DataFrame:
 def pca_ablation(spark: SparkSession, sf: str) -> DataFrame:
     train, test = folds.time_holdout(with_trends(spark, sf), HOLDOUT)
     spread = train.agg(F.stddev_samp(TARGET)).first()[0]
-    return regression.component_ablation(train, test, ALL, TARGET, lambda _: regression.elastic_net(TARGET, 0.001, 0.01, spread), 3)
+    return regression.component_ablation(train, test, ALL, TARGET, lambda _: regression.elastic_net(TARGET, 0.001, 0.01, spread), group="entity")
 
 
 @query("feature_usefulness")
 def feature_usefulness(spark: SparkSession, sf: str) -> DataFrame:
-    return usefulness.feature_usefulness(with_trends(spark, sf), "n_lines", TARGET, splits=5, boosting={"maxIter": 3, "maxDepth": 3})
+    return usefulness.feature_usefulness(with_trends(spark, sf), "n_lines", TARGET, splits=5, boosting={})
 
 
 @query("forest_importance")
 def forest_importance(spark: SparkSession, sf: str) -> DataFrame:
-    frame = reliable_checkpoint(merged(spark, sf))
-    return drivers.forest_importance(frame, [c for c in features_of(frame) if c.endswith("__last")], trees=20, max_depth=6)
+    frame = staged(merged(spark, sf))
+    return drivers.forest_importance(frame, features_of(frame))
+
+
+@query("driver_classifier")
+def driver_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """What a forest over all driver statistics scores on held-out futures, per entity."""
+    frame = staged(merged(spark, sf))
+    return drivers.train_classifier(frame, features_of(frame))[1]

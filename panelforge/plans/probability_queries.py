@@ -15,13 +15,14 @@ from panelforge.plans.inputs import (
     DRIFT,
     END_PERIOD,
     cap_reference,
+    gappy_caps,
     nation_caps,
     observed_futures,
     supplier_panel,
     with_sql,
 )
 from panelforge.plans.registry import query, r, rounded
-from panelforge.session import reliable_checkpoint
+from panelforge.session import staged
 
 CAPS = ["unconditional", "conditional"]
 CAPS_SQL = f"""
@@ -75,9 +76,19 @@ def cap_share_repeated_caps(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(probability.cap_share(observed_futures(spark, sf), repeated, 2000, "value", ["cap_value"], keep_caps=True, cap_order=["segment"]))
 
 
+@query("cap_share_first_row_null", with_sql("futures", "gappy_caps") + f"""
+, one AS (SELECT upper(entity) AS entity, cap_value * 40 AS cap_value FROM gappy_caps QUALIFY row_number() OVER (PARTITION BY entity ORDER BY segment) = 1)
+SELECT f.entity, count(DISTINCT future_id) AS n_futures, {r("avg(CASE WHEN value < cap_value THEN 1 ELSE 0 END)", "meets_cap_value")}, {r("any_value(cap_value)", "cap_cap_value")}
+FROM futures f JOIN one ON f.entity = one.entity WHERE period = 2000 AND cap_value IS NOT NULL GROUP BY f.entity""")
+def cap_share_first_row_null(spark: SparkSession, sf: str) -> DataFrame:
+    """A missing cap in an entity's first row leaves it out; one in its last row changes nothing."""
+    repeated = gappy_caps(spark, sf).select(F.upper("entity").alias("entity"), (F.col("cap_value") * 40).alias("cap_value"), "segment")
+    return rounded(probability.cap_share(observed_futures(spark, sf), repeated, 2000, "value", ["cap_value"], keep_caps=True, cap_order=["segment"]))
+
+
 @query("q1_mean", with_sql("panel", SIM, LOW_SQL) + f"SELECT entity, {r('q1_mean', 'q1_mean')} FROM low")
 def q1_mean(spark: SparkSession, sf: str) -> DataFrame:
-    target = reliable_checkpoint(simulated(spark, sf).where(F.col("period") == END_PERIOD))
+    target = staged(simulated(spark, sf).where(F.col("period") == END_PERIOD))
     return rounded(probability.q1_mean(target, END_PERIOD, "revenue"))
 
 
@@ -109,7 +120,7 @@ e AS (SELECT variable, min(value) AS lo, max(value) AS hi FROM long GROUP BY var
 b AS (SELECT variable, lo, hi, CAST(least(floor(coalesce((value - lo) * 40 / nullif(hi - lo, 0), 0)), 39) AS INTEGER) AS bin FROM long JOIN e USING (variable) WHERE value IS NOT NULL)
 SELECT variable, bin, {r("lo + (hi - lo) / 40 * bin", "bin_start")}, {r("lo + (hi - lo) / 40 * (bin + 1)", "bin_end")}, count(*) AS count FROM b GROUP BY variable, lo, hi, bin""")
 def probability_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(histogram(reliable_checkpoint(shares(spark, sf)), ["meets_unconditional", "meets_conditional"], 40))
+    return rounded(histogram(staged(shares(spark, sf)), ["meets_unconditional", "meets_conditional"], 40))
 
 
 @query("caps_upper_key_join", with_sql("futures", "nation_caps") + """
@@ -119,3 +130,36 @@ SELECT wide.entity, future_id, "1996", "2000", CASE WHEN "2000" > "1996" THEN 1
 def caps_upper_key_join(spark: SparkSession, sf: str) -> DataFrame:
     labelled = vulnerability.label_futures(observed_futures(spark, sf), "value", 1996, 2000)
     return vulnerability.attach_caps(labelled, nation_caps(spark, sf), "cap_value", order=["segment"])
+
+
+# ------------------------------------------------------------ on futures that are read, not simulated
+
+def observed_caps(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per nation: its lowest and highest cap."""
+    return nation_caps(spark, sf).groupBy(F.upper("entity").alias("entity")).agg(
+        (F.min("cap_value") * 40).alias("unconditional"), (F.max("cap_value") * 40).alias("conditional")
+    )
+
+
+OBSERVED_SQL = """
+caps AS (SELECT upper(entity) AS entity, min(cap_value) * 40 AS unconditional, max(cap_value) * 40 AS conditional FROM nation_caps GROUP BY 1),
+ev AS (SELECT f.entity, future_id, value, unconditional, conditional FROM futures f JOIN caps c ON f.entity = c.entity WHERE period = 2000 AND coalesce(unconditional, conditional) IS NOT NULL),
+shares AS (SELECT entity, count(DISTINCT future_id) AS n_futures, avg(CASE WHEN value < unconditional THEN 1 WHEN unconditional IS NOT NULL THEN 0 END) AS meets_unconditional,
+  avg(CASE WHEN value < conditional THEN 1 WHEN conditional IS NOT NULL THEN 0 END) AS meets_conditional FROM ev GROUP BY entity),
+cut AS (SELECT entity, quantile_cont(value, 0.25) AS q FROM futures WHERE period = 2000 GROUP BY entity),
+low AS (SELECT f.entity, avg(value) AS q1_mean FROM futures f JOIN cut ON f.entity = cut.entity AND value <= q WHERE period = 2000 GROUP BY f.entity)"""
+
+
+@query("probability_table_observed", with_sql("futures", "nation_caps", OBSERVED_SQL) + f"""
+SELECT entity, n_futures, {r("meets_unconditional", "meets_unconditional")}, {r("meets_conditional", "meets_conditional")}, {r("unconditional", "unconditional")},
+  {r("conditional", "conditional")}, {r("q1_mean", "q1_mean")} FROM shares LEFT JOIN caps USING (entity) LEFT JOIN low USING (entity)""")
+def probability_table_observed(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(probability.probability_table(observed_futures(spark, sf), observed_caps(spark, sf), 2000, "value", CAPS))
+
+
+@query("probability_headline_observed", with_sql("futures", "nation_caps", OBSERVED_SQL) + f"""
+SELECT count(DISTINCT entity) AS n_entities, count(DISTINCT CASE WHEN meets_conditional > 0.5 THEN entity END) AS n_above,
+  {r("100.0 * count(DISTINCT CASE WHEN meets_conditional > 0.5 THEN entity END) / count(DISTINCT entity)", "pct_above")} FROM shares""")
+def probability_headline_observed(spark: SparkSession, sf: str) -> DataFrame:
+    table = probability.cap_share(observed_futures(spark, sf), observed_caps(spark, sf), 2000, "value", CAPS)
+    return rounded(probability.headline(table, "meets_conditional"))

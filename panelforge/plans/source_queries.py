@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.plans.inputs import nation_caps, observed_futures, supplier_panel, with_sql
+from panelforge.plans.inputs import gappy_caps, observed_futures, supplier_panel, with_sql
 from panelforge.plans.registry import query
 from panelforge.session import checkpoint_folder
 from panelforge.sources import io
@@ -48,8 +48,9 @@ def bundle_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("reference_table", with_sql("nation_caps") + "SELECT upper(entity) AS entity, min(cap_value) AS unconditional FROM nation_caps WHERE cap_value IS NOT NULL GROUP BY 1")
+@query("reference_table", with_sql("gappy_caps") + "SELECT upper(entity) AS entity, cap_value AS unconditional FROM gappy_caps QUALIFY row_number() OVER (PARTITION BY entity ORDER BY segment) = 1")
 def reference_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The first row of each key in the file counts, with or without a value."""
     path = scratch(spark)
-    io.write_csv(nation_caps(spark, sf).where("cap_value is not null"), path)
+    io.write_csv(gappy_caps(spark, sf).coalesce(1).sortWithinPartitions("segment", "entity"), path)
     return io.read_reference(spark, path, "entity", {"cap_value": "unconditional"}, "entity string, segment string, cap_value double")

@@ -1,8 +1,9 @@
-"""Session defaults and the reliable checkpoint folder."""
+"""Session defaults and staging of intermediate tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,7 +41,19 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the written files."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+def staged(df: DataFrame, path: str | None = None, name: str = "staged") -> DataFrame:
+    """Write ``df`` as Parquet to ``path`` and go on from the written files.
+
+    Unlike a checkpoint the table keeps column pruning and statistics, and the lineage still ends at files that every
+    executor can read. Without a path a new folder below the shared checkpoint folder is taken. The files
+    belong to the caller, who clears them by path or, after the run, with :func:`clear_staged`.
+    """
+    target = path or f"{checkpoint_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)
+
+
+def clear_staged(spark: SparkSession, path: str | None = None) -> None:
+    """Delete the staged tables below ``path``, or all below this session's checkpoint folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path or checkpoint_folder(spark))
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

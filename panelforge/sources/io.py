@@ -46,29 +46,38 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def read_reference(spark: SparkSession, path: str, key: str, columns: Mapping[str, str], schema: str | None = None) -> DataFrame:
+def read_reference(spark: SparkSession, path: str, key: str, columns: Mapping[str, str], schema: str | None = None, order: Sequence[str] | None = None) -> DataFrame:
     """Caps or income-group table from CSV or parquet: ``key`` upper-cased, one row per key, no NULL keys.
 
-    ``columns`` maps source columns to output names.
+    ``columns`` maps source columns to output names. Of several rows of a key the first in the file counts, NULLs and all, or the
+    first by the columns in ``order``.
     """
     df = read_csv(spark, path, schema) if schema else read_parquet(spark, path)
     require_columns(df, [key, *columns])
-    out = df.select(F.upper(F.trim(F.col(key).cast("string"))).alias(key), *[F.col(c).alias(n) for c, n in columns.items()])
-    return keep_first(out.where(F.col(key).isNotNull()), [key], list(columns.values()))
+    named = [F.upper(F.trim(F.col(key).cast("string"))).alias(key), *[F.col(c).alias(n) for c, n in columns.items()]]
+    position = ["_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()]
+    places = [F.col(o).alias(f"_order_{i}") if isinstance(o, str) else o.alias(f"_order_{i}") for i, o in enumerate(order or position)]
+    out = df.select(*named, *places).where(F.col(key).isNotNull())
+    return keep_first(out, [key], [f"_order_{i}" for i in range(len(places))]).select(key, *columns.values())
+
+
+def _leaves(tables: Mapping, prefix: str = "") -> list[tuple[str, object]]:
+    """(relative path, item) of every leaf of a nested mapping."""
+    pairs = ((f"{prefix}{name}", item) for name, item in tables.items())
+    return [leaf for path, item in pairs for leaf in (_leaves(item, f"{path}/") if isinstance(item, Mapping) else [(path, item)])]
 
 
 def save_bundle(tables: Mapping, base: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """Write a nested mapping of tables as a folder tree, one table per leaf."""
+    """Write a nested mapping of tables as a folder tree, one table per leaf. Nothing is written unless all of it can be."""
     if fmt not in FORMATS:
-        raise ValueError(f"Unsupported format '{fmt}'. Expected one of {sorted(FORMATS)}.")
-    for name, item in tables.items():
-        if isinstance(item, Mapping):
-            save_bundle(item, f"{base}/{name}", fmt, mode)
-        elif isinstance(item, DataFrame):
-            path = f"{base}/{name}.{fmt}"
-            write_parquet(item, path, mode=mode) if fmt == "parquet" else write_csv(item, path, mode)
-        else:
-            raise TypeError(f"Unsupported type for key '{name}': {type(item)}")
+        raise ValueError(f"tables are saved as {' or '.join(FORMATS)}, not as {fmt!r}")
+    leaves = _leaves(tables)
+    odd = [path for path, item in leaves if not isinstance(item, DataFrame)]
+    if odd:
+        raise TypeError(f"only tables can be saved; these are none: {odd}")
+    for path, item in leaves:
+        write = write_parquet if fmt == "parquet" else write_csv
+        write(item, f"{base}/{path}.{fmt}", mode=mode)
 
 
 def _children(spark: SparkSession, path: str) -> list[str]:
@@ -77,7 +86,7 @@ def _children(spark: SparkSession, path: str) -> list[str]:
     where = jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(where):
-        raise FileNotFoundError(f"Saved tables not found: {path}")
+        raise FileNotFoundError(f"there is no folder {path}")
     return sorted(s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory())
 
 
@@ -126,7 +135,7 @@ def load_run_tables(
         return load_bundle(spark, cache)
     missing = [t for t in tables if not exists(spark, run_path(base, t, run_id))]
     if missing:
-        raise FileNotFoundError(f"Tables of run '{run_id}' not found: {missing}")
+        raise FileNotFoundError(f"run {run_id!r} lacks {missing}")
     out = {t: read_parquet(spark, run_path(base, t, run_id)) for t in tables}
     if entities is not None:
         out = {t: df.where(F.col(entity).isin(*entities)) if entity in df.columns else df for t, df in out.items()}

@@ -100,8 +100,10 @@ def test_three_drivers_and_single_driver(labelled):
     assert 1 <= len(one) <= 2
     cube = boxes.grid_search(boxes.box_input(three, ["a", "b", "c"]), 3, [0.2, 0.8])
     assert cube.where("entity = 'E1'").count() <= 8
-    with pytest.raises(ValueError):
-        boxes.grid_search(boxes.box_input(three, ["a", "b", "c", "a"]), 4)
+    four = boxes.grid_search(boxes.box_input(three, ["a", "b", "c", "a"]), 4, [0.2, 0.8])
+    # The repeated driver adds nothing to a box: levels (i, j, k, l) hold what (min(i, l), j, k) holds.
+    counts = {tuple(r[f"l{i}"] for i in range(3)): r["n"] for r in cube.where("entity = 'E1'").collect()}
+    assert all(r["n"] == counts[min(r["l0"], r["l3"]), r["l1"], r["l2"]] for r in four.where("entity = 'E1'").collect())
 
 
 @pytest.mark.parametrize("points, chosen, threshold", [
@@ -155,10 +157,10 @@ def test_reports(spark):
         ("mex", "success", "x|y"), ("USA", "success", "y|x"), ("CAN", "success", "z"), ("BRA", "success", ""), ("ERR", "error", "x"),
     ], "entity string, status string, selected_top_features string")
     income = spark.createDataFrame([("MEX", "Upper middle"), ("USA", "High")], "entity string, income_group string")
-    features = reports.driver_frequency(summary, income, ["High", "Upper middle"]).collect()
+    features = reports.driver_frequency(summary, income, ["High", "Upper middle"], list_cells=True).collect()
     assert [(r["feature"], r["count"]) for r in features] == [("x", 2), ("y", 2), ("z", 1)]
     assert features[0]["high_entities"] == "USA" and features[0]["upper_middle_entities"] == "MEX" and features[2]["unclassified_entities"] == "CAN"
-    combos = reports.combination_frequency(summary, income, ["High", "Upper middle"]).collect()
+    combos = reports.combination_frequency(summary, income, ["High", "Upper middle"], list_cells=True).collect()
     assert [(r["feature_combination"], r["count"]) for r in combos] == [("x|y", 2), ("z", 1)]
 
 
@@ -182,9 +184,9 @@ def test_whole_batch_reports_errors_and_boxes(spark):
     got = {r["entity"]: r for r in result.run_summary.collect()}
     assert {e: r["status"] for e, r in got.items()} == {"E1": "success", "E2": "success", "flat": "error", "late": "error", "none": "error"}
     assert got["E1"]["selected_top_features"] == "x" and got["E1"]["features_for_optimization"] == "x|z" and got["E1"]["selected_density"] > 0.8
-    assert "single class" in got["flat"]["error"] and "no valid numeric" in got["late"]["error"] and "No projected data" in got["none"]["error"]
+    assert "one label" in got["flat"]["error"] and "reaches the end period" in got["late"]["error"] and "has no futures" in got["none"]["error"]
     selected = result.pareto.where("selected_solution").toPandas()
     assert len(selected) == 2 and (selected.cmp_0 == ">").all()
     income = spark.createDataFrame([("E1", "High")], "entity string, income_group string")
-    reported = batch_reports(result, income, ["High"])["top_variable_frequency_report"].collect()
+    reported = batch_reports(result, income, ["High"], list_cells=True)["top_variable_frequency_report"].collect()
     assert [(r["feature"], r["count"], r["high_entities"], r["unclassified_entities"]) for r in reported] == [("x", 2, "E1", "E2")]

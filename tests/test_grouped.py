@@ -59,13 +59,27 @@ def test_keep_first_uses_the_given_order(spark):
     assert {(r["k"], r["x"]) for r in grouped.keep_first(df, ["k"], ["o"]).collect()} == {("a", "early"), ("b", None)}
 
 
-@pytest.mark.parametrize("how", ["left", "inner"])
-def test_salted_join_equals_broadcast_join(skewed, spark, monkeypatch, how):
-    dim = spark.createDataFrame([("hot", 1), ("tied", 2), ("unused", 3)], "k string, d int")
-    want = sorted(map(str, grouped.lookup_join(skewed, dim, ["k"], how).collect()))
-    monkeypatch.setattr(grouped, "BROADCAST_BYTES", 1)
-    monkeypatch.setattr(grouped, "SALTED_ROWS", 300)
-    assert sorted(map(str, grouped.lookup_join(skewed, dim, ["k"], how).collect())) == want
+def test_running_totals_split_a_hot_key_of_narrow_values(spark):
+    """All values of the hot key lie between two values of the others."""
+    rows = [("hot", 5.0 + i * 1e-6, 1) for i in range(3000)] + [(f"k{i % 5}", float(i), 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, v double, c int")
+    sketch = grouped.split_points(df, ["k"], "v", 128)
+    ranges = df.join(sketch, "k").where("k = 'hot'").select(grouped.range_of("_splits", "v").alias("b")).distinct().count()
+    assert ranges > 100
+    got = grouped.running_totals(df, ["k"], "v", {"upto": "c"}, max_group=10).toPandas().sort_values(["k", "v"])
+    assert (got["upto"] == got.groupby("k")["c"].cumsum()).all() and len(got) == len(rows)
+    whole = grouped.running_totals(df.where("k = 'hot'"), [], "v", {"upto": "c"}, max_group=10)
+    assert whole.columns == ["k", "v", "c", "upto"] and whole.agg(F.max("upto")).first()[0] == 3000
+
+
+def test_hot_key_of_equal_values(spark):
+    df = spark.createDataFrame([("hot", 1.0)] * 2000 + [("hot", 2.0)] * 3 + [("b", 0.0)], "k string, v double")
+    got = {r["k"]: r["q"] for r in grouped.group_quantiles(df, ["k"], "v", [0.5, 1.0], max_group=10).collect()}
+    assert got == {"hot": [1.0, 2.0], "b": [0.0, 0.0]}
+
+
+def test_ranges_grow_with_the_largest_group():
+    assert grouped.range_count(10) == 128 and grouped.range_count(10**11) * grouped.RANGE_ROWS >= 10**11 and grouped.range_count(10**9) % grouped.STRIDE == 0
 
 
 def test_results_do_not_depend_on_partitioning(spark, skewed):

@@ -58,6 +58,9 @@ def test_reference_table(spark, tmp_path):
     raw.write.parquet(f"{tmp_path}/caps")
     got = io.read_reference(spark, f"{tmp_path}/caps", "iso", {"u": "unconditional"})
     assert {tuple(r) for r in got.collect()} == {("MEX", 1.0), ("USA", 2.0)}
+    spark.createDataFrame([("A", None), ("A", 2.0), ("B", 1.0), ("B", None), ("a", 9.0)], "iso string, u double").coalesce(1).write.parquet(f"{tmp_path}/gaps")
+    got = io.read_reference(spark, f"{tmp_path}/gaps", "iso", {"u": "u"})
+    assert {tuple(r) for r in got.collect()} == {("A", None), ("B", 1.0)}
     with pytest.raises(ValueError, match="missing"):
         io.read_reference(spark, f"{tmp_path}/caps", "iso", {"missing": "x"})
 
@@ -71,6 +74,8 @@ def test_selection_and_cleaning(spark, table):
     assert "none" not in cleaning.drop_all_null(wide, ["v", "none"]).columns
     hot = cleaning.one_hot(table, ["entity"])
     assert hot.columns == ["period", "v", "entity_A", "entity_B"] and [tuple(r)[2:] for r in hot.orderBy("period").collect()] == [(1, 0), (0, 1), (0, 1)]
-    with pytest.raises(ValueError):
-        cleaning.one_hot(table, ["period"], max_levels=1)
+    vector, levels = cleaning.one_hot_vector(table.withColumn("kind", F.when(F.col("entity") == "B", F.lit("x"))), ["entity", "kind"])
+    assert levels == {"entity": ["A", "B"], "kind": ["x"]} and vector.columns == ["period", "v", "features"]
+    assert [r["features"].toArray().tolist() for r in vector.orderBy("period").collect()] == [[1, 0, 0], [0, 1, 1], [0, 1, 1]]
+    assert [r["features"].toArray().tolist() for r in cleaning.one_hot_vector(table, ["entity"], drop_first=True)[0].orderBy("period").collect()] == [[0], [1], [1]]
     assert cleaning.drop_missing(cleaning.clean_numbers(table, ["v"]), ["v"]).count() == 1

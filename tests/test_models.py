@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import folds, profile, regression, usefulness
+from panelforge.operators import drivers, elastic, folds, profile, regression, usefulness
 
 
 @pytest.fixture(scope="module")
@@ -59,24 +59,103 @@ def test_scaling_equals_numpy(frame, scaler):
         assert s.center[c] == pytest.approx(center) and s.scale[c] == pytest.approx(scale)
 
 
-def test_search_equals_spark_fit_and_ols_limit(frame):
+def dense_net(x, y, alpha, l1_ratio, sweeps=200_000):
+    """Coordinate descent on centered columns as they are."""
+    xm, ym = x.mean(axis=0), y.mean()
+    x, y, n = x - xm, y - ym, len(y)
+    r, c, b = x.T @ x / n, x.T @ y / n, np.zeros(x.shape[1])
+    l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio)
+    for _ in range(sweeps):
+        before = b.copy()
+        for j in range(len(b)):
+            rest = c[j] - r[j] @ b + r[j, j] * b[j]
+            b[j] = np.sign(rest) * max(abs(rest) - l1, 0) / (r[j, j] + l2)
+        if np.max(np.abs(b - before)) < 1e-12:
+            break
+    return b, ym - xm @ b
+
+
+def dense_design(folded, scaling, names, entities):
+    pdf = folded.select("fold", "entity", "y", *[F.expr(scaling.expression(c)).alias(f"z_{c}") for c in names]).toPandas()
+    levels = sorted(pdf.entity.unique())[1:] if entities else []
+    return np.column_stack([pdf[[f"z_{c}" for c in names]].to_numpy(), *[(pdf.entity == g).to_numpy(float) for g in levels]]), pdf, levels
+
+
+@pytest.mark.parametrize("scaler", ["standard", "robust", "minmax"])
+@pytest.mark.parametrize("entities", [False, True])
+def test_net_search_equals_dense_solves_on_the_scaled_features(frame, scaler, entities):
+    names, ratio = ["a", "b", "c"], 0.3
+    folded = folds.time_folds(frame, 4)
+    scaling = regression.fit_scaling(folded, names, scaler)
+    products = elastic.fold_products(folded, scaling, "y", "fold", "entity" if entities else None)
+    best = elastic.net_search(products, names, l1_ratios=[ratio], n_alphas=12, eps=1e-3).first()
+    x, pdf, levels = dense_design(folded, scaling, names, entities)
+    y, fold = pdf.y.to_numpy(), pdf.fold.to_numpy()
+    top = np.max(np.abs((x - x.mean(axis=0)).T @ (y - y.mean()) / len(y))) / ratio
+    alphas = np.geomspace(top, top * 1e-3, 12)
+    mse = []
+    for alpha in alphas:
+        errors = []
+        for f in range(4):
+            b, b0 = dense_net(x[fold < f], y[fold < f], alpha, ratio)
+            errors.append(np.mean((y[fold == f] - x[fold == f] @ b - b0) ** 2))
+        mse.append(np.mean(errors))
+    k = int(np.argmin(mse))
+    assert best["alpha"] == pytest.approx(alphas[k]) and best["cv_mse"] == pytest.approx(mse[k], rel=1e-6)
+    b, b0 = dense_net(x, y, alphas[k], ratio)
+    np.testing.assert_allclose(best["coefficients"], b[:3], atol=1e-7)
+    assert best["intercept"] == pytest.approx(b0, abs=1e-7)
+    if entities:
+        np.testing.assert_allclose([best["effects"][g] for g in levels], b[3:], atol=1e-7)
+        spread = folded.agg(F.stddev_samp("y")).first()[0]
+        model = regression.fit(folded, names, regression.elastic_net("y", alphas[k], ratio, spread), scaler, group="entity")
+        np.testing.assert_allclose(model.stages[-1].coefficients.toArray(), b, rtol=2e-3, atol=2e-3)
+
+
+def test_sweep_and_ablation_keep_entity_columns(frame):
+    names = ["a", "b", "c"]
     folded = folds.time_folds(frame, 4)
-    scaling = regression.fit_scaling(folded, ["a", "b", "c"])
-    products = regression.cross_products(folded, scaling, "y", "fold")
-    assert products.total()[0, 0] == frame.count()
-    best = regression.elastic_net_search(products, [0.5], 30, 1e-3)[0]
-    spread = folded.agg(F.stddev_samp("y")).first()[0]
-    model = regression.fit(folded, ["a", "b", "c"], regression.elastic_net("y", best["alpha"], 0.5, spread))
-    np.testing.assert_allclose(model.stages[-1].coefficients.toArray(), list(best["coefficients"].values()), rtol=2e-3, atol=2e-3)
-    free = regression.elastic_net_search(products, [0.5], 2, 1e-12)[0]
-    x = folded.select(*[F.expr(scaling.expression(c)).alias(c) for c in "abc"], "y").toPandas()
-    ols = np.linalg.lstsq(np.column_stack([np.ones(len(x)), x[["a", "b", "c"]]]), x.y, rcond=None)[0]
-    if free["alpha"] < 1e-6:
-        np.testing.assert_allclose(list(free["coefficients"].values()), ols[1:], atol=1e-4)
-    ablated = regression.feature_ablation(products, scaling, frame, "y", 0.5, 20).toPandas()
+    scaling = regression.fit_scaling(folded, names)
+    products = elastic.fold_products(folded, scaling, "y", "fold", "entity")
+    ablated = elastic.feature_ablation(products, scaling, frame, "y", 0.5, "entity", n_alphas=15).toPandas().sort_values("n_removed")
     assert ablated.n_features_remaining.tolist() == [3, 2, 1, 0] and ablated.removed_feature.tolist()[1:] == ["c", "b", "a"]
-    sweep = regression.l1_ratio_sweep(products, scaling, frame, "y", [0.1, 0.9], 20)
-    assert sweep.count() == 2
+    # Without any feature the entity effects still predict better than the mean.
+    y = frame.toPandas().y
+    assert ablated.test_mae_level.iloc[-1] < np.mean(np.abs(np.exp(y) - np.exp(y.mean())))
+    whole = elastic.net_search(products, names, l1_ratios=[0.5], n_alphas=15).first()
+    pdf = frame.select("entity", "y", *[F.expr(scaling.expression(c)).alias(c) for c in names]).toPandas()
+    fitted = whole["intercept"] + pdf[names].to_numpy() @ np.array(whole["coefficients"]) + pdf.entity.map(whole["effects"]).fillna(0)
+    assert ablated.test_mae_level.iloc[0] == pytest.approx(np.mean(np.abs(np.exp(pdf.y) - np.exp(fitted))))
+    sweep = elastic.l1_ratio_sweep(products, scaling, frame, "y", [0.1, 0.9], "entity", n_alphas=15).toPandas().set_index("l1_ratio")
+    assert len(sweep) == 2 and (sweep.selected_alpha > 0).all() and (sweep.test_mae_level > 0).all()
+
+
+def test_other_models_can_be_ablated(frame):
+    train, test = folds.time_holdout(frame, 5)
+    spread = train.agg(F.stddev_samp("y")).first()[0]
+    linear = regression.model_ablation(train, test, ["a", "b"], "y", lambda _: regression.elastic_net("y", 0.01, 0.5, spread), group="entity").toPandas()
+    assert linear.removed_feature.tolist() == [None, "b", "a"] and linear.test_mae_level.iloc[0] < linear.test_mae_level.iloc[2]
+    trees = regression.model_ablation(train, test, ["a", "b"], "y", lambda _: regression.forest("y", numTrees=5, maxDepth=3)).toPandas()
+    median = regression.model_ablation(train, test, ["a", "b"], "y", None).toPandas()
+    assert len(trees) == 3 and median.test_mae_level.nunique() == 1
+    pcs = regression.component_ablation(train, test, ["a", "b", "c"], "y", lambda _: regression.elastic_net("y", 0.0, 0.0, spread)).toPandas()
+    direct = regression.fit(train, ["a", "b", "c"], regression.elastic_net("y", 0.0, 0.0, spread))
+    assert pcs.n_components.tolist() == [3, 2, 1]
+    assert pcs.test_mae_level.iloc[0] == pytest.approx(direct.transform(test).agg(*regression.error_columns("y")).first()["mae_level"])
+
+
+def test_classifier_is_scored_on_rows_it_has_not_seen(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"E{e}", f"f{i}", float(x := rng.normal()), None, float(rng.normal()), int(x + 0.3 * rng.normal() > 0)) for e in range(3) for i in range(120)]
+    df = spark.createDataFrame(rows, "entity string, future_id string, x double, empty double, noise double, label int")
+    scored, summary = drivers.train_classifier(df, ["x", "empty", "noise"], "label", trees=30, max_depth=6)
+    split = drivers.stratified_split(df, "label", "future_id")
+    assert {(r["entity"], r["future_id"]) for r in scored.collect()} == {(r["entity"], r["future_id"]) for r in split.where("is_test").collect()}
+    for r in summary.collect():
+        assert (r["status"], r["n_features"], r["dropped_features"], r["n_train"] + r["n_test"]) == ("trained", 2, "empty", 120) and 24 <= r["n_test"] <= 26
+        assert r["test_accuracy"] > 0.75 and r["test_roc_auc"] > 0.8
+    one = drivers.train_classifier(df.where("label = 1"), ["x"], "label")[1].collect()
+    assert {r["status"] for r in one} == {"not_trained"} and all(r["test_accuracy"] is None for r in one)
 
 
 def test_group_effects_and_unseen_levels(frame):
