@@ -103,10 +103,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     """
     text = F.col(f"`{url}`").cast("string")
     urls = pages.where(text.isNotNull()).select(text.alias("u")).distinct()
-    tokens = urls.select("u", F.explode(F.array_union(F.array(F.lit("")), F.array_distinct(F.regexp_extract_all(lower_ascii(F.col("u")), F.lit(f"({TOKENS})"), 1)))).alias("token"))
-    tokens = staged(tokens, "url-tokens")
     literal = rules.select("rule", "tier", F.explode("tokens").alias("token"))
-    seen = tokens.join(literal.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    of_rules = literal.select("token").union(rules.where(F.size("tokens") == 0).select(F.lit("").alias("token"))).distinct()
+    own = F.array_distinct(F.regexp_extract_all(lower_ascii(F.col("u")), F.lit(f"({TOKENS})"), 1))
+    tokens = urls.select("u", F.explode(F.array_union(F.array(F.lit("")), own)).alias("token"))
+    tokens = staged(tokens.join(of_rules, "token", "left_semi"), "url-tokens")  # tokens that no rule has go at once
+    seen = tokens.groupBy("token").agg(F.count("*").alias("n"))
     rarest = literal.join(seen, "token", "left").groupBy("rule", "tier").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
     filed = rules.join(rarest, ["rule", "tier"], "left").select("rule", "action", "tier", "size", "expression", F.coalesce("token", F.lit("")).alias("token"))
     filed = staged(filed, "url-rules")
