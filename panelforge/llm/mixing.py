@@ -20,6 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 16
 #: Tables with one narrow row per source are broadcast up to this many rows.
 BROADCAST_SOURCES = 50_000
+#: Slots that a task expands and permutes.
+SLOTS_PER_TASK = 250_000
 
 
 @dataclass(frozen=True)
@@ -119,7 +121,9 @@ def _draw_slots(sources: DataFrame, n_sources: int, n_slots: int, plan: MixPlan)
     table = table.withColumn("over", F.greatest(F.col("drawn") - F.col("quota"), F.lit(0))).withColumn("under", F.greatest(F.col("quota") - F.col("drawn"), F.lit(0)))
     table = table.withColumn("over_begin", F.coalesce(F.sum("over").over(whole), F.lit(0))).withColumn("under_begin", F.coalesce(F.sum("under").over(whole), F.lit(0)))
     table = staged(table.select("source_no", "quota", "blocks", "drawn", "under", "over_begin", "under_begin"), "mix-sources")
-    slots = counts.select("shard", "source_no", "in_shard", "inside", "begin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    # A row of counts stands for many slots: as many tasks as the slots ask for, not as the counts do.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n_slots // SLOTS_PER_TASK))
+    slots = counts.repartition(tasks, "shard", "source_no").select("shard", "source_no", "in_shard", "inside", "begin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     slots = slots.select("shard", "source_no", "in_shard", (F.col("inside") + F.col("i")).alias("order"), (F.col("begin") + F.col("i")).alias("rank"))
     slots = slots.join(_per_source(table.select("source_no", "quota", "over_begin"), n_sources), "source_no")
     kept = slots.where(F.col("rank") < F.col("quota")).select("shard", "in_shard", "order", "source_no", "rank")
