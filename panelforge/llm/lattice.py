@@ -21,7 +21,7 @@ from panelforge.llm.components import connected_components
 from panelforge.llm.runs import gathered, local_roots, runs, spread_hot_groups
 
 #: Vectors compared in one go; cells beyond it are dealt out in pairs of parts.
-CHUNK = 1024
+CHUNK = 256
 GROUP = ["cell", "label", "length", "part_a", "part_b"]
 
 
