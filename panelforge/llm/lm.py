@@ -1,21 +1,23 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A small network sees the words on both sides of a position and predicts the word that is masked there. The sum of the logarithms
-of these conditional probabilities over all positions of a document is its score. The vocabulary holds the most frequent words of
-all documents; any other word is predicted as one of a fixed number of hash buckets. Probabilities factor into class
-and word within class, so a position costs two small softmaxes.
+of these conditional probabilities over all positions of a document is its score. All words of all documents are counted. The vocabulary
+holds the most frequent ones and grows with the root of the number of distinct words; any other word is predicted as one of a number of
+hash buckets that grows alike, times its share of the bucket's count, which is joined by word. Probabilities factor into class and word
+within class, so a position costs two small softmaxes.
 
 Training covers every document once. Each partition trains a copy of the network on masked positions of its own documents, and the
 copies are averaged by number of positions, block by block, in two steps; a second round goes on from the average with the
-other half of the documents. Only the averaged network, of fixed size, comes to the driver.
+other half of the documents. Only the averaged network and the vocabulary come to the driver; the counts of the other words stay distributed.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import lower_ascii, of_worker, text_or_empty
+from panelforge.llm.common import lower_ascii, of_worker, staged, text_or_empty
 
 WORD = rb"[0-9a-z\x80-\xff]+"
 #: Parts in which a network is averaged, and copies averaged at a time.
@@ -51,11 +53,19 @@ class LmShape:
     def words(self) -> int:
         return self.classes * self.per_class - self.buckets - 1
 
+    def grown(self, distinct: int) -> LmShape:
+        """This shape or, beyond 83,000 distinct words, 8 symbols for each unit of their root, a ninth of them buckets."""
+        side = math.ceil(math.sqrt(8 * math.sqrt(distinct)))
+        return self if side * side <= self.classes * self.per_class else replace(self, classes=side, per_class=side, buckets=side * side // 9)
+
 
 class WindowNetwork:
-    """The network and its vocabulary. Symbol 0 is the edge, then words by frequency, then buckets."""
+    """The network and its vocabulary. Symbol 0 is the edge, then words by frequency, then buckets.
+
+    ``counts`` (word, n) holds the words beyond the vocabulary that occur twice or more, ``totals`` the occurrences in each bucket.
+    """
 
-    def __init__(self, shape: dict, words: list[bytes], weights: dict[str, np.ndarray] | None = None):
+    def __init__(self, shape: dict, words: list[bytes], weights: dict[str, np.ndarray] | None = None, totals: np.ndarray | None = None, counts: DataFrame | None = None):
         self.shape = s = LmShape(**shape)
         self.words = words
         self.ids = {w: i + 1 for i, w in enumerate(words)}
@@ -68,13 +78,25 @@ class WindowNetwork:
                 "cw": scale(s.hidden, s.classes) * np.float32(0.1), "cb": np.zeros(s.classes, np.float32),
                 "ow": scale(s.classes, s.hidden, s.per_class) * np.float32(0.1), "ob": np.zeros((s.classes, s.per_class), np.float32),
             }
-        self.weights = weights
+        self.weights, self.totals, self.counts = weights, totals, counts
 
     def symbols(self, data: bytes) -> np.ndarray:
         get, first, n = self.ids.get, self.shape.words + 1, self.shape.buckets
         found = re.findall(WORD, data.lower())
         return np.fromiter((get(w) or first + zlib.crc32(w) % n for w in found), dtype=np.int32, count=len(found))
 
+    def rare(self, data: bytes, symbols: np.ndarray) -> tuple[float, bytes]:
+        """Minus the summed log of the bucket totals over the words beyond the vocabulary, and these words, joined by spaces.
+
+        One occurrence more in each bucket stands for all words that were not counted.
+        """
+        first = self.shape.words + 1
+        places = np.flatnonzero(symbols >= first)
+        if self.totals is None or not len(places):
+            return 0.0, b""
+        found = re.findall(WORD, data.lower())
+        return -float(np.log1p(self.totals[symbols[places] - first]).sum()), b" ".join([found[i] for i in places])
+
     def laid_out(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Documents one after another with edges between, and the positions of their words."""
         edge = np.zeros(self.shape.window, dtype=np.int32)
@@ -155,11 +177,20 @@ class WindowNetwork:
             at += w.size
 
 
-def corpus_vocabulary(docs: DataFrame, n: int, text: str = "text") -> list[bytes]:
-    """The ``n`` most frequent words of all documents, ties by code point. Counts combine before the shuffle; ``n`` rows are collected."""
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """w, n: every word of all documents with its occurrences, which combine before the shuffle; written once for the steps that read it."""
     words = docs.select(F.explode(F.regexp_extract_all(lower_ascii(text_or_empty(text)), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), 1)).alias("w"))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(n).collect()
-    return [r["w"].encode() for r in top]
+    return staged(words.groupBy("w").agg(F.count("*").alias("n")), "lm-words")
+
+
+def _with_vocabulary(counts: DataFrame, shape: LmShape) -> WindowNetwork:
+    """A new network for the most frequent words, ties by code point; the others are only summed by bucket."""
+    top = counts.orderBy(F.desc("n"), "w").limit(shape.words).collect()
+    rare = counts.limit(0) if len(top) < shape.words else counts.where((F.col("n") < top[-1]["n"]) | ((F.col("n") == top[-1]["n"]) & (F.col("w") > top[-1]["w"])))
+    totals = np.zeros(shape.buckets)
+    for r in rare.groupBy(F.pmod(F.crc32(F.col("w").cast("binary")), F.lit(shape.buckets)).alias("b")).agg(F.sum("n").alias("n")).collect():
+        totals[r["b"]] = r["n"]
+    return WindowNetwork(asdict(shape), [r["w"].encode() for r in top], None, totals, rare.where("n > 1").withColumnRenamed("w", "word"))
 
 
 def _trained(shared, shape: LmShape, turn: int):
@@ -202,9 +233,14 @@ def _mean(t: pa.Table) -> pa.Table:
     return pa.table({"block": t.column("block")[:1], "weight": [w.sum()], "values": pa.array([mean], type=pa.list_(pa.float32()))})
 
 
-def train_language_model(docs: DataFrame, shape: LmShape = LmShape(), text: str = "text") -> WindowNetwork:
-    """Vocabulary and network of all ``docs``; null texts have no words. Deterministic for a given partitioning."""
-    net = WindowNetwork(asdict(shape), corpus_vocabulary(docs, shape.words, text))
+def train_language_model(docs: DataFrame, shape: LmShape | None = None, text: str = "text") -> WindowNetwork:
+    """Vocabulary and network of all ``docs``; null texts have no words. Deterministic for a given partitioning.
+
+    Without ``shape`` the number of distinct words decides the size of the vocabulary.
+    """
+    counts = word_counts(docs, text)
+    shape = shape or LmShape().grown(counts.count())
+    net = _with_vocabulary(counts, shape)
     rows = docs.select(text_or_empty(text).cast("binary").alias("data"))
     for turn in range(shape.rounds):
         shared = docs.sparkSession.sparkContext.broadcast({"shape": asdict(shape), "words": net.words, "weights": net.weights})
@@ -221,13 +257,14 @@ def train_language_model(docs: DataFrame, shape: LmShape = LmShape(), text: str
 def score_documents(docs: DataFrame, net: WindowNetwork, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens, log_prob (natural, summed over all positions) and mean_log_prob; columns of these names are replaced.
 
-    A text without words has log_prob 0 and a null mean. Every position of the whole text counts. No row is moved.
+    A text without words has log_prob 0 and a null mean. Every position of the whole text counts. Words beyond the vocabulary meet
+    their counts in a join by word, whose sums come back by text.
     """
-    shared = docs.sparkSession.sparkContext.broadcast({"shape": asdict(net.shape), "words": net.words, "weights": net.weights})
+    shared = docs.sparkSession.sparkContext.broadcast({"shape": asdict(net.shape), "words": net.words, "weights": net.weights, "totals": net.totals})
 
-    @F.pandas_udf("n long, lp double")
+    @F.pandas_udf("n long, lp double, rare binary")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = of_worker(shared, lambda held: WindowNetwork(held["shape"], held["words"], held["weights"]))
+        model = of_worker(shared, lambda held: WindowNetwork(held["shape"], held["words"], held["weights"], held["totals"]))
         for texts in batches:
             sums, block, size = [], [], 0
 
@@ -238,19 +275,28 @@ def score_documents(docs: DataFrame, net: WindowNetwork, text: str = "text") ->
                 sums.extend(lp[ends] - lp[ends - [len(d) for d in block]])
                 block.clear()
 
-            counts = []
+            counts, rare = [], []
             for data in texts:
                 block.append(model.symbols(data))
                 counts.append(len(block[-1]))
+                rare.append(model.rare(data, block[-1]))
                 size += counts[-1]
                 if size >= 200_000:
                     flush()
                     size = 0
             if block:
                 flush()
-            yield pd.DataFrame({"n": np.array(counts, dtype=np.int64), "lp": np.array(sums, dtype=float)})
-
+            yield pd.DataFrame({"n": np.array(counts, dtype=np.int64), "lp": np.array(sums, dtype=float) + np.array([r[0] for r in rare], dtype=float), "rare": [r[1] for r in rare]})
+
+    key = ["__text", "__text2"]
+    mark = lambda df: df.withColumns({"__text": F.xxhash64(text_or_empty(text)), "__text2": F.hash(text_or_empty(text))})
+    found = mark(docs).select(*key, scored(text_or_empty(text).cast("binary")).alias("lm"))
+    found = staged(found.select(*key, "lm.n", "lm.lp", F.col("lm.rare").cast("string").alias("rare")), "lm-scores")
+    sums = found.groupBy(*key).agg(F.max("n").alias("__n"), F.min("lp").alias("__lp"), F.count("*").alias("__copies"))
+    if net.counts is not None:
+        words = found.where(F.col("rare") != "").select(*key, F.explode(F.split("rare", " ")).alias("word"))
+        shares = words.join(net.counts, "word").groupBy(*key).agg(F.sum(F.log("n")).alias("__more"))
+        sums = sums.join(shares, key, "left").withColumn("__lp", F.col("__lp") + F.coalesce(F.col("__more") / F.col("__copies"), F.lit(0.0)))
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_tokens", "log_prob", "mean_log_prob")]
-    out = docs.withColumn("__lm", scored(text_or_empty(text).cast("binary")))
-    lp = F.col("__lm.lp")
-    return out.select(*kept, F.col("__lm.n").alias("n_tokens"), lp.alias("log_prob"), F.when(F.col("__lm.n") > 0, lp / F.col("__lm.n")).alias("mean_log_prob"))
+    out = mark(docs).join(sums, key)
+    return out.select(*kept, F.col("__n").alias("n_tokens"), F.col("__lp").alias("log_prob"), F.when(F.col("__n") > 0, F.col("__lp") / F.col("__n")).alias("mean_log_prob"))

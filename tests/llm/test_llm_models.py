@@ -151,6 +151,34 @@ def test_trained_model_beats_word_frequencies_and_prefers_fluent_text(spark):
     assert lm.score_documents(empty, lm.train_language_model(empty, lm.LmShape(classes=8, per_class=8, buckets=8))).count() == 0
 
 
+def test_every_word_beyond_the_vocabulary_has_its_own_probability(spark):
+    shape = lm.LmShape(classes=3, per_class=3, buckets=2, dim=3, hidden=4)
+    rows = [(i, " ".join(f"common{k}" for k in range(6)) * 3 + f" often twice{i % 9}" + (" once" if i == 5 else "")) for i in range(18)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    net = lm.train_language_model(docs, shape)
+    words = [w for _, t in rows for w in t.split()]
+    known = {w.decode() for w in net.words}
+    bucket = lambda w: zlib.crc32(w.encode()) % 2
+    rare = {w: words.count(w) for w in set(words) - known}
+    totals = [sum(n for w, n in rare.items() if bucket(w) == b) for b in (0, 1)]
+    assert len(rare) >= 8 and list(net.totals) == totals
+    asked = [*sorted(rare), "unseen", sorted(known)[0]]
+    asked = spark.createDataFrame([(i, w) for i, w in enumerate(asked + asked[:1])], "doc_id long, text string")
+    for r in lm.score_documents(asked, net).collect():
+        w = r["text"]
+        line, at = net.laid_out([net.symbols(w.encode())])
+        share = np.log(rare.get(w, 1) / (totals[bucket(w)] + 1)) if w not in known else 0
+        assert abs(r["log_prob"] - net.log_probabilities(line, at)[0] - share) < 1e-6
+
+
+def test_the_vocabulary_grows_with_the_distinct_words(spark):
+    assert lm.LmShape().grown(70_000) == lm.LmShape()
+    sizes = [lm.LmShape().grown(n).words for n in (70_000, 10**6, 10**8)]
+    assert sizes[1] > 3 * sizes[0] and sizes[2] > 9 * sizes[1]
+    docs = spark.range(120_000).selectExpr("id AS doc_id", "concat('w', id) AS text")
+    assert len(lm._with_vocabulary(lm.word_counts(docs), lm.LmShape().grown(120_000)).words) > 2_400
+
+
 def test_language_model_query(spark, sf):
     rows = queries.op2_lm_score(spark, sf).collect()
     assert len(rows) == table(spark, sf, "documents").count() and all(r["log_prob"] <= 0 for r in rows)
