@@ -6,7 +6,7 @@ holds the most frequent ones and grows with the root of the number of distinct w
 hash buckets that grows alike, times its share of the bucket's count, which is joined by word. Probabilities factor into class and word
 within class, so a position costs two small softmaxes.
 
-Training covers every document once. Each partition trains a copy of the network on masked positions of its own documents, and the
+Training covers every position of every document once. Each partition trains a copy of the network on its own documents, and the
 copies are averaged by number of positions, block by block, in two steps; a second round goes on from the average with the
 other half of the documents. Only the averaged network and the vocabulary come to the driver; the counts of the other words stay distributed.
 """
@@ -43,9 +43,9 @@ class LmShape:
     window: int = 2
     dim: int = 12
     hidden: int = 24
-    masked: float = 0.2
+    masked: float = 1.0
     rounds: int = 2
-    batch: int = 2048
+    batch: int = 8192
     rate: float = 0.15
     seed: int = 3
 
@@ -117,51 +117,53 @@ class WindowNetwork:
         np.exp(c, out=c)
         c /= c.sum(axis=1, keepdims=True)
         target = line[at]
-        # Neighbouring ranks fall into different classes, so that every class has frequent and rare words.
         kind, place = target % self.shape.classes, target // self.shape.classes
-        order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(self.shape.classes + 1))
-        return context, x, h, c, kind, place, order, ends
+        return context, x, h, c, kind, place, np.searchsorted(kind, np.arange(self.shape.classes + 1))
+
+    def _by_class(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Order of the positions in which each class is one slice. Neighbouring ranks fall into different classes, so that every class has frequent and rare words."""
+        return np.argsort((line[at] % self.shape.classes).astype(np.int16), kind="stable")
 
     def log_probabilities(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log P(word | words on both sides) at the positions ``at`` of a laid-out line."""
         p, out = self.weights, np.empty(len(at))
         for begin in range(0, len(at), 16384):
-            some = at[begin : begin + 16384]
-            _, _, h, c, kind, place, order, ends = self._forward(line, some)
-            lp = np.log(c[np.arange(len(some)), kind])
+            order = self._by_class(line, at[begin : begin + 16384])
+            _, _, h, c, kind, place, ends = self._forward(line, at[begin : begin + 16384][order])
+            lp = np.log(c[np.arange(len(order)), kind])
             for k in range(self.shape.classes):
-                rows = order[ends[k] : ends[k + 1]]
-                if len(rows):
+                rows = slice(ends[k], ends[k + 1])
+                if ends[k] < ends[k + 1]:
                     o = h[rows] @ p["ow"][k] + p["ob"][k]
-                    top = o.max(axis=1)
-                    lp[rows] += o[np.arange(len(rows)), place[rows]] - top - np.log(np.exp(o - top[:, None]).sum(axis=1))
-            out[begin : begin + 16384] = lp
+                    o -= o.max(axis=1, keepdims=True)
+                    lp[rows] += o[np.arange(len(o)), place[rows]]
+                    lp[rows] -= np.log(np.exp(o, out=o).sum(axis=1))
+            out[begin + order] = lp
         return out
 
     def step(self, line: np.ndarray, at: np.ndarray, squares: dict[str, np.ndarray]) -> None:
         """One Adagrad step on the mean negative log-probability of the positions ``at``."""
         p, n = self.weights, np.float32(len(at))
-        context, x, h, c, kind, place, order, ends = self._forward(line, at)
+        context, x, h, c, kind, place, ends = self._forward(line, at[self._by_class(line, at)])
         c[np.arange(len(at)), kind] -= 1
         c /= n
         g = {"cw": h.T @ c, "cb": c.sum(axis=0), "ow": np.zeros_like(p["ow"]), "ob": np.zeros_like(p["ob"])}
         gh = c @ p["cw"].T
         for k in range(self.shape.classes):
-            rows = order[ends[k] : ends[k + 1]]
-            if len(rows):
+            rows = slice(ends[k], ends[k + 1])
+            if ends[k] < ends[k + 1]:
                 o = h[rows] @ p["ow"][k] + p["ob"][k]
-                o = np.exp(o - o.max(axis=1, keepdims=True))
+                o -= o.max(axis=1, keepdims=True)
+                np.exp(o, out=o)
                 o /= o.sum(axis=1, keepdims=True)
-                o[np.arange(len(rows)), place[rows]] -= 1
+                o[np.arange(len(o)), place[rows]] -= 1
                 o /= n
                 g["ow"][k], g["ob"][k] = h[rows].T @ o, o.sum(axis=0)
                 gh[rows] += o @ p["ow"][k].T
         gz = gh * (1 - h * h)
         g["w"], g["b"] = x.T @ gz, gz.sum(axis=0)
-        gx = (gz @ p["w"].T).reshape(-1, self.shape.dim)
-        flat = (context.reshape(-1, 1) * self.shape.dim + np.arange(self.shape.dim)).ravel()
-        g["embed"] = np.bincount(flat, gx.ravel(), minlength=p["embed"].size).astype(np.float32).reshape(p["embed"].shape)
+        gx, seen = (gz @ p["w"].T).reshape(-1, self.shape.dim), context.ravel()
+        g["embed"] = np.stack([np.bincount(seen, gx[:, d], minlength=len(p["embed"])) for d in range(self.shape.dim)], axis=1).astype(np.float32)
         for name, grad in g.items():
             squares[name] += grad * grad
             p[name] -= self.shape.rate * grad / (np.sqrt(squares[name]) + np.float32(1e-6))

@@ -151,6 +151,15 @@ def test_trained_model_beats_word_frequencies_and_prefers_fluent_text(spark):
     assert lm.score_documents(empty, lm.train_language_model(empty, lm.LmShape(classes=8, per_class=8, buckets=8))).count() == 0
 
 
+def test_every_position_is_a_training_target(spark):
+    docs = spark.createDataFrame([(f"a{i % 7} b c{i % 5} d",) for i in range(500)], "text string").repartition(3)
+    shape = lm.LmShape()
+    net = lm._with_vocabulary(lm.word_counts(docs), shape)
+    shared = spark.sparkContext.broadcast({"shape": vars(shape), "words": net.words, "weights": net.weights})
+    copies = docs.selectExpr("cast(text as binary) AS data").mapInArrow(lm._trained(shared, shape, 0), "block int, bin int, weight double, values array<float>")
+    assert sum(r["weight"] for r in copies.where("block = 0").collect()) == 2000
+
+
 def test_every_word_beyond_the_vocabulary_has_its_own_probability(spark):
     shape = lm.LmShape(classes=3, per_class=3, buckets=2, dim=3, hidden=4)
     rows = [(i, " ".join(f"common{k}" for k in range(6)) * 3 + f" often twice{i % 9}" + (" once" if i == 5 else "")) for i in range(18)]
