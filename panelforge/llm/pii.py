@@ -3,7 +3,8 @@
 Protected entities are the e-mail addresses, IP addresses, card and phone numbers that patterns and checks find. Words near an
 entity are terms that may give it away. Over all documents, with n(e) documents mentioning an entity, n(e, t) with the term near it and
 df(t) with the term anywhere, a term tells PMI(e; t) = log(n(e, t) N / (n(e) df(t))) of the IC(e) = log(N / n(e)) that the entity holds.
-Where PMI / IC reaches the disclosure threshold the term is generalised near that entity, and removed from a higher one on.
+Where PMI / IC reaches the disclosure threshold the term is generalised wherever it stands in a document that mentions the entity, and
+removed from a higher one on.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ BROADCAST_TERMS = 200_000
 
 @dataclass(frozen=True)
 class Disclosure:
-    """``near``: characters on either side of an entity in which terms are looked at. ``support``: documents that must show a pair."""
+    """``near``: characters on either side of an entity in which pairs are counted. ``support``: documents that must show a pair."""
 
     near: int = 60
     support: int = 3
@@ -73,7 +74,7 @@ def _matches(text: Column, kind: str) -> Column:
 
 
 def find_entities(docs: DataFrame, near: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_hash, entities (start, kind_no, end, kind, value, before, after; in span order) of every document.
+    """doc_id, text_hash, entities (start, kind_no, end, kind, value, before, after; in span order) of every document, and t, its text if it has any.
 
     Places are code points, ends exclusive. ``before`` and ``after`` hold ``near`` characters around the entity and one more to tell cut words.
     """
@@ -92,7 +93,7 @@ def find_entities(docs: DataFrame, near: int, doc_id: str = "doc_id", text: str
         return F.transform(F.filter(F.col(kind), lambda m: _valid(kind, m["value"])), one)
 
     entities = F.array_sort(F.concat(*[entity(i, k) for i, k in enumerate(KINDS)]))
-    return rows.select("doc_id", "text_hash", entities.alias("entities"))
+    return rows.select("doc_id", "text_hash", entities.alias("entities"), "t").withColumn("t", F.when(F.size("entities") > 0, F.col("t")))
 
 
 def _terms_near(mentions: DataFrame, near: int) -> DataFrame:
@@ -131,20 +132,42 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, terms: DataFrame, rule:
     return told.where((whole > 0) & (F.col("disclosure") >= rule.generalise)).select("entity", "term", "disclosure")
 
 
+def _told_words(base: DataFrame, found: DataFrame, told: DataFrame) -> DataFrame:
+    """doc_id, text_hash, start, end, disclosure of every whole word that gives away an entity of its document, at any distance."""
+    terms = found.distinct().join(told, "entity").groupBy("doc_id", "text_hash", "term").agg(F.max("disclosure").alias("disclosure"))
+    terms = terms.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told"))
+    texts = base.where(F.col("t").isNotNull()).select("doc_id", "text_hash", "t").join(terms, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,disclosure:double>>").alias("out"))
+
+    # Only words that tell are appended, so that a long text costs one step a word.
+    def add(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + F.length(x["gap"])
+        end = begin + F.length(x["word"])
+        tells = F.try_element_at(F.col("told"), lower_ascii(x["word"]))
+        more = F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), tells.alias("disclosure"))))
+        return F.struct(end.alias("at"), F.when(tells.isNull(), acc["out"]).otherwise(more).alias("out"))
+
+    words, gaps = F.regexp_extract_all("t", F.lit(f"({TERM})"), 1), F.split("t", TERM, -1)
+    pairs = F.zip_with(words, F.slice(gaps, F.lit(1), F.size(words)), lambda w, g: F.struct(w.alias("word"), g.alias("gap")))
+    return texts.select("doc_id", "text_hash", F.explode(F.aggregate(pairs, start, add, lambda acc: acc["out"])).alias("w")).select("doc_id", "text_hash", "w.*")
+
+
 def find_personal_data(docs: DataFrame, rule: Disclosure = Disclosure(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, spans (start, kind_no, end, kind, disclosure), ordered by start, then kind.
 
     Kinds are email, ip, card, phone and, last, term; entities have disclosure 1. A term span never overlaps an entity of its document.
-    Null texts are empty, null ids stay. Rows with equal id and text are one document for the counts and get equal spans.
+    A term that gives an entity away is marked wherever it stands in a document that mentions the entity. Null texts are empty, null ids stay. Rows with equal id and text are one document for the counts and get equal spans.
     """
     base = staged(find_entities(docs, rule.near, doc_id, text), "pii-entities")
     mentions = base.select("doc_id", "text_hash", F.explode("entities").alias("e"))
     value = F.when(F.col("e.kind").isin("card", "phone"), F.regexp_replace("e.value", "[^0-9]", "")).otherwise(lower_ascii(F.col("e.value")))
     found = mentions.select("doc_id", "text_hash", F.concat_ws(":", "e.kind", value).alias("entity"))
     terms = staged(_terms_near(mentions, rule.near), "pii-near-terms")
-    told = disclosing_terms(docs, found, terms, rule, text)
+    told = staged(disclosing_terms(docs, found, terms, rule, text), "pii-told")
     span = F.struct("start", F.lit(len(KINDS)).alias("kind_no"), "end", F.lit(TERM_KIND).alias("kind"), "disclosure")
-    hits = terms.join(told, ["entity", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    # A word that stands against an entity without a gap is whole only beside it.
+    close = terms.join(told, ["entity", "term"]).select("doc_id", "text_hash", "start", "end", "disclosure")
+    hits = close.unionByName(_told_words(base, found, told)).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     hits = hits.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list(span).alias("terms"))
     out = base.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
     entities = F.transform("entities", lambda e: F.struct(e["start"].alias("start"), e["kind_no"].alias("kind_no"), e["end"].alias("end"), e["kind"].alias("kind"), F.lit(1.0).alias("disclosure")))

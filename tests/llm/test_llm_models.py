@@ -267,6 +267,21 @@ def test_terms_that_give_an_entity_away_are_found_as_by_hand(spark):
     assert "clinic" not in clean[0] and "[EMAIL]" in clean[0] and "The " in clean[0] and clean[60] == "zebrafold alone" and clean[62] is None
 
 
+def test_telling_terms_are_marked_at_any_distance_from_the_entity(spark):
+    far = "filler words " * 3_000
+    rows = [(i, f"{'ZebraFold 😀' if i == 2 else 'Report'} {far if i < 4 else ''}zebrafold wrote to ann@x.org{' ' + far + 'signed Zebrafold' if i == 3 else ''}") for i in range(5)]
+    rows += [(5, f"zebrafold. {far} ann@x.org"), (6, f"zebrafold zebrafoldy {far}"), (None, f"ann@x.org {far} ZEBRAFOLD")] + [(10 + i, f"Report filler words signed wrote to {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows + rows[2:3], "doc_id long, text string")
+    found = pii.find_personal_data(docs, pii.Disclosure(generalise=0.7)).collect()
+    assert len(found) == len(rows) + 1
+    texts = dict(rows)
+    for r in found:
+        want = [m.span() for m in re.finditer(r"(?i)\bzebrafold\b", texts[r["doc_id"]])] if "ann@" in texts[r["doc_id"]] else []
+        assert [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "term"] == want
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs, pii.Disclosure(generalise=0.7)).collect()}
+    assert all(("zebrafold" in t.lower()) == (i == 6) for i, t in clean.items())
+
+
 # Mixing
 
 
