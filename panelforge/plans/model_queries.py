@@ -198,9 +198,8 @@ ALL = [*FEATURES, "trend_3", "volatility_5"]
 # The grid of the reference run.
 NET = {"n_alphas": 300, "eps": 1e-4}
 INNER_FOLDS, OUTER_FOLDS = 7, 5
-# Every boosting round is several Spark jobs; the operators default to the 300 rounds of the reference run.
-ROUNDS = {"maxIter": 30}
-CV_TREES = {"numTrees": 50}
+ROUNDS = {"maxIter": 300}
+CV_TREES = {"numTrees": 300}
 L1_RATIO, L1_RATIOS = 0.01, [0.01, 0.05, 0.1, 0.3, 0.5, 0.7, 0.9, 0.95]
 
 
