@@ -94,9 +94,68 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(length('<turn ' || replace({_ESCAPED.format("role")}, '>', '\\>') || '>' || chr(10) || {_ESCAPED.format("text")} || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id"""
 
+def _moves() -> str:
+    """(state, state after, cost, letters, initial that the row needs, row may stay): up to two insertions, then an edit of the next row."""
+    states = {0: "su", 1: "u", 2: "a", 3: "u"}
+    after = {"s": 1, "u": 2, "a": 3}
+    rows = []
+    for q in states:
+        reach, j = [(q, 0, "")], q
+        for n in (1, 2):
+            j = 3 if j == 2 else 2
+            if j != q:
+                reach.append((j, 2 * n, "I" * n))
+        for j, cost, letters in reach:
+            rows.append((q, j, cost + 3, letters + "D", "", False))
+            for role in states[j]:
+                rows.append((q, after[role], cost, letters + "K", role, True))
+                if role != "s":
+                    rows.append((q, after[role], cost + 2, letters + "R", "", True))
+            rows.append((q, j, cost, letters, "end", False))
+    return _values(rows)
+
+
+_SPACES = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+REPAIR = f"""
+WITH RECURSIVE bits AS (SELECT i, 0 AS n, CAST(i AS BIGINT) AS v FROM range(256) t(i) UNION ALL SELECT i, n + 1, xor(v >> 1, 3988292384 * (v & 1)) FROM bits WHERE n < 8),
+crc AS (SELECT list(v ORDER BY i) AS tab FROM bits WHERE n = 8),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS key FROM conversations),
+f AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_concat([4294967295], [CAST(ascii(c) AS BIGINT) FOR c IN string_split(key, '')]), lambda a, b: xor(a >> 8, tab[1 + (xor(a, b) & 255)])), 4294967295) % 20 AS fault FROM k, crc),
+d AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM f, unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) t(copy) WHERE fault <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, rtrim(text, {_SPACES}) AS body, left(role, 1) AS initial FROM d),
+r AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  pos > 1 AND lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial NOT IN ('su', 'ua', 'au') AS odd FROM p),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+  count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE odd) AS illegal, max(pos) AS n FROM r GROUP BY conv_id),
+moves(q, nxt, cost, letters, need, stays) AS (VALUES {_moves()}),
+rec AS (SELECT conv_id, CAST(0 AS BIGINT) AS pos, 0 AS q, '000000000' AS best FROM facts
+  UNION ALL SELECT r.conv_id, r.pos, m.nxt, min(lpad(CAST(CAST(best[1:9] AS INTEGER) + m.cost + CASE WHEN m.stays AND fault = 'truncated' THEN 1 ELSE 0 END AS VARCHAR), 9, '0') || best[10:] || m.letters)
+  FROM rec JOIN r ON rec.conv_id IS NOT DISTINCT FROM r.conv_id AND r.pos = rec.pos + 1 JOIN moves m ON m.q = rec.q AND m.need <> 'end' AND (NOT m.stays OR fault NOT IN ('blank', 'duplicate') AND (m.need = '' OR m.need = r.initial)) GROUP BY 1, 2, 3),
+best AS (SELECT facts.conv_id, min(lpad(CAST(CAST(best[1:9] AS INTEGER) + m.cost AS VARCHAR), 9, '0') || best[10:] || m.letters) AS best
+  FROM facts JOIN rec ON facts.conv_id IS NOT DISTINCT FROM rec.conv_id AND rec.pos = n JOIN moves m ON m.q = rec.q AND m.need = 'end' AND m.nxt IN (0, 3) GROUP BY facts.conv_id),
+letters AS (SELECT conv_id, i, best[9 + i:9 + i] AS letter, length(replace(best[10:], 'D', '')) AS size FROM best, unnest(range(1, length(best) - 8)) t(i)),
+edits AS (SELECT *, sum(CAST(letter <> 'I' AS INTEGER)) OVER w AS pos, sum(CAST(letter <> 'D' AS INTEGER)) OVER w AS nth FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+said AS (SELECT e.conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (nth - size % 2) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY i) AS lines
+  FROM edits e LEFT JOIN r ON e.conv_id IS NOT DISTINCT FROM r.conv_id AND e.pos = r.pos WHERE letter <> 'D' GROUP BY e.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(CAST(best[1:9] AS BIGINT), 0) AS cost, coalesce(best[10:], '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts ON c.conv_id IS NOT DISTINCT FROM facts.conv_id LEFT JOIN best ON c.conv_id IS NOT DISTINCT FROM best.conv_id LEFT JOIN said ON c.conv_id IS NOT DISTINCT FROM said.conv_id"""
+
+NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same, CAST(list_inner_product(a.q, r.q) AS BIGINT) AS score FROM v a JOIN v r ON a.vec_id % 100 = 0 AND len(a.q) = len(r.q)),
+pos AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same AND other_id <> anchor_id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+neg AS (SELECT p.anchor_id, positive_id, positive_score, other_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS rank
+  FROM pos p JOIN s ON p.anchor_id = s.anchor_id WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 5"""
+
 ORACLES: dict[str, str] = {
     "op1_decontaminate": CONTAMINATION,
     "op3_personal_data": PERSONAL_DATA,
     "op6_url_filter": URLS,
     "op9_chat_format": CHAT,
+    "op11_repair_conversations": REPAIR,
+    "op12_hard_negatives": NEGATIVES,
 }
