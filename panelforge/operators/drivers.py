@@ -8,13 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.scalar import stable_unit, standard_name
-from panelforge.operators.grouped import (
-    SKETCH_ACCURACY,
-    group_quantiles,
-    group_sizes,
-    lookup_join,
-    running_totals,
-)
+from panelforge.operators.grouped import GroupSizes, group_quantiles, group_sizes, lookup_join, running_totals
+from panelforge.operators.profile import long_format
 from panelforge.session import staged
 
 BINS = 32
@@ -25,27 +20,22 @@ def driver_gini(
 ) -> DataFrame:
     """Importance of every feature for every entity: best weighted Gini gain of a single cut, summing to 1.
 
-    Cut points are quantiles from a bounded sketch (as tree learners do); classes weigh ``n / (2 n_class)``
-    and missing values take the feature's median. Two aggregates over the futures serve all entities and
-    features; only bin counts are shuffled. Entities without both classes give no rows.
+    Cut points are exact order statistics of the entity's values, whatever its size; classes weigh ``n / (2 n_class)``
+    and missing values take the feature's (lower) median. Entities without both classes give no rows.
     """
     features = list(features)
     rows = df.where(F.col(label).isNotNull())
-    probs = [i / bins for i in range(1, bins)]
-    sketch = rows.groupBy(entity).agg(
-        F.count_if(F.col(label) == 1).alias("_n1"), F.count_if(F.col(label) == 0).alias("_n0"),
-        *[F.percentile_approx(F.col(f).cast("double"), probs, SKETCH_ACCURACY).alias(f"_q_{f}") for f in features],
+    sizes = rows.groupBy(entity).agg(F.count_if(F.col(label) == 1).alias("_n1"), F.count_if(F.col(label) == 0).alias("_n0"))
+    largest = sizes.agg(F.max(F.col("_n0") + F.col("_n1")).alias("n"), F.count(F.lit(1)).alias("groups")).first()
+    long = long_format(rows.withColumn("_y", F.col(label).cast("int")), features, [entity, "_y"], "feature")
+    cuts = group_quantiles(
+        long, [entity, "feature"], "value", [i / bins for i in range(1, bins)], discrete=True,
+        sizes=GroupSizes(largest["groups"] * len(features), largest["n"] or 0),
+    ).select(entity, "feature", "q")
+    usable = lookup_join(cuts, sizes.where("_n1 > 0 and _n0 > 0"), [entity], "inner")
+    tall = lookup_join(long, usable, [entity, "feature"], "inner").select(
+        entity, "feature", "_n0", "_n1", "_y", F.expr(f"size(filter(q, c -> c < coalesce(value, q[{bins // 2 - 1}])))").alias("bin"),
     )
-    usable = sketch.where("_n1 > 0 and _n0 > 0")
-    bin_of = [
-        F.struct(F.lit(f).alias("feature"), F.expr(
-            f"size(filter(_q_{f}, c -> c < coalesce(cast(`{f}` as double), _q_{f}[{bins // 2 - 1}])))"
-        ).alias("bin"), F.col(f"_q_{f}").isNull().alias("empty"))
-        for f in features
-    ]
-    tall = lookup_join(rows, usable, [entity], "inner").select(
-        entity, "_n0", "_n1", F.col(label).alias("_y"), F.inline(F.array(*bin_of))
-    ).where(~F.col("empty"))
     counted = tall.groupBy(entity, "feature", "bin").agg(
         F.first("_n0").alias("_n0"), F.first("_n1").alias("_n1"),
         F.count_if(F.col("_y") == 0).alias("_c0"), F.count_if(F.col("_y") == 1).alias("_c1"),
@@ -89,13 +79,13 @@ def forest_importance(
     from panelforge.operators.regression import median_fill
 
     rows = df.where(F.col(label).isNotNull())
-    counts = {r["_y"]: r["n"] for r in rows.groupBy(F.col(label).cast("int").alias("_y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["_y"]: r["n"] for r in rows.groupBy((F.col(label) == 1).cast("int").alias("_y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     schema = "feature string, importance double"
     if len(counts) < 2:
         return df.sparkSession.createDataFrame([], schema)
     n = sum(counts.values())
     weight = F.when(F.col(label) == 1, n / (2.0 * counts[1])).otherwise(n / (2.0 * counts[0]))
-    filled = median_fill(rows, features).withColumns({"_w": weight, "_y": F.col(label).cast("double")})
+    filled = median_fill(rows, features).withColumns({"_w": weight, "_y": (F.col(label) == 1).cast("double")})
     ready = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(filled)
     model = RandomForestClassifier(
         labelCol="_y", featuresCol="_x", weightCol="_w", numTrees=trees, minInstancesPerNode=min_leaf,
@@ -125,7 +115,7 @@ def train_classifier(
     train, test = split.where(~F.col("is_test")), split.where("is_test")
     known = train.agg(*[F.count(c).alias(c) for c in features]).first()
     used = [c for c in features if known[c]]
-    classes = {r["_y"]: r["n"] for r in train.groupBy(F.col(label).cast("int").alias("_y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    classes = {r["_y"]: r["n"] for r in train.groupBy((F.col(label) == 1).cast("int").alias("_y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = split.groupBy(entity).agg(F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test")).withColumns({
         "n_features": F.lit(len(used)), "dropped_features": F.lit("|".join(c for c in features if not known[c])),
     })
@@ -143,7 +133,7 @@ def train_classifier(
 
         model = RandomForestClassifier(
             labelCol="_y", featuresCol="_x", weightCol="_w", numTrees=trees, minInstancesPerNode=min_leaf, maxDepth=max_depth, seed=seed,
-        ).fit(vectors(train).withColumns({"_w": weight, "_y": F.col(label).cast("double")}))
+        ).fit(vectors(train).withColumns({"_w": weight, "_y": (F.col(label) == 1).cast("double")}))
         scored = model.transform(vectors(test)).withColumn("score", vector_to_array("probability")[1]).select(*test.columns, "score")
         status = F.lit("trained")
     scored = staged(scored)

@@ -142,8 +142,9 @@ def group_quantiles(
     sizes = sizes or group_sizes(df, keys)
     if sizes.largest <= max_group:
         if discrete:
-            items = [F.expr(f"percentile_disc({p!r}) within group (order by _v)") for p in probs]
-            return rows.groupBy(*keys).agg(F.count("_v").alias("n"), F.array(*items).alias(alias))
+            wanted = ", ".join(f"{float(p)!r}D" for p in probs)
+            q = F.expr(f"percentile_disc(array({wanted})) within group (order by _v)")
+            return rows.groupBy(*keys).agg(F.count("_v").alias("n"), q.alias(alias))
         return rows.groupBy(*keys).agg(
             F.count("_v").alias("n"), F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias(alias)
         )

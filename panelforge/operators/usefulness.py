@@ -15,9 +15,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.operators import tree_models, trees
 from panelforge.operators.folds import group_folds
 from panelforge.operators.profile import within_group_std
-from panelforge.operators.regression import boosted, cross_validated_mae, medians
+from panelforge.operators.regression import medians
 from panelforge.session import staged
 
 # Penalties tried by default.
@@ -147,7 +148,7 @@ class FixedEffectRidge:
 
 
 def feature_usefulness(
-    df: DataFrame, feature: str, target: str, splits: int = 5, alphas: Sequence[float] = ALPHAS, boosting: Mapping | None = None,
+    df: DataFrame, feature: str, target: str, splits: int = 5, alphas: Sequence[float] = ALPHAS, boosting: trees.Boosting | None = None,
     entity: str = "entity", period: str = "period",
 ) -> DataFrame:
     """Grouped cross-validation errors with and without the feature, its permutation importance and its
@@ -181,11 +182,13 @@ def feature_usefulness(
     models = ["ridge"]
     if boosting is not None:
         models.append("trees")
-        for name, chosen in sets.items():
-            errors = cross_validated_mae(
-                folded, chosen, target, lambda _: boosted(target, **{"maxDepth": 4, **boosting}), "group", entity=entity, period=period
-            ).agg(F.avg("mae_log").alias("log"), F.avg("mae_level").alias("level")).first()
-            out[f"mae_{name}_trees"], out[f"mae_{name}_trees_level"] = errors["log"], errors["level"]
+        # Both feature sets and all folds are models of one fit.
+        rows = trees.binned(folded.withColumn("_key", F.xxhash64(entity, period)), features, ["fold", target, "_key"])
+        both = {f"{name}:{f}": (F.col("fold") != f, F.col("fold") == f, chosen) for name, chosen in sets.items() for f in folds}
+        scored = tree_models.predictions(rows, target, "_key", both, boosting)
+        gaps = scored.groupBy("model").agg(F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("log"), F.avg(F.abs(F.exp(target) - F.exp("prediction"))).alias("level"))
+        for e in gaps.groupBy(F.split("model", ":")[0].alias("name")).agg(F.avg("log").alias("log"), F.avg("level").alias("level")).collect():
+            out[f"mae_{e['name']}_trees"], out[f"mae_{e['name']}_trees_level"] = e["log"], e["level"]
     for m in models:
         for suffix in ("", "_level"):
             out[f"mae_delta_{m}{suffix}"] = out[f"mae_with_feature_{m}{suffix}"] - out[f"mae_base_{m}{suffix}"]

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.operators import calibrate, drivers, elastic, folds, outliers, regression, smooth, usefulness
+from panelforge.operators import calibrate, drivers, elastic, folds, forests, outliers, regression, smooth, tree_models, trees, usefulness
 from panelforge.operators.ensemble import generate_ensemble
 from panelforge.operators.panel import rolling_features
 from panelforge.plans.discovery import features_of
@@ -198,8 +198,7 @@ ALL = [*FEATURES, "trend_3", "volatility_5"]
 # The grid of the reference run.
 NET = {"n_alphas": 300, "eps": 1e-4}
 INNER_FOLDS, OUTER_FOLDS = 7, 5
-ROUNDS = {"maxIter": 300}
-CV_TREES = {"numTrees": 300}
+BOOSTING, TREES = trees.Boosting(rounds=300), trees.Forest(trees=300)
 L1_RATIO, L1_RATIOS = 0.01, [0.01, 0.05, 0.1, 0.3, 0.5, 0.7, 0.9, 0.95]
 
 
@@ -260,11 +259,39 @@ def rf_fit(spark: SparkSession, sf: str) -> DataFrame:
     return regression.feature_importances(regression.fit(train, ALL, regression.forest(TARGET)), ALL)
 
 
+def held_out(spark: SparkSession, sf: str) -> tuple[trees.Binned, Column, Column]:
+    """The training table, binned, and the conditions of its training and test rows."""
+    frame = with_trends(spark, sf)
+    cutoff = frame.agg(F.max("period")).first()[0] - HOLDOUT
+    rows = trees.binned(frame.withColumn("key", F.xxhash64("entity", "period")), ALL, ["key", "period", TARGET])
+    return rows, F.col("period") <= cutoff, F.col("period") > cutoff
+
+
 @query("gbt_fit")
 def gbt_fit(spark: SparkSession, sf: str) -> DataFrame:
-    train, test = folds.time_holdout(with_trends(spark, sf), HOLDOUT)
-    model = regression.fit(train, ALL, regression.boosted(TARGET, **ROUNDS), "robust")
-    return regression.holdout_errors(regression.predictions(train, model), regression.predictions(test, model), TARGET)
+    rows, train, test = held_out(spark, sf)
+    fitted = trees.fit_boosted(rows, TARGET, "key", {"boosted": (train, ALL)}, BOOSTING)
+    scored = fitted.predict(rows, ["period", TARGET]).withColumn(regression.PREDICTION, F.col(trees.PREDICTED)[0])
+    return regression.holdout_errors(scored.where(train), scored.where(test), TARGET)
+
+
+@query("gbt_importances")
+def gbt_importances(spark: SparkSession, sf: str) -> DataFrame:
+    rows, train, _ = held_out(spark, sf)
+    found = trees.fit_boosted(rows, TARGET, "key", {"boosted": (train, ALL)}, BOOSTING).importances()
+    return spark.createDataFrame([(ALL[f], v) for f, v in found.items()], "feature string, importance double")
+
+
+@query("ablation_boosted")
+def ablation_boosted(spark: SparkSession, sf: str) -> DataFrame:
+    rows, train, test = held_out(spark, sf)
+    return tree_models.tree_ablation(rows, TARGET, "key", train, test, ALL, BOOSTING)
+
+
+@query("ablation_forest")
+def ablation_forest(spark: SparkSession, sf: str) -> DataFrame:
+    rows, train, test = held_out(spark, sf)
+    return tree_models.tree_ablation(rows, TARGET, "key", train, test, ALL, TREES)
 
 
 def cv_table(frame: DataFrame, models: dict) -> DataFrame:
@@ -281,24 +308,36 @@ def cv_table(frame: DataFrame, models: dict) -> DataFrame:
     return out
 
 
+def training_part(spark: SparkSession, sf: str) -> DataFrame:
+    """The training periods: cross-validation never sees the holdout."""
+    return staged(folds.time_holdout(with_trends(spark, sf), HOLDOUT)[0])
+
+
+def tree_cv(frame: DataFrame) -> DataFrame:
+    """Errors of forest and boosting, all folds of each in one fit."""
+    by_time = folds.time_folds(frame, OUTER_FOLDS).withColumnRenamed("fold", "time_fold")
+    folded = folds.group_folds(by_time, OUTER_FOLDS).withColumnRenamed("fold", "group_fold").withColumn("key", F.xxhash64("entity", "period"))
+    rows = trees.binned(folded, ALL, ["key", "time_fold", "group_fold", TARGET])
+    kinds = {"time": ("time_fold", OUTER_FOLDS), "group": ("group_fold", OUTER_FOLDS)}
+    found = [tree_models.fold_errors(rows, TARGET, "key", kinds, ALL, p).select(F.lit(name).alias("model"), "kind", "fold", "n_obs", "mae_log", "mae_level") for name, p in (("forest", TREES), ("boosted", BOOSTING))]
+    return found[0].unionByName(found[1])
+
+
 @query("cv_errors")
 def cv_errors(spark: SparkSession, sf: str) -> DataFrame:
-    """Time and group errors of all four models."""
-    frame = with_trends(spark, sf)
-    models = {
-        "elastic_net": (searched_net(frame), "entity"), "forest": (lambda _: regression.forest(TARGET, **CV_TREES), None),
-        "boosted": (lambda _: regression.boosted(TARGET, **ROUNDS), None), "median": (None, None),
-    }
-    return cv_table(frame, models)
+    """Time and group errors of all four models on the training periods."""
+    frame = training_part(spark, sf)
+    return cv_table(frame, {"elastic_net": (searched_net(frame), "entity"), "median": (None, None)}).unionByName(tree_cv(frame))
 
 
 CV_MEDIAN_SQL = f"""
-i AS (SELECT *, row_number() OVER (ORDER BY period, entity) - 1 AS i, count(*) OVER () AS n FROM train),
+known AS (SELECT * FROM train WHERE period <= (SELECT max(period) FROM train) - {HOLDOUT}),
+i AS (SELECT *, row_number() OVER (ORDER BY period, entity) - 1 AS i, count(*) OVER () AS n FROM known),
 bt AS (SELECT y, CASE WHEN i < n - {OUTER_FOLDS} * (n // {OUTER_FOLDS + 1}) THEN -1 ELSE (i - (n - {OUTER_FOLDS} * (n // {OUTER_FOLDS + 1}))) // (n // {OUTER_FOLDS + 1}) END AS fold FROM i),
-ents AS (SELECT entity, size, row_number() OVER (ORDER BY size DESC, entity) AS rn FROM (SELECT entity, count(*) AS size FROM train GROUP BY entity)),
+ents AS (SELECT entity, size, row_number() OVER (ORDER BY size DESC, entity) AS rn FROM (SELECT entity, count(*) AS size FROM known GROUP BY entity)),
 deal(rn, loads, fold) AS (SELECT 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[], -1::BIGINT UNION ALL
   SELECT e.rn, list_transform(loads, lambda x, k: CASE WHEN k = list_position(loads, list_min(loads)) THEN x + e.size ELSE x END), list_position(loads, list_min(loads)) - 1 FROM deal d JOIN ents e ON e.rn = d.rn + 1),
-bg AS (SELECT y, deal.fold FROM train t JOIN ents e ON t.entity = e.entity JOIN deal ON deal.rn = e.rn),
+bg AS (SELECT y, deal.fold FROM known t JOIN ents e ON t.entity = e.entity JOIN deal ON deal.rn = e.rn),
 f AS (SELECT CAST(i AS INTEGER) AS fold FROM generate_series(0, {OUTER_FOLDS - 1}) t(i)),
 mt AS (SELECT 'time' AS kind, f.fold, quantile_cont(y, 0.5) AS p FROM f JOIN bt ON bt.fold < f.fold GROUP BY f.fold),
 mg AS (SELECT 'group' AS kind, f.fold, quantile_cont(y, 0.5) AS p FROM f JOIN bg ON bg.fold <> f.fold GROUP BY f.fold),
@@ -308,7 +347,7 @@ s AS (SELECT kind, mt.fold, y, p FROM mt JOIN bt ON bt.fold = mt.fold UNION ALL
 @query("cv_errors_median", with_sql("panel", TRAIN_SQL, CV_MEDIAN_SQL).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
 SELECT 'median' AS model, kind, fold, count(*) AS n_obs, {r("avg(abs(y - p))", "mae_log")}, {r("avg(abs(exp(y) - exp(p)))", "mae_level")} FROM s GROUP BY kind, fold""")
 def cv_errors_median(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(cv_table(with_trends(spark, sf), {"median": (None, None)}))
+    return rounded(cv_table(training_part(spark, sf), {"median": (None, None)}))
 
 
 @query("pca_loadings")
@@ -331,17 +370,18 @@ def pca_ablation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("feature_usefulness")
 def feature_usefulness(spark: SparkSession, sf: str) -> DataFrame:
-    return usefulness.feature_usefulness(with_trends(spark, sf), "n_lines", TARGET, splits=5, boosting=ROUNDS)
+    return usefulness.feature_usefulness(with_trends(spark, sf), "n_lines", TARGET, splits=5, boosting=trees.Boosting(rounds=300, depth=4))
 
 
 @query("forest_importance")
 def forest_importance(spark: SparkSession, sf: str) -> DataFrame:
-    frame = staged(merged(spark, sf))
-    return drivers.forest_importance(frame, features_of(frame))
+    """Importances of every driver statistic, a forest per entity."""
+    frame = merged(spark, sf)
+    return forests.entity_forests(frame, features_of(frame))[0]
 
 
 @query("driver_classifier")
 def driver_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    """What a forest over all driver statistics scores on held-out futures, per entity."""
-    frame = staged(merged(spark, sf))
-    return drivers.train_classifier(frame, features_of(frame))[1]
+    """What each entity's forest over all driver statistics scores on held-out futures."""
+    frame = merged(spark, sf)
+    return forests.entity_forests(frame, features_of(frame))[2]

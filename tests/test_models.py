@@ -265,9 +265,7 @@ def test_correlation_matrix_equals_pandas(spark, frame):
                 assert got[(x, y)] == pytest.approx(want.loc[x, y], abs=1e-9)
 
 
-def test_registered_model_queries_fit_at_full_size(spark):
-    from panelforge.operators import regression
+def test_registered_model_queries_fit_at_full_size():
     from panelforge.plans import model_queries
 
-    assert regression.boosted("y", **model_queries.ROUNDS).getMaxIter() == 300
-    assert regression.forest("y", **model_queries.CV_TREES).getNumTrees() == 300
+    assert model_queries.BOOSTING.rounds == 300 and model_queries.TREES.trees == 300
