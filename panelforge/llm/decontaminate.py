@@ -9,7 +9,8 @@ hashes, and a hit counts only if all words are equal.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,70 +19,92 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import of_worker, staged, text_or_empty
 
-#: Benchmark text that one index holds; a larger benchmark is scanned in as many passes over the documents as it takes.
-INDEX_BYTES = 32 << 20
+#: Benchmark text that one index holds; a larger benchmark is scanned in as many passes over the documents as it takes. A block
+#: of this size of random words takes INDEX_PEAK bytes at most to build (tested).
+INDEX_BYTES, INDEX_PEAK = 16 << 20, 400 << 20
+#: Windows hashed in one go.
+CHUNK = 1 << 18
 STATE = "n_words long, starts array<int>, ends array<int>, items array<string>"
 
 
 class WindowIndex:
-    """Windows of a block of benchmark items: per window length the sorted hashes, the words and the items that hold it."""
+    """Windows of a block of benchmark items, in arrays.
 
-    def __init__(self, vocabulary: dict[bytes, int], items: list[str], lengths: dict[int, tuple]):
-        self.vocabulary, self.items, self.lengths = vocabulary, items, lengths
+    ``ids`` are the word numbers of all items, one after another. Per window length there are the sorted hashes of the distinct windows,
+    where in ``ids`` each stands, and the numbers of the items that hold it, as one array with offsets.
+    """
+
+    def __init__(self, vocabulary: dict[bytes, int], items: list[str], ids: np.ndarray, lengths: dict[int, tuple]):
+        self.vocabulary, self.items, self.ids, self.lengths = vocabulary, items, ids, lengths
 
     @classmethod
-    def of(cls, items: list[tuple[str, bytes]], n: int) -> WindowIndex:
-        words = re.compile(rb"[0-9a-z\x80-\xff]+").findall
-        self = cls({}, [], {})
-        found: dict[int, dict[tuple, set[int]]] = {}
+    def of(cls, items: Iterable[tuple[str, bytes]], n: int) -> WindowIndex:
+        words = re.compile(rb"[0-9a-z\x80-\xff]+").finditer
+        vocabulary: dict[bytes, int] = {}
         number: dict[str, int] = {}
+        ids, begins, holders = array("i"), array("q"), array("i")
         for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text.lower())]
-            size = min(n, len(ids))
-            if not size:
-                continue
-            if name not in number:
-                number[name] = len(self.items)
-                self.items.append(name)
-            held = found.setdefault(size, {})
-            for i in range(len(ids) - size + 1):
-                held.setdefault(tuple(ids[i : i + size]), set()).add(number[name])
-        for size, held in found.items():
-            windows = np.array(list(held), dtype=np.int64).reshape(-1, size)
-            hashes = self.hashed(windows)
-            order = np.argsort(hashes, kind="stable")
-            holders = list(held.values())
-            self.lengths[size] = (hashes[order], windows[order], [sorted(holders[i]) for i in order])
-        return self
+            at = len(ids)
+            ids.extend(vocabulary.setdefault(w.group(), len(vocabulary)) for w in words(text.lower()))
+            if len(ids) > at:
+                begins.append(at)
+                holders.append(number.setdefault(name, len(number)))
+        ids, begins, holders = np.frombuffer(ids, np.int32), np.frombuffer(begins, np.int64), np.frombuffer(holders, np.int32)
+        sizes = np.diff(np.append(begins, len(ids)))
+        lengths = {}
+        for size in np.unique(np.minimum(sizes, n)):
+            own = np.flatnonzero(np.minimum(sizes, n) == size)
+            count = sizes[own] - size + 1
+            # Each item's window starts: consecutive places from its first word on.
+            starts = np.repeat(begins[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            lengths[int(size)] = cls._grouped(ids, starts, np.repeat(holders[own], count), int(size))
+        return cls(vocabulary, list(number), ids, lengths)
+
+    @classmethod
+    def _grouped(cls, ids: np.ndarray, starts: np.ndarray, holders: np.ndarray, size: int) -> tuple:
+        hashes = np.concatenate([cls.hashed(ids, starts[i : i + CHUNK], size) for i in range(0, len(starts), CHUNK)])
+        order = np.lexsort((holders, hashes))
+        hashes, starts, holders = hashes[order], starts[order], holders[order]
+        same = hashes[1:] == hashes[:-1]
+        for k in range(size):  # a window is the same as the one before it only if all words are
+            at = np.flatnonzero(same)
+            same[at] = ids[starts[at + 1] + k] == ids[starts[at] + k]
+        fresh = np.concatenate([[True], ~same])
+        use = np.concatenate([[True], ~same | (holders[1:] != holders[:-1])])
+        offsets = np.append(np.flatnonzero(fresh[use]), use.sum())
+        return hashes[fresh], starts[fresh], offsets, holders[use]
 
     @staticmethod
-    def hashed(windows: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(windows), dtype=np.uint64)
-        for i in range(windows.shape[1]):
-            out = (out ^ windows[:, i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    def hashed(ids: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(len(starts), dtype=np.uint64)
+        for k in range(size):
+            out = (out ^ ids[starts + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(29)
         return out
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Word ranges of the windows that occur, and the items that hold them."""
         get = self.vocabulary.get
-        ids = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        ids = np.fromiter((get(w, -1) for w in words), dtype=np.int32, count=len(words))
         known = np.concatenate([[0], np.cumsum(ids >= 0)])
-        ranges, items = [], set()
-        for size, (hashes, windows, holders) in self.lengths.items():
+        ranges, hit = [], []
+        for size, (hashes, starts, _, _) in self.lengths.items():
             at = np.flatnonzero(known[size:] - known[:-size] == size)
             if not len(at):
                 continue
-            seen = ids[at[:, None] + np.arange(size)]
-            h = self.hashed(seen)
+            h = self.hashed(ids, at, size)
             low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
             for i in np.flatnonzero(low < high):
                 for w in range(low[i], high[i]):  # equal hashes: verify the words
-                    if (windows[w] == seen[i]).all():
+                    if (self.ids[starts[w] : starts[w] + size] == ids[at[i] : at[i] + size]).all():
                         ranges.append((int(at[i]), int(at[i]) + size))
-                        items.update(self.items[k] for k in holders[w])
+                        hit.append((size, int(w)))
                         break
-        return ranges, items
+        found: set[int] = set()
+        for size, w in set(hit):
+            _, _, offsets, holders = self.lengths[size]
+            found.update(holders[offsets[w] : offsets[w + 1]].tolist())
+        return ranges, {self.items[k] for k in found}
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[list[int]]:
@@ -96,12 +119,12 @@ def merged(ranges: list[tuple[int, int]]) -> list[list[int]]:
 
 def _scan(df: DataFrame, items: DataFrame, n: int, text: str) -> DataFrame:
     """``df`` with its column __state extended by the hits of ``items``."""
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), text_or_empty("text").cast("binary")).collect()
-    shared = df.sparkSession.sparkContext.broadcast(vars(WindowIndex.of([(r[0], bytes(r[1])) for r in rows], n)))
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), text_or_empty("text").cast("binary").alias("data")).toArrow()
+    shared = df.sparkSession.sparkContext.broadcast(vars(WindowIndex.of(((name.as_py(), data.as_py()) for name, data in zip(rows["name"], rows["data"])), n)))
 
     @F.pandas_udf(STATE)
     def scanned(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
-        split, index = re.compile(rb"[0-9a-z\x80-\xff]+").findall, of_worker(shared, lambda held: WindowIndex(held["vocabulary"], held["items"], held["lengths"]))
+        split, index = re.compile(rb"[0-9a-z\x80-\xff]+").findall, of_worker(shared, lambda held: WindowIndex(held["vocabulary"], held["items"], held["ids"], held["lengths"]))
         for texts, states in batches:
             out = []
             for data, starts, ends, items in zip(texts, states["starts"], states["ends"], states["items"]):

@@ -61,10 +61,10 @@ def _safe_tokens(literal: str, open_left: bool, open_right: bool) -> list[str]:
 
 
 def compile_host_rule(rule: str) -> tuple[str, list[str]]:
-    """Expression over ``host\\npath`` and literal tokens of a rule ``host/path``: that host and its subdomains, that path prefix."""
+    """Expression over ``host/path`` (a host holds no slash) and literal tokens of a rule ``host/path``: that host and its subdomains, that path prefix."""
     host, slash, path = rule.partition("/")
     host = _low(host)
-    return rf"^(?:[^\n]*\.)?{_quoted(host)}\n{_quoted(slash + path)}", _safe_tokens(host, False, False) + _safe_tokens(slash + path, False, True)
+    return rf"^(?:[^/]*\.)?{_quoted(host)}/{_quoted(slash + path)}", _safe_tokens(host, False, False) + _safe_tokens(slash + path, False, True)
 
 
 def compile_pattern(pattern: str) -> tuple[str, list[str]]:
@@ -112,7 +112,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     rarest = literal.join(seen, "token", "left").groupBy("rule", "tier").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
     filed = rules.join(rarest, ["rule", "tier"], "left").select("rule", "action", "tier", "size", "expression", F.coalesce("token", F.lit("")).alias("token"))
     filed = staged(filed, "url-rules")
-    subject = F.when(F.col("tier") == 1, F.concat(host_of(F.col("u")), F.lit("\n"), path_of(F.col("u")))).otherwise(lower_ascii(F.col("u")))
+    subject = F.when(F.col("tier") == 1, F.concat(host_of(F.col("u")), F.lit("/"), path_of(F.col("u")))).otherwise(lower_ascii(F.col("u")))
     fits = tokens.join(filed, "token").where(F.rlike(subject, F.col("expression")))
     order = F.struct("tier", "size", F.col("rule"))
     best = fits.groupBy("u").agg(F.max_by(F.struct("rule", "tier", "action"), order).alias("best"))

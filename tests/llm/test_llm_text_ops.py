@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -173,6 +174,7 @@ def test_odd_urls(spark):
         None, "", "no scheme", "http://", "https://EXAMPLE.com/en/x", "https://www.example.COM/en/", "http://notexample.com/en/", "http://a.net/es/?q", "http://a.net/es", "http://a.net/fr/#x://y.com/", "http://com", "http://com/",
         "x://y://z.com/en/", "http://u@h.net:80/fr/a", "http://é.org/ads/1", "http://h.org/leads/1", "http://h.org/x?track=1", "ftp://h.org/", "http://h.org/search/a?q=1", "http://h.org/" + "a/" * 20_000 + "porn/", "http://a.net/es/?q",
     ]
+    given_urls += ["http://a\nb.com/x", "http://a\nb.net/es/1", "http://\ncom/"]
     pages = spark.createDataFrame([(i, u, "v", "r") for i, u in enumerate(given_urls)], "page_id long, url string, verdict string, Rule string")
     rules = urls.rule_table(spark, urls.HOST_RULES, urls.PATTERNS)
     out = urls.judge_urls(pages, rules)
@@ -249,3 +251,29 @@ def test_deep_threads_need_few_rounds(spark):
     messages = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").cast("string"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"), F.lit(0.0).alias("score"))
     row = chat.format_conversations(messages).collect()
     assert len(row) == 1 and row[0]["formatted"] == "".join(f"<turn user>\n{i}</turn>\n" for i in range(n))
+
+
+def test_a_full_index_stays_within_its_measured_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    vocabulary = [bytes(rng.integers(97, 123, 6, dtype=np.uint8)) for _ in range(200_000)]
+    texts = [b" ".join(vocabulary[k] for k in rng.integers(0, len(vocabulary), 2_000)) for _ in range(decontaminate.INDEX_BYTES // 14_000)]
+    tracemalloc.start()
+    index = decontaminate.WindowIndex.of(((f"i{k}", t) for k, t in enumerate(texts)), 13)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < decontaminate.INDEX_PEAK
+    words = texts[7].split()
+    ranges, items = index.scan([b"unknownword", *words[100:140], b"x", *texts[9].split()[:13]])
+    assert items == {"i7", "i9"} and ranges == [(1 + i, 14 + i) for i in range(28)] + [(42, 55)]
+
+
+def test_windows_shared_by_many_items_and_short_items():
+    shared = b" ".join(b"w%d" % i for i in range(20))
+    items = [(f"i{k % 50}", shared + b" end%d" % k) for k in range(200)] + [("short", b"w3 w4"), ("none", b"--"), ("short", b"w9")]
+    index = decontaminate.WindowIndex.of(iter(items), 13)
+    ranges, found = index.scan(shared.split())
+    assert found == {f"i{k}" for k in range(50)} | {"short"}
+    assert sorted(ranges) == sorted([(i, i + 13) for i in range(8)] + [(3, 5), (9, 10)])
+    assert decontaminate.WindowIndex.of(iter([("a", b"")]), 13).scan([b"a"]) == ([], set())
