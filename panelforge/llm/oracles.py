@@ -49,7 +49,7 @@ _VALID = f"""CASE kind WHEN 'ip' THEN regexp_full_match(value, {_quoted(pii.PART
 _RULE = pii.Disclosure()
 _TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 PERSONAL_DATA = f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, t FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents)),
 found AS ({" UNION ALL ".join(f"SELECT rid, {i} AS kno, '{k}' AS kind, value, mstart, mend FROM {_located('d', 't', p, 'rid')}" for i, (k, p) in enumerate(_PATTERNS.items()))}),
 ent AS (SELECT * FROM (SELECT *, {_DIGITS} AS digits FROM found) WHERE {_VALID}),
 ctx AS (SELECT e.rid, kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN digits ELSE {LOWER.format("value")} END AS entity, CAST(mstart AS BIGINT) AS es, CAST(mend AS BIGINT) AS ee,
@@ -62,12 +62,17 @@ n_ent AS (SELECT entity, count(DISTINCT rid) AS n_e FROM ctx GROUP BY 1),
 dfs AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT rid, unnest(regexp_extract_all({LOWER.format("t")}, {_quoted(_TERM)})) AS term FROM d) WHERE term IN (SELECT term FROM pairs) GROUP BY 1),
 told AS (SELECT p.entity, p.term FROM pairs p JOIN dfs ON p.term = dfs.term JOIN n_ent n ON p.entity = n.entity, (SELECT CAST(count(*) AS DOUBLE) AS n_docs FROM d)
   WHERE ln(n_docs / n_e) > 0 AND ln(n_et * n_docs / (n_e * df)) / ln(n_docs / n_e) >= {_RULE.generalise}),
-hits AS (SELECT DISTINCT near.rid, mstart, mend FROM near JOIN told ON near.entity = told.entity AND near.term = told.term),
+tellers AS (SELECT DISTINCT ctx.rid, term FROM ctx JOIN told ON ctx.entity = told.entity),
+telling AS (SELECT rid, t FROM d WHERE rid IN (SELECT rid FROM tellers)),
+words AS (SELECT rid, {LOWER.format("value")} AS term, mstart, mend FROM {_located('telling', 't', _TERM, 'rid, t')}),
+hits AS (SELECT DISTINCT near.rid, mstart, mend FROM near JOIN told ON near.entity = told.entity AND near.term = told.term
+  UNION SELECT words.rid, mstart, mend FROM words JOIN tellers ON words.rid = tellers.rid AND words.term = tellers.term),
 terms AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM ent e WHERE e.rid = h.rid AND h.mstart < e.mend AND e.mstart < h.mend)),
 spans AS (SELECT rid, kno, kind, CAST(mstart AS BIGINT) AS s, CAST(mend AS BIGINT) AS e FROM ent UNION ALL SELECT rid, 4, 'term', CAST(mstart AS BIGINT), CAST(mend AS BIGINT) FROM terms),
 out AS (SELECT rid, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in pii.KINDS)},
   coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kno, e) FILTER (WHERE kno < 4), '') AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kno, e) AS spans FROM spans GROUP BY rid)
-SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN out ON d.rid = out.rid"""
+SELECT o.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents o LEFT JOIN d ON o.doc_id IS NOT DISTINCT FROM d.doc_id AND coalesce(o.text, '') = d.t LEFT JOIN out ON d.rid = out.rid"""
 
 
 def _values(rows: list[tuple]) -> str:

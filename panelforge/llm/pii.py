@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import lower_ascii, small_side, staged, text_or_empty
@@ -31,6 +31,8 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TERM_KIND = "term"
 #: Candidate terms are broadcast up to this many rows (one word each), else joined by shuffle.
 BROADCAST_TERMS = 200_000
+#: Items folded in one go, and code points of a block of text.
+STRETCH, BLOCK = 256, 4096
 
 
 @dataclass(frozen=True)
@@ -54,17 +56,53 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once for each row, however often it is named."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(items: Column, kind: str, start: Column, weight, combine) -> Column:
+    """(at, x) for each item: ``at`` combines ``start`` and the weights of all items before.
+
+    Items are folded in stretches, so that appending copies a bounded number of places for each item, however many there are.
+    """
+    cell = f"struct<at:int,x:{kind}>"
+
+    def stretches(all_items: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.size(all_items), F.lit(1)), F.lit(STRETCH)), lambda i: F.slice(all_items, i, F.lit(STRETCH)))
+        first = F.struct(start.cast("int").alias("at"), F.array().cast(f"array<struct<at:int,items:array<{kind}>>>").alias("out"))
+
+        def place(acc: Column, c: Column) -> Column:
+            after = F.aggregate(c, acc["at"], lambda s, x: combine(s, weight(x)).cast("int"))
+            return F.struct(after.alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), c.alias("items")))).alias("out"))
+
+        def one(acc: Column, x: Column) -> Column:
+            return F.struct(combine(acc["at"], weight(x)).cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), x.alias("x")))).alias("out"))
+
+        placed = F.aggregate(cut, first, place, lambda acc: acc["out"])
+        inner = lambda o: F.struct(o["at"].alias("at"), F.array().cast(f"array<{cell}>").alias("out"))
+        return F.flatten(F.transform(placed, lambda o: F.aggregate(o["items"], inner(o), one, lambda acc: acc["out"])))
+
+    return _let(items, stretches)
+
+
 def _located(matches: Column, gaps: Column, shift: Column | None = None) -> Column:
     """Matches with their places (start, end), from the gaps before them."""
-    start = F.struct((F.lit(0) if shift is None else shift).cast("int").alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    pairs = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.struct(m.alias("value"), g.alias("gap")))
+    placed = _running(pairs, "struct<value:string,gap:string>", F.lit(0) if shift is None else shift, lambda x: F.length(x["gap"]) + F.length(x["value"]), lambda a, n: a + n)
+    begin = lambda p: p["at"] + F.length(p["x"]["gap"])
+    return F.transform(placed, lambda p: F.struct(begin(p).alias("start"), (begin(p) + F.length(p["x"]["value"])).alias("end"), p["x"]["value"].alias("value")))
 
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
-    pairs = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.struct(m.alias("value"), g.alias("gap")))
-    return F.aggregate(pairs, start, add, lambda acc: acc["out"])
+def _blocks(text: Column) -> Column:
+    """A text in blocks, so that a stretch of it is cut out without a walk from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{BLOCK}}})"), 1)
+
+
+def _stretch(blocks: Column, begin: Column, end: Column) -> Column:
+    """Code points ``begin`` to ``end`` (exclusive) of a text in blocks."""
+    low, high = F.floor(begin / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    return F.substring(F.array_join(F.slice(blocks, low + 1, high - low + 1), ""), begin - low * BLOCK + 1, end - begin)
 
 
 def _matches(text: Column, kind: str) -> Column:
@@ -83,16 +121,19 @@ def find_entities(docs: DataFrame, near: int, doc_id: str = "doc_id", text: str
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     rows = rows.select("doc_id", "t", "text_hash", *[F.when(F.size(k) > 0, _located(F.col(k), F.split("t", PATTERNS[k], -1))).otherwise(none).alias(k) for k in KINDS])
 
-    def entity(i: int, kind: str):
+    def entity(i: int, kind: str, blocks: Column, size: Column):
         def one(m: Column) -> Column:
-            begin = F.greatest(m["start"] - near - 1, F.lit(0))
-            before = F.substring(F.col("t"), begin + 1, m["start"] - begin)
-            after = F.substring(F.col("t"), m["end"] + 1, F.lit(near + 1))
+            before = _stretch(blocks, F.greatest(m["start"] - near - 1, F.lit(0)), m["start"])
+            after = _stretch(blocks, m["end"], F.least(m["end"] + near + 1, size))
             return F.struct(m["start"].alias("start"), F.lit(i).alias("kind_no"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["value"].alias("value"), before.alias("before"), after.alias("after"))
 
         return F.transform(F.filter(F.col(kind), lambda m: _valid(kind, m["value"])), one)
 
-    entities = F.array_sort(F.concat(*[entity(i, k) for i, k in enumerate(KINDS)]))
+    any_match = F.greatest(*[F.size(k) for k in KINDS]) > 0
+    cut = F.struct(_blocks(F.col("t")).alias("b"), F.length("t").alias("n"))
+    found = _let(cut, lambda c: F.concat(*[entity(i, k, c["b"], c["n"]) for i, k in enumerate(KINDS)]))
+    nothing = F.array().cast("array<struct<start:int,kind_no:int,end:int,kind:string,value:string,before:string,after:string>>")
+    entities = F.array_sort(F.when(any_match, found).otherwise(nothing))
     return rows.select("doc_id", "text_hash", entities.alias("entities"), "t").withColumn("t", F.when(F.size("entities") > 0, F.col("t")))
 
 
@@ -113,19 +154,21 @@ def _terms_near(mentions: DataFrame, near: int) -> DataFrame:
     return near_by.select("doc_id", "text_hash", "entity", lower_ascii(F.col("w.value")).alias("term"), "w.start", "w.end")
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, terms: DataFrame, rule: Disclosure, text: str = "text") -> DataFrame:
+def disclosing_terms(docs: DataFrame, base: DataFrame, found: DataFrame, terms: DataFrame, rule: Disclosure, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """entity, term, disclosure of the pairs that reach ``rule.generalise``; counted over all documents.
 
-    Pairs are counted once per document. Only words that some pair with enough support needs are counted in the texts.
+    Documents are distinct pairs of id and text: rows that repeat one change no count. Only words that some pair with enough
+    support needs are counted in the texts.
     """
     mentions = found.select("doc_id", "text_hash", "entity").distinct()
     n_entity = mentions.groupBy("entity").agg(F.count("*").alias("n_e"))
     pairs = terms.select("doc_id", "text_hash", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= rule.support)
     pairs = staged(pairs, "pii-pairs")
     wanted = small_side(pairs.select("term").distinct(), BROADCAST_TERMS, "pii-terms")
-    n_docs = docs.count()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(lower_ascii(text_or_empty(text)), F.lit(f"({TERM})"), 1))).alias("term"))
-    df = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    n_docs = base.select("doc_id", "text_hash").distinct().count()
+    t = text_or_empty(text)
+    words = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(t).alias("text_hash"), F.explode(F.array_distinct(F.regexp_extract_all(lower_ascii(t), F.lit(f"({TERM})"), 1))).alias("term"))
+    df = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("df"))
     told = pairs.join(df, "term").join(n_entity, "entity")
     whole = F.log(F.lit(float(max(n_docs, 1))) / F.col("n_e"))
     told = told.withColumn("disclosure", F.log(F.col("n_et") * F.lit(float(max(n_docs, 1))) / (F.col("n_e") * F.col("df"))) / whole)
@@ -135,44 +178,53 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, terms: DataFrame, rule:
 def _told_words(base: DataFrame, found: DataFrame, told: DataFrame) -> DataFrame:
     """doc_id, text_hash, start, end, disclosure of every whole word that gives away an entity of its document, at any distance."""
     terms = found.distinct().join(told, "entity").groupBy("doc_id", "text_hash", "term").agg(F.max("disclosure").alias("disclosure"))
-    terms = terms.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told"))
-    texts = base.where(F.col("t").isNotNull()).select("doc_id", "text_hash", "t").join(terms, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,disclosure:double>>").alias("out"))
-
-    # Only words that tell are appended, so that a long text costs one step a word.
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["word"])
-        tells = F.try_element_at(F.col("told"), lower_ascii(x["word"]))
-        more = F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), tells.alias("disclosure"))))
-        return F.struct(end.alias("at"), F.when(tells.isNull(), acc["out"]).otherwise(more).alias("out"))
-
-    words, gaps = F.regexp_extract_all("t", F.lit(f"({TERM})"), 1), F.split("t", TERM, -1)
-    pairs = F.zip_with(words, F.slice(gaps, F.lit(1), F.size(words)), lambda w, g: F.struct(w.alias("word"), g.alias("gap")))
-    return texts.select("doc_id", "text_hash", F.explode(F.aggregate(pairs, start, add, lambda acc: acc["out"])).alias("w")).select("doc_id", "text_hash", "w.*")
+    terms = staged(terms.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}), "pii-told-terms")
+    own = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+    texts = base.where(F.col("t").isNotNull()).select("doc_id", "text_hash", "t").join(terms.select("__id", "__hash").distinct(), own, "left_semi")
+    words = texts.select("doc_id", "text_hash", F.explode(_located(F.regexp_extract_all("t", F.lit(f"({TERM})"), 1), F.split("t", TERM, -1))).alias("w"))
+    words = words.select("doc_id", "text_hash", "w.start", "w.end", lower_ascii(F.col("w.value")).alias("word"))
+    return words.join(terms, own & (F.col("word") == F.col("term"))).select("doc_id", "text_hash", "start", "end", "disclosure")
+
+
+def _clear_of_entities(hits: DataFrame, mentions: DataFrame) -> DataFrame:
+    """The hits that overlap no entity of their document, by running bounds over its spans in order."""
+    key = ["doc_id", "text_hash"]
+    docs = hits.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    own = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+    entities = mentions.join(docs, own, "left_semi").select(*key, "e.start", "e.end", F.lit(None).cast("double").alias("disclosure"))
+    entity = F.col("disclosure").isNull()
+    up = Window.partitionBy(*key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*key).orderBy(F.desc("start"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    both = hits.unionByName(entities).withColumns({"before": F.max(F.when(entity, F.col("end"))).over(up), "after": F.min(F.when(entity, F.col("start"))).over(down)})
+    free = ~entity & (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("after"), F.col("end")) >= F.col("end"))
+    return both.where(free).drop("before", "after")
 
 
 def find_personal_data(docs: DataFrame, rule: Disclosure = Disclosure(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, spans (start, kind_no, end, kind, disclosure), ordered by start, then kind.
 
     Kinds are email, ip, card, phone and, last, term; entities have disclosure 1. A term span never overlaps an entity of its document.
-    A term that gives an entity away is marked wherever it stands in a document that mentions the entity. Null texts are empty, null ids stay. Rows with equal id and text are one document for the counts and get equal spans.
+    A term that gives an entity away is marked wherever it stands in a document that mentions the entity. Null texts are empty, null
+    ids stay; ids are whole numbers. Rows with equal id and text are one document for all counts and get equal spans.
+    Texts of any length cost in proportion to their length.
     """
     base = staged(find_entities(docs, rule.near, doc_id, text), "pii-entities")
-    mentions = base.select("doc_id", "text_hash", F.explode("entities").alias("e"))
+    once = base.where(F.size("entities") > 0).dropDuplicates(["doc_id", "text_hash"])
+    mentions = once.select("doc_id", "text_hash", F.explode("entities").alias("e"))
     value = F.when(F.col("e.kind").isin("card", "phone"), F.regexp_replace("e.value", "[^0-9]", "")).otherwise(lower_ascii(F.col("e.value")))
     found = mentions.select("doc_id", "text_hash", F.concat_ws(":", "e.kind", value).alias("entity"))
     terms = staged(_terms_near(mentions, rule.near), "pii-near-terms")
-    told = staged(disclosing_terms(docs, found, terms, rule, text), "pii-told")
+    told = staged(disclosing_terms(docs, base, found, terms, rule, doc_id, text), "pii-told")
     span = F.struct("start", F.lit(len(KINDS)).alias("kind_no"), "end", F.lit(TERM_KIND).alias("kind"), "disclosure")
     # A word that stands against an entity without a gap is whole only beside it.
     close = terms.join(told, ["entity", "term"]).select("doc_id", "text_hash", "start", "end", "disclosure")
-    hits = close.unionByName(_told_words(base, found, told)).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    hits = close.unionByName(_told_words(once, found, told)).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    hits = _clear_of_entities(staged(hits, "pii-hits"), mentions)
     hits = hits.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list(span).alias("terms"))
     out = base.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
     entities = F.transform("entities", lambda e: F.struct(e["start"].alias("start"), e["kind_no"].alias("kind_no"), e["end"].alias("end"), e["kind"].alias("kind"), F.lit(1.0).alias("disclosure")))
-    clear = F.filter("terms", lambda t: ~F.exists("entities", lambda e: (t["start"] < e["end"]) & (e["start"] < t["end"])))
-    return out.select("doc_id", "text_hash", F.array_sort(F.concat(entities, F.coalesce(clear, F.array().cast("array<struct<start:int,kind_no:int,end:int,kind:string,disclosure:double>>")))).alias("spans"))
+    none = F.array().cast("array<struct<start:int,kind_no:int,end:int,kind:string,disclosure:double>>")
+    return out.select("doc_id", "text_hash", F.array_sort(F.concat(entities, F.coalesce("terms", none))).alias("spans"))
 
 
 def sanitise(docs: DataFrame, rule: Disclosure = Disclosure(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -187,13 +239,17 @@ def sanitise(docs: DataFrame, rule: Disclosure = Disclosure(), doc_id: str = "do
     joined = keyed.join(spans, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash")), "left")
     t = F.col(f"`{text}`")
 
-    def cut(acc: Column, s: Column) -> Column:
+    def replaced(p: Column, blocks: Column) -> Column:
+        """What stands for a span and the text since the spans before it (their largest end is ``at``)."""
+        s = p["x"]
         tag = F.when(s["kind"] != TERM_KIND, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(s["disclosure"] >= rule.remove, F.lit("")).otherwise(F.lit("[TERM]"))
-        kept = F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), tag)
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], kept).otherwise(acc["out"]).alias("out"))
+        return F.when(s["start"] >= p["at"], F.concat(_stretch(blocks, p["at"], s["start"]), tag)).otherwise(F.lit(""))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("__spans", start, cut, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
+    spans_kind = "struct<start:int,kind_no:int,end:int,kind:string,disclosure:double>"
+    placed = _running(F.col("__spans"), spans_kind, F.lit(0), lambda x: x["end"], F.greatest)
+    last = F.aggregate("__spans", F.lit(0), lambda a, x: F.greatest(a, x["end"]))
+    pieces = _let(_blocks(t), lambda b: F.concat(F.transform(placed, lambda p: replaced(p, b)), F.array(_stretch(b, last, F.length(t)))))
+    clean = F.array_join(pieces, "")
     new = F.when(F.col("__spans").isNull(), t).otherwise(clean)
     return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
