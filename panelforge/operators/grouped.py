@@ -3,7 +3,7 @@
 An entity may own a large part of all rows. Plain Spark handles that for sums and counts (map-side
 combine) and for joins (adaptive splitting), but not for exact quantiles, ranks and running totals, where
 ``percentile`` or a window pulls a group into one task. The functions here look at the group sizes first (one cheap aggregate over the
-key columns); ordinary groups take the built-in route, and larger ones are split by value ranges.
+key columns); ordinary groups take the built-in route, and larger ones are split by value ranges, in rounds.
 All results are exact in both routes.
 """
 
@@ -18,30 +18,20 @@ from pyspark.sql import functions as F
 from panelforge.session import staged
 
 MAX_GROUP_ROWS = 250_000
-#: Least number of value ranges a large group is split into, and rows that a range should hold at most.
-SPLITS, RANGE_ROWS = 128, 1_000_000
-STRIDE = 16
-SKETCH_ACCURACY = 10_000
+#: Rows of a value range that are sorted; larger ranges are split again, into 2 * SPLITS + 1 parts at most.
+RANGE_ROWS = 1_000_000
+SPLITS, SKETCH_ACCURACY = 63, 2_000
 
 
-def range_count(largest: int) -> int:
-    """Value ranges for the largest group, a multiple of the stride."""
-    wanted = max(SPLITS, -(-largest // RANGE_ROWS))
-    return -(-wanted // STRIDE) * STRIDE
+def bin_of(splits: str, value: str) -> Column:
+    """Twice the number of split points below the value, plus one if the value is the next of them.
 
-
-def split_points(rows: DataFrame, keys: Sequence[str], value: str, splits: int) -> DataFrame:
-    """Per group about evenly spaced quantiles from a bounded sketch (``_splits``), fine enough for that many ranges."""
-    probs = [i / splits for i in range(1, splits)]
-    return rows.groupBy(*keys).agg(
-        F.percentile_approx(value, probs, max(SKETCH_ACCURACY, 20 * splits)).alias("_splits"), F.count(value).alias("n")
-    )
-
-
-def range_of(splits: str, value: str) -> Column:
-    """Number of split points below the value: first among every STRIDE-th one, then inside that stretch."""
-    coarse = f"{STRIDE} * size(filter({splits}, (s, i) -> i % {STRIDE} = {STRIDE - 1} and s < {value}))"
-    return F.expr(f"{coarse} + size(filter(slice({splits}, {coarse} + 1, {STRIDE}), s -> s < {value}))")
+    A binary search in the ``SPLITS`` points of a range: six steps for every row, whatever the data. Values equal
+    to a split point have a bin of their own, so that a value that fills a range is told apart.
+    """
+    steps = ", ".join(str(1 << k) for k in reversed(range(SPLITS.bit_length())))
+    below = f"aggregate(array({steps}), 0, (p, s) -> p + if(element_at({splits}, p + s) < {value}, s, 0))"
+    return F.expr(f"element_at(transform(array({below}), p -> 2 * p + if(p < {SPLITS} and element_at({splits}, least(p + 1, {SPLITS})) = {value}, 1, 0)), 1)")
 
 
 @dataclass(frozen=True)
@@ -88,37 +78,38 @@ def _ranks(probs: Sequence[float], discrete: bool) -> Column:
 def _select_ranks(rows: DataFrame, keys: list[str], largest: int, ranks: Column) -> DataFrame:
     """Values at the wanted ranks of every group: ``keys, n, _at map<bigint,double>``.
 
-    Per group a bounded sketch gives split points, as many as the largest group asks for. Rows are counted per value
-    range, and only the few ranges that hold a wanted rank are sorted. The split points need not be accurate
-    for the result to be exact; they only spread the work.
+    Selection in rounds: a range of values (first the whole group) is split at points from a bounded sketch of its own rows, the
+    rows of each part are counted, and only parts that hold a wanted rank go on. Parts of one value are answered at once; the
+    others are split again until they are small enough to sort. Each round does the same small work for each remaining row, and
+    few rows remain, however large a group is. The split points need not be accurate for the result to be exact.
     """
-    sketch = split_points(rows, keys, "_v", range_count(largest))
-    binned = lookup_join(rows, sketch, keys, "inner").select(*keys, "_v", "n", range_of("_splits", "_v").alias("_b"))
-    in_order = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = (
-        binned.groupBy(*keys, "_b").agg(F.count("_v").alias("_c"), F.first("n").alias("n"))
-        .withColumn("_start", F.coalesce(F.sum("_c").over(in_order), F.lit(0)))
-        .withColumn("_ranks", ranks)
-        .withColumn("_ranks", F.expr("filter(_ranks, r -> r >= _start and r < _start + _c)"))
-        .where(F.size("_ranks") > 0)
-        .select(*keys, "_b", "_start", "_ranks")
-    )
-    per_value = (
-        lookup_join(binned, wanted, [*keys, "_b"], "inner")
-        .groupBy(*keys, "_b", "_v").agg(
-            F.count("_v").alias("_c"), F.first("n").alias("n"),
-            F.first("_start").alias("_start"), F.first("_ranks").alias("_ranks"),
+    ranges = rows.groupBy(*keys).agg(F.count("_v").alias("n")).withColumns({"_r": F.lit("").cast("string"), "_start": F.lit(0).cast("bigint"), "_ranks": ranks})
+    rows, answered = rows.withColumn("_r", F.lit("")), []
+    probs = [i / (SPLITS + 1) for i in range(1, SPLITS + 1)]
+    while largest > RANGE_ROWS:
+        sketch = rows.groupBy(*keys, "_r").agg(F.percentile_approx("_v", probs, SKETCH_ACCURACY).alias("_splits"))
+        binned = lookup_join(rows, sketch, [*keys, "_r"], "inner").select(*keys, "_r", "_v", bin_of("_splits", "_v").alias("_b"))
+        in_order = Window.partitionBy(*keys, "_r").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        counted = binned.groupBy(*keys, "_r", "_b").agg(F.count("_v").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        counted = counted.withColumn("_before", F.coalesce(F.sum("_c").over(in_order), F.lit(0)))
+        held = lookup_join(counted, ranges, [*keys, "_r"], "inner").withColumn("_start", F.col("_start") + F.col("_before"))
+        held = staged(
+            held.withColumn("_ranks", F.expr("filter(_ranks, r -> r >= _start and r < _start + _c)")).where(F.size("_ranks") > 0)
+            .select(*keys, "n", "_r", "_b", "_start", "_ranks", "_c", "_low", "_high"), name="rank-ranges",
         )
-    )
-    within = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        per_value.withColumn("_end", F.col("_start") + F.sum("_c").over(within))
-        .withColumn("_r", F.explode(F.expr("filter(_ranks, r -> r >= _end - _c and r < _end)")))
-        .groupBy(*keys).agg(
-            F.first("n").alias("n"),
-            F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"),
-        )
-    )
+        answered.append(held.where("_low = _high").select(*keys, "n", F.explode("_ranks").alias("_r"), F.col("_low").alias("_v")))
+        deeper = held.where("_low < _high")
+        name = F.concat_ws(".", "_r", F.col("_b").cast("string")).alias("_r")
+        rows = staged(lookup_join(binned, deeper.select(*keys, "_r", "_b"), [*keys, "_r", "_b"], "inner").select(*keys, "_v", name), name="rank-rows")
+        ranges = deeper.select(*keys, "n", name, "_start", "_ranks")
+        largest = deeper.agg(F.max("_c")).first()[0] or 0
+    per_value = rows.groupBy(*keys, "_r", "_v").agg(F.count("_v").alias("_c"))
+    within = Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ended = lookup_join(per_value.withColumn("_upto", F.sum("_c").over(within)), ranges, [*keys, "_r"], "inner").withColumn("_end", F.col("_start") + F.col("_upto"))
+    found = ended.select(*keys, "n", F.explode(F.expr("filter(_ranks, r -> r >= _end - _c and r < _end)")).alias("_r"), "_v")
+    for part in answered:
+        found = found.unionByName(part)
+    return found.groupBy(*keys).agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"))
 
 
 def group_quantiles(
@@ -175,11 +166,10 @@ def running_totals(
     if sizes.largest <= max_group:
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({out: F.sum(m).over(w) for out, m in measures.items()})
-    # Split points of each key's own values, so that a narrow band of values is split as well.
+    # Rows in order over all tasks: a hot group lies in as many parts as its share of the rows asks for.
     grouping = keys or ["_all"]
     rows = df if keys else df.withColumn("_all", F.lit(0))
-    sketch = split_points(rows, grouping, order, range_count(sizes.largest)).drop("n")
-    binned = lookup_join(rows, sketch, grouping).withColumn("_b", range_of("_splits", order)).drop("_splits")
+    binned = staged(rows.repartitionByRange(*grouping, order).withColumn("_b", F.spark_partition_id()), name="ordered-rows")
     within = Window.partitionBy(*grouping, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*grouping).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = binned.groupBy(*grouping, "_b").agg(*[F.sum(m).alias(f"_s_{o}") for o, m in measures.items()])

@@ -63,9 +63,6 @@ def test_running_totals_split_a_hot_key_of_narrow_values(spark):
     """All values of the hot key lie between two values of the others."""
     rows = [("hot", 5.0 + i * 1e-6, 1) for i in range(3000)] + [(f"k{i % 5}", float(i), 2) for i in range(200)]
     df = spark.createDataFrame(rows, "k string, v double, c int")
-    sketch = grouped.split_points(df, ["k"], "v", 128)
-    ranges = df.join(sketch, "k").where("k = 'hot'").select(grouped.range_of("_splits", "v").alias("b")).distinct().count()
-    assert ranges > 100
     got = grouped.running_totals(df, ["k"], "v", {"upto": "c"}, max_group=10).toPandas().sort_values(["k", "v"])
     assert (got["upto"] == got.groupby("k")["c"].cumsum()).all() and len(got) == len(rows)
     whole = grouped.running_totals(df.where("k = 'hot'"), [], "v", {"upto": "c"}, max_group=10)
@@ -78,8 +75,30 @@ def test_hot_key_of_equal_values(spark):
     assert got == {"hot": [1.0, 2.0], "b": [0.0, 0.0]}
 
 
-def test_ranges_grow_with_the_largest_group():
-    assert grouped.range_count(10) == 128 and grouped.range_count(10**11) * grouped.RANGE_ROWS >= 10**11 and grouped.range_count(10**9) % grouped.STRIDE == 0
+def test_a_row_takes_six_steps_to_its_bin(spark):
+    rng = np.random.default_rng(3)
+    splits = sorted(rng.integers(0, 40, grouped.SPLITS).astype(float).tolist())
+    values = [*splits, *(rng.integers(-5, 90, 300) / 2).tolist()]
+    df = spark.createDataFrame([(v,) for v in values], "v double").withColumn("_splits", F.array(*[F.lit(x) for x in splits]))
+    for r in df.select("v", grouped.bin_of("_splits", "v").alias("b")).collect():
+        below = sum(x < r["v"] for x in splits)
+        assert r["b"] == 2 * below + (below < len(splits) and splits[below] == r["v"])
+    plan = df.select(grouped.bin_of("_splits", "v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "[32,16,8,4,2,1]" in plan.replace(" ", "")  # the search's only loop
+
+
+@pytest.mark.parametrize("range_rows", [3, 40, 1000])
+def test_ranks_are_found_in_rounds(skewed, monkeypatch, range_rows):
+    monkeypatch.setattr(grouped, "RANGE_ROWS", range_rows)
+    probs = [0.0, 0.013, 0.25, 0.5, 0.987, 1.0]
+    data = skewed.where("v is not null").toPandas().groupby("k")["v"]
+    for discrete in (False, True):
+        got = {r["k"]: r for r in grouped.group_quantiles(skewed, ["k"], "v", probs, discrete=discrete, max_group=2).collect()}
+        for k, values in data:
+            ordered = np.sort(values.to_numpy())
+            want = [ordered[max(int(np.ceil(p * len(ordered))), 1) - 1] for p in probs] if discrete else np.quantile(ordered, probs)
+            assert got[k]["n"] == len(ordered)
+            np.testing.assert_allclose(got[k]["q"], want, rtol=1e-12, atol=1e-12)
 
 
 def test_results_do_not_depend_on_partitioning(spark, skewed):
