@@ -165,10 +165,24 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, found: DataFrame, terms:
     pairs = terms.select("doc_id", "text_hash", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= rule.support)
     pairs = staged(pairs, "pii-pairs")
     wanted = small_side(pairs.select("term").distinct(), BROADCAST_TERMS, "pii-terms")
-    n_docs = base.select("doc_id", "text_hash").distinct().count()
+    copies = base.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    counts = copies.agg(F.count("*").alias("docs"), F.max("n").alias("most")).first()
+    n_docs = counts["docs"]
     t = text_or_empty(text)
-    words = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(t).alias("text_hash"), F.explode(F.array_distinct(F.regexp_extract_all(lower_ascii(t), F.lit(f"({TERM})"), 1))).alias("term"))
-    df = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(t).alias("text_hash"), t.alias("t"))
+
+    def holding(rows: DataFrame) -> DataFrame:
+        words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(lower_ascii(F.col("t")), F.lit(f"({TERM})"), 1))).alias("term"))
+        return words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+
+    if (counts["most"] or 0) < 2:
+        df = holding(texts)
+    else:  # the rows of documents that repeat are counted once, apart from the others
+        again = staged(copies.where("n > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "pii-repeated")
+        same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+        single = texts.join(again, same, "left_anti")
+        repeated = texts.join(again, same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+        df = holding(single).unionByName(holding(repeated)).groupBy("term").agg(F.sum("df").alias("df"))
     told = pairs.join(df, "term").join(n_entity, "entity")
     whole = F.log(F.lit(float(max(n_docs, 1))) / F.col("n_e"))
     told = told.withColumn("disclosure", F.log(F.col("n_et") * F.lit(float(max(n_docs, 1))) / (F.col("n_e") * F.col("df"))) / whole)
