@@ -27,16 +27,16 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to a new folder below the shared checkpoint folder and read it again.
 
     The lineage ends at files that every executor can read, so a lost executor costs no recomputation
-    before this point. The files belong to the run; whoever owns the checkpoint folder clears it.
+    before this point. With ``by`` a folder is written for each value of that column. The files belong to the run; whoever owns the checkpoint folder clears it.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
 
 
 def small_side(df: DataFrame, max_rows: int, name: str) -> DataFrame:

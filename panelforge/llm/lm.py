@@ -6,13 +6,16 @@ holds the most frequent ones and grows with the root of the number of distinct w
 hash buckets that grows alike, times its share of the bucket's count, which is joined by word. Probabilities factor into class and word
 within class, so a position costs two small softmaxes.
 
-Training covers every position of every document once. Each partition trains a copy of the network on its own documents, and the
-copies are averaged by number of positions, block by block, in two steps; a second round goes on from the average with the
-other half of the documents. Only the averaged network and the vocabulary come to the driver; the counts of the other words stay distributed.
+Every text is cut into symbols once, in a written table that training and scoring read. Training covers every position of every
+document once, in eight turns over disjoint parts. In a turn the documents are dealt by hash to shards, each of which
+trains a copy of the network; the copies are averaged by number of positions, block by block, in two steps, and the next turn goes on
+from the average. The number of shards follows from the number of words, so the network depends on the documents and not on how they are
+partitioned. Only the averaged network and the vocabulary come to the driver; the counts of the other words stay distributed.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import zlib
@@ -22,7 +25,6 @@ from dataclasses import asdict, dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ from panelforge.llm.common import lower_ascii, of_worker, staged, text_or_empty
 WORD = rb"[0-9a-z\x80-\xff]+"
 #: Parts in which a network is averaged, and copies averaged at a time.
 BLOCKS, FAN_IN = 16, 64
+#: Words for each shard of a table, and words that a copy lays out and shuffles at a time.
+SHARD_WORDS, LINE_WORDS = 8_000_000, 200_000
 
 
 @dataclass(frozen=True)
@@ -44,7 +48,7 @@ class LmShape:
     dim: int = 12
     hidden: int = 24
     masked: float = 1.0
-    rounds: int = 2
+    turns: int = 8
     batch: int = 8192
     rate: float = 0.15
     seed: int = 3
@@ -79,23 +83,28 @@ class WindowNetwork:
                 "ow": scale(s.classes, s.hidden, s.per_class) * np.float32(0.1), "ob": np.zeros((s.classes, s.per_class), np.float32),
             }
         self.weights, self.totals, self.counts = weights, totals, counts
+        self.trained_on: tuple[DataFrame, DataFrame] | None = None  # documents and their symbols
 
     def symbols(self, data: bytes) -> np.ndarray:
-        get, first, n = self.ids.get, self.shape.words + 1, self.shape.buckets
-        found = re.findall(WORD, data.lower())
-        return np.fromiter((get(w) or first + zlib.crc32(w) % n for w in found), dtype=np.int32, count=len(found))
+        return self.encode(data)[0]
 
-    def rare(self, data: bytes, symbols: np.ndarray) -> tuple[float, bytes]:
-        """Minus the summed log of the bucket totals over the words beyond the vocabulary, and these words, joined by spaces.
+    def encode(self, data: bytes) -> tuple[np.ndarray, float, bytes]:
+        """A text's symbols, minus the summed log of the bucket totals over its words beyond the vocabulary, and these words, joined by spaces.
 
         One occurrence more in each bucket stands for all words that were not counted.
         """
-        first = self.shape.words + 1
-        places = np.flatnonzero(symbols >= first)
-        if self.totals is None or not len(places):
-            return 0.0, b""
+        get, first, n = self.ids.get, self.shape.words + 1, self.shape.buckets
         found = re.findall(WORD, data.lower())
-        return -float(np.log1p(self.totals[symbols[places] - first]).sum()), b" ".join([found[i] for i in places])
+        symbols = np.fromiter(map(get, found, itertools.repeat(0)), dtype=np.int32, count=len(found))
+        places = np.flatnonzero(symbols == 0)
+        if not len(places):
+            return symbols, 0.0, b""
+        rare = [found[i] for i in places]
+        buckets = np.fromiter(map(zlib.crc32, rare), dtype=np.int64, count=len(rare)) % n
+        symbols[places] = first + buckets
+        if self.totals is None:
+            return symbols, 0.0, b""
+        return symbols, -float(np.log1p(self.totals[buckets]).sum()), b" ".join(rare)
 
     def laid_out(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Documents one after another with edges between, and the positions of their words."""
@@ -168,16 +177,6 @@ class WindowNetwork:
             squares[name] += grad * grad
             p[name] -= self.shape.rate * grad / (np.sqrt(squares[name]) + np.float32(1e-6))
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.weights[k].ravel() for k in sorted(self.weights)])
-
-    def unflat(self, values: np.ndarray) -> None:
-        at = 0
-        for k in sorted(self.weights):
-            w = self.weights[k]
-            self.weights[k] = values[at : at + w.size].reshape(w.shape).astype(np.float32)
-            at += w.size
-
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """w, n: every word of all documents with its occurrences, which combine before the shuffle; written once for the steps that read it."""
@@ -195,64 +194,124 @@ def _with_vocabulary(counts: DataFrame, shape: LmShape) -> WindowNetwork:
     return WindowNetwork(asdict(shape), [r["w"].encode() for r in top], None, totals, rare.where("n > 1").withColumnRenamed("w", "word"))
 
 
-def _trained(shared, shape: LmShape, turn: int):
+class Copy:
+    """A copy of the network that learns from one shard's documents, in the order given."""
+
+    def __init__(self, held: dict, turn: int, shard: int):
+        self.net = WindowNetwork(held["shape"], [], {k: v.copy() for k, v in held["weights"].items()})
+        self.squares = {k: v.copy() for k, v in held["squares"].items()}
+        self.rng = np.random.default_rng([self.net.shape.seed, turn, shard])
+        self.shard, self.docs, self.waiting, self.seen = shard, [], 0, 0
+
+    def add(self, symbols: np.ndarray) -> None:
+        self.docs.append(symbols)
+        self.waiting += len(symbols)
+        if self.waiting >= LINE_WORDS:
+            self.learn()
+
+    def learn(self) -> None:
+        line, places = self.net.laid_out(self.docs)
+        at = self.rng.permutation(places[self.rng.random(len(places)) < self.net.shape.masked])
+        for b in range(0, len(at), self.net.shape.batch):
+            self.net.step(line, at[b : b + self.net.shape.batch], self.squares)
+        self.seen += len(at)
+        self.docs, self.waiting = [], 0
+
+    def result(self) -> pa.RecordBatch:
+        """Weights and squares in blocks."""
+        self.learn()
+        parts = np.array_split(np.concatenate([flat(self.net.weights), flat(self.squares)]), BLOCKS)
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(np.full(BLOCKS, self.shard // FAN_IN, dtype=np.int32)), pa.array(np.full(BLOCKS, self.shard, dtype=np.int32)),
+            pa.array(np.full(BLOCKS, float(self.seen))), pa.array(list(parts), type=pa.list_(pa.float32())),
+        ], ["block", "bin", "shard", "weight", "values"])
+
+
+def _trained(shared, turn: int):
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
-        net = WindowNetwork(held["shape"], held["words"], {k: v.copy() for k, v in held["weights"].items()})
-        squares = {k: np.full_like(v, 1e-4) for k, v in net.weights.items()}
-        task = TaskContext.get().partitionId()
-        rng, seen, docs, waiting = np.random.default_rng([shape.seed, turn, task]), 0, [], 0
-
-        def learn() -> None:
-            line, places = net.laid_out(docs)
-            at = rng.permutation(places[rng.random(len(places)) < shape.masked])
-            for b in range(0, len(at), shape.batch):
-                net.step(line, at[b : b + shape.batch], squares)
-            docs.clear()
-            return len(at)
-
+        copy: Copy | None = None
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                docs.append(net.symbols(data))
-                waiting += len(docs[-1])
-                if waiting >= 200_000:
-                    seen, waiting = seen + learn(), 0
-        seen += learn()
-        if seen:
-            parts = np.array_split(net.flat(), BLOCKS)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(np.full(BLOCKS, task // FAN_IN, dtype=np.int32)),
-                pa.array(np.full(BLOCKS, float(seen))), pa.array(list(parts), type=pa.list_(pa.float32())),
-            ], ["block", "bin", "weight", "values"])
+            shards, column = batch.column("shard").to_pylist(), batch.column("symbols")
+            values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            for i, shard in enumerate(shards):
+                if copy is None or copy.shard != shard:
+                    if copy:
+                        yield copy.result()
+                    copy = Copy(shared.value, turn, shard)
+                copy.add(values[ends[i] : ends[i + 1]].copy())
+        if copy:
+            yield copy.result()
 
     return trained
 
 
+def flat(weights: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([weights[k].ravel() for k in sorted(weights)])
+
+
+def unflat(weights: dict[str, np.ndarray], values: np.ndarray) -> None:
+    at = 0
+    for k in sorted(weights):
+        w = weights[k]
+        weights[k] = values[at : at + w.size].reshape(w.shape).astype(np.float32)
+        at += w.size
+
+
 def _mean(t: pa.Table) -> pa.Table:
+    t = t.sort_by("shard")  # the same order of summation always
     w = t.column("weight").to_numpy()
     values = np.stack([np.asarray(v) for v in t.column("values").to_numpy()]).astype(np.float64)
     mean = (values * (w / w.sum())[:, None]).sum(axis=0).astype(np.float32)
-    return pa.table({"block": t.column("block")[:1], "weight": [w.sum()], "values": pa.array([mean], type=pa.list_(pa.float32()))})
+    return pa.table({"block": t.column("block")[:1], "shard": t.column("shard")[:1], "weight": [w.sum()], "values": pa.array([mean], type=pa.list_(pa.float32()))})
+
+
+def encoded(docs: DataFrame, net: WindowNetwork, shards: int, text: str = "text") -> DataFrame:
+    """__text, __text2 (hashes of the text), row (a hash of all columns), shard, turn, n, symbols, lp, rare: each text cut into symbols, written once, by turn."""
+    held = docs.sparkSession.sparkContext.broadcast({"shape": asdict(net.shape), "words": net.words, "weights": {}, "totals": net.totals})
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = of_worker(held, lambda h: WindowNetwork(h["shape"], h["words"], h["weights"], h["totals"]))
+        for batch in batches:
+            found = [model.encode(data.as_py()) for data in batch.column("data")]
+            sizes = np.fromiter((len(f[0]) for f in found), dtype=np.int64, count=len(found))
+            values = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int32)
+            symbols = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+            columns = [*batch.columns[:-1], pa.array(sizes), symbols, pa.array([f[1] for f in found], pa.float64()), pa.array([f[2].decode() for f in found], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "n", "symbols", "lp", "rare"])
+
+    t, row = text_or_empty(text), F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
+    rows = docs.select(F.xxhash64(t).alias("__text"), F.hash(t).alias("__text2"), row.alias("row"), t.cast("binary").alias("data"))
+    dealt = rows.select("__text", "__text2", "row", F.pmod(F.shiftrightunsigned("row", 8), F.lit(shards)).cast("int").alias("shard"), F.pmod("row", F.lit(net.shape.turns)).cast("int").alias("turn"), "data")
+    out = dealt.mapInArrow(cut, "__text long, __text2 int, row long, shard int, turn int, n long, symbols array<int>, lp double, rare string")
+    return staged(out, "lm-symbols", by="turn")
 
 
 def train_language_model(docs: DataFrame, shape: LmShape | None = None, text: str = "text") -> WindowNetwork:
-    """Vocabulary and network of all ``docs``; null texts have no words. Deterministic for a given partitioning.
+    """Vocabulary and network of all ``docs``; null texts have no words. Any partitioning of the documents gives the same network.
 
-    Without ``shape`` the number of distinct words decides the size of the vocabulary.
+    Without ``shape`` the number of distinct words decides the size of the vocabulary. A row's values decide its shard and its turn.
     """
     counts = word_counts(docs, text)
-    shape = shape or LmShape().grown(counts.count())
+    size = counts.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
+    shape = shape or LmShape().grown(size["distinct"])
     net = _with_vocabulary(counts, shape)
-    rows = docs.select(text_or_empty(text).cast("binary").alias("data"))
-    for turn in range(shape.rounds):
-        shared = docs.sparkSession.sparkContext.broadcast({"shape": asdict(shape), "words": net.words, "weights": net.weights})
-        part = rows.where(F.pmod(F.xxhash64("data"), F.lit(shape.rounds)) == turn)
-        copies = part.mapInArrow(_trained(shared, shape, turn), "block int, bin int, weight double, values array<float>")
-        columns = "block int, weight double, values array<float>"
+    shards = 1 + size["words"] // SHARD_WORDS
+    symbols = encoded(docs, net, shards, text)
+    squares = {k: np.full_like(v, 1e-4) for k, v in net.weights.items()}
+    for turn in range(shape.turns):
+        shared = docs.sparkSession.sparkContext.broadcast({"shape": asdict(shape), "weights": net.weights, "squares": squares})
+        part = symbols.where((F.col("turn") == turn) & (F.col("n") > 0)).select("shard", "row", "symbols")
+        part = part.repartition(shards, "shard").sortWithinPartitions("shard", "row").select("shard", "symbols")
+        copies = part.mapInArrow(_trained(shared, turn), "block int, bin int, shard int, weight double, values array<float>")
+        columns = "block int, shard int, weight double, values array<float>"
         means = copies.groupBy("block", "bin").applyInArrow(_mean, columns).groupBy("block").applyInArrow(_mean, columns)
         found = sorted(means.collect(), key=lambda r: r["block"])
         if found:
-            net.unflat(np.concatenate([np.asarray(r["values"], dtype=np.float32) for r in found]))
+            both = np.concatenate([np.asarray(r["values"], dtype=np.float32) for r in found])
+            unflat(net.weights, both[: len(both) // 2])
+            unflat(squares, both[len(both) // 2 :])
+        shared.unpersist()
+    net.trained_on = (docs, symbols)
     return net
 
 
@@ -260,13 +319,13 @@ def score_documents(docs: DataFrame, net: WindowNetwork, text: str = "text") ->
     """``docs`` with n_tokens, log_prob (natural, summed over all positions) and mean_log_prob; columns of these names are replaced.
 
     A text without words has log_prob 0 and a null mean. Every position of the whole text counts. Words beyond the vocabulary meet
-    their counts in a join by word, whose sums come back by text.
+    their counts in a join by word, whose sums come back by text. Documents that the network was trained on are not cut again.
     """
-    shared = docs.sparkSession.sparkContext.broadcast({"shape": asdict(net.shape), "words": net.words, "weights": net.weights, "totals": net.totals})
+    shared = docs.sparkSession.sparkContext.broadcast({"shape": asdict(net.shape), "words": [], "weights": net.weights})
 
-    @F.pandas_udf("n long, lp double, rare binary")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = of_worker(shared, lambda held: WindowNetwork(held["shape"], held["words"], held["weights"], held["totals"]))
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = of_worker(shared, lambda held: WindowNetwork(held["shape"], held["words"], held["weights"]))
         for texts in batches:
             sums, block, size = [], [], 0
 
@@ -277,28 +336,25 @@ def score_documents(docs: DataFrame, net: WindowNetwork, text: str = "text") ->
                 sums.extend(lp[ends] - lp[ends - [len(d) for d in block]])
                 block.clear()
 
-            counts, rare = [], []
-            for data in texts:
-                block.append(model.symbols(data))
-                counts.append(len(block[-1]))
-                rare.append(model.rare(data, block[-1]))
-                size += counts[-1]
-                if size >= 200_000:
+            for symbols in texts:
+                block.append(np.asarray(symbols, dtype=np.int32))
+                size += len(symbols)
+                if size >= LINE_WORDS:
                     flush()
                     size = 0
             if block:
                 flush()
-            yield pd.DataFrame({"n": np.array(counts, dtype=np.int64), "lp": np.array(sums, dtype=float) + np.array([r[0] for r in rare], dtype=float), "rare": [r[1] for r in rare]})
+            yield pd.Series(sums, dtype=float)
 
     key = ["__text", "__text2"]
-    mark = lambda df: df.withColumns({"__text": F.xxhash64(text_or_empty(text)), "__text2": F.hash(text_or_empty(text))})
-    found = mark(docs).select(*key, scored(text_or_empty(text).cast("binary")).alias("lm"))
-    found = staged(found.select(*key, "lm.n", "lm.lp", F.col("lm.rare").cast("string").alias("rare")), "lm-scores")
+    known = net.trained_on is not None and net.trained_on[0] is docs
+    symbols = net.trained_on[1] if known else encoded(docs, net, 1, text)
+    found = symbols.select(*key, "n", (scored("symbols") + F.col("lp")).alias("lp"))
     sums = found.groupBy(*key).agg(F.max("n").alias("__n"), F.min("lp").alias("__lp"), F.count("*").alias("__copies"))
     if net.counts is not None:
-        words = found.where(F.col("rare") != "").select(*key, F.explode(F.split("rare", " ")).alias("word"))
+        words = symbols.where(F.col("rare") != "").select(*key, F.explode(F.split("rare", " ")).alias("word"))
         shares = words.join(net.counts, "word").groupBy(*key).agg(F.sum(F.log("n")).alias("__more"))
         sums = sums.join(shares, key, "left").withColumn("__lp", F.col("__lp") + F.coalesce(F.col("__more") / F.col("__copies"), F.lit(0.0)))
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_tokens", "log_prob", "mean_log_prob")]
-    out = mark(docs).join(sums, key)
-    return out.select(*kept, F.col("__n").alias("n_tokens"), F.col("__lp").alias("log_prob"), F.when(F.col("__n") > 0, F.col("__lp") / F.col("__n")).alias("mean_log_prob"))
+    marked = docs.withColumns({"__text": F.xxhash64(text_or_empty(text)), "__text2": F.hash(text_or_empty(text))})
+    return marked.join(sums, key).select(*kept, F.col("__n").alias("n_tokens"), F.col("__lp").alias("log_prob"), F.when(F.col("__n") > 0, F.col("__lp") / F.col("__n")).alias("mean_log_prob"))

@@ -153,11 +153,64 @@ def test_trained_model_beats_word_frequencies_and_prefers_fluent_text(spark):
 
 def test_every_position_is_a_training_target(spark):
     docs = spark.createDataFrame([(f"a{i % 7} b c{i % 5} d",) for i in range(500)], "text string").repartition(3)
-    shape = lm.LmShape()
+    shape = lm.LmShape(turns=3)
     net = lm._with_vocabulary(lm.word_counts(docs), shape)
-    shared = spark.sparkContext.broadcast({"shape": vars(shape), "words": net.words, "weights": net.weights})
-    copies = docs.selectExpr("cast(text as binary) AS data").mapInArrow(lm._trained(shared, shape, 0), "block int, bin int, weight double, values array<float>")
-    assert sum(r["weight"] for r in copies.where("block = 0").collect()) == 2000
+    symbols = lm.encoded(docs, net, 4)
+    shared = spark.sparkContext.broadcast({"shape": vars(shape), "weights": net.weights, "squares": {k: v * 0 + 1 for k, v in net.weights.items()}})
+    seen = 0
+    for turn in range(3):
+        part = symbols.where(f"turn = {turn}").select("shard", "symbols").repartition(2, "shard").sortWithinPartitions("shard")
+        copies = part.mapInArrow(lm._trained(shared, turn), "block int, bin int, shard int, weight double, values array<float>")
+        seen += sum(r["weight"] for r in copies.where("block = 0").collect())
+    assert seen == 2000
+
+
+SMALL_NET = {"classes": 4, "per_class": 4, "buckets": 4, "dim": 4, "hidden": 6, "batch": 64, "turns": 3}
+
+
+def lm_docs(spark, partitions):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{int(w)}" for w in rng.geometric(0.2, 30)), "x") for i in range(120)] + [(500, None, "x"), (501, "", "x"), (502, "w1 unseen w1", "y"), (502, "w1 unseen w1", "y")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(partitions)
+
+
+def test_scores_do_not_depend_on_the_partitioning_and_equal_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_WORDS", 1000)
+    shape, found = lm.LmShape(**SMALL_NET), []
+    for partitions in (1, 5):
+        docs = lm_docs(spark, partitions)
+        net = lm.train_language_model(docs, shape)
+        found.append({r["doc_id"]: r["log_prob"] for r in lm.score_documents(docs, net).collect()})
+    assert found[0].keys() == found[1].keys() and all(abs(found[0][k] - found[1][k]) < 1e-6 for k in found[0])
+    # The same training in plain loops over the collected symbols.
+    symbols = net.trained_on[1].collect()
+    plain = lm.WindowNetwork(vars(shape), net.words)
+    squares = {k: np.full_like(v, 1e-4) for k, v in plain.weights.items()}
+    assert len({r["shard"] for r in symbols}) == 4
+    for turn in range(3):
+        copies = []
+        for shard in range(4):
+            own = sorted((r["row"], list(r["symbols"])) for r in symbols if (r["turn"], r["shard"]) == (turn, shard) and r["n"])
+            if own:
+                copy = lm.Copy({"shape": vars(shape), "weights": plain.weights, "squares": squares}, turn, shard)
+                for _, s in own:
+                    copy.add(np.array(s, dtype=np.int32))
+                copy.learn()
+                copies.append(copy)
+        total = sum(c.seen for c in copies)
+        for name in plain.weights:
+            plain.weights[name] = sum(c.net.weights[name] * (c.seen / total) for c in copies).astype(np.float32)
+            squares[name] = sum(c.squares[name] * (c.seen / total) for c in copies).astype(np.float32)
+    counts = {}
+    for r in lm_docs(spark, 1).collect():
+        for w in (r["text"] or "").split():
+            counts[w] = counts.get(w, 0) + 1
+    for r in lm_docs(spark, 1).collect():
+        words = (r["text"] or "").split()
+        line, at = plain.laid_out([net.symbols((r["text"] or "").encode())])
+        rare = [w for w in words if w.encode() not in net.words]
+        more = sum(np.log(counts[w]) - np.log1p(net.totals[zlib.crc32(w.encode()) % 4]) for w in rare)
+        assert abs(found[1][r["doc_id"]] - (plain.log_probabilities(line, at).sum() + more)) < 1e-3
 
 
 def test_every_word_beyond_the_vocabulary_has_its_own_probability(spark):
@@ -188,9 +241,18 @@ def test_the_vocabulary_grows_with_the_distinct_words(spark):
     assert len(lm._with_vocabulary(lm.word_counts(docs), lm.LmShape().grown(120_000)).words) > 2_400
 
 
-def test_language_model_query(spark, sf):
-    rows = queries.op2_lm_score(spark, sf).collect()
-    assert len(rows) == table(spark, sf, "documents").count() and all(r["log_prob"] <= 0 for r in rows)
+def test_language_model_query_equals_a_plain_score(spark, sf):
+    rows = {r["doc_id"]: r for r in queries.op2_lm_score(spark, sf).collect()}
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    net = lm.train_language_model(docs.repartition(3))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert rows.keys() == texts.keys()
+    counts = {r["word"]: r["n"] for r in net.counts.collect()}
+    for i in sorted(texts)[:40]:
+        symbols, lp, rare = net.encode(texts[i].encode())
+        line, at = net.laid_out([symbols])
+        want = net.log_probabilities(line, at).sum() + lp + sum(np.log(counts.get(w.decode(), 1)) for w in rare.split())
+        assert rows[i]["n_tokens"] == len(symbols) and abs(rows[i]["log_prob"] - want) < 1e-3 * max(1, abs(want))
 
 
 # Personal data
@@ -267,6 +329,26 @@ def test_terms_that_give_an_entity_away_are_found_as_by_hand(spark):
     assert "clinic" not in clean[0] and "[EMAIL]" in clean[0] and "The " in clean[0] and clean[60] == "zebrafold alone" and clean[62] is None
 
 
+def test_repeated_rows_change_no_span(spark):
+    rows = [(i, f"Zebrafold wrote to ann@x.org about {'it' if i % 2 else 'that'}") for i in range(4)] + [(10 + i, f"about it and that, number {i}") for i in range(30)] + [(None, "zebrafold or ann@x.org"), (50, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    again = docs
+    for _ in range(7):
+        again = again.unionByName(docs)
+    once, often = [sorted({str((r["doc_id"], r["spans"])) for r in pii.find_personal_data(d, pii.Disclosure(generalise=0.6)).select("doc_id", pii.span_text(pii.F.col("spans")).alias("spans")).collect()}) for d in (docs, again)]
+    assert once == often and any("term" in r for r in once)
+
+
+def test_thousands_of_entities_in_one_text(spark):
+    text = " ".join(f"😀 Name{i} user{i}@host{i % 7}.org, 4111 1111 1111 1111!" for i in range(1_500))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, text)], "doc_id long, text string")
+    rows = pii.find_personal_data(docs).collect()
+    assert all(base_spans(",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"])) == brute_entities(text) for r in rows)
+    clean = pii.sanitise(docs).first()["text"]
+    assert clean.count("[EMAIL]") == clean.count("[CARD]") == 1_500 and "@" not in clean and "4111" not in clean
+    assert re.sub(r"\[TERM\]|Name\d+", "", clean).startswith("😀  [EMAIL], [CARD]!")
+
+
 def test_telling_terms_are_marked_at_any_distance_from_the_entity(spark):
     far = "filler words " * 3_000
     rows = [(i, f"{'ZebraFold 😀' if i == 2 else 'Report'} {far if i < 4 else ''}zebrafold wrote to ann@x.org{' ' + far + 'signed Zebrafold' if i == 3 else ''}") for i in range(5)]
