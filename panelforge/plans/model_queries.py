@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,8 @@ from panelforge.plans.discovery_queries import merged
 from panelforge.plans.ensemble_queries import simulated_sql, unit
 from panelforge.plans.inputs import CONSTRAINED, END_PERIOD, supplier_panel, table, user_days, with_sql
 from panelforge.plans.registry import query, r, rounded
-from panelforge.session import staged
+from panelforge.session import checkpoint_folder, staged
+from panelforge.sources import io
 
 FEATURES = ["n_lines", "avg_discount", "return_share", "has_bulk", "net_margin"]
 TARGET = "log_revenue"
@@ -160,6 +162,20 @@ def score_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scored_ensemble(spark, sf))
 
 
+@query("score_reloaded_pipeline", with_sql("panel") + f"""
+, logs AS (SELECT entity, period, n_lines, ln(1 + revenue) AS y FROM panel),
+m AS (SELECT regr_slope(y, n_lines) AS b, regr_intercept(y, n_lines) AS a FROM logs WHERE period <= (SELECT max(period) FROM logs) - {HOLDOUT})
+SELECT entity, period, {r("a + b * n_lines", "log_level", 4)}, {r("exp(a + b * n_lines) - 1", "level", 4)} FROM logs, m""")
+def score_reloaded_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Fit on the training periods, save the pipeline, load it again and score every row with what was loaded."""
+    frame = training(spark, sf)
+    train, _ = folds.time_holdout(frame, HOLDOUT)
+    path = f"{checkpoint_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    io.save_model(regression.fit(train, ["n_lines"], regression.elastic_net(TARGET, 0.0, 0.0, 1.0)), path)
+    scored = regression.score(frame.select("entity", "period", "n_lines"), io.load_model(path), "log_level", "level")
+    return rounded(scored.select("entity", "period", "log_level", "level"), 4)
+
+
 def weights() -> str:
     from panelforge.plans.panel_queries import weight_rows
 
