@@ -231,7 +231,7 @@ def searched_net(frame: DataFrame):
     def make(train: DataFrame):
         folded = folds.time_folds(train.drop("fold"), INNER_FOLDS)
         products = elastic.fold_products(folded, regression.fit_scaling(train, ALL), TARGET, "fold", "entity")
-        alpha = elastic.net_search(products, ALL, l1_ratios=[L1_RATIO], **NET).first()["alpha"]
+        alpha = elastic.net_search(products, ALL, l1_ratios=[L1_RATIO], **NET).models.first()["alpha"]
         return regression.elastic_net(TARGET, alpha, L1_RATIO, train.agg(F.stddev_samp(TARGET)).first()[0])
 
     return make
@@ -241,7 +241,7 @@ def searched_net(frame: DataFrame):
 def enet_fit(spark: SparkSession, sf: str) -> DataFrame:
     """Penalty from the search, coefficients from the Spark ML fit, entity columns in both."""
     folded, _, _, products = search_inputs(spark, sf)
-    alpha = elastic.net_search(products, ALL, l1_ratios=[L1_RATIO], **NET).first()["alpha"]
+    alpha = elastic.net_search(products, ALL, l1_ratios=[L1_RATIO], **NET).models.first()["alpha"]
     spread = folded.agg(F.stddev_samp(TARGET)).first()[0]
     model = regression.fit(folded, ALL, regression.elastic_net(TARGET, alpha, L1_RATIO, spread), group="entity")
     return regression.coefficient_table(model, ALL).withColumn("alpha", F.lit(alpha))

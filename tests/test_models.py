@@ -88,7 +88,8 @@ def test_net_search_equals_dense_solves_on_the_scaled_features(frame, scaler, en
     folded = folds.time_folds(frame, 4)
     scaling = regression.fit_scaling(folded, names, scaler)
     products = elastic.fold_products(folded, scaling, "y", "fold", "entity" if entities else None)
-    best = elastic.net_search(products, names, l1_ratios=[ratio], n_alphas=12, eps=1e-3).first()
+    found = elastic.net_search(products, names, l1_ratios=[ratio], n_alphas=12, eps=1e-3)
+    best = found.models.first()
     x, pdf, levels = dense_design(folded, scaling, names, entities)
     y, fold = pdf.y.to_numpy(), pdf.fold.to_numpy()
     top = np.max(np.abs((x - x.mean(axis=0)).T @ (y - y.mean()) / len(y))) / ratio
@@ -106,12 +107,49 @@ def test_net_search_equals_dense_solves_on_the_scaled_features(frame, scaler, en
     np.testing.assert_allclose(best["coefficients"], b[:3], atol=1e-7)
     assert best["intercept"] == pytest.approx(b0, abs=1e-7)
     if entities:
-        np.testing.assert_allclose([best["effects"][g] for g in levels], b[3:], atol=1e-7)
+        effects = {r["entity"]: r["effect"] for r in found.effects.collect()}
+        np.testing.assert_allclose([effects[g] for g in levels], b[3:], atol=1e-7)
         spread = folded.agg(F.stddev_samp("y")).first()[0]
         model = regression.fit(folded, names, regression.elastic_net("y", alphas[k], ratio, spread), scaler, group="entity")
         np.testing.assert_allclose(model.stages[-1].coefficients.toArray(), b, rtol=2e-3, atol=2e-3)
 
 
+def test_net_search_does_not_depend_on_blocks_turns_or_partitions(spark, frame, monkeypatch):
+    """Pure lasso with a redundant feature, one entity with a third of the rows, entities seen in some folds only."""
+    names = ["a", "b", "twice_a"]
+    hot = frame.unionByName(frame.where("entity = 'E03'").withColumn("y", F.col("y") + 0.1)).withColumn("twice_a", 2 * F.col("a"))
+    folded = folds.time_folds(hot.where("entity != 'E05' OR period < 4").where("entity != 'E06' OR period > 9").withColumn("entity", F.concat("entity", F.col("period") % 2)), 3)
+    scaling = regression.fit_scaling(folded, names)
+    products = elastic.fold_products(folded, scaling, "y", "fold", "entity")
+
+    def models(df):
+        found = elastic.net_search(df, names, l1_ratios=[1.0, 0.5], n_alphas=8)
+        return found.models.toPandas().sort_values("l1_ratio"), found.effects.toPandas().sort_values(["l1_ratio", "entity"])
+
+    whole, effects = models(products.coalesce(1))
+    monkeypatch.setattr(elastic, "BLOCK", 30)
+    monkeypatch.setattr(elastic, "SUMS", 400)
+    monkeypatch.setattr(elastic, "CANDIDATES_PER_ROW", 5)
+    cut, cut_effects = models(products.repartition(7))
+    np.testing.assert_allclose(cut.cv_mse, whole.cv_mse, rtol=1e-7)
+    np.testing.assert_allclose(cut_effects.effect, effects.effect, atol=1e-6)
+    x, pdf, levels = dense_design(folded, scaling, names, True)
+    for i, (_, m) in enumerate(whole.iterrows()):
+        mine = effects[effects.l1_ratio == m.l1_ratio]
+        assert mine.entity.tolist() == levels
+        b, b0 = np.concatenate([m.coefficients, mine.effect]), m.intercept
+        other, other0 = dense_net(x, pdf.y.to_numpy(), m.alpha, m.l1_ratio, 20_000)
+        cost = lambda b, b0: np.mean((pdf.y - x @ b - b0) ** 2) / 2 + m.alpha * (m.l1_ratio * np.abs(b).sum() + (1 - m.l1_ratio) / 2 * (b @ b))  # noqa: B023, E731
+        assert cost(b, b0) == pytest.approx(cost(other, other0), abs=1e-10)
+
+
+def test_net_search_without_rows_or_folds_has_no_model(frame):
+    scaling = regression.fit_scaling(frame, ["a"])
+    for part in (frame, frame.where("false")):
+        found = elastic.net_search(elastic.fold_products(part, scaling, "y", None, "entity"), ["a"])
+        assert found.models.count() == 0 and found.effects.count() == 0
+
+
 def test_sweep_and_ablation_keep_entity_columns(frame):
     names = ["a", "b", "c"]
     folded = folds.time_folds(frame, 4)
@@ -122,9 +160,10 @@ def test_sweep_and_ablation_keep_entity_columns(frame):
     # Without any feature the entity effects still predict better than the mean.
     y = frame.toPandas().y
     assert ablated.test_mae_level.iloc[-1] < np.mean(np.abs(np.exp(y) - np.exp(y.mean())))
-    whole = elastic.net_search(products, names, l1_ratios=[0.5], n_alphas=15).first()
+    found = elastic.net_search(products, names, l1_ratios=[0.5], n_alphas=15)
+    whole, effects = found.models.first(), {r["entity"]: r["effect"] for r in found.effects.collect()}
     pdf = frame.select("entity", "y", *[F.expr(scaling.expression(c)).alias(c) for c in names]).toPandas()
-    fitted = whole["intercept"] + pdf[names].to_numpy() @ np.array(whole["coefficients"]) + pdf.entity.map(whole["effects"]).fillna(0)
+    fitted = whole["intercept"] + pdf[names].to_numpy() @ np.array(whole["coefficients"]) + pdf.entity.map(effects).fillna(0)
     assert ablated.test_mae_level.iloc[0] == pytest.approx(np.mean(np.abs(np.exp(pdf.y) - np.exp(fitted))))
     sweep = elastic.l1_ratio_sweep(products, scaling, frame, "y", [0.1, 0.9], "entity", n_alphas=15).toPandas().set_index("l1_ratio")
     assert len(sweep) == 2 and (sweep.selected_alpha > 0).all() and (sweep.test_mae_level > 0).all()
