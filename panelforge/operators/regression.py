@@ -99,18 +99,44 @@ def fit_scaling(df: DataFrame, features: Sequence[str], scaler: str = "standard"
     )
 
 
-def group_encoder(df: DataFrame, group: str) -> Pipeline:
-    """0/1 columns per level without the first; unseen levels are all zero.
+def most_frequent(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """Most frequent level (as text) per column, the smallest on a tie, all columns in one aggregate; columns without a value are left out."""
+    items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in columns])
+    counts = df.select(F.inline(items)).where("level IS NOT NULL").groupBy("column", "level").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("column").agg(F.min_by("level", F.struct((-F.col("n")).alias("most"), F.col("level").alias("name"))).alias("level"))
+    return {r["column"]: r["level"] for r in best.collect()}
 
-    The first level is left out when the indexer is fitted, so it shares the dropped "unknown" slot.
+
+def category_encoder(df: DataFrame, columns: Sequence[str], output: str = "_group") -> Pipeline:
+    """One sparse vector of 0/1 entries over all levels of all ``columns``, the first level of each left out.
+
+    Missing values take the column's most frequent level. Levels that the fitted frame lacks have no entry. A column of one level
+    has none either. The first level is blanked when the indexer is fitted, so it shares the slot of the unknown, which is dropped.
     """
-    first = df.agg(F.min(group)).first()[0]
-    index = StringIndexer(inputCol=group, outputCol="_gi", handleInvalid="keep").fit(df.where(F.col(group) != first))
-    return Pipeline(stages=[index, OneHotEncoder(inputCol="_gi", outputCol="_group", dropLast=True)])
+    modes = most_frequent(df, columns)
+    bounds = df.agg(*[f(F.col(c).cast("string")).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in (("low", F.min), ("high", F.max))]).first()
+    first = {c: bounds[f"low_{i}"] for i, c in enumerate(columns) if bounds[f"low_{i}"] != bounds[f"high_{i}"]}
+    text = {c: "'" + modes[c].replace("\\", "\\\\").replace("'", "\\'") + "'" for c in first}
+    fill = SQLTransformer(statement="SELECT *" + "".join(f", coalesce(cast(`{c}` as string), {text[c]}) AS `_c_{c}`" for c in first) + " FROM __THIS__")
+    named = [f"_c_{c}" for c in first]
+    stages: list = [fill]
+    if first:
+        known = df.select(*[F.when(F.col(c).cast("string") != first[c], F.col(c).cast("string")).alias(f"_c_{c}") for c in first])
+        index = StringIndexer(inputCols=named, outputCols=[f"_i_{c}" for c in first], handleInvalid="keep").fit(known)
+        stages += [index, OneHotEncoder(inputCols=[f"_i_{c}" for c in first], outputCols=[f"_v_{c}" for c in first], dropLast=True)]
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=[f"_v_{c}" for c in first], outputCol=output)])
+
+
+def category_names(model: PipelineModel) -> list[tuple[str, str]]:
+    """``(column, level)`` of every entry of the vector that a fitted :func:`category_encoder` (or a pipeline with one) makes."""
+    from pyspark.ml.feature import StringIndexerModel
+
+    stages = [s for stage in model.stages for s in (stage.stages if isinstance(stage, PipelineModel) else [stage])]
+    return [(c.removeprefix("_c_"), level) for s in stages if isinstance(s, StringIndexerModel) for c, labels in zip(s.getInputCols(), s.labelsArray) for level in labels]
 
 
-def feature_stages(df: DataFrame, features: Sequence[str], scaler: str = "standard", group: str | None = None, pca: int | None = None) -> list:
-    """Unfitted or literal stages producing the vector ``_features``."""
+def feature_stages(df: DataFrame, features: Sequence[str], scaler: str = "standard", group: str | Sequence[str] | None = None, pca: int | None = None) -> list:
+    """Unfitted or literal stages producing the vector ``_features``; ``group``: one or several categorical columns."""
     scaling = fit_scaling(df, features, scaler) if features else None
     stages: list = [scaling.stage()] if scaling else []
     numeric = scaling.columns() if scaling else []
@@ -118,7 +144,7 @@ def feature_stages(df: DataFrame, features: Sequence[str], scaler: str = "standa
         stages += [VectorAssembler(inputCols=numeric, outputCol="_numeric"), SparkPCA(k=pca, inputCol="_numeric", outputCol="_pcs")]
         numeric = ["_pcs"]
     if group:
-        stages.append(group_encoder(df, group))
+        stages.append(category_encoder(df, [group] if isinstance(group, str) else list(group)))
     return [*stages, VectorAssembler(inputCols=numeric + (["_group"] if group else []), outputCol="_features")]
 
 
@@ -152,7 +178,7 @@ def boosted(target: str, **params) -> GBTRegressor:
     )
 
 
-def fit(df: DataFrame, features: Sequence[str], estimator, scaler: str = "standard", group: str | None = None, pca: int | None = None) -> PipelineModel:
+def fit(df: DataFrame, features: Sequence[str], estimator, scaler: str = "standard", group: str | Sequence[str] | None = None, pca: int | None = None) -> PipelineModel:
     return Pipeline(stages=[*feature_stages(df, features, scaler, group, pca), estimator]).fit(df)
 
 
@@ -341,20 +367,19 @@ def coefficient_table(model: PipelineModel, features: Sequence[str], back_projec
 
     With ``back_project`` component coefficients are turned into coefficients of the scaled features.
     """
-    from pyspark.ml.feature import PCAModel, StringIndexerModel
+    from pyspark.ml.feature import PCAModel
     from pyspark.sql import SparkSession
 
     stages = [s for stage in model.stages for s in (stage.stages if isinstance(stage, PipelineModel) else [stage])]
     coefs = model.stages[-1].coefficients.toArray()
     pca = next((s for s in stages if isinstance(s, PCAModel)), None)
-    index = next((s for s in stages if isinstance(s, StringIndexerModel)), None)
-    levels = list(index.labels) if index else []
+    levels = category_names(model)
     numeric, groups = coefs[: len(coefs) - len(levels)], coefs[len(coefs) - len(levels):]
     if pca is not None and back_project:
         numeric = pca.pc.toArray() @ numeric
     names = [f"pc_{i + 1}" for i in range(len(numeric))] if pca is not None and not back_project else list(features)
     kind = "pc" if pca is not None and not back_project else "num"
     rows = [] if only_groups else [(f, float(b), abs(float(b)), kind) for f, b in zip(names, numeric)]
-    rows += [(f"{index.getInputCol()}_{g}", float(b), abs(float(b)), "cat") for g, b in zip(levels, groups)]
+    rows += [(f"{c}_{g}", float(b), abs(float(b)), "cat") for (c, g), b in zip(levels, groups)]
     rows.sort(key=lambda r: (-r[2], r[0]))
     return SparkSession.active().createDataFrame(rows, "feature string, coef double, abs_coef double, type string")

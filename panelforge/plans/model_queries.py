@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import partial
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from panelforge.plans.discovery import features_of
 from panelforge.plans.discovery_queries import merged
 from panelforge.plans.ensemble_queries import simulated_sql, unit
 from panelforge.plans.inputs import CONSTRAINED, END_PERIOD, supplier_panel, table, user_days, with_sql
+from panelforge.plans.panel_queries import POS, nested
 from panelforge.plans.registry import query, r, rounded
 from panelforge.session import checkpoint_folder, staged
 from panelforge.sources import io
@@ -269,6 +271,33 @@ def ablation_median(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(regression.model_ablation(train, test, ALL, TARGET, None))
 
 
+CATEGORIES = ["status", "priority", "segment"]
+ENCODED = "CASE WHEN coalesce({c}, m_{c}) <> f_{c} AND list_contains(l_{c}, coalesce({c}, m_{c})) THEN '{c}=' || coalesce({c}, m_{c}) END"
+
+
+@query("encoded_categories", f"""
+WITH o AS (SELECT o_orderkey, o_orderdate < TIMESTAMP '1997-01-01' AS is_train, CASE WHEN o_orderkey % 7 > 0 THEN o_orderstatus END AS status,
+    CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS priority, CASE WHEN o_custkey % 3 > 0 AND (c_mktsegment <> 'HOUSEHOLD' OR o_orderdate >= TIMESTAMP '1997-01-01') THEN c_mktsegment END AS segment
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+""" + ",\n".join(f"""{c}_n AS (SELECT {c} AS v, count(*) AS n FROM o WHERE is_train AND {c} IS NOT NULL GROUP BY 1),
+{c}_l AS (SELECT arg_min(v, (-n, v)) AS m_{c}, min(v) AS f_{c}, list(v) AS l_{c} FROM {c}_n)""" for c in CATEGORIES) + f"""
+SELECT o_orderkey, concat_ws(',', {", ".join(ENCODED.format(c=c) for c in CATEGORIES)}) AS entries FROM o, {", ".join(f"{c}_l" for c in CATEGORIES)}""")
+def encoded_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries of the sparse design over three categorical columns with gaps, fitted on the earlier orders."""
+    early = F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp")
+    orders = table(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority"])
+    rows = orders.join(table(spark, sf, "customer", ["c_custkey", "c_mktsegment"]), F.col("o_custkey") == F.col("c_custkey"), "left").select(
+        "o_orderkey", early.alias("is_train"), F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderstatus")).alias("status"),
+        F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderpriority")).alias("priority"),
+        F.when((F.col("o_custkey") % 3 > 0) & ((F.col("c_mktsegment") != "HOUSEHOLD") | ~early), F.col("c_mktsegment")).alias("segment"),
+    )
+    train = rows.where("is_train")
+    model = regression.category_encoder(train, CATEGORIES, "design").fit(train)
+    names = F.array(*[F.lit(f"{c}={level}") for c, level in regression.category_names(model)])
+    entry = F.transform(vector_to_array("design"), lambda x, i: F.when(x != 0, names[i]))
+    return model.transform(rows).select("o_orderkey", F.concat_ws(",", entry).alias("entries"))
+
+
 @query("rf_fit")
 def rf_fit(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = folds.time_holdout(with_trends(spark, sf), HOLDOUT)
@@ -366,15 +395,40 @@ def cv_errors_median(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(cv_table(training_part(spark, sf), {"median": (None, None)}))
 
 
-@query("pca_loadings")
+# Components in SQL: the correlation matrix, as a flat list, is squared again and again until only the product of its first
+# eigenvector with itself is left; that part is taken off, and the rest gives the next component.
+K, SQUARINGS = len(ALL), 45
+PCA_SQL = f"""
+logs AS (SELECT *, ln(1 + revenue) AS y FROM panel),
+{POS}logs),
+{nested("trend_3", 3, 2, 1, "slope", "pos", "y")},
+{nested("volatility_5", 5, 3, 1, "std", "pos", "y")},
+complete AS (SELECT * FROM logs JOIN trend_3 USING (entity, period) JOIN volatility_5 USING (entity, period) WHERE trend_3 IS NOT NULL AND volatility_5 IS NOT NULL),
+c0 AS (SELECT [{", ".join(f"corr({a}, {b})" for a in ALL for b in ALL)}]::DOUBLE[] AS c FROM complete),
+powers(component, i, m, c) AS (SELECT 1, 0, list_transform(c, lambda x: x / {K}), c FROM c0 UNION ALL
+  SELECT CASE WHEN i < {SQUARINGS} THEN component ELSE component + 1 END, CASE WHEN i < {SQUARINGS} THEN i + 1 ELSE 0 END,
+    list_transform(nm, lambda x: x / list_sum([nm[d * {K + 1} + 1] for d in range({K})])), nc
+  FROM (SELECT component, i, CASE WHEN i < {SQUARINGS} THEN c ELSE list_transform(range({K * K}), lambda k: c[k + 1] - list_dot_product(m, c) * m[k + 1]) END AS nc,
+    CASE WHEN i < {SQUARINGS} THEN list_transform(range({K * K}), lambda k: list_dot_product(m[(k // {K}) * {K} + 1:(k // {K} + 1) * {K}], m[(k % {K}) * {K} + 1:(k % {K} + 1) * {K}])) ELSE nc END AS nm
+    FROM powers WHERE component < {K} OR i < {SQUARINGS})),
+found AS (SELECT component, m, list_dot_product(m, c) / {K} AS explained FROM powers WHERE i = {SQUARINGS}),
+summed AS (SELECT *, sum(explained) OVER (ORDER BY component) AS cumulative FROM found),
+kept AS (SELECT * FROM summed WHERE cumulative - explained < 0.95 - 1e-12)"""
+
+
+@query("pca_loadings", with_sql("panel", PCA_SQL).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, squares AS (SELECT component, m, list_transform(range({K}), lambda d: m[d * {K + 1} + 1]) AS s FROM kept),
+v AS (SELECT component, ({ALL!r})[d + 1] AS feature, m[(list_position(s, list_max(s)) - 1) * {K} + d + 1] / sqrt(list_max(s)) AS loading FROM squares, range({K}) t(d)),
+ranked AS (SELECT *, abs(loading) AS abs_loading, row_number() OVER (PARTITION BY component ORDER BY abs(loading) DESC, feature) AS rank FROM v)
+SELECT component, feature, {r("loading", "loading")}, {r("abs_loading", "abs_loading")}, rank FROM ranked WHERE rank <= 5""")
 def pca_loadings(spark: SparkSession, sf: str) -> DataFrame:
     loadings, _ = regression.principal_components(with_trends(spark, sf), ALL)
-    return regression.top_loadings(loadings, 5)
+    return rounded(regression.top_loadings(loadings, 5))
 
 
-@query("pca_variance")
+@query("pca_variance", with_sql("panel", PCA_SQL).replace("WITH ", "WITH RECURSIVE ", 1) + f"SELECT component, {r('explained', 'explained')}, {r('cumulative', 'cumulative')} FROM kept")
 def pca_variance(spark: SparkSession, sf: str) -> DataFrame:
-    return regression.principal_components(with_trends(spark, sf), ALL)[1]
+    return rounded(regression.principal_components(with_trends(spark, sf), ALL)[1])
 
 
 @query("pca_ablation")

@@ -146,11 +146,38 @@ def histogram(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(profile.histogram(supplier_panel(spark, sf), VARIABLES, 20))
 
 
-@query("vif_elimination")
+WIDE = [*VARIABLES, "lines_and_returns", "revenue_twice"]
+V = len(WIDE)
+# Elimination in SQL: a copy of the correlation matrix per column, from which the other columns are swept one after the other; what is
+# left of the column's own diagonal is the share that they leave unexplained. The worst column goes, and all copies start anew.
+VIF_SQL = f"""
+wide AS (SELECT *, n_lines + return_share AS lines_and_returns, revenue * 2 + n_lines AS revenue_twice FROM panel),
+c0 AS (SELECT [{", ".join(f"corr({a}, {b})" for _ in WIDE for a in WIDE for b in WIDE)}]::DOUBLE[] AS c FROM wide),
+sweeps(p, step, kept, a, factors, dropped_at) AS (
+  SELECT 1, 0, list_transform(range({V}), lambda x: true), c, NULL::DOUBLE[], list_transform(range({V}), lambda x: NULL::INTEGER) FROM c0
+  UNION ALL
+  SELECT CASE WHEN p <= {V} THEN p + 1 ELSE 1 END, CASE WHEN p <= {V} THEN step ELSE step + 1 END,
+    CASE WHEN p <= {V} THEN kept ELSE list_transform(kept, lambda x, i: x AND i <> worst) END,
+    CASE WHEN p > {V} THEN c0.c WHEN NOT kept[p] THEN a ELSE list_transform(a, lambda x, i: CASE
+      WHEN (i - 1) // {V * V} = p - 1 OR a[((i - 1) // {V * V}) * {V * V} + (p - 1) * {V + 1} + 1] <= 1e-10 THEN x
+      ELSE x - a[((i - 1) // {V}) * {V} + p] * a[((i - 1) // {V * V}) * {V * V} + (p - 1) * {V} + (i - 1) % {V} + 1] / a[((i - 1) // {V * V}) * {V * V} + (p - 1) * {V + 1} + 1] END) END,
+    CASE WHEN p <= {V} THEN factors ELSE list_transform(factors, lambda x, i: CASE WHEN kept[i] THEN now[i] ELSE x END) END,
+    CASE WHEN p <= {V} THEN dropped_at ELSE list_transform(dropped_at, lambda x, i: CASE WHEN i = worst THEN step + 1 ELSE x END) END
+  FROM (SELECT *, list_position(list_transform(now, lambda x, i: CASE WHEN kept[i] THEN x ELSE 0 END), list_max(list_transform(now, lambda x, i: CASE WHEN kept[i] THEN x ELSE 0 END))) AS worst
+    FROM (SELECT * REPLACE (coalesce(factors, list_transform(range({V}), lambda x: 0::DOUBLE)) AS factors),
+      list_transform(range({V}), lambda j: CASE WHEN a[j * {V * V + V + 1} + 1] > 1e-10 THEN 1 / a[j * {V * V + V + 1} + 1] ELSE 'inf'::DOUBLE END) AS now FROM sweeps)), c0
+  WHERE p <= {V} OR (len(list_filter(kept, lambda x: x)) > 1 AND now[worst] > 5)),
+ends AS (SELECT kept, factors, dropped_at, list_transform(range({V}), lambda j: CASE WHEN kept[j + 1] THEN CASE WHEN a[j * {V * V + V + 1} + 1] > 1e-10 THEN 1 / a[j * {V * V + V + 1} + 1] ELSE 'inf'::DOUBLE END ELSE factors[j + 1] END) AS vif
+  FROM sweeps WHERE p = {V} + 1 ORDER BY step DESC LIMIT 1)"""
+
+
+@query("vif_elimination", with_sql("panel", VIF_SQL).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+SELECT ({WIDE!r})[j] AS variable, dropped_at[j] AS dropped_at, CASE WHEN isinf(vif[j]) THEN vif[j] ELSE round(vif[j], 6) END AS vif FROM ends, range(1, {V + 1}) t(j)""")
 def vif_elimination(spark: SparkSession, sf: str) -> DataFrame:
     panel = supplier_panel(spark, sf)
     extended = panel.withColumns({"lines_and_returns": F.col("n_lines") + F.col("return_share"), "revenue_twice": F.col("revenue") * 2 + F.col("n_lines")})
-    return profile.vif_elimination(extended, [*VARIABLES, "lines_and_returns", "revenue_twice"])
+    found = profile.vif_elimination(extended, WIDE)
+    return found.withColumn("vif", F.when(F.col("vif") == float("inf"), F.col("vif")).otherwise(F.round("vif", 6)))
 
 
 @query("pruned_columns", with_sql("panel") + f"""

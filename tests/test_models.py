@@ -169,6 +169,33 @@ def test_sweep_and_ablation_keep_entity_columns(frame):
     assert len(sweep) == 2 and (sweep.selected_alpha > 0).all() and (sweep.test_mae_level > 0).all()
 
 
+def test_categories_of_several_columns(spark):
+    rows = [("b", "x'y", None, "one"), ("b", "z\\", None, "one"), ("a", "x'y", None, None), ("a", "z\\", None, "one"), (None, None, None, None), ("c", "z\\", None, "one")]
+    train = spark.createDataFrame(rows, "k string, q string, empty string, same string")
+    assert regression.most_frequent(train, ["k", "q", "empty"]) == {"k": "a", "q": "z\\"}
+    model = regression.category_encoder(train, ["k", "q", "empty", "same"], "v").fit(train)
+    assert sorted(regression.category_names(model)) == [("k", "b"), ("k", "c"), ("q", "z\\")]
+    new = spark.createDataFrame([(0, "c", "new", "p", "q"), (1, None, None, None, None), (2, "b", "x'y", "p", "one")], "i int, k string, q string, empty string, same string")
+    names = regression.category_names(model)
+    got = {r["i"]: {names[j] for j, x in enumerate(r["v"].toArray()) if x} for r in model.transform(new).collect()}
+    assert got == {0: {("k", "c")}, 1: {("q", "z\\")}, 2: {("k", "b")}}
+    none = regression.category_encoder(train, ["empty", "same"], "v").fit(train)
+    assert none.transform(new).first()["v"].size == 0 and regression.category_names(none) == []
+
+
+def test_a_model_with_two_categorical_columns_equals_dense_least_squares(frame):
+    pdf = frame.withColumn("kind", F.concat(F.lit("k"), F.col("period") % 3)).toPandas()
+    df = frame.withColumn("kind", F.concat(F.lit("k"), F.col("period") % 3))
+    model = regression.fit(df, ["a"], regression.elastic_net("y", 0.0, 0.0, 1.0), group=["entity", "kind"])
+    columns = [("entity", g) for g in sorted(pdf.entity.unique())[1:]] + [("kind", g) for g in ("k1", "k2")]
+    z = (pdf.a - pdf.a.mean()) / pdf.a.std(ddof=0)
+    x = np.column_stack([np.ones(len(pdf)), z, *[(pdf[c] == g).to_numpy(float) for c, g in columns]])
+    want = np.linalg.lstsq(x, pdf.y.to_numpy(), rcond=None)[0]
+    got = {r["feature"]: r["coef"] for r in regression.coefficient_table(model, ["a"]).collect()}
+    for name, b in zip(["a"] + [f"{c}_{g}" for c, g in columns], want[1:]):
+        assert got[name] == pytest.approx(b, abs=1e-5)
+
+
 def test_other_models_can_be_ablated(frame):
     train, test = folds.time_holdout(frame, 5)
     spread = train.agg(F.stddev_samp("y")).first()[0]
