@@ -69,6 +69,25 @@ def test_banded_trend_equals_dense_solution(length):
     np.testing.assert_allclose(got, want, atol=1e-9)
 
 
+@pytest.mark.parametrize("penalty, interpolate_missing", [(100.0, True), (1e6, False)])
+def test_long_series_are_smoothed_in_chunks_as_a_whole(spark, penalty, interpolate_missing):
+    rng = np.random.default_rng(3)
+    rows = []
+    for entity, n in (("a", 61), ("b", 3), ("c", 8), ("d", 16), (None, 30), ("e", 6), ("f", 17)):
+        for t in range(n):
+            rows.append((entity, 2 * t, None if rng.random() < 0.15 else float(rng.normal() + t), float(rng.normal()), f"{entity}{t}"))
+    df = spark.createDataFrame(rows, "entity string, period int, v double, w double, note string").repartition(5)
+    options = {"columns": ["v", "w"], "penalty": penalty, "interpolate_missing": interpolate_missing}
+    key = ["entity", "period"]
+    for which, keep in (("trend", "both"), ("cycle", "replace")):
+        whole = smooth.hp_filter(df, which=which, keep=keep, **options).toPandas().sort_values(key)
+        for limit in (8, 25):
+            cut = smooth.hp_filter(df, which=which, keep=keep, max_series=limit, **options).toPandas().sort_values(key)
+            assert sorted(cut.columns) == sorted(whole.columns) and cut.note.tolist() == whole.note.tolist()
+            for c in set(whole.columns) - {*key, "note"}:
+                np.testing.assert_allclose(cut[c].to_numpy(float), whole[c].to_numpy(float), atol=1e-7)
+
+
 def test_hp_filter_short_series_and_identity(spark):
     rows = [("L", t, float(t * t % 7)) for t in range(9)] + [("S", t, 1.0) for t in range(5)] + [("G", t, None if t == 3 else float(t)) for t in range(8)]
     df = spark.createDataFrame(rows, "entity string, period int, v double")
