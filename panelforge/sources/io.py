@@ -128,19 +128,23 @@ def load_run_tables(
 ) -> dict:
     """All tables of one run, failing on a missing one.
 
-    With ``cache`` the tables are read from that bundle, which ``refresh`` (re)writes first. Only the run's
+    With ``cache`` the tables come from a copy kept there per run, which ``refresh`` (re)writes first. The copy holds whole tables, so
+    any selection can be read from it; a table that it lacks is an error, as in the run itself. Only the run's
     folder is listed, and an entity selection is pushed into the scan.
     """
-    if cache and not refresh:
-        return load_bundle(spark, cache)
-    missing = [t for t in tables if not exists(spark, run_path(base, t, run_id))]
+    copy = f"{cache}/run_id={run_id}" if cache else None
+    if copy and not refresh:
+        kept = load_bundle(spark, copy) if exists(spark, copy) else {}
+    else:
+        kept = {t: read_parquet(spark, run_path(base, t, run_id)) for t in tables if exists(spark, run_path(base, t, run_id))}
+    missing = [t for t in tables if t not in kept]
     if missing:
-        raise FileNotFoundError(f"run {run_id!r} lacks {missing}")
-    out = {t: read_parquet(spark, run_path(base, t, run_id)) for t in tables}
+        raise FileNotFoundError(f"{'the copy of ' if copy and not refresh else ''}run {run_id!r} lacks {missing}")
+    out = {t: kept[t] for t in tables}
+    if copy and refresh:
+        save_bundle(out, copy)
     if entities is not None:
         out = {t: df.where(F.col(entity).isin(*entities)) if entity in df.columns else df for t, df in out.items()}
-    if cache and refresh:
-        save_bundle(out, cache)
     return out
 
 

@@ -42,7 +42,16 @@ def test_run_tables(spark, table, tmp_path):
     io.save_run_table(table, base, "ensemble", 7)
     got = io.load_run_tables(spark, base, 7, ["ensemble"], ["B"], cache, refresh=True)
     assert got["ensemble"].count() == 2
-    assert io.load_run_tables(spark, base, 7, ["ensemble"], cache=cache)["ensemble"].count() == 2
+    # The copy holds the whole run, whatever was selected when it was written.
+    assert io.load_run_tables(spark, base, 7, ["ensemble"], cache=cache)["ensemble"].count() == 3
+    assert io.load_run_tables(spark, base, 7, ["ensemble"], ["A"], cache=cache)["ensemble"].count() == 1
+    io.save_run_table(table.where("entity = 'A'"), base, "ensemble", 8)
+    with pytest.raises(FileNotFoundError, match="copy of run 8"):
+        io.load_run_tables(spark, base, 8, ["ensemble"], cache=cache)
+    assert io.load_run_tables(spark, base, 8, ["ensemble"], cache=cache, refresh=True)["ensemble"].count() == 1
+    assert io.load_run_tables(spark, base, 7, ["ensemble"], cache=cache)["ensemble"].count() == 3
+    with pytest.raises(FileNotFoundError, match="caps"):
+        io.load_run_tables(spark, base, 7, ["ensemble", "caps"], cache=cache)
     with pytest.raises(FileNotFoundError, match="caps"):
         io.load_run_tables(spark, base, 7, ["ensemble", "caps"])
 
