@@ -249,6 +249,22 @@ def enet_fit(spark: SparkSession, sf: str) -> DataFrame:
     return regression.coefficient_table(model, ALL).withColumn("alpha", F.lit(alpha))
 
 
+@query("fitted_coefficients", with_sql("panel") + f"""
+, logs AS (SELECT entity, period, n_lines, ln(1 + revenue) AS y FROM panel),
+t AS (SELECT * FROM logs WHERE period <= (SELECT max(period) FROM logs) - {HOLDOUT}),
+means AS (SELECT entity, avg(n_lines) AS mx, avg(y) AS my FROM t GROUP BY entity),
+slope AS (SELECT sum((n_lines - mx) * (y - my)) / sum((n_lines - mx) * (n_lines - mx)) AS b FROM t JOIN means USING (entity)),
+level AS (SELECT entity, my - b * mx AS u FROM means, slope),
+c AS (SELECT 'n_lines' AS feature, b * stddev_pop(n_lines) AS coef, 'num' AS type FROM t, slope GROUP BY b UNION ALL
+  SELECT 'entity_' || entity, u - (SELECT arg_min(u, entity) FROM level), 'cat' FROM level WHERE entity <> (SELECT min(entity) FROM level))
+SELECT feature, {r("coef", "coef", 4)}, {r("abs(coef)", "abs_coef", 4)}, type FROM c""")
+def fitted_coefficients(spark: SparkSession, sf: str) -> DataFrame:
+    """Least squares on one scaled feature and entity columns, whose coefficients follow from means within the entities."""
+    train, _ = folds.time_holdout(training(spark, sf), HOLDOUT)
+    model = regression.fit(train, ["n_lines"], regression.elastic_net(TARGET, 0.0, 0.0, 1.0), group="entity")
+    return rounded(regression.coefficient_table(model, ["n_lines"]), 4)
+
+
 @query("enet_l1_sweep")
 def enet_l1_sweep(spark: SparkSession, sf: str) -> DataFrame:
     _, test, scaling, products = search_inputs(spark, sf)
