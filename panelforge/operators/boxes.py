@@ -3,12 +3,13 @@
 A box bounds each driver at one of a fixed list of quantile levels. Every future is reduced to the grid
 cell it falls into, cells are counted per entity, and box counts are sums over cells. The work after
 the count is bounded by the occupied cells and the grid (levels ^ drivers per entity, with the quantile levels and the
-number of drivers as the caller's choice), whatever the number of futures.
+number of drivers as the caller's choice), whatever the number of futures. Where only the best boxes are wanted, a large
+grid is searched from coarse to fine.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.aggregates import pearson
 from panelforge.operators.grouped import group_quantiles, group_sizes, lookup_join
+from panelforge.session import staged
+
+#: Boxes per entity up to which counting the whole grid takes less than the rounds of :func:`skyline_search`.
+WHOLE_GRID = 10_000
 
 
 def levels(lower: float = 0.1, upper: float = 0.9, step: float = 0.05) -> list[float]:
@@ -106,46 +111,127 @@ def cutoffs(rows: DataFrame, probs: Sequence[float], entity: str = "entity") ->
     )
 
 
-def grid_search(
-    rows: DataFrame, drivers: int, quantile_levels: Sequence[float] | None = None, sides: DataFrame | None = None,
-    entity: str = "entity",
-) -> DataFrame:
-    """Every non-empty box of every entity with its counts.
+def _cells(rows: DataFrame, drivers: int, sides: DataFrame, last: int, entity: str) -> DataFrame:
+    """Futures counted by the grid cell they fall into: ``entity, l0.., n, n1``.
 
-    ``rows`` is the layout of :func:`box_input`, with at most ``drivers`` drivers per entity, any number; ``sides`` takes
-    the result of :func:`cutoffs` if it is at hand. Futures stay where they are: they meet their entity's
-    cutoffs, become a cell and are counted map-side. Entities with fewer drivers leave the last slots out
-    (level -1). Result per box: entity, level index per slot ``l0..``, size ``n``, vulnerable ``n1``, entity total
-    ``total1``, coverage and density.
+    A cell's position per slot is in the order of growing boxes: a row lies in the box of level k iff its position is at most
+    k, and in no box beyond ``last``. Entities with fewer drivers leave the last slots out (position -1). Futures stay
+    where they are: they meet their entity's cutoffs, become a cell and are counted map-side.
     """
-    probs = list(quantile_levels or levels())
     slots = [f"l{i}" for i in range(drivers)]
-    cut = cutoffs(rows, probs, entity) if sides is None else sides
 
-    def cell(i: int) -> Column:
-        """Position in the order of growing boxes: a row lies in the box of level k iff cell <= k."""
+    def position(i: int) -> Column:
         value, cmp = f"get(`values`, {i})", f"get(sides, {i}).cmp"
         below = f"size(filter(get(sides, {i}).cuts, c -> c < {value}))"
         upto = f"size(filter(get(sides, {i}).cuts, c -> c <= {value}))"
         return F.expr(
-            f"case when {value} is null then -1 when {cmp} = '<' then {upto} when {cmp} = '<=' then {below} else {len(probs)} - {below} end"
+            f"case when {value} is null then -1 when {cmp} = '<' then {upto} when {cmp} = '<=' then {below} else {last + 1} - {below} end"
         )
 
-    placed = lookup_join(rows, cut, [entity], "inner")
-    counts = placed.select(entity, "label", *[cell(i).alias(s) for i, s in enumerate(slots)]).groupBy(entity, *slots).agg(
+    placed = lookup_join(rows, sides, [entity], "inner")
+    return placed.select(entity, "label", *[position(i).alias(s) for i, s in enumerate(slots)]).groupBy(entity, *slots).agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1")
     )
-    totals = counts.groupBy(entity).agg(F.sum("n1").alias("total1"), F.sum("n").alias("total"))
+
+
+def _rated(boxes: DataFrame, cells: DataFrame, entity: str) -> DataFrame:
+    """Boxes of entities with both labels, with the entity's vulnerable futures, coverage and density."""
+    totals = cells.groupBy(entity).agg(F.sum("n1").alias("total1"), F.sum("n").alias("total"))
     usable = totals.where((F.col("total1") > 0) & (F.col("total1") < F.col("total"))).select(entity, "total1")
-    boxes = counts
+    out = boxes.join(usable, entity)
+    return out.withColumns({"coverage": F.col("n1") / F.col("total1"), "density": F.col("n1") / F.col("n")})
+
+
+def grid_search(
+    rows: DataFrame, drivers: int, quantile_levels: Sequence[float] | None = None, sides: DataFrame | None = None,
+    entity: str = "entity",
+) -> DataFrame:
+    """Every non-empty box of every entity with its counts.
+
+    ``rows`` is the layout of :func:`box_input`, with at most ``drivers`` drivers per entity, any number; ``sides`` takes
+    the result of :func:`cutoffs` if it is at hand. Entities with fewer drivers leave the last slots out
+    (level -1). Result per box: entity, level index per slot ``l0..``, size ``n``, vulnerable ``n1``, entity total
+    ``total1``, coverage and density.
+    """
+    probs = list(quantile_levels or levels())
+    slots = [f"l{i}" for i in range(drivers)]
+    cells = _cells(rows, drivers, cutoffs(rows, probs, entity) if sides is None else sides, len(probs) - 1, entity)
+    boxes = cells
     for s in slots:
         reached = F.expr(f"case when {s} = -1 then array(-1) else filter(sequence(0, {len(probs) - 1}), i -> i >= {s}) end")
         others = [c for c in slots if c != s]
         boxes = boxes.select(entity, *others, "n", "n1", F.explode(reached).alias(s)).groupBy(entity, *slots).agg(
             F.sum("n").alias("n"), F.sum("n1").alias("n1")
         )
-    out = boxes.join(usable, entity)
-    return out.withColumns({"coverage": F.col("n1") / F.col("total1"), "density": F.col("n1") / F.col("n")})
+    return _rated(boxes, cells, entity)
+
+
+def _halved(cells: DataFrame, drivers: int, stride: int, last: int, entity: str) -> DataFrame:
+    """Cells of regions of twice the stride, as the cells of the regions they split into.
+
+    A region is a range of levels per slot, named by its lowest ones ``r0..``; it holds every future of its largest box, with
+    positions below the range moved up to its start, so that what lies at the start is its smallest box. A cell above the
+    lower half is in the upper half only; any other is in both.
+    """
+    for i in range(drivers):
+        low, at, middle = f"r{i}", f"l{i}", f"r{i} + {stride}"
+        halves = F.expr(
+            f"filter(array(struct({low} as r, {at} as l), struct({middle} as r, greatest({at}, {middle}) as l)), "
+            f"h -> if(h.r = {low}, {low} = -1 or {at} < {middle}, {low} > -1 and {middle} <= {last}))"
+        )
+        cells = cells.select(*[c for c in cells.columns if c not in (low, at)], F.inline(halves).alias(low, at))
+    keys = [f"{c}{i}" for c in "rl" for i in range(drivers)]
+    return cells.groupBy(entity, *keys).agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
+
+
+def _promising(cells: DataFrame, drivers: int, entity: str) -> DataFrame:
+    """Names of the regions in which a box can still be on the skyline.
+
+    Counts grow with the levels, so no box of a region has more vulnerable futures than its largest box, nor a higher density than
+    these futures without more others than in its smallest box. A region goes if a box that was counted, the largest or smallest one of any region, is
+    better than both bounds, or equal to one and better than the other. Such a box is kept itself or is beaten by one that is.
+    """
+    region = [f"r{i}" for i in range(drivers)]
+    at_start = reduce(lambda a, b: a & b, [F.col(f"l{i}") == F.col(f"r{i}") for i in range(drivers)])
+    regions = cells.groupBy(entity, *region).agg(
+        F.sum("n").alias("n"), F.sum("n1").alias("n1"),
+        F.coalesce(F.sum(F.when(at_start, F.col("n"))), F.lit(0)).alias("n_low"), F.coalesce(F.sum(F.when(at_start, F.col("n1"))), F.lit(0)).alias("n1_low"),
+    )
+    bound = F.coalesce(F.try_divide("n1", F.col("n1") + F.col("n_low") - F.col("n1_low")), F.lit(0.0))
+
+    def entry(n: str, n1: str, bound: Column) -> Column:
+        return F.struct((-F.col(n1)).alias("order"), F.try_divide(n1, n).alias("density"), bound.cast("double").alias("bound"))
+
+    entries = regions.select(entity, *region, F.inline(F.array(entry("n", "n1", bound), entry("n_low", "n1_low", F.lit(None)))))
+    by_count = Window.partitionBy(entity).orderBy("order")
+    more = F.max("density").over(by_count.rangeBetween(Window.unboundedPreceding, -1))
+    as_many = F.max("density").over(by_count.rangeBetween(Window.unboundedPreceding, 0))
+    beaten = F.coalesce(F.col("_more") >= F.col("bound"), F.lit(False)) | (F.col("_as_many") > F.col("bound"))
+    return entries.withColumns({"_more": more, "_as_many": as_many}).where(F.col("bound").isNotNull() & ~beaten).select(entity, *region)
+
+
+def skyline_search(
+    rows: DataFrame, drivers: int, quantile_levels: Sequence[float] | None = None, sides: DataFrame | None = None,
+    entity: str = "entity", stage: Callable[..., DataFrame] = staged,
+) -> DataFrame:
+    """The boxes that :func:`pareto` keeps of :func:`grid_search`, found from coarse to fine.
+
+    All levels start as one region per entity. In each round regions are halved in every slot and counted, and those whose bounds a
+    counted box beats are left out, until regions are single boxes: five rounds for 17 levels. A round works on the remaining regions times the cells
+    of one, never more than levels ^ drivers per entity, and usually far less. ``stage`` writes each round's cells, which two steps read.
+    """
+    probs = list(quantile_levels or levels())
+    last = len(probs) - 1
+    slots, region = [f"l{i}" for i in range(drivers)], [f"r{i}" for i in range(drivers)]
+    counted = stage(_cells(rows, drivers, cutoffs(rows, probs, entity) if sides is None else sides, last, entity), name="box-cells")
+    inside = reduce(lambda a, b: a & b, [F.col(s) <= last for s in slots])
+    cells = counted.where(inside).withColumns({r: F.least(F.col(s), F.lit(0)) for r, s in zip(region, slots)})
+    stride = 1 << last.bit_length()
+    while stride > 1:
+        stride //= 2
+        cells = stage(_halved(cells, drivers, stride, last, entity), name="box-regions")
+        cells = lookup_join(cells, _promising(cells, drivers, entity), [entity, *region], "left_semi")
+    return pareto(_rated(cells.select(entity, *slots, "n", "n1"), counted, entity), drivers, entity)
 
 
 def pareto(boxes: DataFrame, drivers: int, entity: str = "entity") -> DataFrame:

@@ -28,7 +28,7 @@ class DiscoveryConfig:
     rules: Rulebook
     mode: str = "pct_change"
     auto_threshold: bool = True
-    top_k: int = 2
+    top_k: int = 3
     extra_features: Sequence[str] = ()
     excluded: Sequence[str] = ()
     quantile_levels: Sequence[float] = tuple(boxes.levels())
@@ -72,10 +72,14 @@ def choose_drivers(importance: DataFrame, config: DiscoveryConfig) -> DataFrame:
 
 
 def search_boxes(box_input: DataFrame, slots: int, config: DiscoveryConfig) -> DataFrame:
-    """Non-dominated boxes with cutoffs, the best one marked."""
+    """Non-dominated boxes with cutoffs, the best one marked; large grids are searched from coarse to fine."""
     sides = boxes.cutoffs(box_input, config.quantile_levels)
-    grid = boxes.grid_search(box_input, slots, config.quantile_levels, sides)
-    best = boxes.select_best(boxes.pareto(grid, slots), slots, min_density=config.min_density, min_coverage=config.min_coverage)
+    if len(config.quantile_levels) ** slots > boxes.WHOLE_GRID:
+        sides = staged(sides, name="box-sides")
+        skyline = boxes.skyline_search(box_input, slots, config.quantile_levels, sides)
+    else:
+        skyline = boxes.pareto(boxes.grid_search(box_input, slots, config.quantile_levels, sides), slots)
+    best = boxes.select_best(skyline, slots, min_density=config.min_density, min_coverage=config.min_coverage)
     return boxes.with_cutoffs(best, sides, config.quantile_levels, slots)
 
 

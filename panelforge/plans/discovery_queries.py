@@ -233,24 +233,22 @@ tier AS (SELECT *, CASE {" ".join(f"WHEN density >= {t} AND coverage >= 0.6 THEN
 sel AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY tier, CASE WHEN tier = 7 THEN density ELSE coverage END DESC, CASE WHEN tier = 7 THEN coverage ELSE density END DESC, {", ".join(ls)}) = 1 AS chosen FROM tier)"""
 
 
-FOUR, FOUR_LEVELS = [A, B, "max_order__last", "has_urgent__last"], boxes.levels(0.1, 0.9, 0.1)
-FOUR_SQL = "slotted AS (" + " UNION ALL ".join(f"SELECT entity, future_id, label, {j} AS slot, '{d}' AS driver, CAST({d} AS DOUBLE) AS value FROM merged" for j, d in enumerate(FOUR)) + "),\n" + search_sql(4, FOUR_LEVELS).strip()
+#: Every box of four drivers is listed over fewer levels; the searches below take all of them.
+FOUR, LISTED_LEVELS = [A, B, "max_order__last", "has_urgent__last"], boxes.levels(0.1, 0.9, 0.1)
+FOUR_SQL = "slotted AS (" + " UNION ALL ".join(f"SELECT entity, future_id, label, {j} AS slot, '{d}' AS driver, CAST({d} AS DOUBLE) AS value FROM merged" for j, d in enumerate(FOUR)) + "),\n"
 
 
-@query("box_grid_four_drivers", with_sql(*BASE, FOUR_SQL) + f"SELECT entity, {', '.join(f'CAST(l{j} AS INTEGER) AS l{j}' for j in range(4))}, n, n1, total1, {r('coverage', 'coverage')}, {r('density', 'density')} FROM box")
+@query("box_grid_four_drivers", with_sql(*BASE, FOUR_SQL + search_sql(4, LISTED_LEVELS).strip()) + f"SELECT entity, {', '.join(f'CAST(l{j} AS INTEGER) AS l{j}' for j in range(4))}, n, n1, total1, {r('coverage', 'coverage')}, {r('density', 'density')} FROM box")
 def box_grid_four_drivers(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(boxes.grid_search(staged(boxes.box_input(merged(spark, sf), FOUR)), 4, FOUR_LEVELS))
+    return rounded(boxes.grid_search(staged(boxes.box_input(merged(spark, sf), FOUR)), 4, LISTED_LEVELS))
 
 
-@query("box_selected_four_drivers", with_sql(*BASE, FOUR_SQL) + "SELECT sel.entity, n, n1, total1, " + f"{r('coverage', 'coverage')}, {r('density', 'density')}, " + ", ".join(
+@query("box_selected_four_drivers", with_sql(*BASE, FOUR_SQL + search_sql(4, LEVELS).strip()) + "SELECT sel.entity, n, n1, total1, " + f"{r('coverage', 'coverage')}, {r('density', 'density')}, " + ", ".join(
     f"q{j}.driver AS driver_{j}, q{j}.p AS quantile_{j}, {r(f'q{j}.v', f'cutoff_{j}')}, q{j}.cmp AS cmp_{j}" for j in range(4)) + f""", chosen AS selected_solution,
   CASE WHEN chosen AND tier < 6 THEN ({TIERS}::DOUBLE[])[tier + 1] END AS selected_density_threshold, CASE WHEN chosen THEN 0.6::DOUBLE END AS selected_coverage_threshold
 FROM sel """ + " ".join(f"JOIN cuts q{j} ON sel.entity = q{j}.entity AND q{j}.slot = {j} AND q{j}.level = l{j}" for j in range(4)))
 def box_selected_four_drivers(spark: SparkSession, sf: str) -> DataFrame:
-    from dataclasses import replace
-
-    rows = staged(boxes.box_input(merged(spark, sf), FOUR))
-    return rounded(search_boxes(rows, 4, replace(CONFIG, quantile_levels=tuple(FOUR_LEVELS))))
+    return rounded(search_boxes(staged(boxes.box_input(merged(spark, sf), FOUR)), 4, CONFIG))
 
 
 @query("figure_box_points", with_sql(*BASE, SELECT_SQL) + """
@@ -341,7 +339,7 @@ SUMMARY_OUT = f"""SELECT entity, CASE WHEN error IS NULL THEN 'success' ELSE 'er
   CASE WHEN error IS NULL THEN top ELSE '' END AS selected_top_features, CASE WHEN error IS NULL THEN used ELSE '' END AS features_for_optimization, rows_kept AS n_optimization_rows, error FROM run"""
 
 
-@query("discovery_all_entities", with_sql(*BASE, "nation_caps", batch_sql(2)) + SUMMARY_OUT)
+@query("discovery_all_entities", with_sql(*BASE, "nation_caps", batch_sql(3)) + SUMMARY_OUT)
 def discovery_all_entities(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(whole_batch(spark, sf).run_summary)
 
@@ -349,10 +347,10 @@ def discovery_all_entities(spark: SparkSession, sf: str) -> DataFrame:
 EXTRA = ("max_order",)
 
 
-@query("discovery_extra_feature", with_sql(*BASE, "nation_caps", batch_sql(3, EXTRA, FOUR_LEVELS)) + SUMMARY_OUT)
+@query("discovery_extra_feature", with_sql(*BASE, "nation_caps", batch_sql(3, EXTRA)) + SUMMARY_OUT)
 def discovery_extra_feature(spark: SparkSession, sf: str) -> DataFrame:
     """Three ranked drivers and a given one: boxes over up to four."""
-    return rounded(whole_batch(spark, sf, top_k=3, extra_features=EXTRA, quantile_levels=tuple(FOUR_LEVELS)).run_summary)
+    return rounded(whole_batch(spark, sf, extra_features=EXTRA).run_summary)
 
 
 # ------------------------------------------------------------ reports
@@ -362,7 +360,7 @@ def run_rows(spark: SparkSession, sf: str) -> DataFrame:
     return staged(whole_batch(spark, sf).run_summary.select("entity", "status", "selected_top_features"))
 
 
-RUN_SQL = batch_sql(2) + """,
+RUN_SQL = batch_sql(3) + """,
 grp AS (SELECT run.entity, string_split(top, '|') AS ds, coalesce(income_group, 'unclassified') AS g FROM run LEFT JOIN income ON run.entity = income.entity WHERE error IS NULL)"""
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE"]
 
@@ -407,11 +405,11 @@ def top_combinations(spark: SparkSession, sf: str) -> DataFrame:
     return tied_for_most(driver_combination_frequency(spark, sf).select("feature_combination", "count"))
 
 
-@query("discovery_reports", with_sql(*BASE, "nation_caps", "income", batch_sql(3, EXTRA, FOUR_LEVELS)) + f""",
+@query("discovery_reports", with_sql(*BASE, "nation_caps", "income", batch_sql(3, EXTRA)) + f""",
 grp AS (SELECT run.entity, string_split(top, '|') AS ds, coalesce(income_group, 'unclassified') AS g FROM run LEFT JOIN income ON run.entity = income.entity WHERE error IS NULL)
 {list_cells_sql("feature_combination", COMBO_SQL)}""")
 def discovery_reports(spark: SparkSession, sf: str) -> DataFrame:
-    result = whole_batch(spark, sf, top_k=3, extra_features=EXTRA, quantile_levels=tuple(FOUR_LEVELS))
+    result = whole_batch(spark, sf, extra_features=EXTRA)
     return batch_reports(result, income_groups(spark, sf), region_names(spark, sf), list_cells=True)["top_variable_combination_frequency_report"]
 
 

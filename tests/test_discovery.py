@@ -190,3 +190,42 @@ def test_whole_batch_reports_errors_and_boxes(spark):
     income = spark.createDataFrame([("E1", "High")], "entity string, income_group string")
     reported = batch_reports(result, income, ["High"], list_cells=True)["top_variable_frequency_report"].collect()
     assert [(r["feature"], r["count"], r["high_entities"], r["unclassified_entities"]) for r in reported] == [("x", 2, "E1", "E2")]
+
+
+@pytest.mark.parametrize("drivers, n_levels", [(1, 17), (2, 5), (3, 8), (4, 6)])
+def test_search_from_coarse_to_fine_equals_the_whole_grid(spark, drivers, n_levels):
+    """Hot, small, noisy, separable and one-sided entities, ties, repeated rows, and entities with fewer drivers."""
+    rng = np.random.default_rng(drivers)
+    rows = []
+    for e, n, used in (("hot", 900, drivers), ("small", 25, drivers), ("noise", 300, drivers), ("fewer", 200, max(drivers - 1, 1)), ("flat", 40, drivers)):
+        for i in range(n):
+            x = [float(v) for v in (rng.integers(0, 6, used) if e == "small" else rng.normal(size=used))]
+            label = int(rng.integers(0, 2)) if e == "noise" else 1 if e == "flat" else int(sum(x) + rng.normal() * 0.4 > np.sqrt(used) * (3 if e == "small" else 1))
+            rows += [(e, f"{e}_{i}", label, [f"d{j}" for j in range(used)], x)] * (2 if i % 10 == 0 else 1)
+    df = spark.createDataFrame(rows, "entity string, future_id string, label int, drivers array<string>, values array<double>")
+    probs = [round(float(p), 6) for p in np.linspace(0.1, 0.9, n_levels)]
+    want = boxes.pareto(boxes.grid_search(df, drivers, probs), drivers)
+    got = boxes.skyline_search(df, drivers, probs).select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {r["entity"] for r in got.select("entity").distinct().collect()} >= {"hot", "noise", "fewer"}
+
+
+def test_search_leaves_most_regions_out(spark):
+    """Only regions near the skyline are split further: the last round counts a small part of the grid."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 3))
+    label = (x.sum(axis=1) > 1).astype(int)
+    df = spark.createDataFrame([("E", str(i), int(label[i]), ["a", "b", "c"], [float(v) for v in x[i]]) for i in range(400)], "entity string, future_id string, label int, drivers array<string>, values array<double>")
+    written = []
+
+    def stage(table, name):
+        written.append(table.cache())
+        return written[-1]
+
+    boxes.skyline_search(df, 3, stage=stage).count()
+    assert 0 < written[-1].count() < 17 ** 3 / 4
+
+
+def test_search_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "entity string, future_id string, label int, drivers array<string>, values array<double>")
+    assert boxes.skyline_search(df, 4).count() == 0
