@@ -1,9 +1,11 @@
 """Toxicity, language-model scores, personal data, mixing and the pipeline: held-out accuracy, brute force, exact properties."""
 
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -122,6 +124,107 @@ def test_training_step_follows_the_gradient():
             assert abs(abs((losses[0] - losses[1]) / 2e-4) - np.sqrt(squares[name][spot])) < 1e-4
 
 
+def plain_step(net, line, at, squares):
+    """One Adagrad step, a class at a time and with dense gradients."""
+    p, s, n = net.weights, net.shape, np.float32(len(at))
+    at = at[np.argsort(line[at] % s.classes, kind="stable")]
+    context = line[at[:, None] + np.array([-2, -1, 1, 2])]
+    kind, place = line[at] % s.classes, line[at] // s.classes
+    x = p["embed"][context].reshape(len(at), -1)
+    h = np.tanh(x @ p["w"] + p["b"])
+
+    def errors(logits, target):
+        e = np.exp(logits - logits.max(axis=1, keepdims=True))
+        e /= e.sum(axis=1, keepdims=True)
+        e[np.arange(len(target)), target] -= 1
+        return e / n
+
+    c = errors(h @ p["cw"] + p["cb"], kind)
+    g = {"cw": h.T @ c, "cb": c.sum(axis=0), "ow": np.zeros_like(p["ow"]), "ob": np.zeros_like(p["ob"])}
+    gh = c @ p["cw"].T
+    for k in set(kind.tolist()):
+        rows = slice(*np.searchsorted(kind, [k, k + 1]))
+        o = errors(h[rows] @ p["ow"][k] + p["ob"][k], place[rows])
+        g["ow"][k], g["ob"][k] = h[rows].T @ o, o.sum(axis=0)
+        gh[rows] += o @ p["ow"][k].T
+    gz = gh * (1 - h * h)
+    g["w"], g["b"] = x.T @ gz, gz.sum(axis=0)
+    gx, seen = (gz @ p["w"].T).reshape(-1, s.dim), context.ravel()
+    g["embed"] = np.stack([np.bincount(seen, gx[:, d], minlength=len(p["embed"])) for d in range(s.dim)], axis=1).astype(np.float32)
+    for name, grad in g.items():
+        squares[name] += grad * grad
+        p[name] -= s.rate * grad / (np.sqrt(squares[name]) + np.float32(1e-6))
+
+
+def test_training_steps_equal_plain_ones_and_take_less_cpu_time():
+    rng = np.random.default_rng(4)
+    shape = lm.LmShape(classes=96, per_class=96, buckets=1024)
+    line = np.minimum(rng.pareto(0.6, 50_000) * 3, 96 * 96 - 1).astype(np.int32)
+    nets = [lm.WindowNetwork(vars(shape), []) for _ in range(2)]
+    squares = [{k: np.full_like(v, 1e-4) for k, v in net.weights.items()} for net in nets]
+    spent = [[], []]
+    for _ in range(10):
+        at = rng.permutation(np.arange(2, len(line) - 2))[: shape.batch]
+        for i, step in enumerate((plain_step, lm.WindowNetwork.step)):
+            begin = time.process_time()
+            step(nets[i], line, at, squares[i])
+            spent[i].append(time.process_time() - begin)
+    for name, w in nets[0].weights.items():
+        assert np.abs(w - nets[1].weights[name]).max() < 1e-4 and np.allclose(squares[0][name], squares[1][name], rtol=1e-3, atol=1e-7)
+    assert min(spent[1]) < 0.85 * min(spent[0])
+
+
+@pytest.mark.parametrize("size", [1, 8, 60])
+def test_large_weights_neither_overflow_nor_lose_a_probability(size):
+    shape = lm.LmShape(classes=5, per_class=7, buckets=4, dim=3, hidden=6)
+    net = lm.WindowNetwork(vars(shape), [])
+    rng = np.random.default_rng(size)
+    for name in ("cw", "cb", "ow", "ob"):
+        net.weights[name] = (rng.normal(size=net.weights[name].shape) * size).astype(np.float32)
+    line = rng.integers(0, 35, 400).astype(np.int32)
+    at = np.arange(2, 398)
+    p = {k: v.astype(np.float64) for k, v in net.weights.items()}
+    h = np.tanh(p["embed"][line[at[:, None] + np.array([-2, -1, 1, 2])]].reshape(len(at), -1) @ p["w"] + p["b"])
+    want = np.zeros(len(at))
+    for i, t in enumerate(line[at]):
+        for logits, own in ((h[i] @ p["cw"] + p["cb"], t % 5), (h[i] @ p["ow"][t % 5] + p["ob"][t % 5], t // 5)):
+            want[i] += logits[own] - logits.max() - np.log(np.exp(logits - logits.max()).sum())
+    got = net.log_probabilities(line, at)
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-4) and net._tables()[2] == (size > 8)
+    squares = {k: np.full_like(v, 1e-4) for k, v in net.weights.items()}
+    other = lm.WindowNetwork(vars(shape), [], {k: v.copy() for k, v in net.weights.items()})
+    plain_step(other, line, at, {k: v.copy() for k, v in squares.items()})
+    net.step(line, at, squares)
+    assert all(np.allclose(net.weights[k], other.weights[k], rtol=1e-3, atol=1e-3) for k in net.weights)
+
+
+def test_words_of_odd_texts_are_cut_in_slices_as_by_the_pattern(monkeypatch):
+    shape = lm.LmShape(classes=3, per_class=4, buckets=4, dim=3, hidden=5)
+    odd = ["", "…", " a", "a ", "A\x00b\x7fc", "9Zz-9zZ", "x" * 5000, "\u00a0É é\u2003É", "a b zz " * 400, "\t\n\r", "", "É zz new", "a\x0bb\x0cc\x1cd"]
+    texts = [t.encode() for t in odd] + [b"bad \xff\xfe bytes", b"\x80"]
+    words = [re.findall(rb"[0-9a-z\x80-\xff]+", t.lower()) for t in texts]
+    totals = np.array([3.0, 1.0, 0.0, 7.0])
+    net = lm.WindowNetwork(vars(shape), [b"a", b"b", b"zz"], totals=totals)
+    rare = [[w for w in ws if w not in net.words] for ws in words]
+    for most in (1, 100, 1 << 22):
+        monkeypatch.setattr(lm, "CUT_BYTES", most)
+        monkeypatch.setattr(lm, "COUNT_BYTES", most)
+        column = pa.array([b"gone", *texts], pa.binary())[1:]
+        found = [r for _, symbols, lp, more in net.encoded(column) for r in zip(symbols.to_pylist(), lp, more.cast(pa.binary()).to_pylist())]
+        assert len(found) == len(texts)
+        for ws, beyond, (symbols, lp, more) in zip(words, rare, found):
+            assert symbols == [net.words.index(w) + 1 if w in net.words else shape.words + 1 + zlib.crc32(w) % 4 for w in ws]
+            assert abs(lp + sum(np.log1p(totals[zlib.crc32(w) % 4]) for w in beyond)) < 1e-9 and more == b" ".join(beyond)
+        counted = list(lm._counted([pa.RecordBatch.from_arrays([column], ["data"])]))
+        pairs = [(w, n) for b in counted for w, n in zip(b.column("w").cast(pa.binary()).to_pylist(), b.column("n").to_pylist())]
+        total = {}
+        for w, n in pairs:
+            total[w] = total.get(w, 0) + n
+        every = [w for ws in words for w in ws]
+        assert total == {w: every.count(w) for w in set(every)}
+        assert most < 1 << 22 or len(pairs) == len(total)  # a word goes on once for each slice, not once for each occurrence
+
+
 def test_trained_model_beats_word_frequencies_and_prefers_fluent_text(spark):
     rng = np.random.default_rng(2)
     follow = {i: rng.choice(40, size=3, replace=False) for i in range(40)}
