@@ -1,7 +1,8 @@
 """A classification forest for every entity: which drivers tell vulnerable futures from others, and how well.
 
-Ordinary entities are fitted in a task each, all trees of an entity together. An entity beyond ``max_rows`` stays distributed: its
-trees grow level by level in aggregates over its rows. Both routes give the same trees (see :mod:`panelforge.operators.trees`).
+Entities are fitted in tasks that grow one tree after the other; an entity with more than its share of the rows is copied to several
+tasks, which share its trees. An entity beyond ``max_rows`` stays distributed: its trees grow level by level in aggregates over its
+rows. Both routes give the same trees (see :mod:`panelforge.operators.trees`).
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from panelforge.operators import trees
 from panelforge.operators.drivers import classification_metrics, stratified_split
 from panelforge.session import staged
 
-#: Rows up to which an entity is fitted in one task; trees that grow together in the distributed route.
-MAX_ROWS, TREES_AT_ONCE = 100_000, 16
+#: Values (rows x features) up to which an entity is fitted in tasks; trees that grow together in the distributed route.
+MAX_VALUES, TREES_AT_ONCE = 10_000_000, 16
+#: Tasks that share an entity's trees, at most.
+MOST_PARTS = 64
 TRAINED, SKIPPED = "trained", "skipped_insufficient_rows_or_classes"  # fixed values
-RESULT = "entity string, key long, label int, score double, feature string, importance double, status string"
+RESULT = "entity string, key long, at long, label int, score double, feature string, importance double, grown long"
 
 
 def _cut_points(values: np.ndarray, bins: int) -> tuple[np.ndarray, float]:
@@ -51,15 +54,9 @@ def _tree_importances(grove: trees.Grove, n_features: int) -> tuple[np.ndarray,
     return grove.importances(n_features) * grown, grown
 
 
-def _forest_here(bins, label, keys, wanted, params: trees.Forest) -> tuple[np.ndarray, np.ndarray]:
-    """Importances of a forest over some rows, and its mean score of the ``wanted`` rows' bins."""
-    loss = _balanced(int((label == 0).sum()), int((label == 1).sum()))
-    gains, grown, total = np.zeros(bins.shape[1]), 0, np.zeros(len(wanted))
-    for batch in trees.tree_batches(params.trees, len(keys)):
-        grove = trees.grow_forest(bins, label, keys, batch, loss, params)
-        g, n = _tree_importances(grove, bins.shape[1])
-        gains, grown, total = gains + g, grown + n, total + trees.summed(grove, wanted)
-    return gains / max(grown, 1), total / params.trees
+def _forest_here(bins, label, keys, wanted, params: trees.Forest, numbers: Sequence[int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Some trees of a forest: their values summed for the ``wanted`` rows' bins, their importances summed, and how many have a cut."""
+    return trees.Grower(bins, label, keys, _balanced(int((label == 0).sum()), int((label == 1).sum())), params).sums(numbers, wanted)
 
 
 def _forest_distributed(rows: DataFrame, wanted: DataFrame | None, width: int, params: trees.Forest) -> tuple[np.ndarray, DataFrame | None]:
@@ -77,7 +74,7 @@ def _forest_distributed(rows: DataFrame, wanted: DataFrame | None, width: int, p
 
 def entity_forests(
     df: DataFrame, features: Sequence[str], label: str = "vulnerability_indicator", id_column: str = "future_id", entity: str = "entity",
-    test_share: float = 0.2, params: trees.Forest = trees.Forest(trees=500, min_leaf=2, per_node=-1), bins: int = trees.BINS, max_rows: int = MAX_ROWS,
+    test_share: float = 0.2, params: trees.Forest = trees.Forest(trees=500, min_leaf=2, per_node=-1), bins: int = trees.BINS, max_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Importances (entity, feature, importance), scored test rows (entity, id, label, score) and a summary per entity.
 
@@ -86,9 +83,11 @@ def entity_forests(
     an entity are dropped there, and other gaps take the entity's median. Features are binned at the entity's exact quantiles.
     Entities without both classes are skipped: they have a summary, but no importances. The summary has n_rows, n_train, n_test,
     class_0, class_1, n_features, dropped_features (bar-joined), status, mean, median and max of the importances and the test
-    metrics as ``test_*``; an entity whose training rows lack a class has no scores.
+    metrics as ``test_*``; an entity whose training rows lack a class has no scores. ``max_rows``: rows up to which an entity is
+    fitted in tasks (by default as many as hold ``MAX_VALUES`` values).
     """
     features = list(features)
+    max_rows = max(1, MAX_VALUES // max(len(features), 1)) if max_rows is None else max_rows
     split = stratified_split(df.where(F.col(label).isNotNull()), label, id_column, test_share, params.seed, entity)
     rows = staged(split.select(
         F.col(entity).cast("string").alias("entity"), F.col(id_column).alias("id"), F.xxhash64(F.col(entity), F.col(id_column)).alias("key"),
@@ -105,31 +104,40 @@ def entity_forests(
     n_features = len(features)
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("key", kind="stable")
+        # All parts of an entity number its rows alike, also those that share a key.
+        part = part.sort_values(["key", "label", "is_test", *[f"_f{i}" for i in range(n_features)]] if part["key"].duplicated().any() else "key", kind="stable")
         values = part[[f"_f{i}" for i in range(n_features)]].to_numpy(np.float64)
         used = np.flatnonzero(~np.isnan(values).all(axis=0))
         label_, keys, test, name = part["label"].to_numpy(), part["key"].to_numpy(), part["is_test"].to_numpy(bool), part["entity"].iloc[0]
-        out = []
+        numbers, out = range(int(part["part"].iloc[0]), params.trees, int(part["parts"].iloc[0])), []
+        del part
+        kinds = {"entity": "object", "key": "Int64", "at": "Int64", "label": "Int32", "score": "float64", "feature": "object", "importance": "float64", "grown": "Int64"}  # keys are 64-bit: never by way of doubles
+        table = lambda n, **known: pd.DataFrame({c: pd.Series(known.get(c, [None] * n), dtype=k) if k[0] != "I" else pd.array(known.get(c, [pd.NA] * n), dtype=k) for c, k in kinds.items()})
         if len(used):
             packed = _binned(values[:, used], bins)
+            del values
             if len(np.unique(label_[~test])) == 2:
-                score = _forest_here(packed[~test], label_[~test], keys[~test], packed[test], params)[1]
-                out += [(name, int(k), int(y), float(s), None, None, None) for k, y, s in zip(keys[test], label_[test], score)]
-            gains = _forest_here(packed, label_, keys, packed[:0], params)[0]
-            out += [(name, None, None, None, features[f], float(g), None) for f, g in zip(used, gains)]
-        columns = list(zip(*out)) or [()] * 7
-        kinds = ["object", "Int64", "Int32", "float64", "object", "float64", "object"]  # keys are 64-bit: never by way of doubles
-        names = ["entity", "key", "label", "score", "feature", "importance", "status"]
-        return pd.DataFrame({n: pd.array(list(c), dtype=k) if k[0] == "I" else pd.Series(list(c), dtype=k) for n, c, k in zip(names, columns, kinds)})
-
+                score, at = _forest_here(packed[~test], label_[~test], keys[~test], packed[test], params, numbers)[0] / params.trees, np.flatnonzero(test)
+                out.append(table(len(at), entity=[name] * len(at), key=keys[at], at=at, label=label_[at], score=score))
+            _, gains, grown = _forest_here(packed, label_, keys, packed[:0], params, numbers)
+            out.append(table(len(used), entity=[name] * len(used), feature=[features[f] for f in used], importance=gains, grown=[grown] * len(used)))
+        return pd.concat(out) if out else table(0)
+
+    # An entity with a large share of the rows goes to several tasks. Tasks by explicit number: they take long for their bytes.
+    slots = rows.sparkSession.sparkContext.defaultParallelism
     usable = sizes.where(both)
-    small = rows.join(usable.where(F.col("n_rows") <= max_rows).select("entity"), "entity", "left_semi")
-    results = [staged(small.groupBy("entity").applyInPandas(fit, RESULT), name="forest-results")]
+    wanted = usable.where(F.col("n_rows") <= max_rows)
+    whole = wanted.agg(F.sum("n_rows").alias("n"), F.count(F.lit(1)).alias("k")).first()
+    parts = F.least(F.greatest(F.ceil(F.col("n_rows") * F.lit(2.0 * slots / max(whole["n"] or 1, 1))), F.lit(1)), F.lit(min(MOST_PARTS, params.trees))).cast("int")
+    dealt = rows.drop("id").join(wanted.select("entity", parts.alias("parts")), "entity").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    n_tasks = max(1, min(2 * (whole["k"] + 2 * slots), max(200, 8 * slots)))
+    results = [staged(dealt.repartition(n_tasks, "entity", "part").groupBy("entity", "part").applyInPandas(fit, RESULT), name="forest-results")]
     for hot in usable.where(F.col("n_rows") > max_rows).collect():
         results.append(_hot(rows.where(F.col("entity") == hot["entity"]), hot, features, params, bins))
     found = reduce(DataFrame.unionByName, results)
-    importance = found.where(F.col("feature").isNotNull()).select("entity", "feature", "importance")
-    scored = found.where(F.col("score").isNotNull()).select("entity", "key", "label", "score").join(rows.select("entity", "key", "id").distinct(), ["entity", "key"])
+    importance = found.where(F.col("feature").isNotNull()).groupBy("entity", "feature").agg((F.sum("importance") / F.greatest(F.sum("grown"), F.lit(1))).alias("importance"))
+    scored = found.where(F.col("score").isNotNull()).groupBy("entity", "key", "at", "label").agg(F.sum("score").alias("score")).drop("at")
+    scored = scored.join(rows.select("entity", "key", "id").distinct(), ["entity", "key"])
     metrics = classification_metrics(scored, "label", "score", entity="entity").drop("n_rows")
     metrics = metrics.withColumnsRenamed({c: f"test_{c}" for c in metrics.columns if c != "entity"})
     spread = importance.groupBy("entity").agg(F.avg("importance").alias("mean_importance"), F.percentile("importance", 0.5).alias("median_importance"), F.max("importance").alias("max_importance"))
@@ -153,9 +161,9 @@ def _hot(rows: DataFrame, size, features: Sequence[str], params: trees.Forest, b
     gains, _ = _forest_distributed(table.select("key", "target", "bins"), None, len(used), params)
     told = spark.createDataFrame([(features[i], float(g)) for i, g in zip(used, gains)], "feature string, importance double")
     null = lambda kind: F.lit(None).cast(kind)
-    out = told.select(name.alias("entity"), null("long").alias("key"), null("int").alias("label"), null("double").alias("score"), "feature", "importance", null("string").alias("status"))
+    out = told.select(name.alias("entity"), null("long").alias("key"), null("long").alias("at"), null("int").alias("label"), null("double").alias("score"), "feature", "importance", F.lit(1).cast("long").alias("grown"))
     if size["train_0"] and size["train_1"]:
         _, scored = _forest_distributed(train, test, len(used), params)
-        scored = scored.join(test.select("key", F.col("target").cast("int").alias("label")), "key")
-        out = out.unionByName(scored.select(name.alias("entity"), "key", "label", "score", null("string").alias("feature"), null("double").alias("importance"), null("string").alias("status")))
+        scored = scored.join(test.select("key", F.col("target").cast("int").alias("label"), F.monotonically_increasing_id().alias("at")), "key")
+        out = out.unionByName(scored.select(name.alias("entity"), "key", "at", "label", "score", null("string").alias("feature"), null("double").alias("importance"), null("long").alias("grown")))
     return out
